@@ -59,11 +59,11 @@ def _any_probe(rule: Rule, probe_col: str) -> Column | None:
     return reduce(lambda a, b: a | b, [col.contains(p) for p in rule.probes])
 
 
-def _rule_hit(rule: Rule, direction: str | Column) -> Column:
+def _rule_hit(rule: Rule, direction: str | Column, raw_only: bool = False) -> Column:
     pattern = rule.java_pattern
     terms: list[Column] = []
     for i, (view, probe, new) in enumerate(zip(_VIEWS, _PROBES, _NEW)):
-        if i > 0 and rule.raw_view_only:
+        if i > 0 and (rule.raw_view_only or raw_only):
             break
         cond = F.col(view).rlike(pattern)
         p = _any_probe(rule, probe)
@@ -100,17 +100,24 @@ def rule_scan(
     hits_col: str = "rules_hit",
     score_col: str = "det_score",
     keep_views: bool = False,
+    raw_only: bool = False,
 ) -> DataFrame:
     """Append ``rules_hit`` (comma-joined ids in engine order, NULL when none)
     and ``det_score`` (max score of hit rules, 0.0 when none).
 
     ``direction`` is a literal direction or a Column holding one per row.
+    ``raw_only`` scans the raw text alone (rule linting semantics).
     """
     rules = list(rules or BUILTIN_RULES)
     if isinstance(direction, str):
         rules = [r for r in rules if direction in r.apply_to]
     df = with_scan_text(df, text_col, direction)
     raw = F.col("_fs_raw")
+    if raw_only:
+        df = df.withColumn("_fs_p0", probe_text(raw))
+        flags = [f"_fs_h{i}" for i in range(len(rules))]
+        df = df.select("*", *[_rule_hit(r, direction, True).alias(f) for r, f in zip(rules, flags)])
+        return _finish(df, rules, flags, hits_col, score_col, flags + ["_fs_p0", "_fs_raw"])
     df = df.withColumn("_fs_nfkc", nfkc(raw))
     df = (
         df.withColumn("_fs_within", normalise_within(F.col("_fs_nfkc")))
@@ -127,12 +134,16 @@ def rule_scan(
     )
     flags = [f"_fs_h{i}" for i in range(len(rules))]
     df = df.select("*", *[_rule_hit(r, direction).alias(f) for r, f in zip(rules, flags)])
-    hits = F.concat_ws(",", *[F.when(F.col(f), F.lit(r.id)) for r, f in zip(rules, flags)])
-    score = F.greatest(F.lit(0.0), *[F.when(F.col(f), F.lit(float(r.score))) for r, f in zip(rules, flags)]) if rules else F.lit(0.0)
-    df = df.withColumn(hits_col, F.when(hits != "", hits)).withColumn(score_col, score)
     drop = flags + list(_PROBES) + ["_fs_wnew", "_fs_bnew"]
     if not keep_views:
         drop += list(_VIEWS)
+    return _finish(df, rules, flags, hits_col, score_col, drop)
+
+
+def _finish(df: DataFrame, rules, flags, hits_col, score_col, drop) -> DataFrame:
+    hits = F.concat_ws(",", *[F.when(F.col(f), F.lit(r.id)) for r, f in zip(rules, flags)])
+    score = F.greatest(F.lit(0.0), *[F.when(F.col(f), F.lit(float(r.score))) for r, f in zip(rules, flags)]) if rules else F.lit(0.0)
+    df = df.withColumn(hits_col, F.when(hits != "", hits)).withColumn(score_col, score)
     return df.drop(*drop)
 
 

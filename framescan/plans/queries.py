@@ -202,3 +202,95 @@ def q_rules_table(spark, sf):
         F.array_join("apply_to", ",").alias("apply_to"),
         F.coalesce(F.col("n_hits"), F.lit(0)).cast("long").alias("n_hits"),
     )
+
+
+# =============================================================== evaluation
+from ..operators import evaluate as EV  # noqa: E402
+
+
+def _scanned_attacks(spark, sf):
+    a = spread(EV.valid_attacks(P.attacks(spark, sf)))
+    return rule_scan(a, "text", F.col("direction"))
+
+
+def _sql_scanned_attacks() -> str:
+    return sql_scan(P.sql_attacks(), ["item_id", "class_id", "attack_id", "direction", "expected"], "text", "direction")
+
+
+@register(
+    "attacks_source",
+    lambda: f"""SELECT item_id, class_id, attack_id, direction, expected, length(text) AS n_chars FROM {P.sql_attacks()}
+      WHERE direction IN ('client_to_server', 'server_to_client') AND expected IN ('catch', 'evade')
+        AND length(trim(class_id)) > 0 AND length(trim(attack_id)) > 0 AND length(trim(text)) > 0""",
+)
+def q_attacks_source(spark, sf):
+    _prep(spark)
+    a = EV.valid_attacks(P.attacks(spark, sf))
+    return a.select("item_id", "class_id", "attack_id", "direction", "expected", F.length("text").cast("long").alias("n_chars"))
+
+
+_SQL_EVAL = """SELECT class_id, first(direction) AS direction, first(expected) AS expected, count(*) AS n_attacks,
+      count(*) FILTER (WHERE rules_hit IS NOT NULL) AS caught, count(*) FILTER (WHERE rules_hit IS NULL) AS evaded,
+      round(count(*) FILTER (WHERE rules_hit IS NOT NULL) * 100.0 / count(*), 2) AS detect_pct,
+      CASE WHEN (first(expected) = 'catch' AND count(*) FILTER (WHERE rules_hit IS NULL) = 0)
+             OR (first(expected) = 'evade' AND count(*) FILTER (WHERE rules_hit IS NOT NULL) = 0) THEN 'OK' ELSE 'MISMATCH' END AS status
+    FROM {src} GROUP BY class_id"""
+
+
+@register("attack_eval", lambda: _SQL_EVAL.format(src=_sql_scanned_attacks()))
+def q_attack_eval(spark, sf):
+    _prep(spark)
+    return EV.attack_eval(_scanned_attacks(spark, sf))
+
+
+@register(
+    "attack_eval_overall",
+    lambda: f"""SELECT count(*) AS n_classes, sum(n_attacks) AS n_attacks, sum(caught) AS caught,
+        round(sum(caught) * 100.0 / sum(n_attacks), 2) AS overall_pct,
+        CASE WHEN bool_and(status = 'OK') THEN 'PASS' ELSE 'FAIL' END AS status,
+        coalesce(array_to_string(list_sort(list(class_id) FILTER (WHERE expected = 'catch' AND evaded > 0)), ','), '') AS failing_catch_classes
+      FROM ({_SQL_EVAL.format(src=_sql_scanned_attacks())})""",
+)
+def q_attack_eval_overall(spark, sf):
+    _prep(spark)
+    return EV.attack_eval_overall(EV.attack_eval(_scanned_attacks(spark, sf)))
+
+
+@register(
+    "rule_quality",
+    lambda: f"""WITH s AS (SELECT * FROM {sql_scan(f"(SELECT 'd' || item_id AS k, attack_id, text FROM {_sql_corpus_labelled()})", ['k', 'attack_id'], 'text', R.S2C, raw_only=True)}),
+      r AS ({R_sql_rules()}),
+      bh AS (SELECT rule_id, count(*) AS benign_matched FROM (SELECT unnest(string_split(rules_hit, ',')) AS rule_id FROM s WHERE attack_id IS NULL AND rules_hit IS NOT NULL) GROUP BY rule_id),
+      atk AS (SELECT target_rule AS rule_id, count(*) AS attack_examples,
+               count(*) FILTER (WHERE NOT coalesce(list_contains(string_split(rules_hit, ','), target_rule), false)) AS attack_missed
+             FROM s JOIN {P.sql_attack_targets()} USING (attack_id) GROUP BY target_rule)
+      SELECT r.rule_id, coalesce(atk.attack_examples, 0) AS attack_examples, coalesce(atk.attack_missed, 0) AS attack_missed,
+             (SELECT count(*) FROM s WHERE attack_id IS NULL) AS benign_examples, coalesce(bh.benign_matched, 0) AS benign_matched
+      FROM r LEFT JOIN atk USING (rule_id) LEFT JOIN bh USING (rule_id)""",
+)
+def q_rule_quality(spark, sf):
+    """Server->client rules against the documents + pages corpus (raw view only)."""
+    _prep(spark)
+    c = spread(_corpus_labelled(spark, sf))
+    s = rule_scan(c, "text", R.S2C, raw_only=True)
+    targets = spark.createDataFrame(list(P.ATTACK_TARGETS.items()), "attack_id string, target_rule string")
+    return EV.rule_quality(s, targets, R.rules_df(spark))
+
+
+def _corpus_labelled(spark, sf):
+    docs = P.docs_planted(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("item_id"), "attack_id", "text")
+    pages = P.read_table(spark, sf, "pages")
+    pp = P.pick_payload(F.col("page_id"), R.S2C)
+    pages = pages.select(
+        F.concat(F.lit("p"), F.col("page_id")).alias("item_id"),
+        pp["attack_id"].alias("attack_id"),
+        F.when(pp.isNotNull(), F.concat(F.col("html"), F.lit("\n"), pp["payload"])).otherwise(F.col("html")).alias("text"),
+    )
+    return docs.unionByName(pages)
+
+
+def _sql_corpus_labelled() -> str:
+    pp = P.sql_pick("page_id", R.S2C)
+    return f"""(SELECT doc_id AS item_id, attack_id, text FROM {P.sql_docs_planted()}
+      UNION ALL SELECT page_id + 0, pp.attack_id, CASE WHEN pp IS NOT NULL THEN html || chr(10) || pp.payload ELSE html END
+      FROM (SELECT *, {pp} AS pp FROM pages))"""

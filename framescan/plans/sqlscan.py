@@ -35,9 +35,9 @@ def sql_argv(t: str) -> str:
     return f"CAST(coalesce(CASE WHEN {ok} THEN {chunks} END, '') AS VARCHAR)"
 
 
-def _hit(rule: R.Rule, direction: str) -> str:
+def _hit(rule: R.Rule, direction: str, raw_only: bool = False) -> str:
     p = _q(rule.re2_pattern)
-    views = ["_r"] if rule.raw_view_only else ["_r", "_w", "_b"]
+    views = ["_r"] if (rule.raw_view_only or raw_only) else ["_r", "_w", "_b"]
     cond = " OR ".join(f"regexp_matches({v}, {p})" for v in views)
     if direction in R.DIRECTIONS:
         return f"({cond})"
@@ -45,7 +45,7 @@ def _hit(rule: R.Rule, direction: str) -> str:
     return f"({direction} IN ({dirs}) AND ({cond}))"
 
 
-def sql_scan(source: str, keep: list[str], text: str, direction: str, rules=None) -> str:
+def sql_scan(source: str, keep: list[str], text: str, direction: str, rules=None, raw_only: bool = False) -> str:
     """``SELECT keep..., rules_hit, det_score`` over ``source``.
 
     ``direction`` is a direction literal value or a column name."""
@@ -58,8 +58,8 @@ def sql_scan(source: str, keep: list[str], text: str, direction: str, rules=None
     else:
         scan_text = f"(CASE WHEN {direction} = {_q(R.C2S)} THEN {appended} ELSE {text} END)"
         extra = f"(CASE WHEN {direction} = {_q(R.C2S)} THEN {sql_argv(text)} ELSE '' END)"
-    hits = [f"CASE WHEN {_hit(r, direction)} THEN {_q(r.id)} END" for r in rules]
-    scores = [f"CASE WHEN {_hit(r, direction)} THEN {r.score} END" for r in rules]
+    hits = [f"CASE WHEN {_hit(r, direction, raw_only)} THEN {_q(r.id)} END" for r in rules]
+    scores = [f"CASE WHEN {_hit(r, direction, raw_only)} THEN {r.score} END" for r in rules]
     hits_expr = f"nullif(concat_ws(',', {', '.join(hits)}), '')" if hits else "NULL"
     score_expr = f"CAST(greatest(0.0, {', '.join(scores)}) AS DOUBLE)" if scores else "0.0::DOUBLE"
     keep_sql = ", ".join(keep)
