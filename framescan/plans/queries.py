@@ -294,3 +294,152 @@ def _sql_corpus_labelled() -> str:
     return f"""(SELECT doc_id AS item_id, attack_id, text FROM {P.sql_docs_planted()}
       UNION ALL SELECT page_id + 0, pp.attack_id, CASE WHEN pp IS NOT NULL THEN html || chr(10) || pp.payload ELSE html END
       FROM (SELECT *, {pp} AS pp FROM pages))"""
+
+
+# =================================================================== frames
+from ..functions.jsonrpc import argv_text as _argv_text  # noqa: E402
+from ..operators import frames as FR  # noqa: E402
+from . import sqlframes as SF  # noqa: E402
+from .sqlscan import sql_argv  # noqa: E402
+
+
+def _frames(spark, sf):
+    return FR.frames_source(P.all_frames(spark, sf))
+
+
+def _parsed(spark, sf):
+    return FR.parse_frame(FR.split_batch(spread(_frames(spark, sf))))
+
+
+@register("frames_source", lambda: f"SELECT frame_id, session_id, ts, direction, raw FROM {SF.sql_frames_source(P.sql_all_frames())}")
+def q_frames_source(spark, sf):
+    _prep(spark)
+    return _frames(spark, sf).select("frame_id", "session_id", "ts", "direction", "raw")
+
+
+@register(
+    "oversize_frames",
+    lambda: f"""SELECT frame_id, strlen(raw) AS n_bytes, strlen(raw) > {FR.LINE_LIMIT_BYTES} AS oversize,
+        CASE WHEN strlen(raw) > {FR.LINE_LIMIT_BYTES} THEN 'raw' END AS kind,
+        CASE WHEN strlen(raw) > {FR.LINE_LIMIT_BYTES} THEN 'line_limit_exceeded' END AS note
+      FROM {SF.sql_frames_source(P.sql_all_frames())}""",
+)
+def q_oversize(spark, sf):
+    _prep(spark)
+    f = FR.oversize_flag(_frames(spark, sf))
+    return f.select(
+        "frame_id", "n_bytes", "oversize",
+        F.when(F.col("oversize"), "raw").alias("kind"),
+        F.when(F.col("oversize"), "line_limit_exceeded").alias("note"),
+    )
+
+
+@register(
+    "split_batch",
+    lambda: f"SELECT frame_id, pos, n_members, is_batch, member FROM {SF.sql_members(SF.sql_frames_source(P.sql_all_frames()))}",
+)
+def q_split_batch(spark, sf):
+    _prep(spark)
+    m = FR.split_batch(spread(_frames(spark, sf)))
+    return m.select("frame_id", F.col("pos").cast("long").alias("pos"), F.col("n_members").cast("long").alias("n_members"), "is_batch", "member")
+
+
+@register("parse_frame", lambda: f"SELECT frame_id, pos, kind FROM {SF.sql_parsed_frames()}")
+def q_parse_frame(spark, sf):
+    _prep(spark)
+    return _parsed(spark, sf).select("frame_id", F.col("pos").cast("long").alias("pos"), "kind")
+
+
+_EVENT_COLS = "frame_id, pos, session_id, ts, direction, {kind} AS kind, msg_id, method, params_json, result_json, error_json, member AS raw"
+
+
+@register("event_columns", lambda: f"SELECT {_EVENT_COLS.format(kind=SF.sql_event_kind('kind'))} FROM {SF.sql_parsed_frames()}")
+def q_event_columns(spark, sf):
+    _prep(spark)
+    return FR.event_columns(_parsed(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register(
+    "valid_events",
+    lambda: f"""SELECT frame_id, pos, direction, kind FROM (SELECT {_EVENT_COLS.format(kind=SF.sql_event_kind('kind'))} FROM {SF.sql_parsed_frames()})
+      WHERE direction IN ('client_to_server', 'server_to_client')
+        AND kind IN ('request', 'response', 'notification', 'error', 'raw', 'parse_error')""",
+)
+def q_valid_events(spark, sf):
+    _prep(spark)
+    ev = FR.valid_events(FR.event_columns(_parsed(spark, sf)))
+    return ev.select("frame_id", F.col("pos").cast("long").alias("pos"), "direction", "kind")
+
+
+def _sql_result_text() -> str:
+    v = "_v"
+    blocks = (
+        f"list_filter(json_extract({v}, '$.result.content[*]'), lambda b: json_type(b) = 'OBJECT' "
+        f"AND coalesce(json_type(b, '$.type') = 'VARCHAR' AND json_extract_string(b, '$.type') = 'text', false) "
+        f"AND coalesce(json_type(b, '$.text') = 'VARCHAR', false))"
+    )
+    is_cand = (
+        f"(kind IN ('response', 'error') AND json_type({v}, '$.result') = 'OBJECT' "
+        f"AND json_type({v}, '$.result.content') = 'ARRAY' AND json_array_length({v}, '$.result.content') > 0)"
+    )
+    return f"""SELECT frame_id, pos, shape_note, CASE WHEN shape_note = 'candidate' THEN array_to_string(list_transform(_blocks, lambda b: json_extract_string(b, '$.text')), chr(10)) END AS result_text
+      FROM (SELECT frame_id, pos, _blocks,
+              CASE WHEN NOT coalesce({is_cand}, false) THEN 'skipped:not_candidate'
+                   WHEN len(_blocks) = 0 THEN 'skipped:non_text_content' ELSE 'candidate' END AS shape_note
+            FROM (SELECT *, CASE WHEN coalesce({is_cand}, false) THEN {blocks} END AS _blocks FROM {SF.sql_parsed_frames()}))"""
+
+
+@register("tool_result_text", _sql_result_text)
+def q_tool_result_text(spark, sf):
+    _prep(spark)
+    t = FR.tool_result_text(_parsed(spark, sf))
+    return t.select("frame_id", F.col("pos").cast("long").alias("pos"), "shape_note", "result_text")
+
+
+@register(
+    "argv_text",
+    lambda: f"""SELECT frame_id, pos, {sql_argv('member')} AS argv FROM {SF.sql_members(SF.sql_frames_source(P.sql_all_frames()))}
+      WHERE direction = 'client_to_server'""",
+)
+def q_argv_text(spark, sf):
+    _prep(spark)
+    m = FR.split_batch(spread(_frames(spark, sf))).where(F.col("direction") == R.C2S)
+    return m.select("frame_id", F.col("pos").cast("long").alias("pos"), _argv_text(F.col("member")).alias("argv"))
+
+
+@register(
+    "tool_name",
+    lambda: f"""SELECT frame_id, pos, '{P.SERVER_NAME}.' || json_extract_string(_v, '$.params.name') AS tool FROM {SF.sql_parsed_frames()}
+      WHERE kind = 'request' AND method = 'tools/call' AND json_type(_v, '$.params') = 'OBJECT'
+        AND json_type(_v, '$.params.name') = 'VARCHAR' AND json_extract_string(_v, '$.params.name') <> ''""",
+)
+def q_tool_name(spark, sf):
+    _prep(spark)
+    t = FR.tool_name(_parsed(spark, sf), P.SERVER_NAME)
+    return t.where(F.col("tool").isNotNull()).select("frame_id", F.col("pos").cast("long").alias("pos"), "tool")
+
+
+def _sql_payload_summary() -> str:
+    src = "coalesce(nullif(params_json, ''), nullif(result_json, ''), nullif(error_json, ''), member)"
+    s = SF.sql_strip(src)
+    compact = f"CASE WHEN json_valid({s}) THEN CAST(json({s}) AS VARCHAR) ELSE {s} END"
+    return f"""SELECT frame_id, pos, CASE WHEN length(c) > 120 THEN left(c, 119) || '…' ELSE c END AS summary,
+        strftime(ts, '%H:%M:%S.%g') AS short_ts
+      FROM (SELECT frame_id, pos, ts, {compact} AS c FROM {SF.sql_parsed_frames()})"""
+
+
+@register("payload_summary", _sql_payload_summary)
+def q_payload_summary(spark, sf):
+    _prep(spark)
+    p = _parsed(spark, sf).withColumn("raw", F.col("member"))
+    return FR.payload_summary(p).select("frame_id", F.col("pos").cast("long").alias("pos"), "summary", "short_ts")
+
+
+@register(
+    "parse_errors",
+    lambda: f"SELECT frame_id, pos, direction, member AS raw FROM {SF.sql_parsed_frames()} WHERE kind = 'parse_error'",
+)
+def q_parse_errors(spark, sf):
+    _prep(spark)
+    p = _parsed(spark, sf)
+    return p.where(F.col("kind") == "parse_error").select("frame_id", F.col("pos").cast("long").alias("pos"), "direction", F.col("member").alias("raw"))
