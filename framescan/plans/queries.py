@@ -443,3 +443,118 @@ def q_parse_errors(spark, sf):
     _prep(spark)
     p = _parsed(spark, sf)
     return p.where(F.col("kind") == "parse_error").select("frame_id", F.col("pos").cast("long").alias("pos"), "direction", F.col("member").alias("raw"))
+
+
+# ============================================================ decisions/inspect
+from ..operators import inspect as IN  # noqa: E402
+from . import sqlinspect as SI  # noqa: E402
+
+
+def _inspection(spark, sf, **kw):
+    kw.setdefault("allowed_tools", list(SI.ALLOWED_TOOLS))
+    kw.setdefault("server_name", P.SERVER_NAME)
+    return IN.inspect_frames(P.all_frames(spark, sf), **kw)
+
+
+def _pos(c="pos"):
+    return F.col(c).cast("long").alias(c)
+
+
+@register(
+    "capability_check",
+    lambda: f"""{SI.sql_inspect_with()}
+      SELECT frame_id, pos, tool, CASE WHEN tool IN ({', '.join(P._q(t) for t in SI.ALLOWED_TOOLS)}) THEN 'in_allowlist' ELSE 'not_in_allowlist' END AS cap_reason,
+             cap_blocked FROM m WHERE direction = 'client_to_server' AND tool IS NOT NULL""",
+)
+def q_capability_check(spark, sf):
+    _prep(spark)
+    m = _inspection(spark, sf).members
+    return m.where((F.col("direction") == R.C2S) & F.col("tool").isNotNull()).select("frame_id", _pos(), "tool", "cap_reason", "cap_blocked")
+
+
+@register(
+    "policy_decide",
+    lambda: f"{SI.sql_inspect_with()} SELECT frame_id, pos, policy_action, matched_policy, policy_message FROM m",
+)
+def q_policy_decide(spark, sf):
+    _prep(spark)
+    m = _inspection(spark, sf).members
+    return m.select("frame_id", _pos(), "policy_action", "matched_policy", "policy_message")
+
+
+@register("verdict", lambda: f"{SI.sql_inspect_with()} SELECT frame_id, pos, det_action, det_verdict FROM m")
+def q_verdict(spark, sf):
+    _prep(spark)
+    return _inspection(spark, sf).members.select("frame_id", _pos(), "det_action", "det_verdict")
+
+
+@register("block_reply", lambda: f"{SI.sql_inspect_with()} SELECT frame_id, pos, reply FROM m WHERE reply IS NOT NULL")
+def q_block_reply(spark, sf):
+    _prep(spark)
+    m = _inspection(spark, sf).members
+    return m.where(F.col("reply").isNotNull()).select("frame_id", _pos(), "reply")
+
+
+@register(
+    "block_downgrade",
+    lambda: f"{SI.sql_inspect_with()} SELECT frame_id, pos, det_verdict, det_action, note FROM m WHERE policy_action = 'block'",
+)
+def q_block_downgrade(spark, sf):
+    _prep(spark)
+    m = _inspection(spark, sf).members
+    return m.where(F.col("policy_action") == "block").select("frame_id", _pos(), "det_verdict", "det_action", "note")
+
+
+_AUDIT_OUT = "frame_id, pos, session_id, ts, direction, kind, msg_id, method, params_json, result_json, error_json, raw, note, det_verdict, det_score, det_rules, det_classifier, det_latency_ms, det_action"
+
+
+def _audit_out(ev):
+    return ev.select(
+        "frame_id", _pos(), "session_id", "ts", "direction", "kind", "msg_id", "method", "params_json", "result_json",
+        "error_json", "raw", "note", "det_verdict", "det_score", F.array_join("det_rules", ",").alias("det_rules"),
+        "det_classifier", "det_latency_ms", "det_action",
+    )
+
+
+@register(
+    "capability_blocks",
+    lambda: f"""{SI.sql_inspect_with()} SELECT frame_id, pos, note, params_json, det_verdict, det_action FROM a
+      WHERE frame_id IN (SELECT frame_id FROM o WHERE frame_cap) UNION ALL
+      SELECT frame_id, -2, reply_line, NULL, NULL, NULL FROM o WHERE frame_cap""",
+)
+def q_capability_blocks(spark, sf):
+    """Audit rows of capability-blocked frames, plus each frame's reply line (pos -2)."""
+    _prep(spark)
+    ins = _inspection(spark, sf)
+    capf = ins.members.where("cap_blocked").select("frame_id").distinct()
+    rows = ins.events.join(capf, "frame_id", "left_semi").select("frame_id", _pos(), "note", "params_json", "det_verdict", "det_action")
+    rep = ins.replies.join(capf, "frame_id", "left_semi").select(
+        "frame_id", F.lit(-2).cast("long").alias("pos"), F.col("reply_line").alias("note"),
+        *[F.lit(None).cast("string").alias(c) for c in ("params_json", "det_verdict", "det_action")],
+    )
+    return rows.unionByName(rep)
+
+
+@register(
+    "batch_abort",
+    lambda: f"""{SI.sql_inspect_with()} SELECT frame_id, direction, reply_line FROM o
+      WHERE reply_line IS NOT NULL AND frame_id IN (SELECT frame_id FROM m WHERE n_members > 1)""",
+)
+def q_batch_abort(spark, sf):
+    _prep(spark)
+    ins = _inspection(spark, sf)
+    batch_ids = ins.members.where(F.col("n_members") > 1).select("frame_id").distinct()
+    return ins.replies.join(batch_ids, "frame_id", "left_semi").select("frame_id", "direction", "reply_line")
+
+
+@register("synthetic_events", lambda: f"{SI.sql_inspect_with()} SELECT {_AUDIT_OUT} FROM a WHERE note = 'synthetic-block'")
+def q_synthetic_events(spark, sf):
+    _prep(spark)
+    ev = _inspection(spark, sf).events
+    return _audit_out(ev.where(F.col("note") == "synthetic-block"))
+
+
+@register("inspect_frames", lambda: f"{SI.sql_inspect_with()} SELECT {_AUDIT_OUT} FROM a")
+def q_inspect_frames(spark, sf):
+    _prep(spark)
+    return _audit_out(_inspection(spark, sf).events)
