@@ -558,3 +558,175 @@ def q_synthetic_events(spark, sf):
 def q_inspect_frames(spark, sf):
     _prep(spark)
     return _audit_out(_inspection(spark, sf).events)
+
+
+# ==================================================================== audit
+import datetime as _dt  # noqa: E402
+
+from ..operators import stats as ST  # noqa: E402
+from ..sources import audit as AU  # noqa: E402
+
+WIN_END = _dt.datetime(2024, 1, 31)
+WIN_START = WIN_END - ST.parse_since("7d")
+EVOLVE_AT = "2024-01-15 00:00:00"
+RETENTION_NOW = "2024-01-31 00:00:00"
+RETENTION_DAYS = 10
+_AUD = "event_id, session_id, ts, direction, kind, msg_id, method, params_json, result_json, error_json, raw, note, det_verdict, det_score, array_to_string(det_rules, ',') AS det_rules, det_classifier, det_latency_ms, det_action"
+_SQL_WIN = f"ts >= TIMESTAMP '{WIN_START:%Y-%m-%d %H:%M:%S}' AND ts < TIMESTAMP '{WIN_END:%Y-%m-%d %H:%M:%S}'"
+
+
+def _audit_cols(df):
+    return df.select(*[F.array_join("det_rules", ",").alias("det_rules") if c == "det_rules" else c for c in AU.AUDIT_COLUMNS])
+
+
+@register("audit_write", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()}")
+def q_audit_write(spark, sf):
+    """Append the derived audit rows (date-partitioned Parquet under the
+    shared checkpoint folder) and read them back."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "audit")
+    AU.audit_write(AU.audit_like(spark, sf), path)
+    return _audit_cols(AU.audit_read(spark, path))
+
+
+@register(
+    "audit_read_evolved",
+    lambda: f"""SELECT event_id, session_id, ts, direction, kind, msg_id, method, params_json, result_json, error_json, raw, note,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN det_verdict END AS det_verdict,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN det_score END AS det_score,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN array_to_string(det_rules, ',') END AS det_rules,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN det_classifier END AS det_classifier,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN det_latency_ms END AS det_latency_ms,
+        CASE WHEN ts >= TIMESTAMP '{EVOLVE_AT}' THEN det_action END AS det_action
+      FROM {AU.sql_audit_like()}""",
+)
+def q_audit_read_evolved(spark, sf):
+    """Rows before the cut-over are written with the v1 schema (no detector
+    columns), later rows with v2; both are read back as one table."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "audit-evolved")
+    a = AU.audit_like(spark, sf)
+    cut = F.col("ts") >= F.lit(EVOLVE_AT).cast("timestamp")
+    AU.audit_write(a.where(~cut).select(*AU.V1_COLUMNS), path)
+    AU.audit_write(a.where(cut), path)
+    return _audit_cols(AU.audit_read(spark, path))
+
+
+_SQL_SESSIONS = """(SELECT session_id,
+      max(CASE WHEN op = 'start' THEN ts END) AS started_at,
+      arg_max(pid, CASE WHEN op = 'pid' THEN ts END) AS server_pid,
+      max(CASE WHEN op = 'end' THEN ts END) AS ended_at,
+      arg_max(exit_code, CASE WHEN op = 'end' THEN ts END) AS exit_code
+    FROM (SELECT user_id AS session_id, ts,
+            CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'pid' ELSE 'end' END AS op,
+            CASE WHEN event_type = 'purchase' THEN event_id % 65536 END AS pid,
+            CASE WHEN event_type = 'error' THEN CAST(floor(value) AS INTEGER) % 3 END AS exit_code
+          FROM events WHERE event_type IN ('signup', 'purchase', 'error'))
+    GROUP BY session_id)"""
+
+
+@register("sessions_table", lambda: f"SELECT * FROM {_SQL_SESSIONS}")
+def q_sessions_table(spark, sf):
+    _prep(spark)
+    return AU.sessions_table(AU.session_events(spark, sf))
+
+
+@register("recent_sessions", lambda: f"SELECT * FROM {_SQL_SESSIONS} ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 5")
+def q_recent_sessions(spark, sf):
+    _prep(spark)
+    return ST.recent_sessions(AU.sessions_table(AU.session_events(spark, sf)))
+
+
+@register(
+    "retention",
+    lambda: f"SELECT event_id, ts, det_verdict FROM {AU.sql_audit_like()} WHERE ts >= TIMESTAMP '{RETENTION_NOW}' - INTERVAL {RETENTION_DAYS} DAY",
+)
+def q_retention(spark, sf):
+    """Keep rows younger than 10 days at a fixed 'now' (date-partitioned log:
+    older partitions are skipped by partition pruning)."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "audit-ret")
+    AU.audit_write(AU.audit_like(spark, sf), path)
+    return AU.apply_retention(spark, path, RETENTION_DAYS, RETENTION_NOW).select("event_id", "ts", "det_verdict")
+
+
+@register(
+    "stats_verdicts",
+    lambda: f"""SELECT count(*) AS total_events, count(*) FILTER (WHERE det_verdict = 'PASS') AS n_pass,
+        count(*) FILTER (WHERE det_verdict = 'WARN') AS n_warn, count(*) FILTER (WHERE det_verdict = 'BLOCK') AS n_block
+      FROM {AU.sql_audit_like()} WHERE {_SQL_WIN}""",
+)
+def q_stats_verdicts(spark, sf):
+    _prep(spark)
+    return ST.stats_verdicts(ST.window(AU.audit_like(spark, sf), WIN_START, WIN_END))
+
+
+_SQL_TOP = f"""SELECT row_number() OVER (ORDER BY cnt DESC, first_k, first_p) AS rank, rule_id, cnt AS count FROM (
+      SELECT rule_id, count(*) AS cnt, min(event_id) AS first_k, arg_min(p, event_id * 100 + p) AS first_p FROM (
+        SELECT event_id, unnest(det_rules) AS rule_id, unnest(generate_series(0, len(det_rules) - 1)) AS p
+        FROM {AU.sql_audit_like()} WHERE {_SQL_WIN} AND det_rules IS NOT NULL)
+      GROUP BY rule_id)
+    QUALIFY rank <= 5"""
+
+
+@register("stats_top_rules", lambda: _SQL_TOP)
+def q_stats_top_rules(spark, sf):
+    _prep(spark)
+    return ST.stats_top_rules(ST.window(AU.audit_like(spark, sf), WIN_START, WIN_END))
+
+
+@register(
+    "stats_latency",
+    lambda: f"""SELECT quantile_cont(det_latency_ms::DOUBLE, 0.5) AS latency_p50_ms, quantile_cont(det_latency_ms::DOUBLE, 0.95) AS latency_p95_ms,
+        count(*) AS n_samples FROM {AU.sql_audit_like()} WHERE {_SQL_WIN} AND det_latency_ms IS NOT NULL""",
+)
+def q_stats_latency(spark, sf):
+    _prep(spark)
+    return ST.stats_latency(ST.window(AU.audit_like(spark, sf), WIN_START, WIN_END))
+
+
+@register(
+    "stats_report",
+    lambda: f"""SELECT 1 AS schema_version, TIMESTAMP '{WIN_START:%Y-%m-%d %H:%M:%S}' AS period_start, TIMESTAMP '{WIN_END:%Y-%m-%d %H:%M:%S}' AS period_end,
+        v.*, (SELECT string_agg(rule_id || ':' || count, ',' ORDER BY rank) FROM ({_SQL_TOP})) AS top_rules,
+        l.latency_p50_ms, l.latency_p95_ms
+      FROM (SELECT count(*) AS total_events, count(*) FILTER (WHERE det_verdict = 'PASS') AS n_pass,
+              count(*) FILTER (WHERE det_verdict = 'WARN') AS n_warn, count(*) FILTER (WHERE det_verdict = 'BLOCK') AS n_block
+            FROM {AU.sql_audit_like()} WHERE {_SQL_WIN}) v,
+           (SELECT quantile_cont(det_latency_ms::DOUBLE, 0.5) AS latency_p50_ms, quantile_cont(det_latency_ms::DOUBLE, 0.95) AS latency_p95_ms
+            FROM {AU.sql_audit_like()} WHERE {_SQL_WIN}) l""",
+)
+def q_stats_report(spark, sf):
+    _prep(spark)
+    return ST.stats_report(AU.audit_like(spark, sf), WIN_START, WIN_END)
+
+
+@register("log_snapshot", lambda: f"SELECT count(*) AS total_events, arg_max(ts, event_id) AS last_event_ts FROM {AU.sql_audit_like()}")
+def q_log_snapshot(spark, sf):
+    _prep(spark)
+    return ST.log_snapshot(AU.audit_like(spark, sf))
+
+
+@register(
+    "usage_rollup",
+    lambda: f"""SELECT CAST(ts AS DATE) AS day, count(*) AS n_events, count(*) FILTER (WHERE det_verdict = 'PASS') AS n_pass,
+        count(*) FILTER (WHERE det_verdict = 'WARN') AS n_warn, count(*) FILTER (WHERE det_verdict = 'BLOCK') AS n_block
+      FROM {AU.sql_audit_like()} GROUP BY 1""",
+)
+def q_usage_rollup(spark, sf):
+    _prep(spark)
+    return ST.usage_rollup(AU.audit_like(spark, sf))
+
+
+@register("tail", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE det_verdict = 'BLOCK' ORDER BY event_id DESC LIMIT 20")
+def q_tail(spark, sf):
+    """Newest 20 BLOCK rows, oldest first (a top-k report)."""
+    _prep(spark)
+    return _audit_cols(ST.tail(AU.audit_like(spark, sf), 20, "BLOCK"))
+
+
+@register("page_since", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE event_id > 5000 ORDER BY event_id LIMIT 100")
+def q_page_since(spark, sf):
+    """One cursor page: 100 rows after event 5000."""
+    _prep(spark)
+    return _audit_cols(ST.page_since(AU.audit_like(spark, sf), 5000, 100))
