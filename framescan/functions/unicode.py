@@ -9,13 +9,14 @@ Three views of a text are scanned by the rule engine:
                  a space and whitespace runs collapsed (catches
                  ``Ignore<ZWSP>all``).
 
-Everything except NFKC is a built-in JVM expression (``translate`` and
-``regexp_replace``).  Spark has no Unicode-normalisation function, so NFKC is
-an Arrow-batched pandas UDF with an ASCII fast path (ASCII is NFKC-stable).
+Everything is JVM-side: ``translate`` and ``regexp_replace``, and NFKC through
+the ICU library Spark ships (``java_method``).  Only when ICU is missing does
+NFKC fall back to an Arrow-batched pandas UDF.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -71,9 +72,49 @@ CASE_ODD_FROM = "İıſK"
 CASE_ODD_TO = "iisk"
 
 
+@functools.lru_cache(maxsize=1)
+def _stable_class() -> str:
+    """Characters that NFKC leaves unchanged and that can never combine with
+    a neighbour, as a regex class body, computed from ``unicodedata`` over the
+    Latin, Greek and Cyrillic blocks (U+0000-U+052F) and General Punctuation
+    (U+2000-U+206F).  A text made only of them is NFKC-stable."""
+    import sys
+
+    seconds = set()  # characters that can complete a canonical composition
+    for c in range(sys.maxunicode + 1):
+        d = unicodedata.decomposition(chr(c))
+        if d and not d.startswith("<"):
+            parts = d.split()
+            if len(parts) == 2:
+                seconds.add(int(parts[1], 16))
+    stable = [
+        c
+        for c in list(range(0x0000, 0x0530)) + list(range(0x2000, 0x2070))
+        if unicodedata.normalize("NFKC", chr(c)) == chr(c)
+        and unicodedata.combining(chr(c)) == 0
+        and c not in seconds
+        and not 0xD800 <= c <= 0xDFFF
+    ]
+    ranges, start, prev = [], stable[0], stable[0]
+    for c in stable[1:] + [None]:
+        if c is not None and c == prev + 1:
+            prev = c
+            continue
+        ranges.append(f"\\x{{{start:X}}}-\\x{{{prev:X}}}" if prev > start else f"\\x{{{start:X}}}")
+        if c is not None:
+            start = prev = c
+    return "".join(ranges)
+
+
+def needs_nfkc(col: Column) -> Column:
+    """Exact pre-test: only texts with a character outside the NFKC-stable
+    set can change under NFKC."""
+    return col.rlike("[^" + _stable_class() + "]")
+
+
 def _nfkc_series(s: pd.Series) -> pd.Series:
     def one(x):
-        if x is None or x.isascii():
+        if x is None or x.isascii() or unicodedata.is_normalized("NFKC", x):
             return x
         return unicodedata.normalize("NFKC", x)
 
@@ -83,14 +124,42 @@ def _nfkc_series(s: pd.Series) -> pd.Series:
 nfkc_udf = F.pandas_udf(_nfkc_series, T.StringType())
 
 
-def nfkc(col: Column) -> Column:
-    """Unicode NFKC normalisation (Arrow-batched Python; identity on ASCII)."""
-    return nfkc_udf(col)
+_ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+
+
+@functools.lru_cache(maxsize=1)
+def icu_available() -> bool:
+    """Spark bundles ICU4J (collation support); check the driver classpath."""
+    try:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        spark._jvm.java.lang.Class.forName(_ICU_NORMALIZER)  # classic (non-Connect) sessions
+        return True
+    except Exception:  # noqa: BLE001 - no JVM handle or class missing -> Python fallback
+        return False
+
+
+def nfkc(col: Column, needs: Column | None = None) -> Column:
+    """Unicode NFKC normalisation, JVM-side through ICU's
+    ``Normalizer.compose(text, compat=true)`` via ``java_method``; without ICU
+    on the classpath, an Arrow-batched Python UDF for the rows that can
+    change (``needs``, default ``needs_nfkc``)."""
+    if icu_available():
+        icu = F.call_function("java_method", F.lit(_ICU_NORMALIZER), F.lit("compose"), col, F.lit(True))
+        return F.when(col.isNotNull(), icu)
+    needs = needs if needs is not None else needs_nfkc(col)
+    return F.when(needs, nfkc_udf(F.when(needs, col))).otherwise(col)
+
+
+# every look-alike above lies in U+0391-U+0458 (Greek and Cyrillic blocks)
+_HOMOGLYPH_RANGE = r"[\x{391}-\x{458}]"
 
 
 def fold_homoglyphs(col: Column) -> Column:
-    """Map the 48 Cyrillic/Greek look-alike letters to Latin, one to one."""
-    return F.translate(col, HOMOGLYPH_FROM, HOMOGLYPH_TO)
+    """Map the 48 Cyrillic/Greek look-alike letters to Latin, one to one
+    (``translate`` runs only on texts that contain Greek or Cyrillic)."""
+    return F.when(col.rlike(_HOMOGLYPH_RANGE), F.translate(col, HOMOGLYPH_FROM, HOMOGLYPH_TO)).otherwise(col)
 
 
 def strip_invisible(col: Column, replacement: str = "") -> Column:
@@ -114,7 +183,10 @@ def normalise_between(nfkc_col: Column) -> Column:
 
 def probe_text(col: Column) -> Column:
     """Lower-cased text for literal keyword probes in front of the regexes."""
-    return F.lower(F.translate(col, CASE_ODD_FROM, CASE_ODD_TO))
+    odd = col.contains(CASE_ODD_FROM[0])
+    for ch in CASE_ODD_FROM[1:]:
+        odd = odd | col.contains(ch)
+    return F.lower(F.when(odd, F.translate(col, CASE_ODD_FROM, CASE_ODD_TO)).otherwise(col))
 
 
 # DuckDB spellings of the same views (used by the SQL oracle).  DuckDB has no

@@ -8,7 +8,7 @@ engine order and the maximum score (0.0 when nothing hits).
 Plan shape (all narrow, one stage):
 
     scan -> [repartition if the input has too few splits]
-         -> ArrowEvalPython(nfkc)          # the only Python step
+         -> Project(nfkc via ICU)          # JVM; Python only without ICU
          -> Project(views, probe texts)    # built-in expressions
          -> Project(hit flags)             # rlike per rule/view, short-circuit
          -> Project(rules_hit, det_score)

@@ -730,3 +730,15 @@ def q_page_since(spark, sf):
     """One cursor page: 100 rows after event 5000."""
     _prep(spark)
     return _audit_cols(ST.page_since(AU.audit_like(spark, sf), 5000, 100))
+
+
+@register(
+    "corpus_scan_raw_only",
+    lambda: f"SELECT corpus, item_id, rules_hit, det_score FROM {sql_scan(_sql_corpus(), ['corpus', 'item_id'], 'text', R.S2C, raw_only=True)}",
+)
+def q_corpus_scan_raw_only(spark, sf):
+    """The corpus scan on the raw view alone (no NFKC / fold / invisible
+    views): the lint semantics, and the cost baseline of the normalised views."""
+    _prep(spark)
+    c = spread(_corpus(spark, sf))
+    return rule_scan(c, "text", R.S2C, raw_only=True).select("corpus", "item_id", "rules_hit", "det_score")
