@@ -447,6 +447,7 @@ def q_parse_errors(spark, sf):
 
 # ============================================================ decisions/inspect
 from ..operators import inspect as IN  # noqa: E402
+from ..operators.policy import decide  # noqa: E402
 from . import sqlinspect as SI  # noqa: E402
 
 
@@ -742,3 +743,237 @@ def q_corpus_scan_raw_only(spark, sf):
     _prep(spark)
     c = spread(_corpus(spark, sf))
     return rule_scan(c, "text", R.S2C, raw_only=True).select("corpus", "item_id", "rules_hit", "det_score")
+
+
+# =============================================================== classifier
+import pandas as _pd  # noqa: E402
+
+from ..operators import classify as CL  # noqa: E402
+
+CLS_NOW = "2024-01-01 12:00:00"
+_MARK = CL.TRUNCATION_MARKER
+
+
+def parity_model(samples: _pd.Series) -> _pd.Series:
+    """Deterministic stand-in model (SQL-expressible, so the classifier stage
+    gets a real oracle), by the number n of letters 'e' in the sample: n odd ->
+    'Instruction.', even -> 'DATA', n divisible by 11 -> an unparseable answer."""
+    n = samples.str.count("e")
+    out = _pd.Series(["DATA"] * len(samples), index=samples.index, dtype=object)
+    out[n % 2 == 1] = "Instruction."
+    out[n % 11 == 0] = "??"
+    return out
+
+
+def _cls_members(spark, sf):
+    """Server->client single frames, parsed, text extracted, rule-scanned."""
+    m = FR.parse_frame(FR.split_batch(spread(FR.frames_source(P.frames_s2c(spark, sf).select("frame_id", "session_id", "ts", "direction", "raw")))))
+    m = FR.tool_result_text(m)
+    return rule_scan(m, "member", R.S2C)
+
+
+def _sql_cls_members() -> str:
+    src = SF.sql_parse(SF.sql_members(SF.sql_frames_source(f"(SELECT frame_id, session_id, ts, direction, raw FROM {P.sql_frames_s2c()})")))
+    v = "_v"
+    blocks = (
+        f"list_filter(json_extract({v}, '$.result.content[*]'), lambda b: json_type(b) = 'OBJECT' "
+        f"AND coalesce(json_type(b, '$.type') = 'VARCHAR' AND json_extract_string(b, '$.type') = 'text', false) "
+        f"AND coalesce(json_type(b, '$.text') = 'VARCHAR', false))"
+    )
+    is_cand = (
+        f"(kind IN ('response', 'error') AND json_type({v}, '$.result') = 'OBJECT' "
+        f"AND json_type({v}, '$.result.content') = 'ARRAY' AND json_array_length({v}, '$.result.content') > 0)"
+    )
+    texts = f"""(SELECT * EXCLUDE (_blocks), CASE WHEN shape_note = 'candidate' THEN array_to_string(list_transform(_blocks, lambda b: json_extract_string(b, '$.text')), chr(10)) END AS result_text
+      FROM (SELECT *, CASE WHEN NOT coalesce({is_cand}, false) THEN 'skipped:not_candidate'
+                   WHEN len(_blocks) = 0 THEN 'skipped:non_text_content' ELSE 'candidate' END AS shape_note
+            FROM (SELECT *, CASE WHEN coalesce({is_cand}, false) THEN {blocks} END AS _blocks FROM {src})))"""
+    return sql_scan(texts, ["* EXCLUDE (_x, _r, _w, _b)"], "member", R.S2C)
+
+
+def _sql_gate(direction="direction", score="det_score", shape="shape_note", text="result_text") -> str:
+    return f"""CASE WHEN {direction} <> '{R.S2C}' THEN 'skipped:c2s' WHEN {score} >= {CL.SHORT_CIRCUIT} THEN 'skipped:rules_short_circuit'
+      WHEN {shape} <> 'candidate' THEN {shape} WHEN length({text}) < {CL.MIN_CHARS} THEN 'skipped:too_short'
+      WHEN length({text}) > {CL.MAX_CHARS} THEN 'skipped:too_long' ELSE 'candidate' END"""
+
+
+def _sql_sample(t="result_text") -> str:
+    cut = f"CASE WHEN length({t}) > {CL.MAX_INPUT_CHARS} THEN left({t}, {CL.MAX_INPUT_CHARS}) || {P._q(_MARK)} ELSE {t} END"
+    s = cut
+    for a, b in CL.SANITISE:
+        s = f"replace({s}, {P._q(a)}, {P._q(b)})"
+    return s
+
+
+def _sql_candidates() -> str:
+    """Candidates with sample, hash and truncation flag."""
+    return f"""(SELECT *, sha256(sample) AS content_hash FROM (
+        SELECT *, {_sql_sample()} AS sample, length(result_text) > {CL.MAX_INPUT_CHARS} AS truncated FROM (
+          SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) WHERE gate = 'candidate' AND trim(result_text) <> ''))"""
+
+
+def _cache_prev(spark, cand):
+    """A previous run's cache built from the even frames: label from the hash,
+    an invalid label for hashes ending in '0', cached over the two days before
+    'now' so that about half the entries are expired."""
+    prev = cand.where(F.col("frame_id") % 2 == 0).select(
+        "frame_id",
+        "content_hash",
+        F.when(F.col("content_hash").endswith("0"), "MAYBE").when(F.substring("content_hash", 1, 1) < "8", "DATA").otherwise("INSTRUCTION").alias("classifier"),
+        F.when(F.substring("content_hash", 1, 1) < "8", CL.DATA_SCORE).otherwise(CL.INSTRUCTION_SCORE).alias("score"),
+        (F.lit("2023-12-31 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("frame_id") * 97) % 172800).cast("decimal(18,6)"))).alias("cached_at"),
+        F.lit("previous").alias("backend"),
+    )
+    # one entry per hash: the lowest frame id wins (deterministic)
+    return prev.groupBy("content_hash").agg(
+        F.min_by(F.struct("classifier", "score", "cached_at", "backend"), "frame_id").alias("r")
+    ).select("content_hash", "r.*")
+
+
+def _sql_cache_prev() -> str:
+    return f"""(SELECT content_hash, arg_min(classifier, frame_id) AS classifier, arg_min(score, frame_id) AS score,
+          arg_min(cached_at, frame_id) AS cached_at, 'previous' AS backend FROM (
+        SELECT frame_id, content_hash,
+          CASE WHEN suffix(content_hash, '0') THEN 'MAYBE' WHEN substr(content_hash, 1, 1) < '8' THEN 'DATA' ELSE 'INSTRUCTION' END AS classifier,
+          CASE WHEN substr(content_hash, 1, 1) < '8' THEN {CL.DATA_SCORE} ELSE {CL.INSTRUCTION_SCORE} END AS score,
+          TIMESTAMP '2023-12-31 00:00:00' + to_seconds((frame_id * 97) % 172800) AS cached_at
+        FROM {_sql_candidates()} WHERE frame_id % 2 = 0) GROUP BY content_hash)"""
+
+
+def _candidates(spark, sf):
+    m = _cls_members(spark, sf)
+    g = CL.gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"))
+    sample, h, trunc = CL.classifier_input(F.col("result_text"))
+    return m.withColumn("gate", g).where((F.col("gate") == "candidate") & (F.trim("result_text") != "")).select(
+        "frame_id", "result_text", "det_score", sample.alias("sample"), h.alias("content_hash"), trunc.alias("truncated")
+    )
+
+
+@register(
+    "classifier_input",
+    lambda: f"SELECT frame_id, length(result_text) AS n_chars, truncated, length(sample) AS sample_chars, content_hash FROM {_sql_candidates()}",
+)
+def q_classifier_input(spark, sf):
+    _prep(spark)
+    c = _candidates(spark, sf)
+    return c.select("frame_id", F.length("result_text").cast("long").alias("n_chars"), "truncated", F.length("sample").cast("long").alias("sample_chars"), "content_hash")
+
+
+_ANSWERS = ["DATA", " instruction.", "Instr", "data-only", "INSTRUCTIONS follow", "maybe", "42 DATA", "", "Données"]
+
+
+@register(
+    "parse_label",
+    lambda: f"""SELECT doc_id, answer, CASE WHEN upper(tok) LIKE 'INSTRUCTION%' OR upper(tok) = 'INSTR' THEN 'INSTRUCTION'
+        WHEN upper(tok) LIKE 'DATA%' THEN 'DATA' END AS label
+      FROM (SELECT doc_id, answer, regexp_extract(answer, '\\pL+', 0) AS tok FROM (
+        SELECT doc_id, [{', '.join(P._q(a) for a in _ANSWERS)}][(doc_id % {len(_ANSWERS)}) + 1] || ' ' || left(text, 12) AS answer FROM documents))""",
+)
+def q_parse_label(spark, sf):
+    """Model answers derived from documents (a fixed answer shape per doc id
+    followed by the document's first words) -> label."""
+    _prep(spark)
+    d = P.read_table(spark, sf, "documents")
+    ans = F.concat(F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("doc_id") % len(_ANSWERS) + 1).cast("int")), F.lit(" "), F.substring("text", 1, 12))
+    return d.select("doc_id", ans.alias("answer")).withColumn("label", CL.parse_label(F.col("answer")))
+
+
+@register("classifier_gate", lambda: f"SELECT frame_id, pos, {_sql_gate()} AS gate FROM {_sql_cls_members()}")
+def q_classifier_gate(spark, sf):
+    _prep(spark)
+    m = _cls_members(spark, sf)
+    return m.select("frame_id", _pos(), CL.gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text")).alias("gate"))
+
+
+_NOW_SQL = f"TIMESTAMP '{CLS_NOW}'"
+
+
+@register(
+    "cache_lookup",
+    lambda: f"""SELECT c.frame_id, c.content_hash, p.classifier AS cached_label, p.score AS cached_score FROM {_sql_candidates()} c
+      LEFT JOIN (SELECT * FROM {_sql_cache_prev()} WHERE classifier IN ('DATA', 'INSTRUCTION')
+                 AND epoch_us({_NOW_SQL}) - epoch_us(cached_at) <= {CL.CACHE_TTL_S * 1_000_000}::BIGINT) p USING (content_hash)""",
+)
+def q_cache_lookup(spark, sf):
+    _prep(spark)
+    c = _candidates(spark, sf)
+    looked = CL.cache_lookup(c, _cache_prev(spark, c), F.lit(CLS_NOW).cast("timestamp"))
+    return looked.select("frame_id", "content_hash", "cached_label", "cached_score")
+
+
+def _run_cls(spark, sf):
+    m = _cls_members(spark, sf)
+    c = _candidates(spark, sf)
+    return CL.run_classifier(m, classifier=parity_model, cache=_cache_prev(spark, c), now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")
+
+
+def _sql_classified() -> str:
+    fresh = f"""(SELECT content_hash, classifier AS cached_label, score AS cached_score FROM {_sql_cache_prev()}
+        WHERE classifier IN ('DATA', 'INSTRUCTION') AND epoch_us({_NOW_SQL}) - epoch_us(cached_at) <= {CL.CACHE_TTL_S * 1_000_000}::BIGINT)"""
+    ne = "(length(sample) - length(replace(sample, 'e', '')))"
+    model = f"CASE WHEN {ne} % 11 = 0 THEN NULL WHEN {ne} % 2 = 0 THEN 'DATA' ELSE 'INSTRUCTION' END"
+    return f"""(SELECT frame_id, pos, det_score AS rule_score, gate, content_hash, truncated, cached_label,
+        CASE WHEN cached_label IS NULL AND content_hash IS NOT NULL THEN {model} END AS model_label, cached_score
+      FROM (SELECT m.*, c.content_hash, c.truncated, c.sample, f.cached_label, f.cached_score
+            FROM (SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) m
+            LEFT JOIN {_sql_candidates()} c USING (frame_id)
+            LEFT JOIN {fresh} f ON f.content_hash = c.content_hash))"""
+
+
+@register(
+    "classify_misses",
+    lambda: f"""SELECT frame_id, CASE WHEN gate <> 'candidate' THEN gate WHEN content_hash IS NULL THEN 'skipped:empty'
+          WHEN cached_label IS NOT NULL THEN 'cache_hit' WHEN model_label IS NULL THEN 'parse_error'
+          WHEN truncated THEN 'ok:truncated={CL.MAX_INPUT_CHARS}' ELSE 'ok' END AS classifier_note,
+        coalesce(cached_label, model_label) AS det_classifier,
+        coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} WHEN 'DATA' THEN {CL.DATA_SCORE} END) AS classifier_score
+      FROM {_sql_classified()}""",
+)
+def q_classify_misses(spark, sf):
+    """The model sees each distinct missed hash once; hits come from the cache."""
+    _prep(spark)
+    out, _ = _run_cls(spark, sf)
+    return out.select("frame_id", "classifier_note", "det_classifier", "classifier_score")
+
+
+@register(
+    "cache_upsert",
+    lambda: f"""SELECT content_hash, arg_max(classifier, cached_at) AS classifier, arg_max(score, cached_at) AS score, max(cached_at) AS cached_at
+      FROM (SELECT content_hash, classifier, score, cached_at FROM {_sql_cache_prev()}
+            UNION ALL
+            SELECT DISTINCT content_hash, model_label, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} ELSE {CL.DATA_SCORE} END, {_NOW_SQL}
+            FROM {_sql_classified()} WHERE model_label IS NOT NULL)
+      GROUP BY content_hash""",
+)
+def q_cache_upsert(spark, sf):
+    _prep(spark)
+    _, cache = _run_cls(spark, sf)
+    return cache.select("content_hash", "classifier", "score", "cached_at")
+
+
+@register(
+    "combine_score",
+    lambda: f"""SELECT frame_id, rule_score, classifier_score, greatest(rule_score, coalesce(classifier_score, rule_score)) AS det_score FROM (
+      SELECT frame_id, rule_score, coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} WHEN 'DATA' THEN {CL.DATA_SCORE} END) AS classifier_score
+      FROM {_sql_classified()})""",
+)
+def q_combine_score(spark, sf):
+    _prep(spark)
+    out, _ = _run_cls(spark, sf)
+    return out.select("frame_id", F.col("det_score").alias("rule_score"), "classifier_score", CL.combine_score(F.col("det_score"), F.col("classifier_score")).alias("det_score"))
+
+
+@register(
+    "uninspected_truncated",
+    lambda: f"""SELECT frame_id FROM {_sql_classified()}
+      WHERE cached_label IS NULL AND model_label IS NOT NULL AND truncated
+        AND greatest(rule_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} ELSE {CL.DATA_SCORE} END) < 0.85""",
+)
+def q_uninspected_truncated(spark, sf):
+    """Allowed frames whose classifier input was cut at 8,000 characters."""
+    _prep(spark)
+    out, _ = _run_cls(spark, sf)
+    score = CL.combine_score(F.col("det_score"), F.col("classifier_score"))
+    d = decide(IN.DEFAULT_POLICY, direction=F.col("direction"), method=F.lit(None).cast("string"), score=score,
+               classifier=F.col("det_classifier"), rules_hit=F.col("rules_hit"), raw=F.col("member"))
+    return out.where(F.col("classifier_note").startswith("ok:truncated") & (d["action"] == "allow")).select("frame_id")
