@@ -977,3 +977,63 @@ def q_uninspected_truncated(spark, sf):
     d = decide(IN.DEFAULT_POLICY, direction=F.col("direction"), method=F.lit(None).cast("string"), score=score,
                classifier=F.col("det_classifier"), rules_hit=F.col("rules_hit"), raw=F.col("member"))
     return out.where(F.col("classifier_note").startswith("ok:truncated") & (d["action"] == "allow")).select("frame_id")
+
+
+# ================================================================ streaming
+from ..streaming import stream as SS  # noqa: E402
+
+
+def _run_to_end(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+@register("stream_inspect", lambda: f"{SI.sql_inspect_with()} SELECT {_AUDIT_OUT} FROM a")
+def q_stream_inspect(spark, sf):
+    """Frames written as files, inspected as a stream (several micro-batches);
+    the result equals the batch ``inspect_frames``."""
+    _prep(spark)
+    src = AU.scratch_path(spark, "frames-src")
+    P.all_frames(spark, sf).repartition(8).write.parquet(src)
+    audit = AU.scratch_path(spark, "stream-audit")
+    q = SS.stream_inspect(
+        SS.frames_stream(spark, src, max_files=3), audit, AU.scratch_path(spark, "ckpt-inspect"),
+        allowed_tools=list(SI.ALLOWED_TOOLS), server_name=P.SERVER_NAME,
+    )
+    _run_to_end(q)
+    return _audit_out(SS.read_stream_audit(spark, audit))
+
+
+@register("follow", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE det_verdict = 'BLOCK'")
+def q_follow(spark, sf):
+    """Follow the audit table with a BLOCK filter while it grows in two
+    appends; the follower's checkpoint is its cursor."""
+    _prep(spark)
+    audit = AU.scratch_path(spark, "follow-audit")
+    a = AU.audit_like(spark, sf)
+    mid = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    AU.audit_write(a.where(mid), audit)
+    out, ck = AU.scratch_path(spark, "follow-out"), AU.scratch_path(spark, "ckpt-follow")
+    _run_to_end(SS.copy_stream(SS.follow(spark, audit, "BLOCK"), out, ck))
+    AU.audit_write(a.where(~mid), audit)
+    _run_to_end(SS.copy_stream(SS.follow(spark, audit, "BLOCK"), out, ck))  # resumes after the cursor
+    return _audit_cols(spark.read.parquet(out))
+
+
+@register(
+    "stream_verdict_counts",
+    lambda: f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+        det_verdict, count(*) AS n FROM {AU.sql_audit_like()} GROUP BY ALL""",
+)
+def q_stream_verdict_counts(spark, sf):
+    """Hourly verdict counts over the audit stream.  Files arrive in no
+    particular time order, so the watermark covers the whole month here;
+    state stays bounded by the watermark in production use."""
+    _prep(spark)
+    audit = AU.scratch_path(spark, "counts-audit")
+    AU.audit_write(AU.audit_like(spark, sf), audit)
+    out = AU.scratch_path(spark, "counts-out")
+    counts = SS.verdict_counts(SS.follow(spark, audit, max_files=8), "1 hour", "31 days")
+    _run_to_end(SS.write_updates(counts, out, AU.scratch_path(spark, "ckpt-counts")))
+    return SS.latest_counts(spark, out)
