@@ -43,7 +43,7 @@ def attack_eval(scanned: DataFrame, hit: Column | None = None) -> DataFrame:
         "n_attacks",
         "caught",
         "evaded",
-        F.round(F.col("caught") * 100.0 / F.col("n_attacks"), 2).alias("detect_pct"),
+        F.round(F.col("caught").cast("double") * 100.0 / F.col("n_attacks"), 2).alias("detect_pct"),
         F.when(
             ((F.col("expected") == "catch") & (F.col("evaded") == 0)) | ((F.col("expected") == "evade") & (F.col("caught") == 0)),
             "OK",
@@ -58,7 +58,7 @@ def attack_eval_overall(per_class: DataFrame) -> DataFrame:
         F.count("*").alias("n_classes"),
         F.sum("n_attacks").alias("n_attacks"),
         F.sum("caught").alias("caught"),
-        F.round(F.sum("caught") * 100.0 / F.sum("n_attacks"), 2).alias("overall_pct"),
+        F.round(F.sum("caught").cast("double") * 100.0 / F.sum("n_attacks"), 2).alias("overall_pct"),
         F.when(F.bool_and(F.col("status") == "OK"), "PASS").otherwise("FAIL").alias("status"),
         F.array_join(
             F.array_sort(F.collect_list(F.when((F.col("expected") == "catch") & (F.col("evaded") > 0), F.col("class_id")))), ","

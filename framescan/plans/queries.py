@@ -231,7 +231,7 @@ def q_attacks_source(spark, sf):
 
 _SQL_EVAL = """SELECT class_id, first(direction) AS direction, first(expected) AS expected, count(*) AS n_attacks,
       count(*) FILTER (WHERE rules_hit IS NOT NULL) AS caught, count(*) FILTER (WHERE rules_hit IS NULL) AS evaded,
-      round(count(*) FILTER (WHERE rules_hit IS NOT NULL) * 100.0 / count(*), 2) AS detect_pct,
+      round(count(*) FILTER (WHERE rules_hit IS NOT NULL) * 100.0 / count(*), 2)::DOUBLE AS detect_pct,
       CASE WHEN (first(expected) = 'catch' AND count(*) FILTER (WHERE rules_hit IS NULL) = 0)
              OR (first(expected) = 'evade' AND count(*) FILTER (WHERE rules_hit IS NOT NULL) = 0) THEN 'OK' ELSE 'MISMATCH' END AS status
     FROM {src} GROUP BY class_id"""
@@ -246,7 +246,7 @@ def q_attack_eval(spark, sf):
 @register(
     "attack_eval_overall",
     lambda: f"""SELECT count(*) AS n_classes, sum(n_attacks) AS n_attacks, sum(caught) AS caught,
-        round(sum(caught) * 100.0 / sum(n_attacks), 2) AS overall_pct,
+        round(sum(caught) * 100.0 / sum(n_attacks), 2)::DOUBLE AS overall_pct,
         CASE WHEN bool_and(status = 'OK') THEN 'PASS' ELSE 'FAIL' END AS status,
         coalesce(array_to_string(list_sort(list(class_id) FILTER (WHERE expected = 'catch' AND evaded > 0)), ','), '') AS failing_catch_classes
       FROM ({_SQL_EVAL.format(src=_sql_scanned_attacks())})""",
@@ -835,7 +835,7 @@ def _sql_cache_prev() -> str:
           arg_min(cached_at, frame_id) AS cached_at, 'previous' AS backend FROM (
         SELECT frame_id, content_hash,
           CASE WHEN suffix(content_hash, '0') THEN 'MAYBE' WHEN substr(content_hash, 1, 1) < '8' THEN 'DATA' ELSE 'INSTRUCTION' END AS classifier,
-          CASE WHEN substr(content_hash, 1, 1) < '8' THEN {CL.DATA_SCORE} ELSE {CL.INSTRUCTION_SCORE} END AS score,
+          CASE WHEN substr(content_hash, 1, 1) < '8' THEN {CL.DATA_SCORE}::DOUBLE ELSE {CL.INSTRUCTION_SCORE}::DOUBLE END AS score,
           TIMESTAMP '2023-12-31 00:00:00' + to_seconds((frame_id * 97) % 172800) AS cached_at
         FROM {_sql_candidates()} WHERE frame_id % 2 = 0) GROUP BY content_hash)"""
 
@@ -926,7 +926,7 @@ def _sql_classified() -> str:
           WHEN cached_label IS NOT NULL THEN 'cache_hit' WHEN model_label IS NULL THEN 'parse_error'
           WHEN truncated THEN 'ok:truncated={CL.MAX_INPUT_CHARS}' ELSE 'ok' END AS classifier_note,
         coalesce(cached_label, model_label) AS det_classifier,
-        coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} WHEN 'DATA' THEN {CL.DATA_SCORE} END) AS classifier_score
+        coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE WHEN 'DATA' THEN {CL.DATA_SCORE}::DOUBLE END) AS classifier_score
       FROM {_sql_classified()}""",
 )
 def q_classify_misses(spark, sf):
@@ -941,7 +941,7 @@ def q_classify_misses(spark, sf):
     lambda: f"""SELECT content_hash, arg_max(classifier, cached_at) AS classifier, arg_max(score, cached_at) AS score, max(cached_at) AS cached_at
       FROM (SELECT content_hash, classifier, score, cached_at FROM {_sql_cache_prev()}
             UNION ALL
-            SELECT DISTINCT content_hash, model_label, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} ELSE {CL.DATA_SCORE} END, {_NOW_SQL}
+            SELECT DISTINCT content_hash, model_label, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE ELSE {CL.DATA_SCORE}::DOUBLE END, {_NOW_SQL}
             FROM {_sql_classified()} WHERE model_label IS NOT NULL)
       GROUP BY content_hash""",
 )
@@ -954,7 +954,7 @@ def q_cache_upsert(spark, sf):
 @register(
     "combine_score",
     lambda: f"""SELECT frame_id, rule_score, classifier_score, greatest(rule_score, coalesce(classifier_score, rule_score)) AS det_score FROM (
-      SELECT frame_id, rule_score, coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} WHEN 'DATA' THEN {CL.DATA_SCORE} END) AS classifier_score
+      SELECT frame_id, rule_score, coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE WHEN 'DATA' THEN {CL.DATA_SCORE}::DOUBLE END) AS classifier_score
       FROM {_sql_classified()})""",
 )
 def q_combine_score(spark, sf):
@@ -967,7 +967,7 @@ def q_combine_score(spark, sf):
     "uninspected_truncated",
     lambda: f"""SELECT frame_id FROM {_sql_classified()}
       WHERE cached_label IS NULL AND model_label IS NOT NULL AND truncated
-        AND greatest(rule_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE} ELSE {CL.DATA_SCORE} END) < 0.85""",
+        AND greatest(rule_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE ELSE {CL.DATA_SCORE}::DOUBLE END) < 0.85""",
 )
 def q_uninspected_truncated(spark, sf):
     """Allowed frames whose classifier input was cut at 8,000 characters."""
