@@ -35,9 +35,12 @@ class Inspection:
     cache: DataFrame | None = None  # classifier cache after this run
     members: DataFrame | None = None  # per-member inspection (persisted)
 
+    outcomes: DataFrame | None = None
+
     def release(self) -> None:
-        if self.members is not None:
-            self.members.unpersist()
+        for df in (self.members, self.outcomes):
+            if df is not None:
+                df.unpersist()
 
 
 def capability_flag(members: DataFrame, allowed_tools: Sequence[str] | DataFrame | None) -> DataFrame:
@@ -83,7 +86,10 @@ def inspect_members(
     normal = spread(src.where(~F.col("oversize")))
     m = FR.parse_frame(FR.split_batch(normal))
     m = FR.tool_name(m, server_name)
-    m = FR.tool_result_text(m)
+    if classifier is not None:  # the content-block walk only feeds the classifier gate
+        m = FR.tool_result_text(m)
+    else:
+        m = m.withColumn("shape_note", F.lit(None).cast("string")).withColumn("result_text", F.lit(None).cast("string"))
     m = capability_flag(m, allowed_tools)
     m = rule_scan(m, "member", F.col("direction"), rules)
     now = now if now is not None else F.current_timestamp()
@@ -149,6 +155,8 @@ def frame_outcomes(members: DataFrame) -> DataFrame:
     single = members.where(F.col("n_members") <= 1).select(
         "frame_id",
         "direction",
+        "session_id",
+        "ts",
         F.col("cap_blocked").alias("frame_cap"),
         F.when(F.col("is_block"), F.col("pos")).alias("first_block"),
         F.when(F.col("is_block"), F.struct("reply", *_DET)).alias("blocking"),
@@ -162,6 +170,8 @@ def frame_outcomes(members: DataFrame) -> DataFrame:
         .otherwise(F.col("aborted_reply"))
     )
     agg = b.groupBy("frame_id", "direction").agg(
+        F.first("session_id").alias("session_id"),
+        F.first("ts").alias("ts"),
         F.max(F.col("cap_blocked").cast("int")).alias("_cap"),
         F.min(F.when(F.col("is_block"), F.col("pos"))).alias("first_block"),
         F.min_by(F.struct("reply", *_DET), F.when(F.col("is_block"), F.col("pos"))).alias("blocking"),
@@ -173,6 +183,8 @@ def frame_outcomes(members: DataFrame) -> DataFrame:
     batch = agg.select(
         "frame_id",
         "direction",
+        "session_id",
+        "ts",
         (F.col("_cap") == 1).alias("frame_cap"),
         "first_block",
         F.when(F.col("first_block").isNotNull(), F.col("blocking")).alias("blocking"),
@@ -220,9 +232,7 @@ def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame) ->
         F.when(cap, "block").when(inspected, F.col("det_action")).alias("det_action"),
     )
     syn = outcomes.where((F.col("direction") == C2S) & ~F.col("frame_cap") & F.col("first_block").isNotNull())
-    syn = syn.join(
-        members.select("frame_id", "session_id", "ts").dropDuplicates(["frame_id"]), "frame_id"
-    ).select("frame_id", "session_id", "ts", F.col("blocking").alias("b"))
+    syn = syn.select("frame_id", "session_id", "ts", F.col("blocking").alias("b"))
     syn = FR.parse_frame(syn.withColumn("member", F.col("b.reply")))
     syn_rows = syn.select(
         "frame_id",
@@ -286,6 +296,9 @@ def inspect_frames(frames: DataFrame, *, persist: bool = True, **kwargs) -> Insp
 
         members = members.persist(StorageLevel.MEMORY_AND_DISK)
     outcomes = frame_outcomes(members)
+    if persist:
+        # one row per frame; read by the audit rows and by the replies
+        outcomes = outcomes.persist(StorageLevel.MEMORY_AND_DISK)
     events = audit_rows(members, outcomes, oversize)
     replies = outcomes.where(F.col("reply_line").isNotNull()).select("frame_id", "direction", "reply_line")
-    return Inspection(events=events, replies=replies, cache=cache, members=members)
+    return Inspection(events=events, replies=replies, cache=cache, members=members, outcomes=outcomes)
