@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonrpc import argv_text
-from ..functions.unicode import nfkc, normalise_between, normalise_within, probe_text
+from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, nfkc, probe_text, strip_invisible
 from .rules import BUILTIN_RULES, C2S, Rule
 
 _VIEWS = ("_fs_raw", "_fs_within", "_fs_between")
@@ -118,19 +118,26 @@ def rule_scan(
         flags = [f"_fs_h{i}" for i in range(len(rules))]
         df = df.select("*", *[_rule_hit(r, direction, True).alias(f) for r, f in zip(rules, flags)])
         return _finish(df, rules, flags, hits_col, score_col, flags + ["_fs_p0", "_fs_raw"])
-    df = df.withColumn("_fs_nfkc", nfkc(raw))
+    # fold(nfkc(raw)) once; the invisible-character pass only where there are any
+    df = df.withColumn("_fs_f", fold_homoglyphs(nfkc(raw)))
+    df = df.withColumn("_fs_inv", F.col("_fs_f").rlike(INVISIBLE_CLASS))
+    f, inv = F.col("_fs_f"), F.col("_fs_inv")
     df = (
-        df.withColumn("_fs_within", normalise_within(F.col("_fs_nfkc")))
-        .withColumn("_fs_between", normalise_between(F.col("_fs_nfkc")))
-        .drop("_fs_nfkc")
+        df.withColumn("_fs_within", F.when(inv, strip_invisible(f, "")).otherwise(f))
+        .withColumn("_fs_between", collapse_whitespace(F.when(inv, strip_invisible(f, " ")).otherwise(f)))
+        .drop("_fs_f", "_fs_inv")
     )
     df = df.withColumn("_fs_wnew", F.col("_fs_within") != raw).withColumn(
         "_fs_bnew", (F.col("_fs_between") != raw) & (F.col("_fs_between") != F.col("_fs_within"))
     )
+    # Probe texts.  Every whitespace-free substring of ``between`` is also a
+    # substring of ``within`` (between only turns invisibles into spaces and
+    # shortens whitespace runs), so the within probe text serves both views;
+    # when within equals raw, the raw probe text does.
     df = (
         df.withColumn("_fs_p0", probe_text(raw))
         .withColumn("_fs_p1", F.when(F.col("_fs_wnew"), probe_text(F.col("_fs_within"))))
-        .withColumn("_fs_p2", F.when(F.col("_fs_bnew"), probe_text(F.col("_fs_between"))))
+        .withColumn("_fs_p2", F.coalesce(F.col("_fs_p1"), F.col("_fs_p0")))
     )
     flags = [f"_fs_h{i}" for i in range(len(rules))]
     df = df.select("*", *[_rule_hit(r, direction).alias(f) for r, f in zip(rules, flags)])
