@@ -120,14 +120,14 @@ def parse_frame(df: DataFrame, line_col: str = "member") -> DataFrame:
             F.coalesce(F.concat(F.lit(',"data":'), data), F.lit("")), F.lit("}"),
         ),
     )
-    return (
-        df.withColumn("msg_id", F.when(k.isin("request", "response", "error"), F.try_variant_get(v, "$.id", "string")))
-        .withColumn("method", F.when(k.isin("request", "notification"), F.try_variant_get(v, "$.method", "string")))
-        .withColumn("params_json", F.when(k.isin("request", "notification"), _json_text(line, v, "$.params")))
-        .withColumn("result_json", F.when(k.isin("response", "error"), _json_text(line, v, "$.result")))
-        .withColumn("error_json", F.when(k.isin("response", "error"), error_json))
-        .withColumn("_fs_is_msg", is_msg)
-    )
+    return df.withColumns({
+        "msg_id": F.when(k.isin("request", "response", "error"), F.try_variant_get(v, "$.id", "string")),
+        "method": F.when(k.isin("request", "notification"), F.try_variant_get(v, "$.method", "string")),
+        "params_json": F.when(k.isin("request", "notification"), _json_text(line, v, "$.params")),
+        "result_json": F.when(k.isin("response", "error"), _json_text(line, v, "$.result")),
+        "error_json": F.when(k.isin("response", "error"), error_json),
+        "_fs_is_msg": is_msg,
+    })
 
 
 def event_kind(kind: Column) -> Column:

@@ -81,17 +81,22 @@ def inspect_members(
     """Per-member inspection (narrow).  Returns ``(members, oversize, cache)``.
 
     ``frames``: ``frame_id, session_id, ts, direction, raw``."""
-    src = FR.oversize_flag(FR.frames_source(frames), line_limit)
-    oversize = src.where(F.col("oversize"))
-    normal = spread(src.where(~F.col("oversize")))
-    m = FR.parse_frame(FR.split_batch(normal))
+    # Oversize lines stay in the same pass (one read of the input): they are
+    # not split, parsed or scanned (their parse/scan input is empty) and are
+    # logged as kind 'raw' with note 'line_limit_exceeded'.
+    src = spread(FR.oversize_flag(FR.frames_source(frames), line_limit))
+    big = F.col("oversize")
+    m = FR.split_batch(src.withColumn("_fs_split", F.when(~big, F.col("raw"))), raw_col="_fs_split")
+    m = m.withColumn("member", F.when(big, F.col("raw")).otherwise(F.col("member"))).drop("_fs_split")
+    m = m.withColumn("_fs_pm", F.when(big, F.lit("")).otherwise(F.col("member")))
+    m = FR.parse_frame(m, line_col="_fs_pm")
     m = FR.tool_name(m, server_name)
     if classifier is not None:  # the content-block walk only feeds the classifier gate
         m = FR.tool_result_text(m)
     else:
         m = m.withColumn("shape_note", F.lit(None).cast("string")).withColumn("result_text", F.lit(None).cast("string"))
     m = capability_flag(m, allowed_tools)
-    m = rule_scan(m, "member", F.col("direction"), rules)
+    m = rule_scan(m, "_fs_pm", F.col("direction"), rules)
     now = now if now is not None else F.current_timestamp()
     m, new_cache = CL.run_classifier(m, classifier=classifier, cache=cache, now=now)
     score = CL.combine_score(F.col("det_score"), F.col("classifier_score"))
@@ -116,31 +121,28 @@ def inspect_members(
     m = m.withColumn("id_json", id_json).withColumn("reply", F.when(is_block, reply))
     downgraded = is_block & F.col("reply").isNull()
     cnote = F.when(F.col("classifier_note") != "ok", F.col("classifier_note"))
-    m = (
-        m.withColumn("det_action", F.when(downgraded, "warn").otherwise(F.col("_fs_d.action")))
-        .withColumn("det_verdict", verdict(F.col("det_action")))
-        .withColumn("matched_policy", F.col("_fs_d.matched_rule"))
-        .withColumn("policy_action", F.col("_fs_d.action"))
-        .withColumn("policy_message", F.col("_fs_d.message"))
-        .withColumn(
-            "note",
-            F.when(downgraded, "downgraded:no_replacement")
-            .when(is_block, F.coalesce(cnote, F.concat(F.lit("trace="), trace)))
-            .otherwise(cnote),
-        )
-        .withColumn("is_block", is_block & ~downgraded)
-        .drop("_fs_d")
-    )
+    det_action = F.when(downgraded, "warn").otherwise(F.col("_fs_d.action"))
+    m = m.withColumns({
+        "det_action": det_action,
+        "det_verdict": verdict(det_action),
+        "matched_policy": F.col("_fs_d.matched_rule"),
+        "policy_action": F.col("_fs_d.action"),
+        "policy_message": F.col("_fs_d.message"),
+        "note": F.when(downgraded, "downgraded:no_replacement")
+        .when(is_block, F.coalesce(cnote, F.concat(F.lit("trace="), trace)))
+        .otherwise(cnote),
+        "is_block": is_block & ~downgraded,
+    }).drop("_fs_d")
     # capability replies / rows
     cap_trace = RP.trace_id(F.col("frame_id"), F.lit("cap"))
     args = F.coalesce(FR._json_text(F.col("_fs_line"), F.col("_fs_v"), "$.params.arguments"), F.lit("null"))
-    m = (
-        m.withColumn("cap_reply", F.when(F.col("cap_blocked"), RP.capability_reply(F.col("id_json"), F.col("tool"))))
-        .withColumn("cap_args", F.when(F.col("cap_blocked"), F.substring(args, 1, 500)))
-        .withColumn("cap_note", F.when(F.col("cap_blocked"), F.concat(F.lit("blocked_by_capability tool="), F.col("tool"), F.lit(" trace="), cap_trace)))
-        .withColumn("aborted_reply", RP.aborted_reply(F.col("kind"), F.col("id_json")))
-    )
-    return m, oversize, new_cache
+    m = m.withColumns({
+        "cap_reply": F.when(F.col("cap_blocked"), RP.capability_reply(F.col("id_json"), F.col("tool"))),
+        "cap_args": F.when(F.col("cap_blocked"), F.substring(args, 1, 500)),
+        "cap_note": F.when(F.col("cap_blocked"), F.concat(F.lit("blocked_by_capability tool="), F.col("tool"), F.lit(" trace="), cap_trace)),
+        "aborted_reply": RP.aborted_reply(F.col("kind"), F.col("id_json")),
+    })
+    return m, None, new_cache
 
 
 _DET = ["det_verdict", "det_score", "rules_hit", "det_classifier", "det_action", "note"]
@@ -200,16 +202,17 @@ AUDIT_COLUMNS = [
 ]
 
 
-def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame) -> DataFrame:
-    """One audit row per member (+ one synthetic server->client row per
-    client->server frame blocked by the detector, + oversize lines)."""
+def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame | None = None) -> DataFrame:
+    """One audit row per member (oversize lines included, uninspected) + one
+    synthetic server->client row per client->server frame blocked by the
+    detector."""
     batch_cap = outcomes.where(F.col("frame_cap")).select("frame_id", F.lit(True).alias("_fcap"))
     single = members.where(F.col("n_members") <= 1).withColumn("_fcap", F.col("cap_blocked"))
     # only members of batch frames that had a capability block need the frame flag
     batch = members.where(F.col("n_members") > 1).join(batch_cap, "frame_id", "left")
     m = single.unionByName(batch).withColumn("_fcap", F.coalesce(F.col("_fcap"), F.lit(False)))
     fcap, cap = F.col("_fcap"), F.col("cap_blocked")
-    inspected = ~fcap
+    inspected = ~fcap & ~F.col("oversize")
     ev = m.select(
         "frame_id",
         "pos",
@@ -223,7 +226,7 @@ def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame) ->
         F.when(cap, F.lit(None)).otherwise(F.col("result_json")).alias("result_json"),
         F.when(cap, F.lit(None)).otherwise(F.col("error_json")).alias("error_json"),
         F.col("member").alias("raw"),
-        F.when(cap, F.col("cap_note")).when(inspected, F.col("note")).alias("note"),
+        F.when(cap, F.col("cap_note")).when(F.col("oversize"), F.lit("line_limit_exceeded")).when(inspected, F.col("note")).alias("note"),
         F.when(cap, "BLOCK").when(inspected, F.col("det_verdict")).alias("det_verdict"),
         F.when(inspected, F.col("det_score")).alias("det_score"),
         F.when(inspected, hits_array(F.col("rules_hit"))).alias("det_rules"),
@@ -255,28 +258,11 @@ def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame) ->
         F.lit(None).cast("int").alias("det_latency_ms"),
         F.col("b.det_action").alias("det_action"),
     )
-    over = oversize.select(
-        "frame_id",
-        F.lit(0).alias("pos"),
-        "session_id",
-        "ts",
-        "direction",
-        F.lit("raw").alias("kind"),
-        *[F.lit(None).cast("string").alias(c) for c in ("msg_id", "method", "params_json", "result_json", "error_json")],
-        "raw",
-        F.lit("line_limit_exceeded").alias("note"),
-        F.lit(None).cast("string").alias("det_verdict"),
-        F.lit(None).cast("double").alias("det_score"),
-        F.lit(None).cast("array<string>").alias("det_rules"),
-        F.lit(None).cast("string").alias("det_classifier"),
-        F.lit(None).cast("int").alias("det_latency_ms"),
-        F.lit(None).cast("string").alias("det_action"),
-    )
-    return ev.unionByName(syn_rows).unionByName(over).withColumn("pos", F.col("pos").cast("int"))
+    return ev.unionByName(syn_rows).withColumn("pos", F.col("pos").cast("int"))
 
 
 MEMBER_COLUMNS = [
-    "frame_id", "pos", "session_id", "ts", "direction", "n_members", "is_batch", "member", "kind", "msg_id",
+    "frame_id", "pos", "session_id", "ts", "direction", "n_members", "is_batch", "oversize", "member", "kind", "msg_id",
     "method", "params_json", "result_json", "error_json", "tool", "cap_blocked", "cap_reason", "cap_reply",
     "cap_args", "cap_note", "aborted_reply", "id_json", "rules_hit", "det_score", "det_classifier",
     "classifier_note", "det_action", "det_verdict", "matched_policy", "policy_action", "policy_message", "note",

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonrpc import argv_text
 from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, nfkc, probe_text, strip_invisible
+from ..functions.memo import column_memo
 from .rules import BUILTIN_RULES, C2S, Rule
 
 _VIEWS = ("_fs_raw", "_fs_within", "_fs_between")
@@ -60,6 +61,12 @@ def _any_probe(rule: Rule, probe_col: str) -> Column | None:
 
 
 def _rule_hit(rule: Rule, direction: str | Column, raw_only: bool = False) -> Column:
+    key = direction if isinstance(direction, str) else ("col", str(direction))
+    return _rule_hit_memo(rule, key, raw_only, direction)
+
+
+@column_memo
+def _rule_hit_memo(rule: Rule, _key, raw_only: bool, direction=None) -> Column:
     pattern = rule.java_pattern
     terms: list[Column] = []
     for i, (view, probe, new) in enumerate(zip(_VIEWS, _PROBES, _NEW)):
@@ -122,23 +129,22 @@ def rule_scan(
     df = df.withColumn("_fs_f", fold_homoglyphs(nfkc(raw)))
     df = df.withColumn("_fs_inv", F.col("_fs_f").rlike(INVISIBLE_CLASS))
     f, inv = F.col("_fs_f"), F.col("_fs_inv")
-    df = (
-        df.withColumn("_fs_within", F.when(inv, strip_invisible(f, "")).otherwise(f))
-        .withColumn("_fs_between", collapse_whitespace(F.when(inv, strip_invisible(f, " ")).otherwise(f)))
-        .drop("_fs_f", "_fs_inv")
-    )
-    df = df.withColumn("_fs_wnew", F.col("_fs_within") != raw).withColumn(
-        "_fs_bnew", (F.col("_fs_between") != raw) & (F.col("_fs_between") != F.col("_fs_within"))
+    df = df.select(
+        *[c for c in df.columns if c not in ("_fs_f", "_fs_inv")],
+        F.when(inv, strip_invisible(f, "")).otherwise(f).alias("_fs_within"),
+        collapse_whitespace(F.when(inv, strip_invisible(f, " ")).otherwise(f)).alias("_fs_between"),
     )
+    df = df.withColumns({
+        "_fs_wnew": F.col("_fs_within") != raw,
+        "_fs_bnew": (F.col("_fs_between") != raw) & (F.col("_fs_between") != F.col("_fs_within")),
+        "_fs_p0": probe_text(raw),
+    })
     # Probe texts.  Every whitespace-free substring of ``between`` is also a
     # substring of ``within`` (between only turns invisibles into spaces and
     # shortens whitespace runs), so the within probe text serves both views;
     # when within equals raw, the raw probe text does.
-    df = (
-        df.withColumn("_fs_p0", probe_text(raw))
-        .withColumn("_fs_p1", F.when(F.col("_fs_wnew"), probe_text(F.col("_fs_within"))))
-        .withColumn("_fs_p2", F.coalesce(F.col("_fs_p1"), F.col("_fs_p0")))
-    )
+    df = df.withColumn("_fs_p1", F.when(F.col("_fs_wnew"), probe_text(F.col("_fs_within"))))
+    df = df.withColumn("_fs_p2", F.coalesce(F.col("_fs_p1"), F.col("_fs_p0")))
     flags = [f"_fs_h{i}" for i in range(len(rules))]
     df = df.select("*", *[_rule_hit(r, direction).alias(f) for r, f in zip(rules, flags)])
     drop = flags + list(_PROBES) + ["_fs_wnew", "_fs_bnew"]
@@ -150,8 +156,8 @@ def rule_scan(
 def _finish(df: DataFrame, rules, flags, hits_col, score_col, drop) -> DataFrame:
     hits = F.concat_ws(",", *[F.when(F.col(f), F.lit(r.id)) for r, f in zip(rules, flags)])
     score = F.greatest(F.lit(0.0), *[F.when(F.col(f), F.lit(float(r.score))) for r, f in zip(rules, flags)]) if rules else F.lit(0.0)
-    df = df.withColumn(hits_col, F.when(hits != "", hits)).withColumn(score_col, score)
-    return df.drop(*drop)
+    keep = [c for c in df.columns if c not in set(drop) | {hits_col, score_col}]
+    return df.select(*keep, F.when(hits != "", hits).alias(hits_col), score.alias(score_col))
 
 
 def hits_array(col: Column) -> Column:

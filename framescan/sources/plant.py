@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memo import column_memo
 from ..operators.rules import C2S, S2C
 
 # ----------------------------------------------------------------- payloads
@@ -97,6 +98,7 @@ def payloads(direction: str) -> list[tuple[str, str, str, str]]:
     return S2C_PAYLOADS if direction == S2C else C2S_PAYLOADS
 
 
+@column_memo
 def _payload_array(direction: str) -> Column:
     return F.array(
         *[

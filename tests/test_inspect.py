@@ -102,3 +102,13 @@ def test_classifier_notes_and_cache(spark):
 def test_parse_label(spark):
     df = spark.createDataFrame([(" instruction.",), ("INSTR",), ("data!",), ("42",), ("",), ("Instructional",)], "a string")
     assert [r[0] for r in df.select(CL.parse_label(F.col("a"))).collect()] == ["INSTRUCTION", "INSTRUCTION", "DATA", None, None, "INSTRUCTION"]
+
+
+def test_oversize_line_logged_uninspected(spark):
+    lines = [("server_to_client", _resp(1, BAD * 3)), ("server_to_client", _resp(2, BAD))]
+    ins = inspect_frames(_frames(spark, lines), line_limit=200)
+    ev = {r["frame_id"]: r for r in ins.events.collect()}
+    assert (ev[0]["kind"], ev[0]["note"], ev[0]["det_verdict"]) == ("raw", "line_limit_exceeded", None)
+    assert ev[1]["det_verdict"] == "BLOCK"
+    assert [r["frame_id"] for r in ins.replies.collect()] == [1]
+    ins.release()
