@@ -30,7 +30,32 @@ REQUIRED_CONF = {
 }
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``framescan`` importable by the Python workers (its UDFs are
+    pickled by reference): zip the package on the driver once per
+    SparkContext and ``addPyFile`` it; Spark distributes it to executors."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="framescan-pyfiles-"), "framescan.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(id(sc))
+
+
 def apply_required_conf(spark: SparkSession) -> None:
+    ship_package(spark)
     for k, v in REQUIRED_CONF.items():
         cur = spark.conf.get(k, None)
         if k == "spark.sql.optimizer.excludedRules" and cur:
