@@ -40,7 +40,10 @@ def parse_since(value: str) -> dt.timedelta:
 
 def window(audit: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Rows with ``start <= ts < end`` (partition- and row-group-pruned)."""
-    cond = (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))
+    # bounds in the column's own type (TIMESTAMP or TIMESTAMP_NTZ) so the
+    # comparison needs no cast of the column and reaches the Parquet scan
+    tt = audit.schema["ts"].dataType
+    cond = (F.col("ts") >= F.lit(start).cast(tt)) & (F.col("ts") < F.lit(end).cast(tt))
     if "date" in audit.columns:
         cond = cond & (F.col("date") >= F.lit(start.date())) & (F.col("date") <= F.lit(end.date()))
     return audit.where(cond)
