@@ -11,7 +11,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents pages conversations".split()
-NAMES = ["corpus_scan", "rule_scan", "attack_eval", "event_columns", "inspect_frames", "stats_report", "classify_misses"]
+NAMES = ["corpus_scan", "rule_scan", "attack_eval", "event_columns", "inspect_frames", "stats_report", "classify_misses",
+         "follow", "stream_verdict_counts", "audit_read_evolved"]
 
 
 def _norm(v):
