@@ -19,8 +19,10 @@ ACTIONS = ("allow", "warn", "block", "rewrite")
 
 
 def strip_ws(col: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+    The regex runs only when the first or last character is whitespace."""
+    edge = F.substring(col, 1, 1).rlike(WS_CLASS) | F.substring(col, -1, 1).rlike(WS_CLASS)
+    return F.when(edge, F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+$", "")).otherwise(col)
 
 
 # ------------------------------------------------------------------ sources
