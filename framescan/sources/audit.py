@@ -164,8 +164,11 @@ def write_retention(spark: SparkSession, path: str, keep_days: int, now: str, ou
     entirely older than the cut-off disappear, the boundary date is
     rewritten, later dates are copied unchanged."""
     kept = apply_retention(spark, path, keep_days, now)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    kept.drop("date").transform(with_date).write.mode("overwrite").partitionBy("date").parquet(out_path)
+    (
+        kept.drop("date").transform(with_date).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date").parquet(out_path)
+    )
 
 
 # ------------------------------------------------------------------ sessions

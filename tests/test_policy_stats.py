@@ -118,3 +118,16 @@ def test_sessions_last_state_wins(spark):
     )
     r = AU.sessions_table(ev).first()
     assert (r["server_pid"], r["exit_code"]) == (11, 2)
+
+
+def test_retention_rewrites_dates(spark):
+    import tempfile
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, i % 3, t0 + dt.timedelta(hours=12 * i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "event_id long, session_id long, ts timestamp")
+    src, out = tempfile.mkdtemp(), tempfile.mkdtemp()
+    AU.audit_write(df, src, mode="overwrite")
+    AU.write_retention(spark, src, 2, "2024-01-06 00:00:00", out)
+    kept = sorted(r["event_id"] for r in AU.audit_read(spark, out).collect())
+    assert kept == [6, 7, 8, 9]  # ts >= 2024-01-04 00:00 (12-hourly events)
