@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality_knn, simhash
+from . import chat_repair, embed_dedup, lm, mixing, packing, pii, quality_knn, quality_rules, sharding, simhash
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_groups(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -28,13 +44,17 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op9_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_mix_to_weights, op6_quality_votes, op7_simhash_groups, op8_pii_spans, op10_pack_sequences)
+    for f in (op1_quality_rules, op2_chat_repair, op3_mix_to_weights, op4_embedding_groups, op5_lm_scores, op6_quality_votes, op7_simhash_groups, op8_pii_spans, op9_hash_shards, op10_pack_sequences)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.sql(), "op9_hash_shards": sharding.sql()}
