@@ -17,8 +17,8 @@ of them (``train_share`` of the tokens, at least ``least_tokens``: a sample
 that grows with the corpus): each replica passes over its about
 ``replica_tokens`` tokens, weights are averaged, ``rounds`` times.
 
-Bounds: the driver and the workers hold the ``head_words`` commonest words of
-up to ``MAX_BYTES`` bytes and their counts; the counts of all other words stay
+Bounds: the driver and the workers hold the commonest words of up to
+``MAX_BYTES`` bytes and their counts, fewer than ``head_words``; the counts of all other words stay
 in Spark and are joined to the words of the documents by key.  Weights have a
 fixed size.  Replicas' weights are averaged in groups of 16.
 
@@ -122,9 +122,26 @@ class Vocabulary:
         return ids, inp, cls, word, far
 
 
-def vocabulary(counts: DataFrame, head_words: int, softmax_words: int, input_words: int, per_class: int, hidden: int) -> Vocabulary:
-    top = counts.where((F.octet_length("word") <= MAX_BYTES) & (F.col("word") != END.decode()))
-    head = top.orderBy(F.desc("n"), "word").limit(head_words - 1).toPandas()
+def _scale(n: Column) -> Column:
+    """Counts on a logarithmic scale of 64 steps a doubling."""
+    return F.floor(F.log2(n) * 64)
+
+
+def least_step(counts: DataFrame, head_words: int) -> int:
+    """The lowest step of the scale from which up there are fewer than ``head_words`` words; 4,096 steps at most reach the driver."""
+    steps = counts.where(F.octet_length("word") <= MAX_BYTES).groupBy(_scale(F.col("n")).alias("step")).agg(F.count(F.lit(1)).alias("k"))
+    held = 0
+    found = sorted(((r["step"], r["k"]) for r in steps.collect()), reverse=True)
+    for step, k in found:
+        held += k
+        if held >= head_words:
+            return step + 1
+    return 0
+
+
+def vocabulary(counts: DataFrame, step: int, softmax_words: int, input_words: int, per_class: int, hidden: int) -> Vocabulary:
+    top = counts.where((_scale(F.col("n")) >= step) & (F.octet_length("word") <= MAX_BYTES) & (F.col("word") != END.decode()))
+    head = top.toPandas().sort_values(["n", "word"], ascending=[False, True])
     end = counts.where(F.col("word") == END.decode()).agg(F.sum("n")).first()[0] or 0
     names = [END, *(w.encode() for w in head["word"])]
     n = np.concatenate([[end], head["n"].to_numpy(np.int64)]).astype(np.int64)
@@ -229,7 +246,8 @@ def lm_scores(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     training = docs.where(~held_out("doc_id"))
     counts = materialise(word_counts(training))
-    v = _with_totals(vocabulary(counts, head_words, softmax_words, input_words, per_class, hidden), counts)
+    step = least_step(counts, head_words)
+    v = _with_totals(vocabulary(counts, step, softmax_words, input_words, per_class, hidden), counts)
     weights = fit(training, v, train_share, least_tokens, replica_tokens, rounds)
     shared = spark.sparkContext.broadcast((v, weights))
     fields = ["doc_id", "h", "n_tokens", "n_known", "base", "model", "far"]
@@ -262,8 +280,7 @@ def lm_scores(
     # rows are known by id and text; rows that repeat both are alike and are counted
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     scored = materialise(keyed.mapInArrow(run, "doc_id long, h long, n_tokens long, n_known long, base double, model double, far array<binary>"))
-    least = int(v.counts[-1]) if len(v.counts) >= head_words else 0
-    rare = counts.where((F.col("n") <= least) | (F.octet_length("word") > MAX_BYTES))
+    rare = counts.where((_scale(F.col("n")) < step) | (F.octet_length("word") > MAX_BYTES))
     far = scored.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("far").alias("word")).withColumn("word", F.col("word").cast("string"))
     sums = far.join(rare, "word").groupBy("doc_id", "h").agg(F.sum(F.log10(F.col("n") + 1)).alias("far_log"), F.count(F.lit(1)).alias("far_known"))
     s = scored.drop("far").alias("s")
