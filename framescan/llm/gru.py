@@ -60,6 +60,14 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _log_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one column a row; ``logits`` is overwritten."""
+    logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=1))
+
+
 def _by_class(cls: np.ndarray, n_head: int):
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(n_head + 1))
@@ -71,13 +79,13 @@ def _by_class(cls: np.ndarray, n_head: int):
 def log_probs(p: dict[str, np.ndarray], states: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token's class, and word in a head class, given the state before it."""
     out = np.empty(len(cls), np.float64)
-    for i in range(0, len(cls), 8192):
-        part = slice(i, i + 8192)
-        log = _softmax(states[part] @ p["c"] + p["cb"])
-        out[part] = log[np.arange(len(log)), cls[part]]
+    for i in range(0, len(cls), 2048):  # a block of logits stays in the cache
+        part = slice(i, i + 2048)
+        logits = states[part] @ p["c"]
+        logits += p["cb"]
+        out[part] = _log_at(logits, cls[part])
     for k, rows in _by_class(cls, len(p["w"])):
-        log = _softmax(states[rows] @ p["w"][k] + p["wb"][k])
-        out[rows] += log[np.arange(len(rows)), word[rows]]
+        out[rows] += _log_at(states[rows] @ p["w"][k] + p["wb"][k], word[rows])
     return out
 
 
