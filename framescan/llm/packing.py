@@ -10,8 +10,8 @@ the pieces by their rank within their class, so only the histogram of at most
 
 Tokens are looked up by word: the tokenizer's normalisation and splitting never
 look across white space, so the ids of a text are those of its words in turn.
-Each Python worker keeps the ids of words it has met (``CACHE_WORDS`` at most,
-then it starts anew).
+Each Python worker keeps the ids of words it has met (about ``CACHE_WORDS``, then
+it starts anew).
 
 Edge cases: a null text counts as empty and gives the end id alone; texts of
 any length are read whole; rows that repeat are packed each; an empty table
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ from .cutting import plan_bins
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
+MARKS = b".,!?;:*$%&#|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -47,7 +49,7 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers, by way of their words."""
+    """Token ids of whole texts, as unsigned 32-bit numbers, by way of their words."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,20 +58,30 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.ids: dict[bytes, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        raw = text.encode()
-        # the tokenizer lower-cases anyway; only the spelling of its special tokens must stay as it is
-        words = (raw if b"<|" in raw else raw.lower()).split()
-        found = list(map(self.ids.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            if len(self.ids) + len(new) > CACHE_WORDS:
-                self.ids.clear()
-                new = list(set(words))
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
-            found = list(map(self.ids.__getitem__, words))
-        return b"".join(found)
+    def _learn(self, new: set[bytes]) -> None:
+        """Add words to the cache. Marks at the end of a word are a piece of their own, so only what comes before them is looked up or encoded."""
+        split = {}
+        for w in new:
+            stem = w.rstrip(MARKS)
+            split[w] = (stem, w[len(stem) :]) if stem and stem != w and stem[-1:].isalnum() else (w, b"")
+        parts = list({p for pair in split.values() for p in pair if p and p not in self.ids})
+        coded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+        self.ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(parts, coded, strict=True))
+        self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items() if tail)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = text.encode()
+            # the tokenizer lower-cases anyway; only the spelling of its special tokens must stay as it is
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        found = [list(map(self.ids.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.ids.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
 
 
 _WORD_IDS: dict[int, WordIds] = {}
@@ -93,12 +105,14 @@ def pieces(docs: DataFrame, definition: str, length: int = LENGTH, end_id: int =
         coder = _word_ids(shared.value)
         for b in batches:
             rows: list[tuple] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = coder.encode(text.as_py()) + end
-                total = len(ids) // 4
-                for start in range(0, total, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    rows.append((key, start, len(part) // 4, zlib.crc32(part), total))
+            for i in range(0, b.num_rows, 128):
+                few = b.slice(i, 128)
+                for key, ids in zip(few.column(0).to_pylist(), coder.encode(few.column(1).to_pylist()), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, length):
+                        part = ids[4 * start : 4 * (start + length)]
+                        rows.append((key, start, len(part) // 4, zlib.crc32(part), total))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
