@@ -48,6 +48,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# byte-level vocabularies spell a byte as the character of its number if that is a visible one of Latin-1, else as the next from 256 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _plain_symbols(word: bytes) -> str | None:
+    """A word of Latin letters only as its vocabulary symbols: normal, lower-case and one piece; None for any other word."""
+    if word.isalpha():  # A-Z are lower-cased already, if no special token may be meant
+        return word.decode() if word.islower() else None
+    s = word.decode()
+    if not s.isalpha() or max(s) >= "\u0250":
+        return None
+    s = s.lower()
+    return s.encode().decode("latin-1").translate(_SPELLING) if s.isalpha() and max(s) < "\u0250" else None
+
+
 class WordIds:
     """Token ids of whole texts, as unsigned 32-bit numbers, by way of their words."""
 
@@ -56,6 +72,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
         self.ids: dict[bytes, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
@@ -65,8 +82,14 @@ class WordIds:
             stem = w.rstrip(MARKS)
             split[w] = (stem, w[len(stem) :]) if stem and stem != w and stem[-1:].isalnum() else (w, b"")
         parts = list({p for pair in split.values() for p in pair if p and p not in self.ids})
-        coded = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        self.ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(parts, coded, strict=True))
+        others = []
+        for p in parts:
+            if (symbols := _plain_symbols(p)) is None:
+                others.append(p)
+            else:
+                self.ids[p] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        coded = self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False)
+        self.ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, coded, strict=True))
         self.ids.update((w, self.ids[stem] + self.ids[tail]) for w, (stem, tail) in split.items() if tail)
 
     def encode(self, texts: list[str]) -> list[bytes]:
