@@ -13,7 +13,7 @@ turns multiply (least sum), and the product is associative, so a conversation
 is cut into chunks of at most ``chunk`` turns: each chunk's table is computed
 by a task of its own, the tables of a conversation (one small row a chunk) give
 the states where chunks meet, and each chunk is then traced back and rendered
-apart.  No task holds more than one chunk's texts, however long a conversation.
+apart.  One call holds about 256 chunks, however many turns a conversation has.
 A conversation of up to ``chunk`` turns is rendered as one row; longer ones
 as one row a chunk, whose ``rendered`` join to the whole in order of ``part``.
 
@@ -27,6 +27,8 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,7 +122,21 @@ def _render(roles: list[int], texts: list[str], opened: bool) -> str:
     return "".join(out)
 
 
-TRACE_SCHEMA = "conv_id long, part long, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, rendered string"
+def _runs(pdf: pd.DataFrame, *keys: str) -> Iterator[pd.DataFrame]:
+    """The groups of a sorted frame whose ``keys`` are equal."""
+    if len(pdf):
+        new = np.zeros(len(pdf), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+        for i, j in itertools.pairwise(cuts):
+            yield pdf.iloc[i:j]
+
+
+def _by_hash(df: DataFrame, n: int, *keys: str):
+    """Groups of about 256 of the ``n`` different keys, to be worked on by one call each."""
+    return df.withColumn("_lot", F.pmod(F.xxhash64(*keys), F.lit(max(1, n // 256)))).groupBy("_lot")
 
 
 def repair_chats(turns: DataFrame, costs: Costs | None = None, chunk: int = 512) -> DataFrame:
@@ -131,58 +147,70 @@ def repair_chats(turns: DataFrame, costs: Costs | None = None, chunk: int = 512)
     costs = costs or Costs()
     session(turns)
     moves = {g: _moves(g, costs) for g in (-1, 0, 1, 2)}
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = turns.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").isNull().alias("no_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     # ranks over the whole table, in order; a conversation's own ranks begin at its least
-    ranked = materialise(range_rank(t, ["conv_id", "turn", "role", "text"], "at"))
-    starts = ranked.groupBy("conv_id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("all"))
-    parted = ranked.alias("t").join(starts.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id"))).select("t.*", "s.all", F.floor((F.col("t.at") - F.col("s.first")) / chunk).alias("part"))
-    chunks = materialise(parted)
-
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.where(np.eye(4, dtype=bool), 0.0, np.inf)
-        for r in pdf.sort_values("at")["role"]:
-            total = _times(total, moves[_role(r)][0])
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "part": [key[1]], "costs": [total.ravel().tolist()]})
-
-    tables = chunks.select("conv_id", "part", "at", "role").groupBy("conv_id", "part").applyInPandas(product, "conv_id long, part long, costs array<double>")
+    ranked = materialise(range_rank(t, ["no_id", "conv", "turn", "role", "text"], "at").drop("turn"))
+    starts = materialise(ranked.groupBy("conv", "no_id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("all")))
+    n_convs, n_chunks = starts.agg(F.count(F.lit(1)), F.sum(F.ceil(F.col("all") / chunk))).first()
+    chunks = ranked.join(starts, ["conv", "no_id"]).withColumn("part", F.floor((F.col("at") - F.col("first")) / chunk)).drop("first")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for g in _runs(pdf.sort_values(["conv", "no_id", "part", "at"]), "conv", "no_id", "part"):
+            total = np.where(np.eye(4, dtype=bool), 0.0, np.inf)
+            for r in g["role"].tolist():
+                total = _times(total, moves[_role(r)][0])
+            rows.append((g["conv"].iat[0], g["no_id"].iat[0], g["part"].iat[0], total.ravel().tolist()))
+        return pd.DataFrame(rows, columns=["conv", "no_id", "part", "costs"])
+
+    tables = _by_hash(chunks.drop("text", "all"), n_chunks or 0, "conv", "no_id", "part").applyInPandas(product, "conv long, no_id boolean, part long, costs array<double>")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        each = [np.array(c, np.float64).reshape(4, 4) for c in pdf["costs"]]
-        way = np.where(np.arange(4) == START, 0.0, np.inf)
-        for c in each:
-            way = (way[:, None] + c).min(axis=0)
-        total = way + _ending(costs)
-        states = _trace(each, START, int(total.argmin()))
-        return pdf[["conv_id", "part"]].assign(before=states[:-1], after=states[1:], cost=float(total.min()))
-
-    meets = tables.groupBy("conv_id").applyInPandas(meet, "conv_id long, part long, before int, after int, cost double")
-    last = F.floor((F.col("c.all") - 1) / chunk) == F.col("c.part")
-    traced = chunks.alias("c").join(meets.alias("m"), F.col("c.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("c.part") == F.col("m.part")))
-    traced = traced.select("c.conv_id", "c.part", "c.at", "c.role", "c.text", "m.before", "m.after", "m.cost", last.alias("last"))
-
-    def trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        given = [_role(r) for r in pdf["role"]]
-        states = _trace([moves[g][0] for g in given], int(pdf["before"].iloc[0]), int(pdf["after"].iloc[0]))
-        roles: list[int] = []
-        texts: list[str] = []
-        merged = relabelled = inserted = 0
-        for g, text, before, after in zip(given, pdf["text"], states[:-1], states[1:], strict=True):
-            empty = moves[g][1][before, after]
-            if empty is None:
-                merged += 1
-                roles.append(-1)
-            else:
-                inserted += len(empty)
-                roles += [*empty, after]
-                texts += [""] * len(empty)
-                relabelled += after != g
-            texts.append(text)
-        last = bool(pdf["last"].iloc[0])
-        extra = MISSING[states[-1]] if last else []
-        rendered = _render([*roles, *extra], [*texts, *[""] * len(extra)], states[0] != START) + (END if last else "")
-        inserted += len(extra)
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "part": [key[1]], "n_turns": [len(given)], "cost": [pdf["cost"].iloc[0]], "n_merged": [merged], "n_relabelled": [relabelled], "n_inserted": [inserted], "rendered": [rendered]})
-
-    return traced.groupBy("conv_id", "part").applyInPandas(trace, TRACE_SCHEMA)
+        out = []
+        for g in _runs(pdf.sort_values(["conv", "no_id", "part"]), "conv", "no_id"):
+            each = [np.array(c, np.float64).reshape(4, 4) for c in g["costs"]]
+            way = np.where(np.arange(4) == START, 0.0, np.inf)
+            for c in each:
+                way = (way[:, None] + c).min(axis=0)
+            total = way + _ending(costs)
+            states = _trace(each, START, int(total.argmin()))
+            out += zip(g["conv"], g["no_id"], g["part"], states[:-1], states[1:], [float(total.min())] * len(g), strict=True)
+        return pd.DataFrame(out, columns=["conv", "no_id", "part", "before", "after", "cost"])
+
+    meets = _by_hash(tables, n_convs or 0, "conv", "no_id").applyInPandas(meet, "conv long, no_id boolean, part long, before int, after int, cost double")
+    traced = chunks.join(meets, ["conv", "no_id", "part"]).withColumn("last", F.floor((F.col("all") - 1) / chunk) == F.col("part")).drop("all")
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for g in _runs(pdf.sort_values(["conv", "no_id", "part", "at"]), "conv", "no_id", "part"):
+            given = [_role(r) for r in g["role"].tolist()]
+            states = _trace([moves[r][0] for r in given], int(g["before"].iat[0]), int(g["after"].iat[0]))
+            roles: list[int] = []
+            texts: list[str] = []
+            merged = relabelled = inserted = 0
+            for r, text, before, after in zip(given, g["text"].tolist(), states[:-1], states[1:], strict=True):
+                empty = moves[r][1][before, after]
+                if empty is None:
+                    merged += 1
+                    roles.append(-1)
+                else:
+                    inserted += len(empty)
+                    relabelled += after != r
+                    roles += [*empty, after]
+                    texts += [""] * len(empty)
+                texts.append(text)
+            last = bool(g["last"].iat[0])
+            extra = MISSING[states[-1]] if last else []
+            rendered = _render([*roles, *extra], [*texts, *[""] * len(extra)], states[0] != START) + (END if last else "")
+            rows.append((g["conv"].iat[0], g["no_id"].iat[0], g["part"].iat[0], len(given), g["cost"].iat[0], merged, relabelled, inserted + len(extra), rendered))
+        return pd.DataFrame(rows, columns=["conv", "no_id", "part", "n_turns", "cost", "n_merged", "n_relabelled", "n_inserted", "rendered"])
+
+    schema = "conv long, no_id boolean, part long, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, rendered string"
+    done = _by_hash(traced, n_chunks or 0, "conv", "no_id", "part").applyInPandas(trace, schema)
+    return done.select(F.when(~F.col("no_id"), F.col("conv")).alias("conv_id"), *[c for c in done.columns if c not in ("conv", "no_id")])
