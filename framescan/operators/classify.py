@@ -1,4 +1,4 @@
-"""Optional classifier stage: gate, classifier input, content-hash cache,
+"""Optional classifier stage: gate, classifier windows, content-hash cache,
 classification of distinct misses only, cache upsert, score combination.
 
 The classifier itself is a user function ``pandas.Series[str] ->
@@ -14,18 +14,18 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import written_once
+from .frames import strip_ws
 from .rules import S2C
 
 SHORT_CIRCUIT = 0.9
-MIN_CHARS = 50
-MAX_CHARS = 100_000
-MAX_INPUT_CHARS = 8000
+WINDOW_CHARS = 8000  # what the model sees at a time
+OVERLAP_CHARS = 200
+STEP_CHARS = WINDOW_CHARS - OVERLAP_CHARS
 CACHE_TTL_S = 86_400
 INSTRUCTION_SCORE = 0.85
 DATA_SCORE = 0.05
-TRUNCATION_MARKER = "\n…[truncated]"
 # Classifier-prompt control sequences and their neutral
 # replacements, applied in this order.
 SANITISE = (
@@ -42,29 +42,29 @@ Classifier = Callable[[pd.Series], pd.Series]
 
 def gate(direction: Column, rule_score: Column, shape_note: Column, text: Column, enabled: bool = True) -> Column:
     """First matching note: disabled, c2s, rules short-circuit, shape note,
-    too short, too long, else ``candidate``."""
+    else ``candidate``; texts of any length are candidates."""
     if not enabled:
         return F.lit("skipped:disabled")
-    n = F.length(text)
     return (
         F.when(direction != S2C, "skipped:c2s")
         .when(rule_score >= SHORT_CIRCUIT, "skipped:rules_short_circuit")
         .when(shape_note != "candidate", shape_note)
-        .when(n < MIN_CHARS, "skipped:too_short")
-        .when(n > MAX_CHARS, "skipped:too_long")
         .otherwise("candidate")
     )
 
 
-def classifier_input(text: Column) -> tuple[Column, Column, Column]:
-    """``(sample, content_hash, truncated)``: first 8,000 chars + marker,
-    prompt control sequences neutralised, SHA-256 of the UTF-8 sample."""
-    truncated = F.length(text) > MAX_INPUT_CHARS
-    cut = F.when(truncated, F.concat(F.substring(text, 1, MAX_INPUT_CHARS), F.lit(TRUNCATION_MARKER))).otherwise(text)
-    sample = cut
+def classifier_input(text: Column) -> Column:
+    """The whole text as windows of 8,000 characters that overlap by 200, with
+    prompt control sequences neutralised: an array of at least one string."""
+    clean = text
     for a, b in SANITISE:
-        sample = F.replace(sample, F.lit(a), F.lit(b))
-    return sample, F.sha2(sample, 256), truncated
+        clean = F.replace(clean, F.lit(a), F.lit(b))
+    last = F.greatest(F.lit(1), F.ceil((F.length(clean) - OVERLAP_CHARS) / STEP_CHARS)) - 1
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.substring(clean, (i * STEP_CHARS + 1).cast("int"), F.lit(WINDOW_CHARS)))
+
+
+def blank(text: Column) -> Column:
+    return strip_ws(text) == ""
 
 
 def parse_label(answer: Column) -> Column:
@@ -98,14 +98,19 @@ def classify_misses(misses: DataFrame, classifier: Classifier) -> DataFrame:
     """Classify each distinct missed hash once: ``content_hash, answer``."""
     distinct = misses.select("content_hash", "sample").dropDuplicates(["content_hash"])
 
+    def one(sample):
+        try:
+            return classifier(pd.Series([sample])).iloc[0], None
+        except Exception as exc:  # noqa: BLE001 - a failing model is an outcome of that text
+            return None, f"error:{type(exc).__name__}"
+
     def run(batches):
         for pdf in batches:
             try:
-                answers = classifier(pdf["sample"])
-                out = pd.DataFrame({"content_hash": pdf["content_hash"], "answer": answers.astype(object), "error": None})
-            except Exception as exc:  # noqa: BLE001 - a failing model is a per-batch outcome
-                out = pd.DataFrame({"content_hash": pdf["content_hash"], "answer": None, "error": f"error:{type(exc).__name__}"})
-            yield out
+                answers = [(a, None) for a in classifier(pdf["sample"])]
+            except Exception:  # noqa: BLE001 - some text of the batch fails: each is asked alone
+                answers = [one(s) for s in pdf["sample"]]
+            yield pd.DataFrame({"content_hash": pdf["content_hash"], "answer": [a for a, _ in answers], "error": [e for _, e in answers]}, dtype=object)
 
     return distinct.mapInPandas(run, "content_hash string, answer string, error string")
 
@@ -135,63 +140,60 @@ def run_classifier(
     """Apply the classifier stage to inspected rows.
 
     ``rows`` needs ``direction, det_score (rule score), shape_note,
-    result_text`` and a unique key.  Adds ``classifier_note,
-    det_classifier, classifier_score``; returns ``(rows, new_cache)``.
-    Only rows whose gate says ``candidate`` are hashed, looked up and - on a
-    miss - sent (deduplicated) to the model."""
+    result_text``.  Adds ``classifier_note, det_classifier,
+    classifier_score, n_windows, n_unlabelled``; returns ``(rows, new_cache)``.
+
+    Rows and answers are written once, so the rules run once and the model sees
+    each distinct missed window once.  Only candidates' texts are shuffled, one
+    a distinct text.  A text is INSTRUCTION if any window is, DATA if all are;
+    else it has no label."""
     spark = rows.sparkSession
-    enabled = classifier is not None
-    g = gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"), enabled)
-    rows = rows.withColumn("_fs_gate", g)
-    if not enabled:
-        out = rows.withColumn("classifier_note", F.col("_fs_gate")).withColumn(
-            "det_classifier", F.lit(None).cast("string")
-        ).withColumn("classifier_score", F.lit(None).cast("double")).drop("_fs_gate")
-        return out, (cache if cache is not None else empty_cache(spark))
     cache = cache if cache is not None else empty_cache(spark)
-    sample, h, truncated = classifier_input(F.col("result_text"))
-    cand = F.col("_fs_gate") == "candidate"
-    blank = F.trim(F.col("result_text")) == ""
-    rows = (
-        rows.withColumn("sample", F.when(cand & ~blank, sample))
-        .withColumn("content_hash", F.when(cand & ~blank, h))
-        .withColumn("_fs_trunc", F.when(cand & ~blank, truncated))
+    g = gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"), classifier is not None)
+    nothing = {"det_classifier": "string", "classifier_score": "double", "n_windows": "long", "n_unlabelled": "long"}
+    nulls = {c: F.lit(None).cast(t) for c, t in nothing.items()}
+    if classifier is None:
+        return rows.withColumns({"classifier_note": g, **nulls}), cache
+    empty = blank(F.col("result_text"))
+    note = F.when((g == "candidate") & empty, "skipped:empty").otherwise(g)
+    rows = written_once(rows.withColumn("classifier_note", note).withColumn("_fs_text", F.when(note == "candidate", F.sha2("result_text", 256))))
+    candidate = F.col("_fs_text").isNotNull()
+    texts = rows.where(candidate).select("_fs_text", "result_text").dropDuplicates(["_fs_text"])
+    windows = texts.select("_fs_text", F.explode(classifier_input(F.col("result_text"))).alias("sample"))
+    windows = written_once(windows.withColumn("content_hash", F.sha2("sample", 256)))
+    looked = cache_lookup(windows.select("content_hash", "sample").dropDuplicates(["content_hash"]), cache, now, ttl_s)
+    answers = written_once(classify_misses(looked.where(F.col("cached_label").isNull()), classifier))
+    labels = looked.drop("sample").join(answers, "content_hash", "left").withColumn("model_label", parse_label(F.col("answer")))
+    labels = labels.withColumn("label", F.coalesce("cached_label", "model_label"))
+    labels = labels.withColumn("w_score", F.coalesce("cached_score", label_score(F.col("model_label"))))
+    instruct = F.col("label") == "INSTRUCTION"
+    texts = windows.select("_fs_text", "content_hash").join(labels, "content_hash").groupBy("_fs_text").agg(
+        F.coalesce(F.bool_or(instruct), F.lit(False)).alias("_bad"),
+        F.max(F.when(instruct, F.col("w_score"))).alias("_bad_score"),
+        F.max("w_score").alias("_score"),
+        F.bool_and(F.col("cached_label").isNotNull()).alias("_cached"),
+        F.max("error").alias("_error"),
+        F.count(F.lit(1)).alias("n_windows"),
+        F.count_if(F.col("label").isNull()).alias("n_unlabelled"),
     )
-    looked = cache_lookup(rows, cache, now, ttl_s)
-    misses = looked.where(F.col("content_hash").isNotNull() & F.col("cached_label").isNull())
-    answers = classify_misses(misses, classifier)
-    answers = answers.withColumn("model_label", parse_label(F.col("answer")))
-    joined = looked.join(answers, "content_hash", "left")
-    label = F.coalesce(F.col("cached_label"), F.col("model_label"))
-    note = (
-        F.when(~cand, F.col("_fs_gate"))
-        .when(blank, "skipped:empty")
-        .when(F.col("cached_label").isNotNull(), "cache_hit")
-        .when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("model_label").isNull(), "parse_error")
-        .when(F.col("_fs_trunc"), f"ok:truncated={MAX_INPUT_CHARS}")
-        .otherwise("ok")
+    label = F.when(F.col("_bad"), "INSTRUCTION").when(F.col("n_unlabelled") == 0, "DATA")
+    said = (
+        F.when(F.col("_cached"), "cache_hit").when(label.isNotNull(), "ok").when(F.col("_error").isNotNull(), F.col("_error")).otherwise("parse_error")
     )
-    score = F.coalesce(F.col("cached_score"), label_score(F.col("model_label")))
-    out = (
-        joined.withColumn("classifier_note", note)
-        .withColumn("det_classifier", F.when(cand & ~blank, label))
-        .withColumn("classifier_score", F.when(cand & ~blank, score))
+    score = F.when(F.col("_bad"), F.col("_bad_score")).when(label.isNotNull(), F.col("_score"))
+    keep = [c for c in rows.columns if c not in ("_fs_text", "classifier_note", *nothing)]
+    judged = rows.where(candidate).join(texts, "_fs_text").select(
+        *keep, said.alias("classifier_note"), label.alias("det_classifier"), score.alias("classifier_score"), "n_windows", "n_unlabelled"
     )
-    new_rows = (
-        joined.where(F.col("model_label").isNotNull() & F.col("cached_label").isNull())
-        .select(
-            "content_hash",
-            F.col("model_label").alias("classifier"),
-            label_score(F.col("model_label")).alias("score"),
-            now.alias("cached_at"),
-            F.lit(backend).alias("backend"),
-        )
-        .dropDuplicates(["content_hash"])
+    gated = rows.where(~candidate).select(*keep, "classifier_note", *[v.alias(c) for c, v in nulls.items()])
+    new_rows = labels.where(F.col("model_label").isNotNull()).select(
+        "content_hash",
+        F.col("model_label").alias("classifier"),
+        label_score(F.col("model_label")).alias("score"),
+        now.alias("cached_at"),
+        F.lit(backend).alias("backend"),
     )
-    new_cache = cache_upsert(cache, new_rows)
-    drop = ["_fs_gate", "_fs_trunc", "cached_label", "cached_score", "answer", "error", "model_label", "sample"]
-    return out.drop(*drop), new_cache
+    return gated.unionByName(judged), cache_upsert(cache, new_rows)
 
 
 def combine_score(rule_score: Column, classifier_score: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions.jsonrpc import batch_members, parse_one, unescape_astral, vget,
 from ..functions.unicode import WS_CLASS
 from .rules import DIRECTIONS
 
-LINE_LIMIT_BYTES = 8 * 1024 * 1024  # longer lines are logged as kind 'raw', never inspected
+LINE_LIMIT_BYTES = 8 * 1024 * 1024  # what callers may set as the limit of a line
 KINDS = ("request", "response", "notification", "error", "raw", "parse_error")
 VERDICTS = ("PASS", "WARN", "BLOCK")
 ACTIONS = ("allow", "warn", "block", "rewrite")
@@ -46,11 +46,11 @@ def frames_source(frames: DataFrame, raw_col: str = "raw") -> DataFrame:
     return out.where(strip_ws(F.col(raw_col)) != "")
 
 
-def oversize_flag(frames: DataFrame, limit: int = LINE_LIMIT_BYTES, raw_col: str = "raw") -> DataFrame:
+def oversize_flag(frames: DataFrame, limit: int | None = LINE_LIMIT_BYTES, raw_col: str = "raw") -> DataFrame:
     """``n_bytes`` and ``oversize``: lines over the limit become a kind-``raw``
     row with note ``line_limit_exceeded`` and are not inspected."""
     n = F.octet_length(F.col(raw_col))
-    return frames.withColumn("n_bytes", n.cast("long")).withColumn("oversize", n > F.lit(limit))
+    return frames.withColumn("n_bytes", n.cast("long")).withColumn("oversize", n > F.lit(limit) if limit is not None else F.lit(False))
 
 
 # -------------------------------------------------------------------- batch

@@ -5,9 +5,9 @@
       -> block reply / downgrade -> batch abort -> synthetic rows
 
 Per-member work is one narrow stage.  Only members of multi-member batch
-frames are regrouped (``groupBy(frame_id)``): single frames - the bulk -
-never shuffle.  A batch frame is one wire line, so its group is bounded by
-the line limit, never by the data volume.
+frames meet again, in a window over their frame: single frames - the bulk -
+never shuffle, and nothing is held in executors.  A frame is known by session,
+direction and frame id.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_once
 from . import classify as CL
 from . import frames as FR
 from . import replies as RP
@@ -25,7 +26,6 @@ from .policy import DEFAULT_POLICY, Policy, decide, verdict
 from .rules import C2S, S2C, Rule
 from .scan import hits_array, rule_scan, spread
 
-ALLOWLIST_INLINE_MAX = 1000  # longer allowlists are joined instead of inlined
 
 
 @dataclass
@@ -33,29 +33,24 @@ class Inspection:
     events: DataFrame  # audit rows (one per member, + synthetic rows, + oversize rows)
     replies: DataFrame  # frame_id, direction, reply_line for frames that are answered/replaced
     cache: DataFrame | None = None  # classifier cache after this run
-    members: DataFrame | None = None  # per-member inspection (persisted)
+    members: DataFrame | None = None  # per-member inspection
 
     outcomes: DataFrame | None = None
 
     def release(self) -> None:
-        for df in (self.members, self.outcomes):
-            if df is not None:
-                df.unpersist()
+        """Nothing is held; kept for callers that release what they are done with."""
 
 
 def capability_flag(members: DataFrame, allowed_tools: Sequence[str] | DataFrame | None) -> DataFrame:
     """``cap_blocked``: a client->server ``tools/call`` whose ``tool`` is not
-    on the allowlist (exact match).  No allowlist = fail-open.  Short lists
-    are inlined (``isin``); a DataFrame allowlist is joined (a left join on
+    on the allowlist (exact match).  No allowlist = fail-open.  A sequence is
+    looked up as a set in the row; a DataFrame allowlist is joined (a left join on
     the tool name; the optimiser broadcasts it only when its size allows)."""
     if allowed_tools is None or (not isinstance(allowed_tools, DataFrame) and len(allowed_tools) == 0):
         return members.withColumn("cap_reason", F.lit("no_allowlist")).withColumn("cap_blocked", F.lit(False))
     candidate = (F.col("direction") == C2S) & F.col("tool").isNotNull()
-    if isinstance(allowed_tools, DataFrame) or len(allowed_tools) > ALLOWLIST_INLINE_MAX:
-        allow = allowed_tools if isinstance(allowed_tools, DataFrame) else members.sparkSession.createDataFrame(
-            [(t,) for t in allowed_tools], "tool string"
-        )
-        allow = allow.select(F.col(allow.columns[0]).alias("_fs_allowed")).distinct()
+    if isinstance(allowed_tools, DataFrame):
+        allow = allowed_tools.select(F.col(allowed_tools.columns[0]).alias("_fs_allowed")).distinct()
         members = members.join(allow, F.col("tool") == F.col("_fs_allowed"), "left")
         listed = F.col("_fs_allowed").isNotNull()
     else:
@@ -76,14 +71,13 @@ def inspect_members(
     classifier: CL.Classifier | None = None,
     cache: DataFrame | None = None,
     now: Column | None = None,
-    line_limit: int = FR.LINE_LIMIT_BYTES,
+    line_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Per-member inspection (narrow).  Returns ``(members, oversize, cache)``.
 
     ``frames``: ``frame_id, session_id, ts, direction, raw``."""
-    # Oversize lines stay in the same pass (one read of the input): they are
-    # not split, parsed or scanned (their parse/scan input is empty) and are
-    # logged as kind 'raw' with note 'line_limit_exceeded'.
+    # Lines of any length are inspected.  Only where the caller sets a limit
+    # are longer ones logged as kind 'raw', 'line_limit_exceeded', unread.
     src = spread(FR.oversize_flag(FR.frames_source(frames), line_limit))
     big = F.col("oversize")
     m = FR.split_batch(src.withColumn("_fs_split", F.when(~big, F.col("raw"))), raw_col="_fs_split")
@@ -116,7 +110,7 @@ def inspect_members(
     trace = RP.trace_id(F.col("frame_id"), F.col("pos"))
     is_block = F.col("_fs_d.action") == "block"
     reply = RP.block_reply(
-        F.col("direction"), F.col("kind"), id_json, F.coalesce(F.col("_fs_d.message"), F.lit("prompt injection detected")), trace
+        F.col("direction"), F.col("kind"), id_json, F.coalesce(F.col("_fs_d.message"), F.lit("content judged unsafe")), trace
     )
     m = m.withColumn("id_json", id_json).withColumn("reply", F.when(is_block, reply))
     downgraded = is_block & F.col("reply").isNull()
@@ -138,7 +132,7 @@ def inspect_members(
     args = F.coalesce(FR._json_text(F.col("_fs_line"), F.col("_fs_v"), "$.params.arguments"), F.lit("null"))
     m = m.withColumns({
         "cap_reply": F.when(F.col("cap_blocked"), RP.capability_reply(F.col("id_json"), F.col("tool"))),
-        "cap_args": F.when(F.col("cap_blocked"), F.substring(args, 1, 500)),
+        "cap_args": F.when(F.col("cap_blocked"), args),
         "cap_note": F.when(F.col("cap_blocked"), F.concat(F.lit("blocked_by_capability tool="), F.col("tool"), F.lit(" trace="), cap_trace)),
         "aborted_reply": RP.aborted_reply(F.col("kind"), F.col("id_json")),
     })
@@ -171,8 +165,7 @@ def frame_outcomes(members: DataFrame) -> DataFrame:
         .when(F.col("direction") == S2C, F.col("member"))
         .otherwise(F.col("aborted_reply"))
     )
-    agg = b.groupBy("frame_id", "direction").agg(
-        F.first("session_id").alias("session_id"),
+    agg = b.groupBy("frame_id", "direction", "session_id").agg(
         F.first("ts").alias("ts"),
         F.max(F.col("cap_blocked").cast("int")).alias("_cap"),
         F.min(F.when(F.col("is_block"), F.col("pos"))).alias("first_block"),
@@ -202,63 +195,65 @@ AUDIT_COLUMNS = [
 ]
 
 
-def audit_rows(members: DataFrame, outcomes: DataFrame, oversize: DataFrame | None = None) -> DataFrame:
-    """One audit row per member (oversize lines included, uninspected) + one
-    synthetic server->client row per client->server frame blocked by the
-    detector."""
-    batch_cap = outcomes.where(F.col("frame_cap")).select("frame_id", F.lit(True).alias("_fcap"))
-    single = members.where(F.col("n_members") <= 1).withColumn("_fcap", F.col("cap_blocked"))
-    # only members of batch frames that had a capability block need the frame flag
-    batch = members.where(F.col("n_members") > 1).join(batch_cap, "frame_id", "left")
-    m = single.unionByName(batch).withColumn("_fcap", F.coalesce(F.col("_fcap"), F.lit(False)))
-    fcap, cap = F.col("_fcap"), F.col("cap_blocked")
+def _with_frame(members: DataFrame) -> DataFrame:
+    """``_fcap`` (some member of the frame is capability-blocked) and ``_first`` (position of its first block).
+    Only members of batch frames are shuffled."""
+    cap, at = F.col("cap_blocked"), F.when(F.col("is_block"), F.col("pos"))
+    frame = Window.partitionBy("session_id", "direction", "frame_id")
+    single = members.where(F.col("n_members") <= 1).withColumns({"_fcap": cap, "_first": at})
+    batch = members.where(F.col("n_members") > 1).withColumns({"_fcap": F.max(cap).over(frame), "_first": F.min(at).over(frame)})
+    return single.unionByName(batch)
+
+
+def audit_rows(members: DataFrame) -> DataFrame:
+    """One audit row per member, and after the first member that the detector
+    blocked in a client->server frame one synthetic server->client row."""
+    m = _with_frame(members)
+    fcap, cap, none = F.col("_fcap"), F.col("cap_blocked"), F.lit(None).cast("string")
     inspected = ~fcap & ~F.col("oversize")
-    ev = m.select(
-        "frame_id",
-        "pos",
-        "session_id",
-        "ts",
-        "direction",
-        FR.event_kind(F.col("kind")).alias("kind"),
-        "msg_id",
-        "method",
-        F.when(cap, F.col("cap_args")).otherwise(F.col("params_json")).alias("params_json"),
-        F.when(cap, F.lit(None)).otherwise(F.col("result_json")).alias("result_json"),
-        F.when(cap, F.lit(None)).otherwise(F.col("error_json")).alias("error_json"),
-        F.col("member").alias("raw"),
-        F.when(cap, F.col("cap_note")).when(F.col("oversize"), F.lit("line_limit_exceeded")).when(inspected, F.col("note")).alias("note"),
-        F.when(cap, "BLOCK").when(inspected, F.col("det_verdict")).alias("det_verdict"),
-        F.when(inspected, F.col("det_score")).alias("det_score"),
-        F.when(inspected, hits_array(F.col("rules_hit"))).alias("det_rules"),
-        F.when(inspected, F.col("det_classifier")).alias("det_classifier"),
-        F.lit(None).cast("int").alias("det_latency_ms"),
-        F.when(cap, "block").when(inspected, F.col("det_action")).alias("det_action"),
-    )
-    syn = outcomes.where((F.col("direction") == C2S) & ~F.col("frame_cap") & F.col("first_block").isNotNull())
-    syn = syn.select("frame_id", "session_id", "ts", F.col("blocking").alias("b"))
-    syn = FR.parse_frame(syn.withColumn("member", F.col("b.reply")))
-    syn_rows = syn.select(
-        "frame_id",
-        F.lit(-1).alias("pos"),
-        "session_id",
-        "ts",
-        F.lit(S2C).alias("direction"),
-        FR.event_kind(F.col("kind")).alias("kind"),
-        "msg_id",
-        "method",
-        "params_json",
-        "result_json",
-        "error_json",
-        F.col("member").alias("raw"),
-        F.lit("synthetic-block").alias("note"),
-        F.col("b.det_verdict").alias("det_verdict"),
-        F.col("b.det_score").alias("det_score"),
-        hits_array(F.col("b.rules_hit")).alias("det_rules"),
-        F.col("b.det_classifier").alias("det_classifier"),
-        F.lit(None).cast("int").alias("det_latency_ms"),
-        F.col("b.det_action").alias("det_action"),
-    )
-    return ev.unionByName(syn_rows).withColumn("pos", F.col("pos").cast("int"))
+    rules = hits_array(F.col("rules_hit"))
+    own = {
+        "frame_id": F.col("frame_id"),
+        "pos": F.col("pos").cast("int"),
+        "session_id": F.col("session_id"),
+        "ts": F.col("ts"),
+        "direction": F.col("direction"),
+        "kind": FR.event_kind(F.col("kind")),
+        "msg_id": F.col("msg_id"),
+        "method": F.col("method"),
+        "params_json": F.when(cap, F.col("cap_args")).otherwise(F.col("params_json")),
+        "result_json": F.when(~cap, F.col("result_json")),
+        "error_json": F.when(~cap, F.col("error_json")),
+        "raw": F.col("member"),
+        "note": F.when(cap, F.col("cap_note")).when(F.col("oversize"), F.lit("line_limit_exceeded")).when(inspected, F.col("note")),
+        "det_verdict": F.when(cap, "BLOCK").when(inspected, F.col("det_verdict")),
+        "det_score": F.when(inspected, F.col("det_score")),
+        "det_rules": F.when(inspected, rules),
+        "det_classifier": F.when(inspected, F.col("det_classifier")),
+        "det_latency_ms": F.lit(None).cast("int"),
+        "det_action": F.when(cap, "block").when(inspected, F.col("det_action")),
+    }
+    # the reply is an error message written by us: its error object follows the id
+    at = F.length(F.col("id_json")) + len('{"jsonrpc":"2.0","id":,"error":') + 1
+    answer = own | {
+        "pos": F.lit(-1),
+        "direction": F.lit(S2C),
+        "kind": F.lit("error"),
+        "method": none,
+        "params_json": none,
+        "result_json": none,
+        "error_json": F.substring(F.col("reply"), at, F.length("reply") - at),
+        "raw": F.col("reply"),
+        "note": F.lit("synthetic-block"),
+        "det_verdict": F.col("det_verdict"),
+        "det_score": F.col("det_score"),
+        "det_rules": rules,
+        "det_classifier": F.col("det_classifier"),
+        "det_action": F.col("det_action"),
+    }
+    row = lambda cols: F.struct(*[cols[c].alias(c) for c in AUDIT_COLUMNS])
+    answered = (F.col("direction") == C2S) & ~fcap & (F.col("pos") == F.col("_first"))
+    return m.select(F.inline(F.array_compact(F.array(row(own), F.when(answered, row(answer))))))
 
 
 MEMBER_COLUMNS = [
@@ -270,21 +265,17 @@ MEMBER_COLUMNS = [
 ]
 
 
-def inspect_frames(frames: DataFrame, *, persist: bool = True, **kwargs) -> Inspection:
-    """Run the pipeline.  The per-member result feeds three consumers (frame
-    outcomes, audit rows, synthetic rows); it is persisted once so the rule
-    scan runs once (lost blocks are recomputed from lineage).  Call
-    ``members.unpersist()`` via ``Inspection.release()`` when done."""
-    members, oversize, cache = inspect_members(frames, **kwargs)
+def inspect_frames(frames: DataFrame, *, once: bool = False, **kwargs) -> Inspection:
+    """Run the pipeline.  ``events`` and ``replies`` are plans of their own: an
+    action on one runs the scan and keeps nothing.  ``once`` writes the members
+    to the shared checkpoint folder first: for callers that read several
+    results, or filter by what the scan found (the optimiser would repeat the
+    rules in the filter)."""
+    members, _, cache = inspect_members(frames, **kwargs)
     members = members.select(*MEMBER_COLUMNS)
-    if persist:
-        from pyspark import StorageLevel
-
-        members = members.persist(StorageLevel.MEMORY_AND_DISK)
+    if once:
+        members = written_once(members)
     outcomes = frame_outcomes(members)
-    if persist:
-        # one row per frame; read by the audit rows and by the replies
-        outcomes = outcomes.persist(StorageLevel.MEMORY_AND_DISK)
-    events = audit_rows(members, outcomes, oversize)
-    replies = outcomes.where(F.col("reply_line").isNotNull()).select("frame_id", "direction", "reply_line")
+    events = audit_rows(members)
+    replies = outcomes.where(F.col("reply_line").isNotNull()).select("frame_id", "session_id", "direction", "reply_line")
     return Inspection(events=events, replies=replies, cache=cache, members=members, outcomes=outcomes)

@@ -41,16 +41,13 @@ _NEW = (None, "_fs_wnew", "_fs_bnew")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer splits than the
-    cluster has cores (e.g. one big row group).  Large inputs keep their scan
-    partitioning: no shuffle is added at scale."""
-    spark = df.sparkSession
-    target = min_partitions or int(
-        spark.conf.get("framescan.scan.minPartitions", str(2 * spark.sparkContext.defaultParallelism))
-    )
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Deal rows to ``min_partitions`` partitions, or as many as
+    ``spark.framescan.scan.minPartitions`` says; without either the input keeps its
+    splits.  For a single machine reading files of few row groups; on a
+    cluster size the splits with ``spark.sql.files.maxPartitionBytes``.  Runs
+    no job: the plan is not looked at."""
+    target = min_partitions or int(df.sparkSession.conf.get("spark.framescan.scan.minPartitions", "0"))
+    return df.repartition(target) if target else df
 
 
 def _any_probe(rule: Rule, probe_col: str) -> Column | None:

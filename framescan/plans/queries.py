@@ -469,7 +469,7 @@ def _pos(c="pos"):
 )
 def q_capability_check(spark, sf):
     _prep(spark)
-    m = _inspection(spark, sf).members
+    m = _inspection(spark, sf, once=True).members
     return m.where((F.col("direction") == R.C2S) & F.col("tool").isNotNull()).select("frame_id", _pos(), "tool", "cap_reason", "cap_blocked")
 
 
@@ -492,7 +492,7 @@ def q_verdict(spark, sf):
 @register("block_reply", lambda: f"{SI.sql_inspect_with()} SELECT frame_id, pos, reply FROM m WHERE reply IS NOT NULL")
 def q_block_reply(spark, sf):
     _prep(spark)
-    m = _inspection(spark, sf).members
+    m = _inspection(spark, sf, once=True).members
     return m.where(F.col("reply").isNotNull()).select("frame_id", _pos(), "reply")
 
 
@@ -502,7 +502,7 @@ def q_block_reply(spark, sf):
 )
 def q_block_downgrade(spark, sf):
     _prep(spark)
-    m = _inspection(spark, sf).members
+    m = _inspection(spark, sf, once=True).members
     return m.where(F.col("policy_action") == "block").select("frame_id", _pos(), "det_verdict", "det_action", "note")
 
 
@@ -526,7 +526,7 @@ def _audit_out(ev):
 def q_capability_blocks(spark, sf):
     """Audit rows of capability-blocked frames, plus each frame's reply line (pos -2)."""
     _prep(spark)
-    ins = _inspection(spark, sf)
+    ins = _inspection(spark, sf, once=True)
     capf = ins.members.where("cap_blocked").select("frame_id").distinct()
     rows = ins.events.join(capf, "frame_id", "left_semi").select("frame_id", _pos(), "note", "params_json", "det_verdict", "det_action")
     rep = ins.replies.join(capf, "frame_id", "left_semi").select(
@@ -543,7 +543,7 @@ def q_capability_blocks(spark, sf):
 )
 def q_batch_abort(spark, sf):
     _prep(spark)
-    ins = _inspection(spark, sf)
+    ins = _inspection(spark, sf, once=True)
     batch_ids = ins.members.where(F.col("n_members") > 1).select("frame_id").distinct()
     return ins.replies.join(batch_ids, "frame_id", "left_semi").select("frame_id", "direction", "reply_line")
 
@@ -751,7 +751,6 @@ import pandas as _pd  # noqa: E402
 from ..operators import classify as CL  # noqa: E402
 
 CLS_NOW = "2024-01-01 12:00:00"
-_MARK = CL.TRUNCATION_MARKER
 
 
 def parity_model(samples: _pd.Series) -> _pd.Series:
@@ -793,23 +792,19 @@ def _sql_cls_members() -> str:
 
 def _sql_gate(direction="direction", score="det_score", shape="shape_note", text="result_text") -> str:
     return f"""CASE WHEN {direction} <> '{R.S2C}' THEN 'skipped:c2s' WHEN {score} >= {CL.SHORT_CIRCUIT} THEN 'skipped:rules_short_circuit'
-      WHEN {shape} <> 'candidate' THEN {shape} WHEN length({text}) < {CL.MIN_CHARS} THEN 'skipped:too_short'
-      WHEN length({text}) > {CL.MAX_CHARS} THEN 'skipped:too_long' ELSE 'candidate' END"""
-
-
-def _sql_sample(t="result_text") -> str:
-    cut = f"CASE WHEN length({t}) > {CL.MAX_INPUT_CHARS} THEN left({t}, {CL.MAX_INPUT_CHARS}) || {P._q(_MARK)} ELSE {t} END"
-    s = cut
-    for a, b in CL.SANITISE:
-        s = f"replace({s}, {P._q(a)}, {P._q(b)})"
-    return s
+      WHEN {shape} <> 'candidate' THEN {shape} ELSE 'candidate' END"""
 
 
 def _sql_candidates() -> str:
-    """Candidates with sample, hash and truncation flag."""
+    """One row per window of a candidate's text, with its hash."""
+    clean = "result_text"
+    for a, b in CL.SANITISE:
+        clean = f"replace({clean}, {P._q(a)}, {P._q(b)})"
     return f"""(SELECT *, sha256(sample) AS content_hash FROM (
-        SELECT *, {_sql_sample()} AS sample, length(result_text) > {CL.MAX_INPUT_CHARS} AS truncated FROM (
-          SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) WHERE gate = 'candidate' AND trim(result_text) <> ''))"""
+        SELECT *, unnest(list_transform(range(0, n_windows), lambda i: substr(clean, i * {CL.STEP_CHARS} + 1, {CL.WINDOW_CHARS}))) AS sample FROM (
+          SELECT *, CAST(greatest(1, ceil((length(clean) - {CL.OVERLAP_CHARS}) / {CL.STEP_CHARS}::DOUBLE)) AS BIGINT) AS n_windows FROM (
+            SELECT *, {clean} AS clean FROM (
+              SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) WHERE gate = 'candidate' AND {SF.sql_strip('result_text')} <> ''))))"""
 
 
 def _cache_prev(spark, cand):
@@ -843,20 +838,21 @@ def _sql_cache_prev() -> str:
 def _candidates(spark, sf):
     m = _cls_members(spark, sf)
     g = CL.gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"))
-    sample, h, trunc = CL.classifier_input(F.col("result_text"))
-    return m.withColumn("gate", g).where((F.col("gate") == "candidate") & (F.trim("result_text") != "")).select(
-        "frame_id", "result_text", "det_score", sample.alias("sample"), h.alias("content_hash"), trunc.alias("truncated")
+    c = m.where((g == "candidate") & ~CL.blank(F.col("result_text"))).select(
+        "frame_id", "result_text", "det_score", CL.classifier_input(F.col("result_text")).alias("w")
     )
+    c = c.select("frame_id", "result_text", "det_score", F.size("w").cast("long").alias("n_windows"), F.explode("w").alias("sample"))
+    return c.withColumn("content_hash", F.sha2("sample", 256))
 
 
 @register(
     "classifier_input",
-    lambda: f"SELECT frame_id, length(result_text) AS n_chars, truncated, length(sample) AS sample_chars, content_hash FROM {_sql_candidates()}",
+    lambda: f"SELECT frame_id, length(result_text) AS n_chars, n_windows, length(sample) AS sample_chars, content_hash FROM {_sql_candidates()}",
 )
 def q_classifier_input(spark, sf):
     _prep(spark)
     c = _candidates(spark, sf)
-    return c.select("frame_id", F.length("result_text").cast("long").alias("n_chars"), "truncated", F.length("sample").cast("long").alias("sample_chars"), "content_hash")
+    return c.select("frame_id", F.length("result_text").cast("long").alias("n_chars"), "n_windows", F.length("sample").cast("long").alias("sample_chars"), "content_hash")
 
 
 _ANSWERS = ["DATA", " instruction.", "Instr", "data-only", "INSTRUCTIONS follow", "maybe", "42 DATA", "", "Données"]
@@ -867,14 +863,14 @@ _ANSWERS = ["DATA", " instruction.", "Instr", "data-only", "INSTRUCTIONS follow"
     lambda: f"""SELECT doc_id, answer, CASE WHEN upper(tok) LIKE 'INSTRUCTION%' OR upper(tok) = 'INSTR' THEN 'INSTRUCTION'
         WHEN upper(tok) LIKE 'DATA%' THEN 'DATA' END AS label
       FROM (SELECT doc_id, answer, regexp_extract(answer, '\\pL+', 0) AS tok FROM (
-        SELECT doc_id, [{', '.join(P._q(a) for a in _ANSWERS)}][(doc_id % {len(_ANSWERS)}) + 1] || ' ' || left(text, 12) AS answer FROM documents))""",
+        SELECT doc_id, [{', '.join(P._q(a) for a in _ANSWERS)}][(doc_id % {len(_ANSWERS)}) + 1] || ' ' || text AS answer FROM documents))""",
 )
 def q_parse_label(spark, sf):
     """Model answers derived from documents (a fixed answer shape per doc id
-    followed by the document's first words) -> label."""
+    followed by the document's text) -> label."""
     _prep(spark)
     d = P.read_table(spark, sf, "documents")
-    ans = F.concat(F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("doc_id") % len(_ANSWERS) + 1).cast("int")), F.lit(" "), F.substring("text", 1, 12))
+    ans = F.concat(F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("doc_id") % len(_ANSWERS) + 1).cast("int")), F.lit(" "), F.col("text"))
     return d.select("doc_id", ans.alias("answer")).withColumn("label", CL.parse_label(F.col("answer")))
 
 
@@ -907,30 +903,39 @@ def _run_cls(spark, sf):
     return CL.run_classifier(m, classifier=parity_model, cache=_cache_prev(spark, c), now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")
 
 
-def _sql_classified() -> str:
+def _sql_windows() -> str:
+    """The candidates' windows with the cached and the model's label."""
     fresh = f"""(SELECT content_hash, classifier AS cached_label, score AS cached_score FROM {_sql_cache_prev()}
         WHERE classifier IN ('DATA', 'INSTRUCTION') AND epoch_us({_NOW_SQL}) - epoch_us(cached_at) <= {CL.CACHE_TTL_S * 1_000_000}::BIGINT)"""
     ne = "(length(sample) - length(replace(sample, 'e', '')))"
     model = f"CASE WHEN {ne} % 11 = 0 THEN NULL WHEN {ne} % 2 = 0 THEN 'DATA' ELSE 'INSTRUCTION' END"
-    return f"""(SELECT frame_id, pos, det_score AS rule_score, gate, content_hash, truncated, cached_label,
-        CASE WHEN cached_label IS NULL AND content_hash IS NOT NULL THEN {model} END AS model_label, cached_score
-      FROM (SELECT m.*, c.content_hash, c.truncated, c.sample, f.cached_label, f.cached_score
-            FROM (SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) m
-            LEFT JOIN {_sql_candidates()} c USING (frame_id)
-            LEFT JOIN {fresh} f ON f.content_hash = c.content_hash))"""
+    return f"""(SELECT frame_id, content_hash, cached_label, model_label, coalesce(cached_label, model_label) AS label,
+        coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE WHEN 'DATA' THEN {CL.DATA_SCORE}::DOUBLE END) AS w_score
+      FROM (SELECT c.frame_id, c.content_hash, f.cached_label, f.cached_score, CASE WHEN f.cached_label IS NULL THEN {model} END AS model_label
+            FROM {_sql_candidates()} c LEFT JOIN {fresh} f USING (content_hash)))"""
+
+
+def _sql_classified() -> str:
+    return f"""(SELECT m.frame_id, m.pos, m.det_score AS rule_score, m.gate, w.* EXCLUDE (frame_id)
+      FROM (SELECT *, {_sql_gate()} AS gate FROM {_sql_cls_members()}) m
+      LEFT JOIN (
+        SELECT *, CASE WHEN label = 'INSTRUCTION' THEN bad_score WHEN label = 'DATA' THEN any_score END AS classifier_score FROM (
+          SELECT *, CASE WHEN bad THEN 'INSTRUCTION' WHEN n_unlabelled = 0 THEN 'DATA' END AS label FROM (
+            SELECT frame_id, coalesce(bool_or(label = 'INSTRUCTION'), false) AS bad, max(w_score) FILTER (WHERE label = 'INSTRUCTION') AS bad_score,
+              max(w_score) AS any_score, bool_and(cached_label IS NOT NULL) AS cached, count(*) AS n_windows,
+              count(*) FILTER (WHERE label IS NULL) AS n_unlabelled
+            FROM {_sql_windows()} GROUP BY frame_id))) w USING (frame_id))"""
 
 
 @register(
     "classify_misses",
-    lambda: f"""SELECT frame_id, CASE WHEN gate <> 'candidate' THEN gate WHEN content_hash IS NULL THEN 'skipped:empty'
-          WHEN cached_label IS NOT NULL THEN 'cache_hit' WHEN model_label IS NULL THEN 'parse_error'
-          WHEN truncated THEN 'ok:truncated={CL.MAX_INPUT_CHARS}' ELSE 'ok' END AS classifier_note,
-        coalesce(cached_label, model_label) AS det_classifier,
-        coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE WHEN 'DATA' THEN {CL.DATA_SCORE}::DOUBLE END) AS classifier_score
+    lambda: f"""SELECT frame_id, CASE WHEN gate <> 'candidate' THEN gate WHEN n_windows IS NULL THEN 'skipped:empty'
+          WHEN cached THEN 'cache_hit' WHEN label IS NULL THEN 'parse_error' ELSE 'ok' END AS classifier_note,
+        label AS det_classifier, classifier_score
       FROM {_sql_classified()}""",
 )
 def q_classify_misses(spark, sf):
-    """The model sees each distinct missed hash once; hits come from the cache."""
+    """The model sees each distinct missed window once; hits come from the cache."""
     _prep(spark)
     out, _ = _run_cls(spark, sf)
     return out.select("frame_id", "classifier_note", "det_classifier", "classifier_score")
@@ -941,8 +946,8 @@ def q_classify_misses(spark, sf):
     lambda: f"""SELECT content_hash, arg_max(classifier, cached_at) AS classifier, arg_max(score, cached_at) AS score, max(cached_at) AS cached_at
       FROM (SELECT content_hash, classifier, score, cached_at FROM {_sql_cache_prev()}
             UNION ALL
-            SELECT DISTINCT content_hash, model_label, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE ELSE {CL.DATA_SCORE}::DOUBLE END, {_NOW_SQL}
-            FROM {_sql_classified()} WHERE model_label IS NOT NULL)
+            SELECT DISTINCT content_hash, model_label, w_score, {_NOW_SQL}
+            FROM {_sql_windows()} WHERE model_label IS NOT NULL)
       GROUP BY content_hash""",
 )
 def q_cache_upsert(spark, sf):
@@ -953,9 +958,8 @@ def q_cache_upsert(spark, sf):
 
 @register(
     "combine_score",
-    lambda: f"""SELECT frame_id, rule_score, classifier_score, greatest(rule_score, coalesce(classifier_score, rule_score)) AS det_score FROM (
-      SELECT frame_id, rule_score, coalesce(cached_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE WHEN 'DATA' THEN {CL.DATA_SCORE}::DOUBLE END) AS classifier_score
-      FROM {_sql_classified()})""",
+    lambda: f"""SELECT frame_id, rule_score, classifier_score, greatest(rule_score, coalesce(classifier_score, rule_score)) AS det_score
+      FROM {_sql_classified()}""",
 )
 def q_combine_score(spark, sf):
     _prep(spark)
@@ -965,18 +969,18 @@ def q_combine_score(spark, sf):
 
 @register(
     "uninspected_truncated",
-    lambda: f"""SELECT frame_id FROM {_sql_classified()}
-      WHERE cached_label IS NULL AND model_label IS NOT NULL AND truncated
-        AND greatest(rule_score, CASE model_label WHEN 'INSTRUCTION' THEN {CL.INSTRUCTION_SCORE}::DOUBLE ELSE {CL.DATA_SCORE}::DOUBLE END) < 0.85""",
+    lambda: f"""SELECT frame_id, n_windows, n_unlabelled FROM {_sql_classified()}
+      WHERE n_windows > 1 AND label IS DISTINCT FROM 'INSTRUCTION' AND greatest(rule_score, coalesce(classifier_score, rule_score)) < 0.85""",
 )
 def q_uninspected_truncated(spark, sf):
-    """Allowed frames whose classifier input was cut at 8,000 characters."""
+    """Allowed frames longer than one classifier window: all their windows are
+    classified, ``n_unlabelled`` of them without a usable answer."""
     _prep(spark)
     out, _ = _run_cls(spark, sf)
     score = CL.combine_score(F.col("det_score"), F.col("classifier_score"))
     d = decide(IN.DEFAULT_POLICY, direction=F.col("direction"), method=F.lit(None).cast("string"), score=score,
                classifier=F.col("det_classifier"), rules_hit=F.col("rules_hit"), raw=F.col("member"))
-    return out.where(F.col("classifier_note").startswith("ok:truncated") & (d["action"] == "allow")).select("frame_id")
+    return out.where((F.col("n_windows") > 1) & (d["action"] == "allow")).select("frame_id", "n_windows", "n_unlabelled")
 
 
 # ================================================================ streaming

@@ -39,7 +39,7 @@ def sql_members(allowed=ALLOWED_TOOLS, policy: Policy = DEFAULT_POLICY) -> str:
     )
     id_json = "CASE WHEN json_type(_v, '$.id') IS NOT NULL THEN CAST(json_extract(_v, '$.id') AS VARCHAR) END"
     trace = RP.sql_trace("frame_id", "pos")
-    reply = RP.sql_block_reply("direction", "kind", "id_json", "coalesce(_d.message, 'prompt injection detected')", trace)
+    reply = RP.sql_block_reply("direction", "kind", "id_json", "coalesce(_d.message, 'content judged unsafe')", trace)
     args = "coalesce(CASE WHEN coalesce(json_type(_v, '$.params.arguments'), 'NULL') <> 'NULL' THEN CAST(json_extract(_v, '$.params.arguments') AS VARCHAR) END, 'null')"
     cap_trace = RP.sql_trace("frame_id", "'cap'")
     return f"""(SELECT *,
@@ -51,7 +51,7 @@ def sql_members(allowed=ALLOWED_TOOLS, policy: Policy = DEFAULT_POLICY) -> str:
                WHEN _d.action = 'block' THEN coalesce(classifier_note, 'trace=' || {trace}) ELSE classifier_note END AS note,
           (_d.action = 'block' AND reply IS NOT NULL) AS is_block,
           CASE WHEN cap_blocked THEN {RP.sql_capability_reply('id_json', 'tool')} END AS cap_reply,
-          CASE WHEN cap_blocked THEN left({args}, 500) END AS cap_args,
+          CASE WHEN cap_blocked THEN {args} END AS cap_args,
           CASE WHEN cap_blocked THEN 'blocked_by_capability tool=' || tool || ' trace=' || {cap_trace} END AS cap_note,
           {RP.sql_aborted_reply('kind', 'id_json')} AS aborted_reply
         FROM (SELECT *, CASE WHEN _d.action = 'block' THEN {reply} END AS reply FROM (

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query here relies on.
 REQUIRED_CONF = {
@@ -30,15 +30,12 @@ REQUIRED_CONF = {
 }
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``framescan`` importable by the Python workers (its UDFs are
     pickled by reference): zip the package on the driver once per
     SparkContext and ``addPyFile`` it; Spark distributes it to executors."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_framescan_shipped", False):
         return
     import zipfile
 
@@ -51,7 +48,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    sc._framescan_shipped = True
 
 
 def apply_required_conf(spark: SparkSession) -> None:
@@ -79,6 +76,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("FRAMESCAN_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config("spark.framescan.scan.minPartitions", str(2 * shuffle_partitions))
         .config("spark.sql.optimizer.excludedRules", REQUIRED_CONF["spark.sql.optimizer.excludedRules"])
     )
     spark = builder.getOrCreate()
@@ -90,14 +88,24 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder created
-    and registered; on a cluster the configured shared folder is used.
+    Only a local session that has none (tests) gets a scratch folder; on a
+    cluster a folder that all machines share must be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="framescan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its lineage cut:
+    what follows reads the files, also after executors are lost."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rules import BUILTIN_RULES, C2S, S2C
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, written_once
 
 V1_FIELDS = [
     T.StructField("event_id", T.LongType(), False),
@@ -131,44 +131,51 @@ def audit_write(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def audit_read(spark: SparkSession, path: str) -> DataFrame:
-    """Read old (v1) and new (v2) files together: ``mergeSchema`` fills the
-    columns a file lacks with NULL."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    for f in AUDIT_SCHEMA.fields:
-        if f.name not in df.columns:
-            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return df
-
-
-def rules_from_json(col: Column, max_bytes: int = 64 * 1024) -> Column:
-    """``det_rules`` stored as JSON text -> ARRAY<STRING>: rows over
-    ``max_bytes``, invalid JSON and non-arrays give NULL; non-string items are
+    """Old (v1) and new (v2) files together, by the log's own schema: columns
+    a file lacks read as NULL and no footers are merged."""
+    place = [T.StructField("frame_id", T.LongType()), T.StructField("pos", T.IntegerType())]
+    schema = T.StructType([*AUDIT_SCHEMA.fields, *place, T.StructField("date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def rules_from_json(col: Column) -> Column:
+    """``det_rules`` stored as JSON text -> ARRAY<STRING>: invalid JSON and non-arrays give NULL; non-string items are
     dropped."""
-    v = F.when(F.octet_length(col) <= max_bytes, F.try_parse_json(col))
+    v = F.try_parse_json(col)
     arr = F.try_variant_get(v, "$", "array<variant>")
     strings = F.filter(arr, lambda x: F.schema_of_variant(x) == "STRING")
     return F.transform(strings, lambda x: F.try_variant_get(x, "$", "string"))
 
 
-def apply_retention(spark: SparkSession, path: str, keep_days: int, now: Column | str) -> DataFrame:
-    """Rows younger than ``keep_days`` (by ``ts``) - the rows a retention run
-    keeps.  ``write_retention`` rewrites only the affected date partitions."""
+def _cutoff(keep_days: int, now: Column | str) -> Column:
     now_c = F.lit(now).cast("timestamp") if isinstance(now, str) else now
-    df = audit_read(spark, path)
-    cutoff = now_c - F.make_dt_interval(F.lit(keep_days))
-    return df.where(F.col("ts") >= cutoff)
+    return now_c - F.make_dt_interval(F.lit(keep_days))
+
+
+def apply_retention(spark: SparkSession, path: str, keep_days: int, now: Column | str) -> DataFrame:
+    """The rows a retention run keeps: younger than ``keep_days`` by ``ts``; older dates are not read."""
+    cutoff = _cutoff(keep_days, now)
+    return audit_read(spark, path).where((F.col("date") >= F.to_date(cutoff)) & (F.col("ts") >= cutoff))
 
 
 def write_retention(spark: SparkSession, path: str, keep_days: int, now: str, out_path: str) -> None:
-    """Retention as a dynamic partition overwrite into ``out_path``: dates
-    entirely older than the cut-off disappear, the boundary date is
-    rewritten, later dates are copied unchanged."""
+    """Write the kept rows to ``out_path``, replacing what was there.  On the
+    log's own path only the date of the cut-off is rewritten, and older dates
+    are deleted."""
     kept = apply_retention(spark, path, keep_days, now)
-    (
-        kept.drop("date").transform(with_date).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date").parquet(out_path)
-    )
+    if out_path.rstrip("/") != path.rstrip("/"):
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(out_path)
+        return
+    first = spark.range(1).select(F.to_date(_cutoff(keep_days, now)).alias("d")).first()["d"]
+    edge = written_once(kept.where(F.col("date") == F.lit(first)))
+    edge.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stale = f"date={first}" if not edge.isEmpty() else f"date={first}~"
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("date=") and name < stale:
+            fs.delete(entry.getPath(), True)
 
 
 # ------------------------------------------------------------------ sessions

@@ -85,11 +85,11 @@ def test_classifier_notes_and_cache(spark):
     ins = inspect_frames(_frames(spark, lines), classifier=model, now=now)
     ev = {r["frame_id"]: r for r in ins.events.collect()}
     assert ev[0]["note"] == "skipped:non_text_content"
-    assert ev[1]["note"] == "skipped:too_short"
+    assert ev[1]["note"] is None and ev[1]["det_classifier"] == "DATA"  # texts of any length are classified
     assert ev[2]["note"] is None and ev[2]["det_classifier"] == "DATA"  # 'ok' is not stored
     assert ev[4]["note"] == "skipped:c2s"
     cache = ins.cache.collect()
-    assert len(cache) == 1
+    assert len(cache) == 2 and sum(calls) <= 2  # one call per distinct text
     # second run against the new cache: all hits, zero model calls
     ins2 = inspect_frames(_frames(spark, lines), classifier=lambda s: (_ for _ in ()).throw(AssertionError("called")),
                           cache=ins.cache, now=now)
