@@ -38,9 +38,9 @@ SLICES = 256
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their sum is as large as possible, at most ``budget``.
 
-    Lengths are different and positive.  The proportional part leaves a gap of
-    at most a few longest documents; within the gap the largest reachable sum
-    is found exactly.
+    Lengths are different and positive.  All but what eight longest documents
+    hold is handed out in proportion; what is left is filled exactly, by the
+    largest sum that can be reached.
     """
     order = np.argsort(-lengths, kind="stable")
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -49,9 +49,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if total <= budget:
         take = have.copy()
     elif budget > 0:
-        take = np.floor(have * (budget / total)).astype(np.int64)
+        span = 8 * int(size[0])
+        take = np.floor(have * (max(0, budget - span) / total)).astype(np.int64)
         gap = budget - int((take * size).sum())
-        span = 2 * int(size[0])
         for i in range(len(size)):  # long ones first, until the gap is short enough to be searched
             if gap <= span:
                 break
