@@ -10,8 +10,8 @@ the pieces by their rank within their class, so only the histogram of at most
 
 Tokens are looked up by word: the tokenizer's normalisation and splitting never
 look across white space, so the ids of a text are those of its words in turn.
-Each Python worker keeps the ids of words it has met (about ``CACHE_WORDS``, then
-it starts anew).
+Each Python worker keeps the ids of words it has met lately, in two generations
+of about ``CACHE_WORDS``.
 
 Edge cases: a null text counts as empty and gives the end id alone; texts of
 any length are read whole; rows that repeat are packed each; an empty table
@@ -37,7 +37,7 @@ from .cutting import plan_bins
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
 MARKS = b".,!?;:*$%&#|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -74,9 +74,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
         """Add words to the cache. Marks at the end of a word are a piece of their own, so only what comes before them is looked up or encoded."""
+        for w in new & self.old.keys():
+            self.ids[w] = self.old.pop(w)
+            new.discard(w)
         split = {}
         for w in new:
             stem = w.rstrip(MARKS)
@@ -99,7 +103,7 @@ class WordIds:
             # the tokenizer lower-cases anyway; only the spelling of its special tokens must stay as it is
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
+            self.old, self.ids = self.ids, {}
         found = [list(map(self.ids.get, words)) for words in split]
         new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if new:
