@@ -78,9 +78,9 @@ class WordIds:
 
     def _learn(self, new: set[bytes]) -> None:
         """Add words to the cache. Marks at the end of a word are a piece of their own, so only what comes before them is looked up or encoded."""
-        for w in new & self.old.keys():
-            self.ids[w] = self.old.pop(w)
-            new.discard(w)
+        known = [w for w in new if w in self.old]
+        self.ids.update((w, self.old.pop(w)) for w in known)
+        new.difference_update(known)
         split = {}
         for w in new:
             stem = w.rstrip(MARKS)
@@ -104,11 +104,11 @@ class WordIds:
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if len(self.ids) > CACHE_WORDS:
             self.old, self.ids = self.ids, {}
-        found = [list(map(self.ids.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        new = set().union(*split).difference(self.ids)
         if new:
             self._learn(new)
-        return [b"".join(map(self.ids.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 _WORD_IDS: dict[int, WordIds] = {}
