@@ -265,12 +265,12 @@ MEMBER_COLUMNS = [
 ]
 
 
-def inspect_frames(frames: DataFrame, *, once: bool = False, **kwargs) -> Inspection:
+def inspect_frames(frames: DataFrame, *, once: bool = True, **kwargs) -> Inspection:
     """Run the pipeline.  ``events`` and ``replies`` are plans of their own: an
-    action on one runs the scan and keeps nothing.  ``once`` writes the members
-    to the shared checkpoint folder first: for callers that read several
-    results, or filter by what the scan found (the optimiser would repeat the
-    rules in the filter)."""
+    action on one runs the scan and keeps nothing.  ``once`` (the default)
+    writes the members to the shared checkpoint folder first, so that reading
+    several results, or filtering by what the scan found, does not repeat the
+    rules; without it the events are one narrow pass."""
     members, _, cache = inspect_members(frames, **kwargs)
     members = members.select(*MEMBER_COLUMNS)
     if once:

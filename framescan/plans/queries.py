@@ -454,6 +454,7 @@ from . import sqlinspect as SI  # noqa: E402
 def _inspection(spark, sf, **kw):
     kw.setdefault("allowed_tools", list(SI.ALLOWED_TOOLS))
     kw.setdefault("server_name", P.SERVER_NAME)
+    kw.setdefault("once", False)
     return IN.inspect_frames(P.all_frames(spark, sf), **kw)
 
 
