@@ -112,3 +112,27 @@ def test_oversize_line_logged_uninspected(spark):
     assert ev[1]["det_verdict"] == "BLOCK"
     assert [r["frame_id"] for r in ins.replies.collect()] == [1]
     ins.release()
+
+
+def test_hostile_lines_neither_evade_nor_fail(spark):
+    bad = json.dumps(_resp(1, BAD))
+    lines = [
+        ("server_to_client", "\t[" + bad + "," + bad + "]"),
+        ("client_to_server", '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"exec","arguments":{"argv":["\\ud800","ls"]}}}'),
+        ("server_to_client", "[" * 200_000),
+        ("client_to_server", json.dumps(_call(2, "nc " + "-a " * 20_000))),
+        ("client_to_server", json.dumps(_call(3, "rm " + "-r " * 20_000 + "/"))),
+        ("client_to_server", json.dumps(_call(4, "nc -v -e /bin/sh"))),
+        ("server_to_client", json.dumps(_resp(5, "word " * 2_000_000 + BAD))),
+    ]
+    ev = {(r["frame_id"], r["pos"]): r for r in inspect_frames(_frames(spark, lines)).events.where("pos >= 0").collect()}
+    assert ev[0, 0]["det_verdict"] == ev[0, 1]["det_verdict"] == "BLOCK" and ev[6, 0]["det_verdict"] == "BLOCK"
+    assert ev[2, 0]["kind"] == "parse_error" and ev[1, 0]["det_verdict"] == ev[3, 0]["det_verdict"] == "PASS"
+    assert "shell.rm_rf_root_or_home" in ev[4, 0]["det_rules"] and "shell.reverse_shell_classic" in ev[5, 0]["det_rules"]
+
+
+def test_same_frame_id_in_both_directions(spark):
+    c2s, s2c = json.dumps([_call(1, "x", name="nuke"), _call(2, "y")]), json.dumps([_resp(1, BAD), _resp(2, BAD)])
+    df = _frames(spark, [("client_to_server", c2s), ("server_to_client", s2c)]).withColumn("frame_id", F.lit(7).cast("long"))
+    ev = inspect_frames(df, allowed_tools=["exec"]).events
+    assert [r["det_verdict"] for r in ev.where("direction = 'server_to_client'").collect()] == ["BLOCK", "BLOCK"]
