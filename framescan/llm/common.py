@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framescan.session import ship_package
+from framescan.session import ship_package, written_once
 
 # what separates words in every operator here: space, tab, LF, VT, FF, CR
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -23,15 +21,13 @@ def session(df: DataFrame) -> SparkSession:
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a scratch folder is made.  The files survive
-    lost executors and are removed by Spark's context cleaner where
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
+    local session without one (tests) gets a scratch folder, a cluster without
+    one is refused.  The files survive lost executors and are removed by
+    Spark's context cleaner where
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framescan-"))
-    return df.checkpoint()
+    return written_once(df)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
