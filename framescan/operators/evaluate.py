@@ -72,15 +72,15 @@ def rule_quality(scanned_raw: DataFrame, targets: DataFrame, rules: DataFrame) -
 
     ``scanned_raw``: ``item_id, attack_id (NULL = benign), rules_hit`` from a
     raw-view-only scan; ``targets``: ``attack_id, target_rule``; ``rules``:
-    ``rule_id``.  The two bounded tables (payload list, rule set) are
-    broadcast; the scanned corpus is only aggregated."""
+    ``rule_id``.  The optimiser broadcasts them where their size allows; the
+    scanned corpus is only aggregated."""
     hits_long = scanned_raw.select(
         "item_id", "attack_id", F.explode_outer(F.split(F.col("rules_hit"), ",")).alias("rule_id")
     ).where(F.col("rule_id").isNotNull())
     benign_hits = hits_long.where(F.col("attack_id").isNull()).groupBy("rule_id").agg(F.count("*").alias("benign_matched"))
     # scalar subquery: one number, evaluated once by Spark
     n_benign = scanned_raw.where(F.col("attack_id").isNull()).agg(F.count("*")).scalar()
-    attacks = scanned_raw.where(F.col("attack_id").isNotNull()).join(F.broadcast(targets), "attack_id")
+    attacks = scanned_raw.where(F.col("attack_id").isNotNull()).join(targets, "attack_id")
     attack_stats = attacks.groupBy(F.col("target_rule").alias("rule_id")).agg(
         F.count("*").alias("attack_examples"),
         F.count_if(~F.coalesce(F.array_contains(F.split(F.col("rules_hit"), ","), F.col("target_rule")), F.lit(False))).alias("attack_missed"),

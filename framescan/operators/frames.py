@@ -28,9 +28,9 @@ def strip_ws(col: Column) -> Column:
 # ------------------------------------------------------------------ sources
 def read_frame_lines(spark: SparkSession, path: str, direction: str, session_id: int = 0) -> DataFrame:
     """Newline-delimited frames from text files: ``frame_id, session_id,
-    direction, raw``.  ``frame_id`` is the position of the line within the
+    direction, raw``.  Lines end at LF alone.  ``frame_id`` is the position of the line within the
     file set in Spark's deterministic split order."""
-    lines = spark.read.text(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(
         F.monotonically_increasing_id().alias("frame_id"),
         F.lit(session_id).cast("long").alias("session_id"),

@@ -173,6 +173,5 @@ def rule_hits_long(scanned: DataFrame, key_cols: Sequence[str], rules_df: DataFr
         *key_cols, F.posexplode_outer(F.split(F.col(hits_col), ",")).alias("hit_pos", "rule_id")
     ).where(F.col("rule_id").isNotNull())
     if rules_df is not None:
-        # rules_df is the rule set: bounded by the number of rules, never by the data
-        exploded = exploded.join(F.broadcast(rules_df), "rule_id", "left")
+        exploded = exploded.join(rules_df, "rule_id", "left")
     return exploded

@@ -11,12 +11,32 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATS_SCHEMA_VERSION = 1
 VERDICTS = ("PASS", "WARN", "BLOCK")
+# the order of a log that inspection wrote, which has no event_id
+FRAME_KEY = ("ts", "session_id", "direction", "frame_id", "pos")
+Key = str | Sequence[str]
+
+
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def key_column(key: Key) -> Column:
+    """The row key as one comparable value: a column, or a struct of several."""
+    return F.col(key) if isinstance(key, str) else F.struct(*key)
+
+
+def _key_value(audit: DataFrame, key: Key, value) -> Column:
+    """A row key's value as a literal in the log's own types."""
+    if isinstance(key, str):
+        return F.lit(value)
+    return F.struct(*[F.lit(v).cast(audit.schema[c].dataType).alias(c) for c, v in zip(key, value, strict=True)])
 
 
 _UNITS = {"d": "days", "h": "hours", "m": "minutes"}
@@ -51,19 +71,20 @@ def stats_verdicts(w: DataFrame) -> DataFrame:
     )
 
 
-def stats_top_rules(w: DataFrame, k: int = 5, key: str = "event_id") -> DataFrame:
+def stats_top_rules(w: DataFrame, k: int = 5, key: Key = "event_id") -> DataFrame:
     """Top ``k`` rule ids by hit count; ties keep first appearance (row key,
     then position inside the hit list).  Map-side partial aggregation keeps the
     shuffle at one row per (partition, rule)."""
     hits = w.where(F.col("det_rules").isNotNull()).select(
-        F.col(key).alias("_k"), F.posexplode("det_rules").alias("_p", "rule_id")
+        key_column(key).alias("_k"), F.posexplode("det_rules").alias("_p", "rule_id")
     ).where(F.col("rule_id").isNotNull())
     counted = hits.groupBy("rule_id").agg(
         F.count("*").alias("count"), F.min(F.struct(F.col("_k"), F.col("_p"))).alias("_first")
     )
-    # the result has at most one row per rule id (bounded by the rule set)
-    ranked = counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("_first"))))
-    return ranked.where(F.col("rank") <= k).select(F.col("rank").cast("long").alias("rank"), "rule_id", F.col("count").cast("long").alias("count"))
+    # a top-k: only the ``k`` rows that are left are ranked by one task
+    best = [F.desc("count"), F.asc("_first")]
+    ranked = counted.orderBy(*best).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*best)))
+    return ranked.select(F.col("rank").cast("long").alias("rank"), "rule_id", F.col("count").cast("long").alias("count"))
 
 
 def stats_latency(w: DataFrame) -> DataFrame:
@@ -77,7 +98,7 @@ def stats_latency(w: DataFrame) -> DataFrame:
     )
 
 
-def stats_report(audit: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+def stats_report(audit: DataFrame, start: dt.datetime, end: dt.datetime, key: Key = "event_id") -> DataFrame:
     """One row: schema version, period bounds, totals, verdicts, top rules
     ("id:count" joined in rank order) and latency percentiles."""
     w = window(audit, start, end)
@@ -86,7 +107,7 @@ def stats_report(audit: DataFrame, start: dt.datetime, end: dt.datetime) -> Data
         F.percentile(F.col("det_latency_ms").cast("double"), 0.5).alias("latency_p50_ms"),
         F.percentile(F.col("det_latency_ms").cast("double"), 0.95).alias("latency_p95_ms"),
     )
-    top = stats_top_rules(w).agg(
+    top = stats_top_rules(w, key=key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "rule_id", "count"))), lambda s: F.concat(s["rule_id"], F.lit(":"), s["count"].cast("string"))),
             ",",
@@ -107,9 +128,9 @@ def stats_report(audit: DataFrame, start: dt.datetime, end: dt.datetime) -> Data
     )
 
 
-def log_snapshot(audit: DataFrame, key: str = "event_id") -> DataFrame:
+def log_snapshot(audit: DataFrame, key: Key = "event_id") -> DataFrame:
     """Total events and the time of the last event (by key)."""
-    return audit.agg(F.count("*").alias("total_events"), F.max_by("ts", key).alias("last_event_ts"))
+    return audit.agg(F.count("*").alias("total_events"), F.max_by("ts", key_column(key)).alias("last_event_ts"))
 
 
 def usage_rollup(audit: DataFrame) -> DataFrame:
@@ -121,19 +142,31 @@ def usage_rollup(audit: DataFrame) -> DataFrame:
     )
 
 
-def tail(audit: DataFrame, n: int = 20, verdict: str | None = None, key: str = "event_id") -> DataFrame:
+def tail(audit: DataFrame, n: int = 20, verdict: str | None = None, key: Key = "event_id") -> DataFrame:
     """Newest ``n`` rows (optionally of one verdict), returned oldest first.
     A top-k: each partition keeps its ``n`` best before the final merge."""
     df = audit if verdict is None else audit.where(F.col("det_verdict") == verdict)
-    return df.orderBy(F.desc(key)).limit(n).orderBy(key)
+    names = _names(key)
+    return df.orderBy(*[F.desc(c) for c in names]).limit(n).orderBy(*names)
 
 
-def page_since(audit: DataFrame, cursor: int, n: int = 500, verdict: str | None = None, key: str = "event_id") -> DataFrame:
-    """Rows with key > cursor, ascending, at most ``n`` (cursor paging)."""
-    df = audit.where(F.col(key) > cursor)
+def page_since(audit: DataFrame, cursor, n: int = 500, verdict: str | None = None, key: Key = "event_id") -> DataFrame:
+    """Rows with key > cursor, ascending, at most ``n`` (cursor paging). A key of several columns takes a tuple."""
+    df = audit.where(key_column(key) > _key_value(audit, key, cursor))
     if verdict is not None:
         df = df.where(F.col("det_verdict") == verdict)
-    return df.orderBy(key).limit(n)
+    return df.orderBy(*_names(key)).limit(n)
+
+
+def from_cursor(audit: DataFrame, cursor, key: Key = "event_id") -> DataFrame:
+    """Rows at or after a cursor (None: all)."""
+    return audit if cursor is None else audit.where(key_column(key) >= _key_value(audit, key, cursor))
+
+
+def seed_cursor(audit: DataFrame, n: int = 20, verdict: str | None = None, key: Key = "event_id"):
+    """The key of the oldest of the newest ``n`` rows, where a follower starts; None for an empty log."""
+    first = tail(audit, n, verdict, key).select(*_names(key)).first()
+    return None if first is None else first[0] if isinstance(key, str) else tuple(first)
 
 
 def recent_sessions(sessions: DataFrame, n: int = 5) -> DataFrame:

@@ -258,7 +258,7 @@ def q_attack_eval_overall(spark, sf):
 
 @register(
     "rule_quality",
-    lambda: f"""WITH s AS (SELECT * FROM {sql_scan(f"(SELECT 'd' || item_id AS k, attack_id, text FROM {_sql_corpus_labelled()})", ['k', 'attack_id'], 'text', R.S2C, raw_only=True)}),
+    lambda: f"""WITH s AS (SELECT * FROM {sql_scan(_sql_corpus_labelled(), ['item_id', 'attack_id'], 'text', 'direction', raw_only=True)}),
       r AS ({R_sql_rules()}),
       bh AS (SELECT rule_id, count(*) AS benign_matched FROM (SELECT unnest(string_split(rules_hit, ',')) AS rule_id FROM s WHERE attack_id IS NULL AND rules_hit IS NOT NULL) GROUP BY rule_id),
       atk AS (SELECT target_rule AS rule_id, count(*) AS attack_examples,
@@ -269,30 +269,34 @@ def q_attack_eval_overall(spark, sf):
       FROM r LEFT JOIN atk USING (rule_id) LEFT JOIN bh USING (rule_id)""",
 )
 def q_rule_quality(spark, sf):
-    """Server->client rules against the documents + pages corpus (raw view only)."""
+    """Every rule against the texts of its directions: documents and pages, and the users' tool calls (raw view only)."""
     _prep(spark)
     c = spread(_corpus_labelled(spark, sf))
-    s = rule_scan(c, "text", R.S2C, raw_only=True)
+    s = rule_scan(c, "text", F.col("direction"), raw_only=True)
     targets = spark.createDataFrame(list(P.ATTACK_TARGETS.items()), "attack_id string, target_rule string")
     return EV.rule_quality(s, targets, R.rules_df(spark))
 
 
 def _corpus_labelled(spark, sf):
-    docs = P.docs_planted(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("item_id"), "attack_id", "text")
+    s2c, c2s = F.lit(R.S2C).alias("direction"), F.lit(R.C2S).alias("direction")
+    docs = P.docs_planted(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("item_id"), s2c, "attack_id", "text")
     pages = P.read_table(spark, sf, "pages")
     pp = P.pick_payload(F.col("page_id"), R.S2C)
     pages = pages.select(
         F.concat(F.lit("p"), F.col("page_id")).alias("item_id"),
+        s2c,
         pp["attack_id"].alias("attack_id"),
         F.when(pp.isNotNull(), F.concat(F.col("html"), F.lit("\n"), pp["payload"])).otherwise(F.col("html")).alias("text"),
     )
-    return docs.unionByName(pages)
+    calls = P.frames_c2s(spark, sf).select(F.concat(F.lit("c"), F.col("frame_id")).alias("item_id"), c2s, "attack_id", F.col("raw").alias("text"))
+    return docs.unionByName(pages).unionByName(calls)
 
 
 def _sql_corpus_labelled() -> str:
     pp = P.sql_pick("page_id", R.S2C)
-    return f"""(SELECT doc_id AS item_id, attack_id, text FROM {P.sql_docs_planted()}
-      UNION ALL SELECT page_id + 0, pp.attack_id, CASE WHEN pp IS NOT NULL THEN html || chr(10) || pp.payload ELSE html END
+    return f"""(SELECT 'd' || doc_id AS item_id, '{R.S2C}' AS direction, attack_id, text FROM {P.sql_docs_planted()}
+      UNION ALL SELECT 'c' || frame_id, '{R.C2S}', attack_id, raw FROM {P.sql_frames_c2s()}
+      UNION ALL SELECT 'p' || page_id, '{R.S2C}', pp.attack_id, CASE WHEN pp IS NOT NULL THEN html || chr(10) || pp.payload ELSE html END
       FROM (SELECT *, {pp} AS pp FROM pages))"""
 
 
@@ -620,10 +624,10 @@ _SQL_SESSIONS = """(SELECT session_id,
       max(CASE WHEN op = 'end' THEN ts END) AS ended_at,
       arg_max(exit_code, CASE WHEN op = 'end' THEN ts END) AS exit_code
     FROM (SELECT user_id AS session_id, ts,
-            CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'pid' ELSE 'end' END AS op,
+            CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'pid' WHEN 'error' THEN 'end' ELSE 'seen' END AS op,
             CASE WHEN event_type = 'purchase' THEN event_id % 65536 END AS pid,
             CASE WHEN event_type = 'error' THEN CAST(floor(value) AS INTEGER) % 3 END AS exit_code
-          FROM events WHERE event_type IN ('signup', 'purchase', 'error'))
+          FROM events)
     GROUP BY session_id)"""
 
 
@@ -1032,13 +1036,89 @@ def q_follow(spark, sf):
         det_verdict, count(*) AS n FROM {AU.sql_audit_like()} GROUP BY ALL""",
 )
 def q_stream_verdict_counts(spark, sf):
-    """Hourly verdict counts over the audit stream.  Files arrive in no
-    particular time order, so the watermark covers the whole month here;
-    state stays bounded by the watermark in production use."""
+    """Hourly verdict counts over the audit stream, whose files arrive in no
+    particular time order."""
     _prep(spark)
     audit = AU.scratch_path(spark, "counts-audit")
     AU.audit_write(AU.audit_like(spark, sf), audit)
     out = AU.scratch_path(spark, "counts-out")
-    counts = SS.verdict_counts(SS.follow(spark, audit, max_files=8), "1 hour", "31 days")
-    _run_to_end(SS.write_updates(counts, out, AU.scratch_path(spark, "ckpt-counts")))
-    return SS.latest_counts(spark, out)
+    _run_to_end(SS.write_counts(SS.follow(spark, audit, max_files=8), out, AU.scratch_path(spark, "ckpt-counts")))
+    return SS.total_counts(spark, out)
+
+
+@register(
+    "stream_replies",
+    lambda: f"{SI.sql_inspect_with()} SELECT frame_id, direction, reply_line FROM o WHERE reply_line IS NOT NULL",
+)
+def q_stream_replies(spark, sf):
+    """The replies a stream of frames writes, in several micro-batches."""
+    _prep(spark)
+    src, out = AU.scratch_path(spark, "frames-src"), AU.scratch_path(spark, "stream-replies")
+    P.all_frames(spark, sf).repartition(8).write.parquet(src)
+    q = SS.stream_inspect(
+        SS.frames_stream(spark, src, max_files=3), AU.scratch_path(spark, "stream-audit"), AU.scratch_path(spark, "ckpt-inspect"),
+        replies_path=out, allowed_tools=list(SI.ALLOWED_TOOLS), server_name=P.SERVER_NAME,
+    )
+    _run_to_end(q)
+    return spark.read.parquet(out).select("frame_id", "direction", "reply_line")
+
+
+@register(
+    "follow_seeded",
+    lambda: f"""WITH a AS (SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE det_verdict = 'BLOCK'),
+      seed AS (SELECT event_id FROM a WHERE ts < TIMESTAMP '2024-01-16 00:00:00' ORDER BY event_id DESC LIMIT 20)
+      SELECT * FROM a WHERE event_id >= coalesce((SELECT min(event_id) FROM seed), event_id)""",
+)
+def q_follow_seeded(spark, sf):
+    """Follow the growing log from its 20 newest BLOCK rows on."""
+    _prep(spark)
+    audit = AU.scratch_path(spark, "follow-audit")
+    a = AU.audit_like(spark, sf)
+    mid = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    AU.audit_write(a.where(mid), audit)
+    start = ST.seed_cursor(AU.audit_read(spark, audit), 20, "BLOCK")
+    out, ck = AU.scratch_path(spark, "follow-out"), AU.scratch_path(spark, "ckpt-follow")
+    _run_to_end(SS.copy_stream(SS.follow(spark, audit, "BLOCK", start=start), out, ck))
+    AU.audit_write(a.where(~mid), audit)
+    _run_to_end(SS.copy_stream(SS.follow(spark, audit, "BLOCK", start=start), out, ck))
+    return _audit_cols(spark.read.parquet(out))
+
+
+# ------------------------------------------- one log: inspect, write, report
+_LOG_START, _LOG_END = _dt.datetime(2000, 1, 1), _dt.datetime(2200, 1, 1)
+
+
+def _inspected_log(spark, sf):
+    """The frames' audit rows written to a date-partitioned log and read back."""
+    path = AU.scratch_path(spark, "inspected-log")
+    AU.audit_write(_inspection(spark, sf).events, path)
+    return AU.audit_read(spark, path)
+
+
+@register(
+    "inspected_log_report",
+    lambda: f"""{SI.sql_inspect_with()},
+      hits AS (SELECT unnest(string_split(det_rules, ',')) AS rule_id, unnest(generate_series(0, len(string_split(det_rules, ',')) - 1)) AS p,
+                 ts, session_id, direction, frame_id, pos FROM a WHERE det_rules IS NOT NULL),
+      top AS (SELECT rule_id, count(*) AS n, min(row(ts, session_id, direction, frame_id, pos, p)) AS first_hit FROM hits GROUP BY rule_id
+              ORDER BY n DESC, first_hit LIMIT 5)
+      SELECT count(*) AS total_events, count(*) FILTER (WHERE det_verdict = 'PASS') AS n_pass,
+        count(*) FILTER (WHERE det_verdict = 'WARN') AS n_warn, count(*) FILTER (WHERE det_verdict = 'BLOCK') AS n_block,
+        (SELECT string_agg(rule_id || ':' || n, ',' ORDER BY n DESC, first_hit) FROM top) AS top_rules FROM a""",
+)
+def q_inspected_log_report(spark, sf):
+    _prep(spark)
+    report = ST.stats_report(_inspected_log(spark, sf), _LOG_START, _LOG_END, key=ST.FRAME_KEY)
+    return report.select("total_events", "n_pass", "n_warn", "n_block", "top_rules")
+
+
+@register(
+    "inspected_log_tail",
+    lambda: f"""{SI.sql_inspect_with()} SELECT frame_id, pos, session_id, ts, direction, kind, det_verdict, note FROM a WHERE det_verdict = 'BLOCK'
+      ORDER BY ts DESC, session_id DESC, direction DESC, frame_id DESC, pos DESC LIMIT 20""",
+)
+def q_inspected_log_tail(spark, sf):
+    """The 20 newest blocked rows of the inspected log."""
+    _prep(spark)
+    t = ST.tail(_inspected_log(spark, sf), 20, "BLOCK", key=ST.FRAME_KEY)
+    return t.select("frame_id", _pos(), "session_id", "ts", "direction", "kind", "det_verdict", "note")

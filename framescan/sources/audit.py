@@ -40,6 +40,8 @@ V2_FIELDS = [
     T.StructField("det_action", T.StringType(), True),
 ]
 AUDIT_SCHEMA = T.StructType(V1_FIELDS + V2_FIELDS)
+# the log as stored: rows of inspected frames are known by their place instead of an event_id
+LOG_SCHEMA = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("frame_id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("date", T.DateType())])
 V1_COLUMNS = [f.name for f in V1_FIELDS]
 AUDIT_COLUMNS = [f.name for f in AUDIT_SCHEMA.fields]
 
@@ -133,9 +135,7 @@ def audit_write(df: DataFrame, path: str, mode: str = "append") -> None:
 def audit_read(spark: SparkSession, path: str) -> DataFrame:
     """Old (v1) and new (v2) files together, by the log's own schema: columns
     a file lacks read as NULL and no footers are merged."""
-    place = [T.StructField("frame_id", T.LongType()), T.StructField("pos", T.IntegerType())]
-    schema = T.StructType([*AUDIT_SCHEMA.fields, *place, T.StructField("date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
 def rules_from_json(col: Column) -> Column:
@@ -182,13 +182,13 @@ def write_retention(spark: SparkSession, path: str, keep_days: int, now: str, ou
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session lifecycle rows derived from ``events``: ``signup`` opens a
     session (start), ``purchase`` attaches a server pid, ``error`` closes it
-    with an exit code.  ``session_id, ts, op, started_at, pid, exit_code``."""
+    with an exit code, anything else shows that it is there.  ``session_id, ts, op, started_at, pid, exit_code``."""
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     et = F.col("event_type")
-    return ev.where(et.isin("signup", "purchase", "error")).select(
+    return ev.select(
         F.col("user_id").alias("session_id"),
         "ts",
-        F.when(et == "signup", "start").when(et == "purchase", "pid").otherwise("end").alias("op"),
+        F.when(et == "signup", "start").when(et == "purchase", "pid").when(et == "error", "end").otherwise("seen").alias("op"),
         F.when(et == "purchase", (F.col("event_id") % 65536).cast("long")).alias("pid"),
         F.when(et == "error", (F.floor(F.col("value")).cast("int") % 3)).alias("exit_code"),
     )

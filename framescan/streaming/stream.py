@@ -5,12 +5,12 @@
   replayed batch overwrites its own folder, so the sink is idempotent and the
   checkpoint gives exactly-once output.  A batch frame is one line, so all its
   members are in the same micro-batch and the batch regrouping needs no
-  cross-batch state.
+  cross-batch state.  Replies, where asked for, are written before the rows.
 * ``follow``          - stream over the audit table (new files only), optional
-  verdict filter; the checkpoint plays the role of the cursor.
-* ``verdict_counts``  - event-time windowed verdict counts with a watermark
-  (bounded state); update mode, upserted into a table keyed by
-  (window, verdict) where the latest batch wins.
+  verdict filter and first row; the checkpoint plays the role of the cursor.
+* ``write_counts``    - event-time windowed verdict counts: each micro-batch
+  writes its own counts, and ``total_counts`` adds them up.  No state is held
+  and no row is too late to be counted.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.inspect import inspect_frames
-from ..sources.audit import AUDIT_SCHEMA, audit_read, with_date
+from ..operators.stats import Key, from_cursor
+from ..sources.audit import LOG_SCHEMA, audit_read, with_date
 
 FRAME_SCHEMA = "frame_id long, session_id long, ts timestamp, direction string, raw string"
 
@@ -37,12 +37,15 @@ def frames_stream(spark: SparkSession, path: str, max_files: int | None = None,
 
 
 def stream_inspect(frames: DataFrame, audit_path: str, checkpoint: str, *, available_now: bool = True,
-                   **inspect_kwargs) -> StreamingQuery:
-    """Inspect every micro-batch and append its audit rows."""
+                   replies_path: str | None = None, **inspect_kwargs) -> StreamingQuery:
+    """Inspect every micro-batch, write the replies of its frames to
+    ``replies_path`` and append its audit rows."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ins = inspect_frames(batch, **inspect_kwargs)
         try:
+            if replies_path is not None:
+                ins.replies.write.mode("overwrite").parquet(os.path.join(replies_path, f"batch_id={batch_id}"))
             out = with_date(ins.events)
             out.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, f"batch_id={batch_id}"))
         finally:
@@ -58,44 +61,35 @@ def read_stream_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     return audit_read(spark, audit_path).drop("batch_id", "date")
 
 
-def follow(spark: SparkSession, audit_path: str, verdict: str | None = None, max_files: int | None = None) -> DataFrame:
-    """Streaming view of new audit rows (optionally one verdict)."""
-    schema = T.StructType(AUDIT_SCHEMA.fields + [T.StructField("date", T.DateType(), True)])
-    r = spark.readStream.schema(schema).option("basePath", audit_path)
+def follow(spark: SparkSession, audit_path: str, verdict: str | None = None, max_files: int | None = None,
+           start=None, key: Key = "event_id") -> DataFrame:
+    """Streaming view of audit rows (optionally one verdict) from ``start`` on:
+    with ``stats.seed_cursor`` that is the newest rows, then only new ones."""
+    r = spark.readStream.schema(LOG_SCHEMA).option("basePath", audit_path)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.parquet(audit_path)
     if verdict is not None:
         df = df.where(F.col("det_verdict") == verdict)
-    return df
+    return from_cursor(df, start, key)
 
 
-def verdict_counts(audit: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
-    """Rolling verdict counts per event-time window (state bounded by the
-    watermark)."""
-    return (
-        audit.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window).alias("w"), F.col("det_verdict"))
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "det_verdict", "n")
-    )
-
-
-def write_updates(counts: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Update-mode sink: each batch's changed counts under ``batch=<id>``."""
+def write_counts(audit: DataFrame, out_path: str, checkpoint: str, window: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+    """Each micro-batch's verdict counts per event-time window under ``batch=<id>``; a replayed batch overwrites its own."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
+        counts = batch.groupBy(F.window("ts", window).alias("w"), "det_verdict").agg(F.count(F.lit(1)).alias("n"))
+        rows = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "det_verdict", "n")
+        rows.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
 
-    w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    w = audit.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The upserted table: per (window, verdict) the count of the latest batch."""
-    u = spark.read.parquet(out_path)
-    return u.groupBy("window_start", "window_end", "det_verdict").agg(F.max_by("n", "batch").alias("n"))
+def total_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """Per (window, verdict) the count over all micro-batches so far."""
+    return spark.read.parquet(out_path).groupBy("window_start", "window_end", "det_verdict").agg(F.sum("n").alias("n"))
 
 
 def copy_stream(df: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
