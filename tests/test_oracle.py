@@ -3,6 +3,7 @@
 import collections
 import decimal
 import math
+import re
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents pages conversations".split()
 NAMES = ["corpus_scan", "rule_scan", "attack_eval", "event_columns", "inspect_frames", "stats_report", "classify_misses",
-         "follow", "stream_verdict_counts", "audit_read_evolved"]
+         "follow", "stream_verdict_counts", "audit_read_evolved", "follow_seeded", "rule_quality", "sessions_table", "inspected_log_tail"]
 
 
 def _norm(v):
@@ -52,4 +53,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_documented():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == set()
+    # trained models, XXH64, knapsack and tokenizers have no SQL: these queries are tested against brute force in tests/llm
+    assert {name for name in missing if not re.fullmatch(r"op\d+_\w+|pipeline", name)} == set()
