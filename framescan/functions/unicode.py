@@ -64,6 +64,8 @@ WS_CLASS = (
     r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+_WS_BUT_SPACE = WS_CLASS.replace(" ", "", 1)
+NOT_WS = WS_CLASS.replace("[", "[^", 1)
 
 # Letters whose Unicode case mapping lands on an ASCII letter although they
 # are not ASCII themselves.  Folding them before ``lower`` makes a lower-case
@@ -140,14 +142,19 @@ def icu_available() -> bool:
         return False
 
 
+def is_ascii(col: Column) -> Column:
+    """Texts of one byte a character: no Unicode form, look-alike or invisible character is in them."""
+    return F.octet_length(col) == F.char_length(col)
+
+
 def nfkc(col: Column, needs: Column | None = None) -> Column:
     """Unicode NFKC normalisation, JVM-side through ICU's
-    ``Normalizer.compose(text, compat=true)`` via ``java_method``; without ICU
+    ``Normalizer.compose(text, compat=true)`` via ``java_method`` for texts that are not ASCII; without ICU
     on the classpath, an Arrow-batched Python UDF for the rows that can
     change (``needs``, default ``needs_nfkc``)."""
     if icu_available():
         icu = F.call_function("java_method", F.lit(_ICU_NORMALIZER), F.lit("compose"), col, F.lit(True))
-        return F.when(col.isNotNull(), icu)
+        return F.when(is_ascii(col), col).otherwise(icu)
     needs = needs if needs is not None else needs_nfkc(col)
     return F.when(needs, nfkc_udf(F.when(needs, col))).otherwise(col)
 
@@ -168,7 +175,8 @@ def strip_invisible(col: Column, replacement: str = "") -> Column:
 
 
 def collapse_whitespace(col: Column) -> Column:
-    return F.regexp_replace(col, WS_CLASS + "+", " ")
+    """Runs of white space as one space; a single space is no run to replace."""
+    return F.regexp_replace(col, f"{_WS_BUT_SPACE}{WS_CLASS}*| {WS_CLASS}+", " ")
 
 
 def normalise_within(nfkc_col: Column) -> Column:

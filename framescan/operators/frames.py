@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonrpc import batch_members, parse_one, unescape_astral, vget, vtype
-from ..functions.unicode import WS_CLASS
+from ..functions.jsonrpc import batch_members, odd_line, parse_one, part_text, repeats, vget, vtype
+from ..functions.unicode import NOT_WS, WS_CLASS
 from .rules import DIRECTIONS
 
 LINE_LIMIT_BYTES = 8 * 1024 * 1024  # what callers may set as the limit of a line
@@ -41,9 +41,9 @@ def read_frame_lines(spark: SparkSession, path: str, direction: str, session_id:
 
 def frames_source(frames: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Strip trailing CR/LF and drop blank lines (they are forwarded, never logged)."""
-    line = F.regexp_replace(F.col(raw_col), r"[\r\n]+$", "")
-    out = frames.withColumn(raw_col, line)
-    return out.where(strip_ws(F.col(raw_col)) != "")
+    raw = F.col(raw_col)
+    line = F.when(F.substring(raw, -1, 1).isin("\r", "\n"), F.regexp_replace(raw, r"[\r\n]+$", "")).otherwise(raw)
+    return frames.where(raw.rlike(NOT_WS)).withColumn(raw_col, line)
 
 
 def oversize_flag(frames: DataFrame, limit: int | None = LINE_LIMIT_BYTES, raw_col: str = "raw") -> DataFrame:
@@ -65,14 +65,33 @@ def split_batch(frames: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 # -------------------------------------------------------------------- parse
-def _json_text(line: Column, v: Column, path: str) -> Column:
+def _json_text(line: Column, v: Column, path: str, odd: Column) -> Column:
     """Compact JSON text of a sub-value, key order kept; NULL for absent or
-    JSON null.  Strings are quoted (``get_json_object`` would unquote them)."""
+    JSON null.  Strings are quoted (``get_json_object`` would unquote them).
+    ``odd`` lines are read by Python, so that the last of repeated keys counts."""
     sub = vget(v, path)
     t = vtype(sub)
-    return F.when(t == "STRING", F.to_json(sub)).when(t.isNull() | (t == "NULL"), F.lit(None)).otherwise(
-        unescape_astral(F.get_json_object(line, path))
+    plain = F.get_json_object(line, path)
+    exact = F.coalesce(part_text(F.when(odd, line), tuple(path.split(".")[1:])), plain)
+    return F.when(t == "STRING", F.to_json(sub)).when(t.isNull() | (t == "NULL"), F.lit(None)).when(odd, exact).otherwise(plain)
+
+
+def arguments_json(parsed: DataFrame) -> Column:
+    """Compact JSON text of a tool call's arguments, ``null`` where it has none."""
+    line = F.col("_fs_line")
+    odd = F.col("_fs_odd") | F.coalesce(repeats(line, "arguments"), F.lit(False))
+    return F.coalesce(_json_text(line, F.col("_fs_v"), "$.params.arguments", odd), F.lit("null"))
+
+
+def _error_json(line: Column, v: Column) -> Column:
+    """The error object: code, message, data if any, then its other keys."""
+    plain = F.concat(
+        F.lit('{"code":'), F.try_variant_get(v, "$.error.code", "string"),
+        F.lit(',"message":'), F.to_json(vget(v, "$.error.message")),
+        F.coalesce(F.concat(F.lit(',"data":'), _json_text(line, v, "$.error.data", F.col("_fs_odd_error"))), F.lit("")), F.lit("}"),
     )
+    odd = F.col("_fs_odd_error")
+    return F.when(odd, F.coalesce(part_text(F.when(odd, line), ("error",)), plain)).otherwise(plain)
 
 
 def parse_frame(df: DataFrame, line_col: str = "member") -> DataFrame:
@@ -108,25 +127,23 @@ def parse_frame(df: DataFrame, line_col: str = "member") -> DataFrame:
         )
         .otherwise("parse_error")
     )
-    df = df.withColumn("kind", kind)
-    k = F.col("kind")
+    error_keys = F.json_object_keys(F.get_json_object(F.col("_fs_line"), "$.error"))
+    more = F.coalesce(
+        (F.size(F.array_except(error_keys, F.array(F.lit("code"), F.lit("message"), F.lit("data")))) > 0)
+        | (F.size(F.array_distinct(error_keys)) < F.size(error_keys)),
+        F.lit(False),
+    )
+    df = df.withColumn("kind", kind).withColumn("_fs_odd", odd_line(F.col("_fs_line")))
+    df = df.withColumn("_fs_odd_error", F.coalesce(ty["error"] == "OBJECT", F.lit(False)) & (F.col("_fs_odd") | more))
+    k, odd = F.col("kind"), F.col("_fs_odd")
     is_msg = k.isin("request", "notification", "response", "error")
     line = F.col("_fs_line")
-    code = F.try_variant_get(v, "$.error.code", "string")
-    message = F.to_json(vget(v, "$.error.message"))
-    data = _json_text(line, v, "$.error.data")
-    error_json = F.when(
-        ty["error"] == "OBJECT",
-        F.concat(
-            F.lit('{"code":'), code, F.lit(',"message":'), message,
-            F.coalesce(F.concat(F.lit(',"data":'), data), F.lit("")), F.lit("}"),
-        ),
-    )
+    error_json = F.when(ty["error"] == "OBJECT", _error_json(line, v))
     return df.withColumns({
         "msg_id": F.when(k.isin("request", "response", "error"), F.try_variant_get(v, "$.id", "string")),
         "method": F.when(k.isin("request", "notification"), F.try_variant_get(v, "$.method", "string")),
-        "params_json": F.when(k.isin("request", "notification"), _json_text(line, v, "$.params")),
-        "result_json": F.when(k.isin("response", "error"), _json_text(line, v, "$.result")),
+        "params_json": F.when(k.isin("request", "notification"), _json_text(line, v, "$.params", odd)),
+        "result_json": F.when(k.isin("response", "error"), _json_text(line, v, "$.result", odd)),
         "error_json": F.when(k.isin("response", "error"), error_json),
         "_fs_is_msg": is_msg,
     })

@@ -129,7 +129,7 @@ def inspect_members(
     }).drop("_fs_d")
     # capability replies / rows
     cap_trace = RP.trace_id(F.col("frame_id"), F.lit("cap"))
-    args = F.coalesce(FR._json_text(F.col("_fs_line"), F.col("_fs_v"), "$.params.arguments"), F.lit("null"))
+    args = FR.arguments_json(m)
     m = m.withColumns({
         "cap_reply": F.when(F.col("cap_blocked"), RP.capability_reply(F.col("id_json"), F.col("tool"))),
         "cap_args": F.when(F.col("cap_blocked"), args),

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonrpc import argv_text
-from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, nfkc, probe_text, strip_invisible
+from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, is_ascii, nfkc, probe_text, strip_invisible
 from ..functions.memo import column_memo
 from .rules import BUILTIN_RULES, C2S, Rule
 
@@ -123,8 +123,9 @@ def rule_scan(
         df = df.select("*", *[_rule_hit(r, direction, True).alias(f) for r, f in zip(rules, flags)])
         return _finish(df, rules, flags, hits_col, score_col, flags + ["_fs_p0", "_fs_raw"])
     # fold(nfkc(raw)) once; the invisible-character pass only where there are any
-    df = df.withColumn("_fs_f", fold_homoglyphs(nfkc(raw)))
-    df = df.withColumn("_fs_inv", F.col("_fs_f").rlike(INVISIBLE_CLASS))
+    plain = is_ascii(raw)
+    df = df.withColumn("_fs_f", F.when(plain, raw).otherwise(fold_homoglyphs(nfkc(raw))))
+    df = df.withColumn("_fs_inv", ~plain & F.col("_fs_f").rlike(INVISIBLE_CLASS))
     f, inv = F.col("_fs_f"), F.col("_fs_inv")
     df = df.select(
         *[c for c in df.columns if c not in ("_fs_f", "_fs_inv")],

@@ -156,3 +156,14 @@ def test_loader_defaults_and_duplicates():
 def test_python_pattern_translation():
     p = R.from_python_regex(r"a\s+[\s,]b\U000e0000")
     assert "\\s" not in p and "\\x{E0000}" in p
+
+
+def test_collapsing_leaves_single_spaces(spark):
+    import re
+
+    from framescan.functions.unicode import collapse_whitespace
+
+    texts = ["a b", " a  b ", "a\tb", "\n", " \n \u3000x", "a\u00a0\u00a0 b\r\n", "", "x \ty  z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(collapse_whitespace(df["t"])).collect()]
+    assert got == [re.sub(r"\s+", " ", t) for t in texts]
