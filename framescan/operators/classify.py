@@ -117,8 +117,12 @@ def classify_misses(misses: DataFrame, classifier: Classifier) -> DataFrame:
 
 def cache_upsert(cache: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Replace by hash, newest ``cached_at`` wins."""
-    both = cache.select(*[c.split()[0] for c in CACHE_SCHEMA.split(", ")]).unionByName(new_rows)
-    latest = both.groupBy("content_hash").agg(
+    return newest(cache.select(*[c.split()[0] for c in CACHE_SCHEMA.split(", ")]).unionByName(new_rows))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The newest cache row of each hash."""
+    latest = rows.groupBy("content_hash").agg(
         F.max_by(F.struct("classifier", "score", "cached_at", "backend"), "cached_at").alias("r")
     )
     return latest.select("content_hash", "r.classifier", "r.score", "r.cached_at", "r.backend")
@@ -136,12 +140,13 @@ def run_classifier(
     now: Column,
     backend: str = "user",
     ttl_s: int = CACHE_TTL_S,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply the classifier stage to inspected rows.
 
     ``rows`` needs ``direction, det_score (rule score), shape_note,
     result_text``.  Adds ``classifier_note, det_classifier,
-    classifier_score, n_windows, n_unlabelled``; returns ``(rows, new_cache)``.
+    classifier_score, n_windows, n_unlabelled``; returns ``(rows, cache after
+    this run, the cache rows this run adds)``.
 
     Rows and answers are written once, so the rules run once and the model sees
     each distinct missed window once.  Only candidates' texts are shuffled, one
@@ -153,7 +158,7 @@ def run_classifier(
     nothing = {"det_classifier": "string", "classifier_score": "double", "n_windows": "long", "n_unlabelled": "long"}
     nulls = {c: F.lit(None).cast(t) for c, t in nothing.items()}
     if classifier is None:
-        return rows.withColumns({"classifier_note": g, **nulls}), cache
+        return rows.withColumns({"classifier_note": g, **nulls}), cache, empty_cache(spark)
     empty = blank(F.col("result_text"))
     note = F.when((g == "candidate") & empty, "skipped:empty").otherwise(g)
     rows = written_once(rows.withColumn("classifier_note", note).withColumn("_fs_text", F.when(note == "candidate", F.sha2("result_text", 256))))
@@ -193,7 +198,7 @@ def run_classifier(
         now.alias("cached_at"),
         F.lit(backend).alias("backend"),
     )
-    return gated.unionByName(judged), cache_upsert(cache, new_rows)
+    return gated.unionByName(judged), cache_upsert(cache, new_rows), new_rows
 
 
 def combine_score(rule_score: Column, classifier_score: Column) -> Column:

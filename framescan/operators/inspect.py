@@ -34,8 +34,8 @@ class Inspection:
     replies: DataFrame  # frame_id, direction, reply_line for frames that are answered/replaced
     cache: DataFrame | None = None  # classifier cache after this run
     members: DataFrame | None = None  # per-member inspection
-
     outcomes: DataFrame | None = None
+    learnt: DataFrame | None = None  # the cache rows that this run adds
 
     def release(self) -> None:
         """Nothing is held; kept for callers that release what they are done with."""
@@ -72,8 +72,9 @@ def inspect_members(
     cache: DataFrame | None = None,
     now: Column | None = None,
     line_limit: int | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Per-member inspection (narrow).  Returns ``(members, oversize, cache)``.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per-member inspection (narrow).  Returns ``(members, learnt, cache)``:
+    ``learnt`` holds the cache rows of what the model was asked.
 
     ``frames``: ``frame_id, session_id, ts, direction, raw``."""
     # Lines of any length are inspected.  Only where the caller sets a limit
@@ -92,7 +93,7 @@ def inspect_members(
     m = capability_flag(m, allowed_tools)
     m = rule_scan(m, "_fs_pm", F.col("direction"), rules)
     now = now if now is not None else F.current_timestamp()
-    m, new_cache = CL.run_classifier(m, classifier=classifier, cache=cache, now=now)
+    m, new_cache, learnt = CL.run_classifier(m, classifier=classifier, cache=cache, now=now)
     score = CL.combine_score(F.col("det_score"), F.col("classifier_score"))
     m = m.withColumn("det_score", score)
     method_hint = F.when(F.col("kind").isin("request", "notification"), F.col("method"))
@@ -136,7 +137,7 @@ def inspect_members(
         "cap_note": F.when(F.col("cap_blocked"), F.concat(F.lit("blocked_by_capability tool="), F.col("tool"), F.lit(" trace="), cap_trace)),
         "aborted_reply": RP.aborted_reply(F.col("kind"), F.col("id_json")),
     })
-    return m, None, new_cache
+    return m, learnt, new_cache
 
 
 _DET = ["det_verdict", "det_score", "rules_hit", "det_classifier", "det_action", "note"]
@@ -271,11 +272,11 @@ def inspect_frames(frames: DataFrame, *, once: bool = True, **kwargs) -> Inspect
     writes the members to the shared checkpoint folder first, so that reading
     several results, or filtering by what the scan found, does not repeat the
     rules; without it the events are one narrow pass."""
-    members, _, cache = inspect_members(frames, **kwargs)
+    members, learnt, cache = inspect_members(frames, **kwargs)
     members = members.select(*MEMBER_COLUMNS)
     if once:
         members = written_once(members)
     outcomes = frame_outcomes(members)
     events = audit_rows(members)
     replies = outcomes.where(F.col("reply_line").isNotNull()).select("frame_id", "session_id", "direction", "reply_line")
-    return Inspection(events=events, replies=replies, cache=cache, members=members, outcomes=outcomes)
+    return Inspection(events=events, replies=replies, cache=cache, members=members, outcomes=outcomes, learnt=learnt)

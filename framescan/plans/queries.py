@@ -905,7 +905,7 @@ def q_cache_lookup(spark, sf):
 def _run_cls(spark, sf):
     m = _cls_members(spark, sf)
     c = _candidates(spark, sf)
-    return CL.run_classifier(m, classifier=parity_model, cache=_cache_prev(spark, c), now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")
+    return CL.run_classifier(m, classifier=parity_model, cache=_cache_prev(spark, c), now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")[:2]
 
 
 def _sql_windows() -> str:

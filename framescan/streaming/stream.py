@@ -5,7 +5,8 @@
   replayed batch overwrites its own folder, so the sink is idempotent and the
   checkpoint gives exactly-once output.  A batch frame is one line, so all its
   members are in the same micro-batch and the batch regrouping needs no
-  cross-batch state.  Replies, where asked for, are written before the rows.
+  cross-batch state.  Replies, where asked for, are written before the rows;
+  the classifier's labels go from one micro-batch to the next by a folder.
 * ``follow``          - stream over the audit table (new files only), optional
   verdict filter and first row; the checkpoint plays the role of the cursor.
 * ``write_counts``    - event-time windowed verdict counts: each micro-batch
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import classify as CL
 from ..operators.inspect import inspect_frames
 from ..operators.stats import Key, from_cursor
 from ..sources.audit import LOG_SCHEMA, audit_read, with_date
@@ -37,25 +39,37 @@ def frames_stream(spark: SparkSession, path: str, max_files: int | None = None,
 
 
 def stream_inspect(frames: DataFrame, audit_path: str, checkpoint: str, *, available_now: bool = True,
-                   replies_path: str | None = None, **inspect_kwargs) -> StreamingQuery:
+                   replies_path: str | None = None, cache_path: str | None = None, **inspect_kwargs) -> StreamingQuery:
     """Inspect every micro-batch, write the replies of its frames to
-    ``replies_path`` and append its audit rows."""
+    ``replies_path`` and append its audit rows.  With ``cache_path`` the labels
+    that the classifier gave in earlier micro-batches are looked up there, and
+    each micro-batch writes the labels it adds under its own ``batch_id``."""
+    if cache_path is not None:
+        CL.empty_cache(frames.sparkSession).write.mode("overwrite").parquet(os.path.join(cache_path, "batch_id=-1"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ins = inspect_frames(batch, **inspect_kwargs)
-        try:
-            if replies_path is not None:
-                ins.replies.write.mode("overwrite").parquet(os.path.join(replies_path, f"batch_id={batch_id}"))
-            out = with_date(ins.events)
-            out.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, f"batch_id={batch_id}"))
-        finally:
-            ins.release()
+        folder = f"batch_id={batch_id}"
+        known = {} if cache_path is None else {"cache": read_cache(batch.sparkSession, cache_path, batch_id)}
+        ins = inspect_frames(batch, **known, **inspect_kwargs)
+        if replies_path is not None:
+            ins.replies.write.mode("overwrite").parquet(os.path.join(replies_path, folder))
+        out = with_date(ins.events)
+        out.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, folder))
+        if cache_path is not None:
+            ins.learnt.write.mode("overwrite").parquet(os.path.join(cache_path, folder))
 
     w = frames.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
 
 
+def read_cache(spark: SparkSession, cache_path: str, before: int | None = None) -> DataFrame:
+    """The newest label of each hash among the micro-batches (``before`` one of them, so that a
+    replayed micro-batch finds what it found the first time)."""
+    rows = spark.read.schema(f"{CL.CACHE_SCHEMA}, batch_id long").parquet(cache_path)
+    return CL.newest(rows if before is None else rows.where(F.col("batch_id") < before))
+
+
 def read_stream_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     """All audit rows written by ``stream_inspect`` (every micro-batch)."""
     return audit_read(spark, audit_path).drop("batch_id", "date")

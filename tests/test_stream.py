@@ -1,6 +1,9 @@
 import datetime as dt
+import os
 import tempfile
+import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from framescan.operators import frames as FR
@@ -62,6 +65,33 @@ def test_stream_writes_what_the_batch_gives(spark):
     assert sorted(map(tuple, spark.read.parquet(replies).select(lines).collect())) == sorted(map(tuple, batch.replies.select(lines).collect()))
 
 
+def test_labels_go_from_one_micro_batch_to_the_next(spark):
+    src, log, cache, ck, asked = (tempfile.mkdtemp() for _ in range(5))
+
+    def model(texts):
+        for text in texts:  # one file a question: the model runs in other processes
+            open(f"{asked}/{text.replace(' ', '_')}-{uuid.uuid4().hex}", "w").close()
+        return pd.Series(["DATA"] * len(texts), index=texts.index)
+
+    line = '{"jsonrpc":"2.0","id":%d,"result":{"content":[{"type":"text","text":"%s"}]}}'
+    for i, text in enumerate(["the first text", "the first text", "the second text"]):
+        rows = [(i, 0, T0, S2C, line % (i, text))]
+        spark.createDataFrame(rows, SS.FRAME_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        _end(SS.stream_inspect(SS.frames_stream(spark, src), log, ck, cache_path=cache, classifier=model))
+    notes = {r["frame_id"]: r["note"] for r in SS.read_stream_audit(spark, log).collect()}
+    assert notes == {0: None, 1: "cache_hit", 2: None}
+    assert sorted(f.rsplit("-", 1)[0] for f in os.listdir(asked)) == ["the_first_text", "the_second_text"]
+    assert SS.read_cache(spark, cache).count() == 2 and SS.read_cache(spark, cache, 1).count() == 1
+
+
+def test_report_reads_the_window_twice(spark):
+    log = tempfile.mkdtemp()
+    AU.audit_write(inspect_frames(_frames(spark)).events, log, mode="overwrite")
+    report = ST.stats_report(AU.audit_read(spark, log), T0, T0 + dt.timedelta(days=1), key=ST.FRAME_KEY)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+    assert report.first()["latency_p50_ms"] is None
+
+
 def test_inspected_log_is_read_by_its_frame_key(spark):
     log = tempfile.mkdtemp()
     AU.audit_write(inspect_frames(_frames(spark, 6)).events, log, mode="overwrite")
