@@ -157,7 +157,9 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
         g["u"] += hb.T @ d_u
         d_h = d_next * (1 - z) + d_u @ p["u"].T + d_states[t]
         d_next = np.where(fresh[t][:, None], np.float32(0), d_h)
-    np.add.at(g["x"], inp.ravel(), d_inputs.reshape(-1, 3 * n))
+    order = np.argsort(inp, axis=None, kind="stable")
+    own, first = np.unique(inp.ravel()[order], return_index=True)
+    g["x"][own] = np.add.reduceat(d_inputs.reshape(-1, 3 * n)[order], first)
     return loss, g, h
 
 
@@ -180,9 +182,10 @@ def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
         a = [x[t : t + window] for x in cut]
         _, g, h = gradients(p, h, *a)
         scale = np.float32(1 / a[0].size)
+        own = np.unique(a[0])
         for k, v in g.items():
-            v *= scale * np.float32(100)  # sums of a window's tokens, per hundred
-            np.clip(v, -1, 1, out=v)
-            seen[k] += v * v
-            p[k] -= np.float32(rate) * v / np.sqrt(seen[k])
+            at = own if k == "x" else slice(None)  # the input rows of other words have no gradient
+            v = np.clip(v[at] * (scale * np.float32(100)), -1, 1)  # sums of a window's tokens, per hundred
+            seen[k][at] += v * v
+            p[k][at] -= np.float32(rate) * v / np.sqrt(seen[k][at])
     return p

@@ -11,16 +11,17 @@ word a class sum to one.  A document's score is the sum of the logarithms over
 all its words and its end, whatever its length: the state is carried from
 window to window.
 
-Counts, classes and shares come from all training documents.  The network's
-weights are learned by data-parallel truncated backpropagation on a fixed share
-of them (``train_share`` of the tokens, at least ``least_tokens``: a sample
-that grows with the corpus): each replica passes over its about
-``replica_tokens`` tokens, weights are averaged, ``rounds`` times.
+Counts, classes, shares and weights come from all training documents.  The
+weights are learned by data-parallel truncated backpropagation: every training
+document goes to a replica by hash, each replica passes over its about
+``replica_tokens`` tokens, weights are averaged, ``rounds`` times.  Documents
+are coded once, as one number a token.
 
 Bounds: the driver and the workers hold the commonest words of up to
 ``MAX_BYTES`` bytes and their counts, fewer than ``head_words``; the counts of all other words stay
 in Spark and are joined to the words of the documents by key.  Weights have a
-fixed size.  Replicas' weights are averaged in groups of 16.
+fixed size.  Replicas' weights are averaged in groups of 16.  Copies of a row
+are dealt evenly to all replicas, so that none holds them all.
 
 Edge cases: a null text counts as empty: its end is its only token; a null
 doc_id is not held out; rows that repeat are scored each; without training
@@ -32,7 +33,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -104,7 +105,6 @@ class Vocabulary:
         """(ids, -1 for words not held; inp, cls, word; the words not held)."""
         get = self.ids.get
         ids = np.array([get(w, -1) for w in tokens], np.int64)
-        softmax = self.shape.n_head * self.shape.per_class
         tail = self.tails[ids]
         out = np.flatnonzero(ids < 0)
         far = [tokens[i] for i in out.tolist()]
@@ -115,11 +115,30 @@ class Vocabulary:
                 if w not in memo:
                     memo[w] = tail_class(w)
             tail[out] = [memo[w] for w in far]
-        own = (ids >= 0) & (ids < softmax)
+        return ids, *self._places(ids, tail), far
+
+    def _places(self, ids: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inp, cls, word)."""
+        own = (ids >= 0) & (ids < self.shape.n_head * self.shape.per_class)
         inp = np.where((ids >= 0) & (ids < self.n_inputs), ids, self.n_inputs + tail)
         cls = np.where(own, ids // self.shape.per_class, self.shape.n_head + tail)
         word = np.where(own, ids % self.shape.per_class, -1)
-        return ids, inp, cls, word, far
+        return inp, cls, word
+
+    def limit(self) -> int:
+        """Ids from here on have no place of their own."""
+        return max(self.shape.n_head * self.shape.per_class, self.n_inputs)
+
+    def packed(self, tokens: list[bytes], memo: dict[bytes, int]) -> bytes:
+        """One number a token: the id below the limit, the tail class above."""
+        ids, inp, *_ = self.code(tokens, memo)
+        return np.where((ids >= 0) & (ids < self.limit()), ids, self.limit() + inp - self.n_inputs).astype(np.int32).tobytes()
+
+    def unpacked(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inp, cls, word) of what ``packed`` returned; needs no words, and tails below the limit only."""
+        p = np.frombuffer(data, np.int32).astype(np.int64)
+        held = p < self.limit()
+        return self._places(np.where(held, p, -1), np.where(held, self.tails[np.minimum(p, len(self.tails) - 1)], p - self.limit()))
 
 
 def _scale(n: Column) -> Column:
@@ -204,28 +223,48 @@ def _learner(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         vocab, weights = shared.value
-        memo: dict[bytes, int] = {}
-        coded = [vocab.code([*words(t), END], memo)[1:4] for t in pdf.sort_values("h")["text"]]
+        rows = pdf.sort_values(["h", "codes"])
+        coded = [d for codes, copies in zip(rows["codes"], rows["copies"], strict=True) for d in [vocab.unpacked(codes)] * int(copies)]
         new = gru.train(weights, coded)
         return pd.DataFrame({"replica": [int(pdf["replica"].iloc[0])], "n": [1], "weights": [pickle.dumps(new)]})
 
     return learn
 
 
-def fit(docs: DataFrame, v: Vocabulary, train_share: float, least_tokens: int, replica_tokens: int, rounds: int) -> dict[str, np.ndarray]:
-    """Weights learned from the sample of the training documents."""
+def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int) -> DataFrame:
+    """(replica, h, codes, copies): all of ``docs``, coded, each with the replica that learns from it."""
+    replicas = max(1, round(v.total / replica_tokens))
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, memo = shared.value, {}
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                codes = [vocab.packed([*words(t.as_py()), END], memo) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], ["h", "codes"])
+
+    text = text_of("text")
+    coded = docs.select(F.xxhash64(F.lit(11), F.col("doc_id"), text).alias("h"), text.alias("text")).mapInArrow(run, "h long, codes binary")
+    # copies are one row with a count, shared out from the row's own replica on
+    rows = coded.groupBy("h", "codes").agg(F.count(F.lit(1)).alias("n"))
+    spread = rows.select("h", "codes", "n", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(replicas)) - 1)).alias("j"))
+    copies = F.floor(F.col("n") / replicas) + F.when(F.col("j") < F.col("n") % replicas, 1).otherwise(0)
+    replica = F.pmod(F.xxhash64(F.lit(13), "h") + F.col("j"), F.lit(replicas))
+    return spread.select(replica.alias("replica"), "h", "codes", copies.cast("long").alias("copies"))
+
+
+def fit(docs: DataFrame, v: Vocabulary, replica_tokens: int, rounds: int) -> dict[str, np.ndarray]:
+    """Weights learned from all training documents."""
     weights = _first_weights(v)
     if not v.total:
         return weights
-    share = min(1.0, max(train_share, least_tokens / v.total))
-    replicas = max(1, round(share * v.total / replica_tokens))
-    key = F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text"))
-    sample = docs.select("doc_id", text_of("text").alias("text")).where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = materialise(sample.select("text", F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(replicas)).alias("replica"), key.alias("h")))
+    rows = materialise(dealt(docs, v, replica_tokens))
+    places = replace(v, ids={}, counts=v.counts[:0], tails=v.tails[: v.limit()])
     spark = docs.sparkSession
     for _ in range(rounds):
-        learn = _learner(spark.sparkContext.broadcast((v, weights)))
-        weights = _average(sample.groupBy("replica").applyInPandas(learn, "replica long, n long, weights binary"))
+        learn = _learner(spark.sparkContext.broadcast((places, weights)))
+        weights = _average(rows.groupBy("replica").applyInPandas(learn, "replica long, n long, weights binary"))
     return weights
 
 
@@ -236,19 +275,21 @@ def lm_scores(
     input_words: int = 4096,
     per_class: int = 32,
     hidden: int = 24,
-    train_share: float = 1 / 64,
-    least_tokens: int = 1_500_000,
+    least_tokens: int = 0,
     replica_tokens: int = 1_000_000,
     rounds: int = 2,
 ) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``least_tokens`` is without effect: all training documents are learned from.
+    """
     spark = session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     training = docs.where(~held_out("doc_id"))
     counts = materialise(word_counts(training))
     step = least_step(counts, head_words)
     v = _with_totals(vocabulary(counts, step, softmax_words, input_words, per_class, hidden), counts)
-    weights = fit(training, v, train_share, least_tokens, replica_tokens, rounds)
+    weights = fit(training, v, replica_tokens, rounds)
     shared = spark.sparkContext.broadcast((v, weights))
     fields = ["doc_id", "h", "n_tokens", "n_known", "base", "model", "far"]
 

@@ -143,6 +143,29 @@ def test_lm_scores(spark, odd, none):
     assert all(r["score"] < 0 for r in got) and lm.lm_scores(none).collect() == []
 
 
+def test_every_training_document_is_learned_from(spark):
+    texts = [(i, f"w{i % 37} w{i % 11} common words of text {i % 5}") for i in range(400)] + [(7, "the same row again and again")] * 300 + [(None, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    training = d.where(~lm.held_out("doc_id"))
+    counts = lm.word_counts(training)
+    v = lm._with_totals(lm.vocabulary(counts, 0, 64, 64, 32, 8), counts)
+    rows = lm.dealt(training, v, 200).collect()
+    tokens = Counter()
+    for r in rows:
+        tokens[r["replica"]] += len(r["codes"]) // 4 * r["copies"]
+    assert sum(tokens.values()) == v.total and len(tokens) > 10 and max(tokens.values()) < 5 * 200
+    got = Counter()
+    for r in rows:
+        got[tuple(np.stack(v.unpacked(r["codes"]), 1).ravel().tolist())] += r["copies"]
+    want = Counter()
+    for i, t in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            want[tuple(np.stack(v.code([*lm.words(t or ""), lm.END], {})[1:4], 1).ravel().tolist())] += 1
+    assert got == want
+    few, many = (lm.lm_scores(d, least_tokens=n, replica_tokens=1000, rounds=1).collect() for n in (100, 10**9))
+    assert sorted(few, key=str) == sorted(many, key=str)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, odd):
     sf = "/root/testdata/sf0.001"
