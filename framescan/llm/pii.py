@@ -2,8 +2,9 @@
 
 Four kinds: email, ip, card, phone.  Base spans follow fixed patterns and are
 always kept.  Beside them, generators with high recall propose spans that may
-overlap: spelled-out and spaced addresses, number runs in any grouping with
-their parts, dotted quads.  Each proposal gets features of its format (digits,
+overlap: spelled-out and spaced mail and ip addresses, and every span of
+consecutive digit groups with 7 to 19 digits, whatever numbers stand beside it.
+Each proposal gets features of its format (digits,
 groups, separators, checksum, ranges) and of its context (neighbouring
 characters, naming words before it, digits around it); gradient-boosted trees
 score it, and a proposal above its kind's threshold that touches no base span
@@ -12,9 +13,10 @@ of any kind becomes a span (the likeliest first, never two that overlap).
 The trees are trained without hand-made labels, on a bounded sample
 (``sample_docs`` documents, the lowest by a hash of doc_id among those that
 have a base span): base spans and re-spellings of them in their own context
-(marker spelled out, country code dropped, other separators) are positive;
-spoilt ones (failing checksum, numbers out of range, digits dropped or added)
-and proposals elsewhere are negative.  The threshold of a kind is the lowest
+(marker spelled out, country code dropped, other separators, another number
+beside it) are positive; spoilt ones (failing checksum, numbers out of range,
+digits dropped or added, the number beside it taken along) and proposals
+elsewhere are negative.  The threshold of a kind is the lowest
 score at which, over the documents held back for it, at least ``precision`` of
 what passes is positive; a kind where none reaches it adds nothing.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -91,8 +94,9 @@ def base_spans(text: str) -> list[Span]:
 
 _SPELLED = re.compile(r"(?:\x20at\x20|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20?@\x20?)(?=[A-Za-z0-9])", re.I)
 _SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20dot\x20|\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\.)[A-Za-z0-9-]+)+", re.I)
+_SPELLED_IP = re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:\x20?(?:[(\[{]\x20?(?:dot|\.)\x20?[)\]}]|dot|\.)\x20?[0-9]{1,3}){3})(?![0-9]))", re.I)
 _NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,3}[0-9])+")
-_PARTS = re.compile(r"[^\x20/]+")
+_GROUP = re.compile(r"[0-9]+")
 _NAMED = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|e-?mail", r"\bip\b|host|server|address", r"card|visa|credit|pay|account|iban", r"tel|phone|call|fax|mobile|cell|whatsapp"))
 N_FEATURES = 22
 
@@ -106,22 +110,37 @@ def proposals(text: str) -> list[Span]:
             start -= 1
         if start < m.start() and (d := _SPELLED_DOMAIN.match(text, m.end())):
             out.add((start, 0, d.end()))
+    out.update((m.start(1), 1, m.end(1)) for m in _SPELLED_IP.finditer(text))
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() < 7:
             continue
-        whole = (m.start(), m.end())
-        for s, e in {whole, *((whole[0] + p.start(), whole[0] + p.end()) for p in _PARTS.finditer(m[0]))}:
-            run = text[s:e]
-            n = len(_digits(run))
-            if run.count(".") == 3 and run.replace(".", "").isdigit():
-                out.add((s, 1, e))
-            if 13 <= n <= 19:
-                out.add((s, 2, e))
-            if 7 <= n <= 15:
-                out.add((s - (text[s - 1 : s] == "("), 3, e))
+        groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
+        for i, (s, _) in enumerate(groups):
+            n = 0
+            for first, e in groups[i : i + 19]:
+                n += e - first
+                if n > 19:
+                    break
+                if n >= 13:
+                    out.add((s, 2, e))
+                if 7 <= n <= 15:
+                    out.add((s - (text[s - 1 : s] == "("), 3, e))
     return sorted(out)
 
 
+def _apart(found: list[Span], spans: list[Span]) -> list[Span]:
+    """Those of ``found`` that touch none of ``spans``."""
+    starts, ends = [], []
+    for s, _, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    at = [bisect_left(starts, p[2]) for p in found]
+    return [p for p, i in zip(found, at, strict=True) if not i or ends[i - 1] <= p[0]]
+
+
 def features(text: str, span: Span) -> list[float]:
     start, kind, end = span
     s = text[start:end]
@@ -164,15 +183,17 @@ class SpanModel:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """The proposals that pass, apart from base spans and from each other."""
-        found = [p for p in proposals(text) if not any(p[0] < e and s < p[2] for s, _, e in base)]
-        if not found:
-            return []
-        score = self.trees.probability(np.array([features(text, p) for p in found], np.float64))
-        chosen: list[Span] = []
-        for i in np.argsort(-score, kind="stable"):
-            p = found[i]
-            if score[i] >= self.thresholds[p[1]] and not any(p[0] < e and s < p[2] for s, _, e in chosen):
-                chosen.append(p)
+        found = _apart(proposals(text), base)
+        passed: list[tuple[float, Span]] = []
+        for i in range(0, len(found), 4096):
+            part = found[i : i + 4096]
+            score = self.trees.probability(np.array([features(text, p) for p in part], np.float64))
+            passed += [(-float(x), p) for x, p in zip(score, part, strict=True) if x >= self.thresholds[p[1]]]
+        chosen: list[Span] = []  # by start; they are apart
+        for _, p in sorted(passed):
+            i = bisect_left(chosen, (p[2],))
+            if not i or chosen[i - 1][2] <= p[0]:
+                chosen.insert(i, p)
         return chosen
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
@@ -188,12 +209,15 @@ def _respelled(s: str, kind: int) -> list[tuple[str, int]]:
         return [(f"{local} at {domain.replace('.', ' dot ')}", 1), (f"{local} (at) {domain.replace('.', ' (dot) ')}", 1), (f"{local}[at]{domain}", 1), (f"{local} at {domain.partition('.')[0]}", 0)]
     if kind == 1:
         p = s.split(".")
-        return [(".".join([str(300 + int(p[0])), *p[1:]]), 0), (".".join([*p[:3], str(260 + int(p[3]))]), 0)]
+        p = [str(int(x)) for x in p]
+        wrong = [[str(300 + int(p[0])), *p[1:]], [*p[:3], str(260 + int(p[3]))]]
+        marks = (" dot ", "[.]", " . ", "(dot)", "[dot]")
+        return [(m.join(p), 1) for m in marks] + [(m.join(w), 0) for w in wrong for m in (".", *marks)]
     if kind == 2:
         bad = d[:-1] + str((int(d[-1]) + 1 + int(d[0]) % 8) % 10)
-        return [(".".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), ("/".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (bad, 0), ("-".join(bad[i : i + 4] for i in range(0, len(bad), 4)), 0)]
+        return [(" ".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (".".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), ("/".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (bad, 0), ("-".join(bad[i : i + 4] for i in range(0, len(bad), 4)), 0)]
     local = d[-10:]
-    return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1), (d[:8], 0), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", 0), (local, 0)]
+    return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1), (f"{local[:3]} {local[3:6]} {local[6:]}", 1), (d[:8], 0), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", 0), (local, 0)]
 
 
 def examples(text: str) -> tuple[list[list[float]], list[int]]:
@@ -208,10 +232,26 @@ def examples(text: str) -> tuple[list[list[float]], list[int]]:
         for s, label in _respelled(text[start:end], kind):
             x.append(features(head + s + tail, (len(head), kind, len(head) + len(s))))
             y.append(label)
-    for p in proposals(text):
-        if not any(p[0] < e and s < p[2] for s, _, e in base):
-            x.append(features(text, p))
-            y.append(0)
+            if kind < 2 or not label:
+                continue
+            # beside another number: a year, or one written alike; both together, and parts of each, are neither
+            year = str(1900 + int(_digits(s)[-3:]) % 150)
+            for other in (year, s[::-1] if s[-1:].isdigit() and s[:1].isdigit() else year + year):
+                for left, right in ((f"{other} ", ""), ("", f" {other}")):
+                    near = head + left + s + right + tail
+                    at = len(head) + len(left)
+                    right_one = (at, kind, at + len(s))
+                    wide = (len(head), kind, len(head) + len(left) + len(s) + len(right))
+                    x += [features(near, right_one), features(near, wide)]
+                    y += [1, 0]
+                    cut = [p for p in proposals(near[wide[0] : wide[2]]) if p[1] == kind]
+                    cut = [q for q in ((p[0] + wide[0], kind, p[2] + wide[0]) for p in cut) if q not in (right_one, wide)]
+                    if cut:
+                        x.append(features(near, cut[int(year) % len(cut)]))
+                        y.append(0)
+    for p in _apart(proposals(text), base):
+        x.append(features(text, p))
+        y.append(0)
     return x, y
 
 

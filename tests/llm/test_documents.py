@@ -234,6 +234,27 @@ def test_spans_added_and_decoys_left(spark, odd, none):
     assert pii.redact_pii(odd).columns == odd.columns
 
 
+def test_numbers_beside_other_numbers(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        text = "x" + "".join(rng.choice(list("0123456789") * 3 + [" ", "-", ". ", " (", ") "], rng.integers(0, 60)))
+        found = {(s + (text[s] == "("), k, e) for s, k, e in pii.proposals(text) if k > 1}
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        for (s, _), (_, e) in ((a, b) for i, a in enumerate(groups) for b in groups[i:]):
+            n = sum(c.isdigit() for c in text[s:e])
+            if not re.search(r"[^0-9]{4}", text[s:e]) and e - s >= 7:
+                assert ((s, 3, e) in found) == (7 <= n <= 15) and ((s, 2, e) in found) == (13 <= n <= 19), (text, s, e)
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    spans = lambda text: {(pii.KINDS[k], text[s:e]) for s, k, e in model.spans(text)[1]}
+    assert spans("call 2024 (743) 555-3824 now") == {("phone", "(743) 555-3824")}
+    assert spans("743 555 3824 743 555 3825") == {("phone", "743 555 3824"), ("phone", "743 555 3825")}
+    assert spans("card 2024 4111 1111 1111 1111 ok") == {("card", "4111 1111 1111 1111")}
+    assert spans("host 10 dot 0 dot 0 dot 12 is down") == {("ip", "10 dot 0 dot 0 dot 12")}
+    assert spans("server 10[.]20[.]30[.]40 up") == {("ip", "10[.]20[.]30[.]40")}
+    many = "12 3456 " * 20_000
+    assert len(pii.proposals(many)) < 30 * 40_000
+
+
 # ---------------------------------------------------------------- packing
 def test_packing(odd, none, docs):
     from tokenizers import Tokenizer
