@@ -7,7 +7,7 @@ target holds the source whole, and fits the rest of the budget exactly: the
 source's documents are counted by length, most of the rest is handed out in
 proportion to the counts, and a bounded knapsack over lengths (dynamic
 programming on reachable sums) closes the gap.  Which documents of a length are
-taken is set by a seeded hash of doc_id, so reruns agree.
+taken is set by a seeded hash of doc_id and text, so reruns agree.
 
 Only counts by (source, length) reach a Python function, one source at a time:
 a row for each different length, which is bounded by the longest document and
@@ -16,8 +16,8 @@ driver.
 
 Edge cases: a null text has size 0; sources are ordered by code point with the
 null source last, as a source of its own; a document of size 0 is never taken;
-rows that repeat a doc_id within a source and length are taken or left
-together; an empty table gives an empty result.  Columns other than doc_id,
+of rows that repeat a doc_id and text within a source as many are taken as the
+budget holds (any of them); an empty table gives an empty result.  Columns other than doc_id,
 text and source pass through ``mix`` untouched, whatever their names.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, range_rank, session, text_of, words_of
+from .common import materialise, range_rank, salted_rank, session, text_of, words_of
 
 SEED = 20
 SLICES = 256
@@ -112,7 +112,7 @@ def _targets(totals: DataFrame, weights: tuple[float, ...], ceiling: float) -> D
 
 
 def _plan(sized: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataFrame:
-    """For every (source, size): source_size, target, epochs, and ``cut``: documents whose hash is at most it are taken once more."""
+    """For every (source, size): source_size, target, epochs, and ``cut``: documents whose hash is at most it are taken once more, of those whose hash is the cut only ``ties`` where that is not null."""
     hist = materialise(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = _targets(totals, weights, ceiling)
@@ -143,28 +143,36 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataF
         .where("s.upto >= p.extra and s.upto - s.n < p.extra")
         .select("s.source", "s.size", "s.slice", (F.col("p.extra") - (F.col("s.upto") - F.col("s.n"))).alias("nth"))
     )
-    row = F.row_number().over(W.partitionBy("source", "size").orderBy("h"))
-    cuts = (
+    # rows with the same hash are one row with a count
+    upto_h = W.partitionBy("source", "size").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hashes = (
         sliced.alias("s").join(edge.alias("p"), [*at, F.col("s.slice") == F.col("p.slice")])
-        .select("s.source", "s.size", "s.h", "p.nth")
-        .withColumn("row", row).where("row = nth").select("source", "size", F.col("h").alias("cut"))
+        .groupBy("s.source", "s.size", "s.h", "p.nth").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(upto_h))
     )
+    cuts = hashes.where("upto >= nth and upto - n < nth").select("source", "size", F.col("h").alias("cut"), F.when(F.col("upto") > F.col("nth"), F.col("nth") - F.col("upto") + F.col("n")).alias("ties"))
     lowest, highest = F.lit(None).cast("long"), F.lit((1 << 63) - 1)
-    return (
-        fitted.alias("s").join(cuts.alias("p"), at, "left")
-        .select("s.source", "s.size", "s.source_size", "s.target", "s.epochs", F.when(F.col("s.extra") == 0, lowest).when(F.col("s.extra") == F.col("s.n"), highest).otherwise(F.col("p.cut")).alias("cut"))
-    )
+    cut = F.when(F.col("s.extra") == 0, lowest).when(F.col("s.extra") == F.col("s.n"), highest).otherwise(F.col("p.cut")).alias("cut")
+    return materialise(fitted.alias("s").join(cuts.alias("p"), at, "left").select("s.source", "s.size", "s.source_size", "s.target", "s.epochs", cut, "p.ties"))
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.size(words_of(text_of("text"))).cast("long")
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), text_of("text")).alias("h"))
 
 
 def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     at = [F.col("r.source").eqNullSafe(F.col("q.source")), F.col("r.size") == F.col("q.size")]
-    copies = F.col("q.epochs") + F.when(F.col("r.h") <= F.col("q.cut"), 1).otherwise(0)
-    return rows.alias("r").join(plan.alias("q"), at).select("r.*", "q.source_size", "q.target", copies.alias("copies"))
+    joined = rows.alias("r").join(plan.alias("q"), at).select("r.*", "q.source_size", "q.target", "q.epochs", "q.cut", "q.ties")
+    copies = lambda more: (F.col("epochs") + F.when(more, 1).otherwise(0)).alias("copies")
+    out = [*rows.columns, "source_size", "target"]
+    if plan.where("ties is not null").isEmpty():
+        return joined.select(*out, copies(F.col("h") <= F.col("cut")))
+    # rows that cannot be told apart, of which only some are taken: numbered once, ranked in slices
+    tied = F.coalesce((F.col("h") == F.col("cut")) & F.col("ties").isNotNull(), F.lit(False))
+    numbered = materialise(joined.where(tied).withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("_id", F.monotonically_increasing_id()))
+    ranked = salted_rank(numbered, ["_group", "size"], ["_id"], "_nth")
+    return joined.where(~tied).select(*out, copies(F.col("h") <= F.col("cut"))).unionByName(ranked.select(*out, copies(F.col("_nth") < F.col("ties"))))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float = 3, seed: int = SEED) -> DataFrame:

@@ -58,15 +58,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): ``fp`` is the fingerprint as a signed long."""
-    session(docs)
+    return _fingerprinted(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), shingle)
+
+
+def _fingerprinted(d: DataFrame, shingle: int) -> DataFrame:
+    """The last column, a text, replaced by its fingerprint ``fp``; the others are longs."""
+    session(d)
+    names = [*d.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.columns[-1]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], names)
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _keys(fp: Column, max_bits: int, blocks: int) -> list[Column]:
@@ -123,16 +128,25 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks:
     return docs_fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents, one of each group: the one whose doc_id is the group's component_id.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 4) -> DataFrame:
+    """The documents, one of each group: the least by doc_id (null last) and hash of the text.
 
-    Of rows that repeat that doc_id one stays (any of them).  Rows whose doc_id
-    is null cannot be told apart by id and stay.
+    A row is known by its doc_id and text, so rows that repeat a doc_id with
+    other texts, or have none, are told apart.  Of rows that repeat both one
+    stays (any of them).
     """
-    groups = simhash_groups(docs, shingle, max_bits)
-    keep = materialise(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    kept = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    more = keep.where("n > 1").select("doc_id")
+    key = [F.col("doc_id").cast("long"), F.xxhash64(F.lit(SEED), text_of("text"))]
+    found = _fingerprinted(docs.select(key[0].alias("doc_id"), key[1].alias("h"), text_of("text").alias("text")), shingle)
+    rows = found.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("least")
+    fps = materialise(rows.groupBy("fp").agg(least))
+    comp = components(hamming_edges(fps.select("fp"), max_bits, blocks))
+    named = fps.join(comp, fps["fp"] == comp["node"], "left").select("least", F.coalesce("component", "fp").alias("component"))
+    keep = materialise(named.groupBy("component").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h"), F.col("k.n").alias("_n")))
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key[0].alias("_doc_id"), key[1].alias("_text"))
+    at = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h"))
+    kept = d.join(keep.where("_n = 1"), at, "left_semi")
+    more = keep.where("_n > 1")
     if not more.isEmpty():
-        kept = kept.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+        kept = kept.unionByName(d.join(more, at, "left_semi").dropDuplicates(["_doc_id", "_text"]))
+    return kept.select("row.*")

@@ -95,6 +95,20 @@ def test_simhash_groups(odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "6", "7", "8", "None"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = "the same long text of many words stands here twice and is kept once only in the end"
+    texts = [(1, f"text number {i} about {chr(97 + i % 26) * 3} and w{i * 7} q{i * 13}") for i in range(30)]
+    texts += [(1, near), (5, near), (1, "shared by null ids"), (None, "shared by null ids"), (None, "null only a b c d"), (None, "null only a b c d"), (None, "another null e f g"), (9, "copied x y z"), (9, "copied x y z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    label = plain_groups(sorted({plain_fingerprint(t) for _, t in texts}), lambda a, b: (a ^ b).bit_count() <= 2)
+    kept = rows(simhash.drop_near_duplicates(df))
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(label[plain_fingerprint(t)], []).append((i is None, i or 0))
+    assert sorted(label[plain_fingerprint(t)] for _, t in kept) == sorted(groups)
+    assert all((i is None, i or 0) == min(groups[label[plain_fingerprint(t)]]) for i, t in kept) and set(kept) <= set(texts)
+
+
 @pytest.mark.parametrize("max_bits,bucket", [(1, 2), (2, 2), (2, 1000)])
 def test_hamming_edges_lose_no_link(spark, max_bits, bucket):
     rng = np.random.default_rng(max_bits)
@@ -179,6 +193,22 @@ def test_mix(odd, none, docs):
         assert sum(r["taken"] for r in found) == epochs * sum(sizes) + best
 
 
+def test_mix_of_repeated_ids_fills_the_budget(spark, tmp_path):
+    same = [(7, "one two three", "a", i) for i in range(90)] + [(7, f"four five w{i}", "a", i) for i in range(30)] + [(None, "six seven eight", None, i) for i in range(60)]
+    spark.createDataFrame([*same, *[(100 + i, "nine ten", "b", i) for i in range(50)]], "doc_id long, text string, source string, n int").repartition(4).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    plan = mixing.mix_plan(df).collect()
+    assert len(plan) == df.count()
+    got = {}
+    for r in plan:
+        got.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    for (size, target), taken in got.items():
+        step = 2 if size == 100 else 3
+        assert sum(taken) == int(target) // step * step, (size, target)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and sum(len(r["text"].split()) for r in mixed.collect()) == sum(r["taken"] for r in plan)
+
+
 # ---------------------------------------------------------------- quality votes
 def test_quality_votes(spark, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
