@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_repair, embed_dedup, lm, mixing, packing, pii, quality_knn, quality_rules, sharding, simhash
+from . import alignment, bpe, chat_repair, embed_dedup, lm, mixing, packing, pii, quality_knn, quality_rules, sharding, simhash, whitening
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,21 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_measures(read_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_chat_repair, op3_mix_to_weights, op4_embedding_groups, op5_lm_scores, op6_quality_votes, op7_simhash_groups, op8_pii_spans, op9_hash_shards, op10_pack_sequences)
+    for f in (op1_quality_rules, op2_chat_repair, op3_mix_to_weights, op4_embedding_groups, op5_lm_scores, op6_quality_votes, op7_simhash_groups, op8_pii_spans, op9_hash_shards, op10_pack_sequences, op11_token_alignment, op12_bpe_round_trip, op13_whitened_embeddings)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.sql(), "op9_hash_shards": sharding.sql()}
