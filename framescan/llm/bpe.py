@@ -49,7 +49,7 @@ from .common import session, text_of
 
 PART = 1 << 16  # characters or ids taken at once
 HELD = 4096  # characters of one unfinished word before its settled tokens are given out
-CACHE_WORDS = 300_000  # in each of two generations
+CACHE_WORDS = 400_000  # in each of two generations
 CACHED_LENGTH = 64  # characters of a word worth remembering
 ROWS = 128  # rows a returned batch
 
@@ -112,8 +112,7 @@ class Vocabulary:
         """Ids of a piece: the pair of least rank first, the leftmost of equals."""
         ids = list(map(self.first.__getitem__, piece))
         n, ranks = len(ids), self.ranks
-        heap = [(*r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, w) for rank, w, i in heap]
+        heap = [(r[0], i, r[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (r := ranks.get(pair))]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
@@ -134,6 +133,20 @@ class Vocabulary:
         return [t for t in ids if t >= 0]
 
 
+class Words(dict):
+    """Ids of words met lately, in two generations; others are merged when asked for."""
+
+    def __init__(self, vocabulary: Vocabulary, older: dict[str, bytes] | None = None):
+        self.vocabulary = vocabulary
+        self.older = dict(older or {})
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or _numbers(self.vocabulary.merge(word.encode()))
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+
 class Coder:
     """A vocabulary with its splitter and the ids of words met lately; one for each Python worker."""
 
@@ -150,8 +163,7 @@ class Coder:
         self._pieces = Tokenizer.from_str(definition).pre_tokenizer.pre_tokenize_str
         self._classed: set[str] = set()
         self._stand_ins: dict[int, str] = {}
-        self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.ids = Words(self.vocabulary)
 
     def _class_of(self, c: str) -> str:
         joined = (s for s in ("a", "1", "!") if len(self._pieces(s + c)) == 1)
@@ -177,15 +189,8 @@ class Coder:
     def code(self, words: list[str]) -> bytes:
         """Ids of whole words, as little-endian unsigned 32-bit numbers."""
         if len(self.ids) > CACHE_WORDS:
-            self.old, self.ids = self.ids, {}
-        new = set(words).difference(self.ids)
-        for w in new:
-            self.ids[w] = self.old.get(w) or _numbers(self.vocabulary.merge(w.encode()))
-        ids = b"".join(map(self.ids.__getitem__, words))
-        for w in new:
-            if len(w) > CACHED_LENGTH:
-                del self.ids[w]
-        return ids
+            self.ids = Words(self.vocabulary, self.ids)
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 def _numbers(ids: list[int]) -> bytes:
