@@ -38,8 +38,8 @@ from .common import materialise, session, text_of
 
 # a space between two other characters; Python counts more characters as spaces than either tokenizer
 CUT = re.compile(r" (?=\S)(?<=\S )")
-STRETCHES = 200_000  # remembered by a worker
-REMEMBERED = 64  # characters of a stretch worth remembering
+STRETCHES = 400_000  # remembered by a worker
+REMEMBERED = 6_000_000  # characters in them
 ROWS = 128
 BLOCK_PAIRS = 1 << 18  # different pairs, text by text, after which a block of texts is closed
 ALIGNED = "block long, digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
@@ -75,6 +75,9 @@ class Tokens:
         # a piece that goes on after a space would join two stretches; such a vocabulary is given whole texts
         self.cuts = not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_byte(i))
 
+    def a_ids(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def split(self, text: str) -> list[str]:
         """The text in stretches, each without the space before it."""
         return CUT.split(text) if self.cuts else [text]
@@ -89,6 +92,7 @@ class Aligner:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0  # characters
         self.groups: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.whole = np.zeros(0, bool)  # the tokens spell the stretch back
@@ -98,31 +102,41 @@ class Aligner:
     def learn(self, new: list[str]) -> None:
         """Align stretches, all in one row of bytes behind one another."""
         t = self.tokens
-        spelled = [" " + s for s in new]
-        size = np.array([len(s.encode()) for s in spelled], np.int64)
-        a = [e.ids for e in t.a.encode_batch_fast(spelled, add_special_tokens=False)]
-        b = t.b.encode(new, num_threads=1)
-        whole = np.array([b"".join(map(t.b_bytes.__getitem__, ids)) == s.encode() for s, ids in zip(spelled, b, strict=True)], bool)
-        n_a, n_b = (np.array([len(ids) if w else 0 for ids, w in zip(all_ids, whole, strict=True)], np.int64) for all_ids in (a, b))
-        ids_a, ids_b = (np.array([i for ids, w in zip(all_ids, whole, strict=True) if w for i in ids], np.int64) for all_ids in (a, b))
+        # what neither begins nor ends with a space is coded in one go, as the parts of one text
+        plain = [s for s in new if t.cuts and not (s[:1].isspace() or s[-1:].isspace() or "▁" in s)]
+        inner = " ".join(plain)
+        a, b = (t.a_ids(" " + inner), t.b.encode(inner)) if plain else ([], [])
+        if b"".join(map(t.b_bytes.__getitem__, b)) != (" " + inner if plain else "").encode():
+            plain, a, b = [], [], []
+        apart = sorted(set(new).difference(plain)) if len(plain) < len(new) else []
+        new = plain + apart
+        size = np.array([1 + len(s) if s.isascii() else 1 + len(s.encode()) for s in new], np.int64)
+        whole = np.ones(len(new), bool)
+        for i, s in enumerate(apart, len(plain)):
+            alone = t.b.encode(s)
+            whole[i] = b"".join(map(t.b_bytes.__getitem__, alone)) == (" " + s).encode()
+            if whole[i]:
+                a += t.a_ids(" " + s)
+                b += alone
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         # ends of tokens, and of each link: every end of either kind
         ends_a, ends_b = np.cumsum(t.a_size[ids_a]), np.cumsum(t.b_size[ids_b])
         ends = np.union1d(ends_a, ends_b)
         link_a, link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         until = np.cumsum(np.where(whole, size, 0))
-        links = np.diff(np.searchsorted(ends, until, "right"), prepend=0)
-        groups = np.diff(np.searchsorted(common, until, "right"), prepend=0)
+        n_a, n_b, groups, links = (np.diff(np.searchsorted(e, until, "right"), prepend=0) for e in (ends_a, ends_b, common, ends))
         pairs = ids_a[link_a] * len(t.b_bytes) + ids_b[link_b]
         # text of the groups
         cut_a, cut_b = np.searchsorted(ends_a, common, "right").tolist(), np.searchsorted(ends_b, common, "right").tolist()
-        said_a, said_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        said_a, said_b = list(map(str, a)), list(map(str, b))
         said, p, q = [], 0, 0
         for i, j in zip(cut_a, cut_b, strict=True):
             said.append((said_a[p] if i == p + 1 else ",".join(said_a[p:i])) + "|" + (said_b[q] if j == q + 1 else ",".join(said_b[q:j])))
             p, q = i, j
         upto = np.cumsum(groups).tolist()
         start = len(self.groups)
+        self.held += sum(map(len, new))
         self.groups += [";".join(said[i:j]) for i, j in zip([0, *upto[:-1]], upto, strict=True)]
         self.at.update(zip(new, range(start, start + len(new)), strict=True))
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, groups, links], axis=1)])
@@ -132,10 +146,10 @@ class Aligner:
 
     def align(self, texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         """For each text: its four counts, its groups as text, its different pairs and how often each links."""
-        if len(self.at) > STRETCHES:
+        if len(self.at) > STRETCHES or self.held > REMEMBERED:
             self.clear()
         stretches = [self.tokens.split(t) for t in texts]
-        new = sorted(set().union(*stretches).difference(self.at))
+        new = list(set().union(*stretches).difference(self.at))
         if new:
             self.learn(new)
         for parts in stretches:
@@ -148,8 +162,6 @@ class Aligner:
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pairs, times = np.unique(self.pairs[np.repeat(self.first[at], n) + inside], return_counts=True)
             yield self.counts[at].sum(axis=0).tolist(), ";".join(map(self.groups.__getitem__, at.tolist())), pairs, times.astype(np.int32)
-        if any(len(s) > REMEMBERED for s in new):
-            self.clear()  # long stretches would fill the memory
 
 
 _ALIGNERS: dict[int, Aligner] = {}
