@@ -4,21 +4,26 @@
       -> allowlist -> rule scan -> [classifier stage] -> policy -> verdict
       -> block reply / downgrade -> batch abort -> synthetic rows
 
-Per-member work is one narrow stage.  Only members of multi-member batch
-frames meet again, in a window over their frame: single frames - the bulk -
-never shuffle, and nothing is held in executors.  A frame is known by session,
-direction and frame id.
+Per-member work is one narrow stage.  Every line has a key of its own from the
+source on, whatever its ids, and its members stay next to each other in their
+partition, so they are gathered into one row a frame without a shuffle (an
+array of structs), decided there by ``exists`` / ``filter`` / ``transform``, and
+exploded last.  Only a join on the way (a classifier's answers, an allowlist
+given as a DataFrame) moves members; they are then brought together by the
+line's key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written_once
+from ..session import check_conf, written_once
 from . import classify as CL
 from . import frames as FR
 from . import replies as RP
@@ -27,6 +32,8 @@ from .rules import C2S, S2C, Rule
 from .scan import hits_array, rule_scan, spread
 
 
+LINE_KEY = "_fs_row"  # one for each source line
+
 
 @dataclass
 class Inspection:
@@ -37,9 +44,6 @@ class Inspection:
     outcomes: DataFrame | None = None
     learnt: DataFrame | None = None  # the cache rows that this run adds
 
-    def release(self) -> None:
-        """Nothing is held; kept for callers that release what they are done with."""
-
 
 def capability_flag(members: DataFrame, allowed_tools: Sequence[str] | DataFrame | None) -> DataFrame:
     """``cap_blocked``: a client->server ``tools/call`` whose ``tool`` is not
@@ -79,7 +83,8 @@ def inspect_members(
     ``frames``: ``frame_id, session_id, ts, direction, raw``."""
     # Lines of any length are inspected.  Only where the caller sets a limit
     # are longer ones logged as kind 'raw', 'line_limit_exceeded', unread.
-    src = spread(FR.oversize_flag(FR.frames_source(frames), line_limit))
+    check_conf(frames.sparkSession)
+    src = spread(FR.oversize_flag(FR.frames_source(frames), line_limit).withColumn(LINE_KEY, F.monotonically_increasing_id()))
     big = F.col("oversize")
     m = FR.split_batch(src.withColumn("_fs_split", F.when(~big, F.col("raw"))), raw_col="_fs_split")
     m = m.withColumn("member", F.when(big, F.col("raw")).otherwise(F.col("member"))).drop("_fs_split")
@@ -143,50 +148,75 @@ def inspect_members(
 _DET = ["det_verdict", "det_score", "rules_hit", "det_classifier", "det_action", "note"]
 
 
-def frame_outcomes(members: DataFrame) -> DataFrame:
+def gather_members(members: DataFrame) -> DataFrame:
+    """One row a frame: ``m``, its members as an array of structs in order.
+
+    A single frame is an array of its own; members of a batch frame stand next
+    to each other, so each run of rows of one line becomes one array, with no
+    shuffle and no more held than a line."""
+    struct = F.struct("pos", *[c for c in MEMBER_COLUMNS if c != "pos"])
+    kind = f"{LINE_KEY} long, m array<{members.select(struct.alias('m')).schema['m'].dataType.simpleString()}>"
+
+    def arrays(rows: list[pa.RecordBatch], cuts: list[int]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), t["m"].chunk(0))
+        return pa.RecordBatch.from_arrays([t[LINE_KEY].chunk(0).take(pa.array(cuts[:-1])), lists], [LINE_KEY, "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the line that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(key)) + 1
+            before = sum(r.num_rows for r in held)
+            if held and held[-1].column(0)[-1].as_py() != key[0]:
+                starts = np.concatenate([[0], starts])
+            if not len(starts):
+                held.append(b)
+                continue
+            last = int(starts[-1])
+            whole = [*held, b.slice(0, last)] if last else held
+            cuts = [before + int(i) for i in starts]
+            yield arrays(whole, cuts if cuts[0] == 0 else [0, *cuts])
+            held = [b.slice(last)]
+        if held:
+            yield arrays(held, [0, sum(r.num_rows for r in held)])
+
+    single = members.where(F.col("n_members") <= 1).select(LINE_KEY, F.array(struct).alias("m"))
+    batch = members.where(F.col("n_members") > 1).select(LINE_KEY, struct.alias("m")).mapInArrow(run, kind)
+    return single.unionByName(batch)
+
+
+def _first_block(m: Column) -> Column:
+    """Position of a frame's first member that the detector blocked."""
+    return F.array_min(F.transform(F.filter(m, lambda x: x["is_block"]), lambda x: x["pos"]))
+
+
+def frame_outcomes(framed: DataFrame) -> DataFrame:
     """Per frame: ``frame_cap`` (some member capability-blocked),
     ``first_block`` (position of the first blocked member with a reply),
-    the blocking member's det columns and the reply line for the frame.
-
-    Single frames are computed row-wise; batch frames are grouped."""
-    single = members.where(F.col("n_members") <= 1).select(
-        "frame_id",
-        "direction",
-        "session_id",
-        "ts",
-        F.col("cap_blocked").alias("frame_cap"),
-        F.when(F.col("is_block"), F.col("pos")).alias("first_block"),
-        F.when(F.col("is_block"), F.struct("reply", *_DET)).alias("blocking"),
-        F.when(F.col("cap_blocked"), F.col("cap_reply")).when(F.col("is_block"), F.col("reply")).alias("reply_line"),
-    )
-    b = members.where(F.col("n_members") > 1)
-    out_cap = F.when(F.col("cap_blocked"), F.col("cap_reply")).otherwise(F.col("aborted_reply"))
-    out_det = (
-        F.when(F.col("is_block"), F.col("reply"))
-        .when(F.col("direction") == S2C, F.col("member"))
-        .otherwise(F.col("aborted_reply"))
-    )
-    agg = b.groupBy("frame_id", "direction", "session_id").agg(
-        F.first("ts").alias("ts"),
-        F.max(F.col("cap_blocked").cast("int")).alias("_cap"),
-        F.min(F.when(F.col("is_block"), F.col("pos"))).alias("first_block"),
-        F.min_by(F.struct("reply", *_DET), F.when(F.col("is_block"), F.col("pos"))).alias("blocking"),
-        F.collect_list(F.struct("pos", out_cap.alias("c"), out_det.alias("d"))).alias("parts"),
-    )
-    parts = F.array_sort(F.col("parts"))
-    line_cap = F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["c"]), ","), F.lit("]"))
-    line_det = F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["d"]), ","), F.lit("]"))
-    batch = agg.select(
-        "frame_id",
-        "direction",
-        "session_id",
-        "ts",
-        (F.col("_cap") == 1).alias("frame_cap"),
-        "first_block",
-        F.when(F.col("first_block").isNotNull(), F.col("blocking")).alias("blocking"),
-        F.when(F.col("_cap") == 1, line_cap).when(F.col("first_block").isNotNull(), line_det).alias("reply_line"),
+    the blocking member's det columns and the reply line for the frame."""
+    m = F.col("m")
+    one = F.element_at(m, 1)
+    first = _first_block(m)
+    cap = F.exists(m, lambda x: x["cap_blocked"])
+    blocking = F.element_at(F.filter(m, lambda x: x["is_block"]), 1)
+
+    def line(part) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(m, part), ","), F.lit("]"))
+
+    line_cap = line(lambda x: F.when(x["cap_blocked"], x["cap_reply"]).otherwise(x["aborted_reply"]))
+    line_det = line(lambda x: F.when(x["is_block"], x["reply"]).when(x["direction"] == S2C, x["member"]).otherwise(x["aborted_reply"]))
+    single = F.when(one["cap_blocked"], one["cap_reply"]).when(one["is_block"], one["reply"])
+    batch = F.when(cap, line_cap).when(first.isNotNull(), line_det)
+    return framed.select(
+        *[one[c].alias(c) for c in ("frame_id", "direction", "session_id", "ts")],
+        cap.alias("frame_cap"),
+        first.alias("first_block"),
+        F.when(first.isNotNull(), F.struct(*[blocking[c].alias(c) for c in ("reply", *_DET)])).alias("blocking"),
+        F.when(F.size(m) > 1, batch).otherwise(single).alias("reply_line"),
     )
-    return single.unionByName(batch)
 
 
 AUDIT_COLUMNS = [
@@ -196,65 +226,64 @@ AUDIT_COLUMNS = [
 ]
 
 
-def _with_frame(members: DataFrame) -> DataFrame:
-    """``_fcap`` (some member of the frame is capability-blocked) and ``_first`` (position of its first block).
-    Only members of batch frames are shuffled."""
-    cap, at = F.col("cap_blocked"), F.when(F.col("is_block"), F.col("pos"))
-    frame = Window.partitionBy("session_id", "direction", "frame_id")
-    single = members.where(F.col("n_members") <= 1).withColumns({"_fcap": cap, "_first": at})
-    batch = members.where(F.col("n_members") > 1).withColumns({"_fcap": F.max(cap).over(frame), "_first": F.min(at).over(frame)})
-    return single.unionByName(batch)
-
-
-def audit_rows(members: DataFrame) -> DataFrame:
+def audit_rows(framed: DataFrame) -> DataFrame:
     """One audit row per member, and after the first member that the detector
     blocked in a client->server frame one synthetic server->client row."""
-    m = _with_frame(members)
-    fcap, cap, none = F.col("_fcap"), F.col("cap_blocked"), F.lit(None).cast("string")
-    inspected = ~fcap & ~F.col("oversize")
-    rules = hits_array(F.col("rules_hit"))
-    own = {
-        "frame_id": F.col("frame_id"),
-        "pos": F.col("pos").cast("int"),
-        "session_id": F.col("session_id"),
-        "ts": F.col("ts"),
-        "direction": F.col("direction"),
-        "kind": FR.event_kind(F.col("kind")),
-        "msg_id": F.col("msg_id"),
-        "method": F.col("method"),
-        "params_json": F.when(cap, F.col("cap_args")).otherwise(F.col("params_json")),
-        "result_json": F.when(~cap, F.col("result_json")),
-        "error_json": F.when(~cap, F.col("error_json")),
-        "raw": F.col("member"),
-        "note": F.when(cap, F.col("cap_note")).when(F.col("oversize"), F.lit("line_limit_exceeded")).when(inspected, F.col("note")),
-        "det_verdict": F.when(cap, "BLOCK").when(inspected, F.col("det_verdict")),
-        "det_score": F.when(inspected, F.col("det_score")),
-        "det_rules": F.when(inspected, rules),
-        "det_classifier": F.when(inspected, F.col("det_classifier")),
-        "det_latency_ms": F.lit(None).cast("int"),
-        "det_action": F.when(cap, "block").when(inspected, F.col("det_action")),
-    }
-    # the reply is an error message written by us: its error object follows the id
-    at = F.length(F.col("id_json")) + len('{"jsonrpc":"2.0","id":,"error":') + 1
-    answer = own | {
-        "pos": F.lit(-1),
-        "direction": F.lit(S2C),
-        "kind": F.lit("error"),
-        "method": none,
-        "params_json": none,
-        "result_json": none,
-        "error_json": F.substring(F.col("reply"), at, F.length("reply") - at),
-        "raw": F.col("reply"),
-        "note": F.lit("synthetic-block"),
-        "det_verdict": F.col("det_verdict"),
-        "det_score": F.col("det_score"),
-        "det_rules": rules,
-        "det_classifier": F.col("det_classifier"),
-        "det_action": F.col("det_action"),
-    }
-    row = lambda cols: F.struct(*[cols[c].alias(c) for c in AUDIT_COLUMNS])
-    answered = (F.col("direction") == C2S) & ~fcap & (F.col("pos") == F.col("_first"))
-    return m.select(F.inline(F.array_compact(F.array(row(own), F.when(answered, row(answer))))))
+    m, none = F.col("m"), F.lit(None).cast("string")
+    # what the frame decides for all its members, once
+    framed = framed.select("m", F.exists(m, lambda x: x["cap_blocked"]).alias("_fcap"), _first_block(m).alias("_first"))
+    fcap = F.col("_fcap")
+
+    def own(x: Column) -> dict[str, Column]:
+        cap, inspected = x["cap_blocked"], ~fcap & ~x["oversize"]
+        return {
+            "frame_id": x["frame_id"],
+            "pos": x["pos"].cast("int"),
+            "session_id": x["session_id"],
+            "ts": x["ts"],
+            "direction": x["direction"],
+            "kind": FR.event_kind(x["kind"]),
+            "msg_id": x["msg_id"],
+            "method": x["method"],
+            "params_json": F.when(cap, x["cap_args"]).otherwise(x["params_json"]),
+            "result_json": F.when(~cap, x["result_json"]),
+            "error_json": F.when(~cap, x["error_json"]),
+            "raw": x["member"],
+            "note": F.when(cap, x["cap_note"]).when(x["oversize"], F.lit("line_limit_exceeded")).when(inspected, x["note"]),
+            "det_verdict": F.when(cap, "BLOCK").when(inspected, x["det_verdict"]),
+            "det_score": F.when(inspected, x["det_score"]),
+            "det_rules": F.when(inspected, hits_array(x["rules_hit"])),
+            "det_classifier": F.when(inspected, x["det_classifier"]),
+            "det_latency_ms": F.lit(None).cast("int"),
+            "det_action": F.when(cap, "block").when(inspected, x["det_action"]),
+        }
+
+    def answer(x: Column) -> dict[str, Column]:
+        # the reply is an error message written by us: its error object follows the id
+        at = F.length(x["id_json"]) + len('{"jsonrpc":"2.0","id":,"error":') + 1
+        return own(x) | {
+            "pos": F.lit(-1),
+            "direction": F.lit(S2C),
+            "kind": F.lit("error"),
+            "method": none,
+            "params_json": none,
+            "result_json": none,
+            "error_json": F.substring(x["reply"], at, F.length(x["reply"]) - at),
+            "raw": x["reply"],
+            "note": F.lit("synthetic-block"),
+            "det_verdict": x["det_verdict"],
+            "det_score": x["det_score"],
+            "det_rules": hits_array(x["rules_hit"]),
+            "det_classifier": x["det_classifier"],
+            "det_action": x["det_action"],
+        }
+
+    def row(cols: dict[str, Column]) -> Column:
+        return F.struct(*[cols[c].alias(c) for c in AUDIT_COLUMNS])
+
+    answered = F.filter(m, lambda x: (x["direction"] == C2S) & x["is_block"] & (x["pos"] == F.col("_first")))
+    answers = F.when(~fcap, F.transform(answered, lambda x: row(answer(x)))).otherwise(F.array())
+    return framed.select(F.inline(F.concat(F.transform(m, lambda x: row(own(x))), answers)))
 
 
 MEMBER_COLUMNS = [
@@ -273,10 +302,13 @@ def inspect_frames(frames: DataFrame, *, once: bool = True, **kwargs) -> Inspect
     several results, or filtering by what the scan found, does not repeat the
     rules; without it the events are one narrow pass."""
     members, learnt, cache = inspect_members(frames, **kwargs)
-    members = members.select(*MEMBER_COLUMNS)
+    members = members.select(LINE_KEY, *MEMBER_COLUMNS)
+    if kwargs.get("classifier") is not None or kwargs.get("cache") is not None or isinstance(kwargs.get("allowed_tools"), DataFrame):
+        # a join may have moved them
+        members = members.repartition(LINE_KEY).sortWithinPartitions(LINE_KEY, "pos")
     if once:
         members = written_once(members)
-    outcomes = frame_outcomes(members)
-    events = audit_rows(members)
+    framed = gather_members(members)
+    outcomes = frame_outcomes(framed)
     replies = outcomes.where(F.col("reply_line").isNotNull()).select("frame_id", "session_id", "direction", "reply_line")
-    return Inspection(events=events, replies=replies, cache=cache, members=members, outcomes=outcomes, learnt=learnt)
+    return Inspection(events=audit_rows(framed), replies=replies, cache=cache, members=members.drop(LINE_KEY), outcomes=outcomes, learnt=learnt)

@@ -63,6 +63,15 @@ def apply_required_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+def check_conf(spark: SparkSession) -> None:
+    """Refuse a session whose settings would change or never end what follows; nothing is set behind the caller's back."""
+    excluded = (spark.conf.get("spark.sql.optimizer.excludedRules", "") or "").split(",")
+    wrong = [k for k, v in REQUIRED_CONF.items() if spark.conf.get(k, None) != v and v not in excluded]
+    if wrong:
+        raise ValueError(f"framescan.session.apply_required_conf(spark) must be called first; these differ: {', '.join(wrong)}")
+    ship_package(spark)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "framescan") -> SparkSession:
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = (
