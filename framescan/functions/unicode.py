@@ -129,17 +129,20 @@ nfkc_udf = F.pandas_udf(_nfkc_series, T.StringType())
 _ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
-@functools.lru_cache(maxsize=1)
+_icu: list[bool] = []  # what was found, once there was a session to ask
+
+
 def icu_available() -> bool:
     """Spark bundles ICU4J (collation support); check the driver classpath."""
-    try:
-        from pyspark.sql import SparkSession
+    from pyspark.sql import SparkSession
 
-        spark = SparkSession.getActiveSession()
-        spark._jvm.java.lang.Class.forName(_ICU_NORMALIZER)  # classic (non-Connect) sessions
-        return True
-    except Exception:  # noqa: BLE001 - no JVM handle or class missing -> Python fallback
-        return False
+    if not _icu and (spark := SparkSession.getActiveSession()) is not None:
+        try:
+            spark._jvm.java.lang.Class.forName(_ICU_NORMALIZER)  # classic (non-Connect) sessions
+            _icu.append(True)
+        except Exception:  # noqa: BLE001 - no JVM handle or class missing -> Python fallback
+            _icu.append(False)
+    return bool(_icu) and _icu[0]
 
 
 def is_ascii(col: Column) -> Column:
@@ -194,7 +197,7 @@ def probe_text(col: Column) -> Column:
     odd = col.contains(CASE_ODD_FROM[0])
     for ch in CASE_ODD_FROM[1:]:
         odd = odd | col.contains(ch)
-    return F.lower(F.when(odd, F.translate(col, CASE_ODD_FROM, CASE_ODD_TO)).otherwise(col))
+    return F.lower(F.when(is_ascii(col), col).when(odd, F.translate(col, CASE_ODD_FROM, CASE_ODD_TO)).otherwise(col))
 
 
 # DuckDB spellings of the same views (used by the SQL oracle).  DuckDB has no

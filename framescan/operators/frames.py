@@ -5,11 +5,12 @@ flat event columns.  All built-in expressions except the batch re-dump
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonrpc import batch_members, odd_line, parse_one, part_text, repeats, vget, vtype
 from ..functions.unicode import NOT_WS, WS_CLASS
+from ..session import check_conf
 from .rules import DIRECTIONS
 
 LINE_LIMIT_BYTES = 8 * 1024 * 1024  # what callers may set as the limit of a line
@@ -26,16 +27,33 @@ def strip_ws(col: Column) -> Column:
 
 
 # ------------------------------------------------------------------ sources
+FILE_LINES = 1 << 40  # ids of one file
+
+
 def read_frame_lines(spark: SparkSession, path: str, direction: str, session_id: int = 0) -> DataFrame:
     """Newline-delimited frames from text files: ``frame_id, session_id,
-    direction, raw``.  Lines end at LF alone.  ``frame_id`` is the position of the line within the
-    file set in Spark's deterministic split order."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
-        F.monotonically_increasing_id().alias("frame_id"),
+    direction, raw, file, line_no``.  Lines end at LF alone.
+
+    ``line_no`` is the line's place in its file, from 0, and ``frame_id`` the
+    place of the file among those read (by path) times 2**40 plus that: both
+    are the same however Spark splits the files, and no two lines share one.
+    Each split's lines are counted first; only those counts, one row a split,
+    are ranked and joined, no line is shuffled for its number."""
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", at[0].alias("file"), at[1].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    files = blocks.select("file").distinct().withColumn("_file_no", F.row_number().over(Window.orderBy("file")) - 1)
+    placed = lines.join(blocks.join(files, "file"), ["file", "_block"])
+    line_no = F.col("_start") + F.col("_at") - F.col("_first")
+    return placed.select(
+        (F.col("_file_no").cast("long") * FILE_LINES + line_no).alias("frame_id"),
         F.lit(session_id).cast("long").alias("session_id"),
         F.lit(direction).alias("direction"),
         F.col("value").alias("raw"),
+        "file",
+        line_no.alias("line_no"),
     )
 
 
@@ -98,6 +116,7 @@ def parse_frame(df: DataFrame, line_col: str = "member") -> DataFrame:
     """Add ``kind`` (empty / parse_error / batch / request / notification /
     response / error) and the event columns ``msg_id, method, params_json,
     result_json, error_json`` (NULL unless the line parsed to a message)."""
+    check_conf(df.sparkSession)
     s = strip_ws(F.col(line_col))
     df = df.withColumn("_fs_line", s).withColumn("_fs_v", parse_one(F.col("_fs_line")))
     v = F.col("_fs_v")

@@ -16,8 +16,8 @@ Plan shape (all narrow, one stage):
 Work avoided per row, all exact:
 
 * a normalised view equal to an earlier view is not scanned again;
-* a rule whose literal ``probes`` do not occur in the lower-cased view skips
-  its regex on that view;
+* a rule whose pattern needs literals that the lower-cased view lacks skips its
+  regex on that view (``operators.literals`` reads them off the pattern);
 * the four Unicode rules only scan the raw view (both normalised views delete
   the characters they look for).
 """
@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from ..functions.jsonrpc import argv_text
 from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, is_ascii, nfkc, probe_text, strip_invisible
 from ..functions.memo import column_memo
-from .rules import BUILTIN_RULES, C2S, Rule
+from ..session import check_conf
+from .literals import WIDE, Condition
+from .rules import BUILTIN_RULES, C2S, Rule, check_patterns
 
 _VIEWS = ("_fs_raw", "_fs_within", "_fs_between")
-_PROBES = ("_fs_p0", "_fs_p1", "_fs_p2")
 _NEW = (None, "_fs_wnew", "_fs_bnew")
 
 
@@ -50,38 +51,50 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if target else df
 
 
-def _any_probe(rule: Rule, probe_col: str) -> Column | None:
-    if not rule.probes:
-        return None
-    col = F.col(probe_col)
-    return reduce(lambda a, b: a | b, [col.contains(p) for p in rule.probes])
+def _occurs(condition: Condition, text: Column) -> Column:
+    """The condition on literals, as one short-circuit expression over a lower-cased text."""
+    if condition == WIDE:
+        return ~is_ascii(text)
+    if isinstance(condition, str):
+        return text.contains(condition)
+    kind, *parts = condition
+    return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), [_occurs(p, text) for p in parts])
 
 
-def _rule_hit(rule: Rule, direction: str | Column, raw_only: bool = False) -> Column:
-    key = direction if isinstance(direction, str) else ("col", str(direction))
-    return _rule_hit_memo(rule, key, raw_only, direction)
+@column_memo
+def _candidate(rule: Rule, text: str) -> Column:
+    """Whether a text holds the literals that a match of the rule needs."""
+    return _occurs(rule.condition, F.col(text)) if rule.condition is not None else F.lit(True)
 
 
 @column_memo
-def _rule_hit_memo(rule: Rule, _key, raw_only: bool, direction=None) -> Column:
+def _view_hit(rule: Rule, n: int, raw_only: bool) -> Column:
+    """Whether a rule, the ``n``-th, matches a view whose literals allow it."""
     pattern = rule.java_pattern
-    terms: list[Column] = []
-    for i, (view, probe, new) in enumerate(zip(_VIEWS, _PROBES, _NEW)):
-        if i > 0 and (rule.raw_view_only or raw_only):
-            break
-        cond = F.col(view).rlike(pattern)
-        p = _any_probe(rule, probe)
-        if p is not None:
-            cond = p & cond
-        if new is not None:
-            cond = F.col(new) & cond
-        terms.append(cond)
-    hit = reduce(lambda a, b: a | b, terms)
-    if isinstance(direction, Column):
-        hit = direction.isin(*rule.apply_to) & hit
+    hit = F.col(f"_fs_c{n}") & F.col(_VIEWS[0]).rlike(pattern)
+    if not (raw_only or rule.raw_view_only):
+        # both normalised views hold the same literals: they differ in white space only
+        for view, new in zip(_VIEWS[1:], _NEW[1:]):
+            hit = hit | (F.col(new) & F.col(f"_fs_d{n}") & F.col(view).rlike(pattern))
     return F.coalesce(hit, F.lit(False))
 
 
+def _with_hits(df: DataFrame, rules: Sequence[Rule], direction: str | Column, raw_only: bool) -> tuple[DataFrame, list[str]]:
+    """Hit flags of all rules.  The literals are looked for first, once for the raw text and once more
+    where the normalised text is another one: that leaves each text its candidate rules."""
+    applies = {n: direction.isin(*r.apply_to) if isinstance(direction, Column) else F.lit(True) for n, r in enumerate(rules)}
+    df = df.select("*", *[(applies[n] & _candidate(r, "_fs_p0")).alias(f"_fs_c{n}") for n, r in enumerate(rules)])
+    drop = [f"_fs_c{n}" for n in range(len(rules))] + ["_fs_p0"]
+    if not raw_only:
+        more = {n: r for n, r in enumerate(rules) if not r.raw_view_only}
+        df = df.select(
+            "*", *[F.when(F.col("_fs_wnew"), applies[n] & _candidate(r, "_fs_p1")).otherwise(F.col(f"_fs_c{n}")).alias(f"_fs_d{n}") for n, r in more.items()]
+        )
+        drop += [f"_fs_d{n}" for n in more] + ["_fs_p1"]
+    flags = [f"_fs_h{n}" for n in range(len(rules))]
+    return df.select("*", *[_view_hit(r, n, raw_only).alias(f) for n, (r, f) in enumerate(zip(rules, flags))]), flags + drop
+
+
 def with_scan_text(df: DataFrame, text_col: str, direction: str | Column) -> DataFrame:
     """Text fed to the rules: for client->server rows the space-joined string
     arrays of a ``tools/call`` request's ``params.arguments`` are appended."""
@@ -113,15 +126,16 @@ def rule_scan(
     ``raw_only`` scans the raw text alone (rule linting semantics).
     """
     rules = list(rules or BUILTIN_RULES)
+    check_conf(df.sparkSession)
+    check_patterns(rules)
     if isinstance(direction, str):
         rules = [r for r in rules if direction in r.apply_to]
     df = with_scan_text(df, text_col, direction)
     raw = F.col("_fs_raw")
     if raw_only:
         df = df.withColumn("_fs_p0", probe_text(raw))
-        flags = [f"_fs_h{i}" for i in range(len(rules))]
-        df = df.select("*", *[_rule_hit(r, direction, True).alias(f) for r, f in zip(rules, flags)])
-        return _finish(df, rules, flags, hits_col, score_col, flags + ["_fs_p0", "_fs_raw"])
+        df, drop = _with_hits(df, rules, direction, True)
+        return _finish(df, rules, drop[: len(rules)], hits_col, score_col, [*drop, "_fs_raw"])
     # fold(nfkc(raw)) once; the invisible-character pass only where there are any
     plain = is_ascii(raw)
     df = df.withColumn("_fs_f", F.when(plain, raw).otherwise(fold_homoglyphs(nfkc(raw))))
@@ -137,15 +151,13 @@ def rule_scan(
         "_fs_bnew": (F.col("_fs_between") != raw) & (F.col("_fs_between") != F.col("_fs_within")),
         "_fs_p0": probe_text(raw),
     })
-    # Probe texts.  Every whitespace-free substring of ``between`` is also a
-    # substring of ``within`` (between only turns invisibles into spaces and
-    # shortens whitespace runs), so the within probe text serves both views;
-    # when within equals raw, the raw probe text does.
+    # Every whitespace-free substring of ``between`` is also one of ``within``
+    # (between only turns invisibles into spaces and shortens whitespace runs),
+    # so the literals of ``within`` serve both; where within equals raw, raw's do.
     df = df.withColumn("_fs_p1", F.when(F.col("_fs_wnew"), probe_text(F.col("_fs_within"))))
-    df = df.withColumn("_fs_p2", F.coalesce(F.col("_fs_p1"), F.col("_fs_p0")))
-    flags = [f"_fs_h{i}" for i in range(len(rules))]
-    df = df.select("*", *[_rule_hit(r, direction).alias(f) for r, f in zip(rules, flags)])
-    drop = flags + list(_PROBES) + ["_fs_wnew", "_fs_bnew"]
+    df, drop = _with_hits(df, rules, direction, False)
+    flags = drop[: len(rules)]
+    drop += ["_fs_wnew", "_fs_bnew"]
     if not keep_views:
         drop += list(_VIEWS)
     return _finish(df, rules, flags, hits_col, score_col, drop)

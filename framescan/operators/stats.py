@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 STATS_SCHEMA_VERSION = 1
 VERDICTS = ("PASS", "WARN", "BLOCK")
+TOTALS = ("total_events", "n_pass", "n_warn", "n_block")
 # the order of a log that inspection wrote, which has no event_id
 FRAME_KEY = ("ts", "session_id", "direction", "frame_id", "pos")
+# the order in which rows came into a log that is written by commits (``sources.audit.audit_commit``): late rows come last
+ARRIVAL_KEY = ("commit_no", "row_no")
 Key = str | Sequence[str]
 
 
@@ -32,13 +35,6 @@ def key_column(key: Key) -> Column:
     return F.col(key) if isinstance(key, str) else F.struct(*key)
 
 
-def _key_value(audit: DataFrame, key: Key, value) -> Column:
-    """A row key's value as a literal in the log's own types."""
-    if isinstance(key, str):
-        return F.lit(value)
-    return F.struct(*[F.lit(v).cast(audit.schema[c].dataType).alias(c) for c, v in zip(key, value, strict=True)])
-
-
 _UNITS = {"d": "days", "h": "hours", "m": "minutes"}
 
 
@@ -66,9 +62,36 @@ def _verdict_counts() -> list[Column]:
     return [F.count("*").alias("total_events"), *[F.count_if(v == x).alias(f"n_{x.lower()}") for x in VERDICTS]]
 
 
-def _latency() -> list[Column]:
-    ms = F.col("det_latency_ms").cast("double")
-    return [F.percentile(ms, 0.5).alias("latency_p50_ms"), F.percentile(ms, 0.95).alias("latency_p95_ms")]
+PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
+
+
+def _counts_and_latency(w: DataFrame) -> DataFrame:
+    """One row: verdict counts, exact percentiles interpolated between neighbours, ``n_samples``.
+
+    Rows are counted by latency, which combines map-side; running counts over
+    the different latencies (whole milliseconds, so no more than the longest
+    has of them) say where each one's ranks begin."""
+    by_latency = w.groupBy(F.col("det_latency_ms").alias("ms")).agg(*_verdict_counts())
+    timed = F.when(F.col("ms").isNotNull(), F.col("total_events")).otherwise(0)
+    order = Window.orderBy("ms")
+    ranked = by_latency.select(
+        "*",
+        F.coalesce(F.sum(timed).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"),
+        F.sum(timed).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
+        timed.alias("n"),
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("ms").cast("double")))
+
+    found, out = [], []
+    for name, p in PERCENTILES.items():
+        place = (F.col("all") - 1) * F.lit(p)
+        found += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high")]
+        low, high, place = F.col(f"{name}_low"), F.col(f"{name}_high"), (F.col("n_samples") - 1) * F.lit(p)
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]
+    return ranked.agg(*totals, *found, F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples")).select(*TOTALS, *out, "n_samples")
 
 
 def stats_verdicts(w: DataFrame) -> DataFrame:
@@ -96,33 +119,28 @@ def stats_top_rules(w: DataFrame, k: int = 5, key: Key = "event_id") -> DataFram
 def stats_latency(w: DataFrame) -> DataFrame:
     """Exact linear-interpolated p50/p95 of ``det_latency_ms`` (NULL without
     samples)."""
-    return w.where(F.col("det_latency_ms").isNotNull()).agg(*_latency(), F.count("*").alias("n_samples"))
+    return _counts_and_latency(w).select(*PERCENTILES, "n_samples")
 
 
 def stats_report(audit: DataFrame, start: dt.datetime, end: dt.datetime, key: Key = "event_id") -> DataFrame:
     """One row: schema version, period bounds, totals, verdicts, top rules
     ("id:count" joined in rank order) and latency percentiles."""
     w = window(audit, start, end)
-    # percentiles skip rows without a latency, so one pass gives counts and latency
-    counted = w.agg(*_verdict_counts(), *_latency())
     top = stats_top_rules(w, key=key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "rule_id", "count"))), lambda s: F.concat(s["rule_id"], F.lit(":"), s["count"].cast("string"))),
             ",",
         ).alias("top_rules")
     )
-    # the rules' one row beside the other as a scalar subquery: two reads of the window
-    return counted.select(
+    # two one-row parts laid over one another: their reads of the window run side by side
+    parts = _counts_and_latency(w).unionByName(top, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).select(
         F.lit(STATS_SCHEMA_VERSION).alias("schema_version"),
         F.lit(start).alias("period_start"),
         F.lit(end).alias("period_end"),
-        "total_events",
-        "n_pass",
-        "n_warn",
-        "n_block",
-        top.scalar().alias("top_rules"),
-        "latency_p50_ms",
-        "latency_p95_ms",
+        *TOTALS,
+        "top_rules",
+        *PERCENTILES,
     )
 
 
@@ -148,9 +166,30 @@ def tail(audit: DataFrame, n: int = 20, verdict: str | None = None, key: Key = "
     return df.orderBy(*[F.desc(c) for c in names]).limit(n).orderBy(*names)
 
 
+def _after(audit: DataFrame, key: Key, cursor, equal: bool) -> Column:
+    """Rows whose key follows the cursor's (or equals it), column by column, so that the first
+    column's bound reaches partitions and Parquet statistics; nulls come first."""
+    if isinstance(key, str):
+        return F.col(key) >= F.lit(cursor) if equal else F.col(key) > F.lit(cursor)
+    out = F.lit(equal)
+    for c, v in reversed(list(zip(key, cursor, strict=True))):
+        bound = F.lit(v).cast(audit.schema[c].dataType)
+        later = F.col(c).isNotNull() if v is None else F.col(c) > bound
+        out = later | (F.col(c).eqNullSafe(bound) & out)
+    first, value = key[0], cursor[0]
+    if value is None:
+        return out
+    bound = F.lit(value).cast(audit.schema[first].dataType)
+    out = (F.col(first) >= bound) & out
+    if first == "ts" and "date" in audit.columns:
+        out = (F.col("date") >= F.to_date(bound)) & out
+    return out
+
+
 def page_since(audit: DataFrame, cursor, n: int = 500, verdict: str | None = None, key: Key = "event_id") -> DataFrame:
-    """Rows with key > cursor, ascending, at most ``n`` (cursor paging). A key of several columns takes a tuple."""
-    df = audit.where(key_column(key) > _key_value(audit, key, cursor))
+    """Rows with key > cursor, ascending, at most ``n`` (cursor paging). A key of several columns takes a tuple.
+    By ``ARRIVAL_KEY`` every new row is paged, also one whose ``ts`` is late, and only later commits are read."""
+    df = audit.where(_after(audit, key, cursor, False))
     if verdict is not None:
         df = df.where(F.col("det_verdict") == verdict)
     return df.orderBy(*_names(key)).limit(n)
@@ -158,7 +197,7 @@ def page_since(audit: DataFrame, cursor, n: int = 500, verdict: str | None = Non
 
 def from_cursor(audit: DataFrame, cursor, key: Key = "event_id") -> DataFrame:
     """Rows at or after a cursor (None: all)."""
-    return audit if cursor is None else audit.where(key_column(key) >= _key_value(audit, key, cursor))
+    return audit if cursor is None else audit.where(_after(audit, key, cursor, True))
 
 
 def seed_cursor(audit: DataFrame, n: int = 20, verdict: str | None = None, key: Key = "event_id"):

@@ -1084,6 +1084,43 @@ def q_follow_seeded(spark, sf):
     return _audit_cols(spark.read.parquet(out))
 
 
+_LATE = "event_id % 3 = 0"  # a third of the rows comes in a commit of its own, whatever its time
+
+
+def _two_commits(spark, sf, between=lambda path: None):
+    """The audit log in two commits, the second one late in time, and the last row of the first as a cursor."""
+    path = AU.scratch_path(spark, "commits")
+    a = AU.audit_like(spark, sf)
+    AU.audit_commit(a.where(f"NOT ({_LATE})"), path)
+    cursor = ST.seed_cursor(AU.audit_read(spark, path), 1, key=ST.ARRIVAL_KEY)
+    between(path)
+    AU.audit_commit(a.where(_LATE), path)
+    return path, cursor
+
+
+@register("page_since_arrival", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE {_LATE}")
+def q_page_since_arrival(spark, sf):
+    """Pages from the end of the first commit on hold the whole second one."""
+    _prep(spark)
+    path, cursor = _two_commits(spark, sf)
+    log = AU.audit_read(spark, path)
+    return _audit_cols(ST.page_since(log, cursor, log.count(), key=ST.ARRIVAL_KEY))
+
+
+@register("follow_arrival", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE {_LATE} AND det_verdict = 'BLOCK'")
+def q_follow_arrival(spark, sf):
+    """A follower that has seen the first commit is shown the second, however late its rows' times."""
+    _prep(spark)
+    out, ck = AU.scratch_path(spark, "follow-out"), AU.scratch_path(spark, "ckpt-follow")
+
+    def first(path):
+        _run_to_end(SS.copy_stream(SS.follow(spark, path, "BLOCK"), AU.scratch_path(spark, "follow-first"), ck))
+
+    path, _ = _two_commits(spark, sf, first)
+    _run_to_end(SS.copy_stream(SS.follow(spark, path, "BLOCK"), out, ck))
+    return _audit_cols(spark.read.parquet(out))
+
+
 # ------------------------------------------- one log: inspect, write, report
 _LOG_START, _LOG_END = _dt.datetime(2000, 1, 1), _dt.datetime(2200, 1, 1)
 

@@ -41,7 +41,17 @@ V2_FIELDS = [
 ]
 AUDIT_SCHEMA = T.StructType(V1_FIELDS + V2_FIELDS)
 # the log as stored: rows of inspected frames are known by their place instead of an event_id
-LOG_SCHEMA = T.StructType([*AUDIT_SCHEMA.fields, T.StructField("frame_id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("date", T.DateType())])
+# and, where the log is written by commits, by the order in which they came
+LOG_SCHEMA = T.StructType(
+    [
+        *AUDIT_SCHEMA.fields,
+        T.StructField("frame_id", T.LongType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("row_no", T.LongType()),
+        T.StructField("commit_no", T.LongType()),
+        T.StructField("date", T.DateType()),
+    ]
+)
 V1_COLUMNS = [f.name for f in V1_FIELDS]
 AUDIT_COLUMNS = [f.name for f in AUDIT_SCHEMA.fields]
 
@@ -132,6 +142,31 @@ def audit_write(df: DataFrame, path: str, mode: str = "append") -> None:
     with_date(df).write.mode(mode).partitionBy("date").parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def next_commit(spark: SparkSession, path: str) -> int:
+    """One more than the last commit of a log; a log has one writer."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return 0
+    names = [e.getPath().getName() for e in fs.listStatus(folder)]
+    return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith("commit_no=")), default=-1)
+
+
+def audit_commit(df: DataFrame, path: str, commit_no: int | None = None) -> int:
+    """Append rows as one commit: ``commit_no=<n>/date=<d>``, each row with its ``row_no`` inside.
+
+    The pair orders the log by arrival (``stats.ARRIVAL_KEY``), whatever the
+    rows' ``ts``.  A commit that is written again replaces itself."""
+    n = next_commit(df.sparkSession, path) if commit_no is None else commit_no
+    out = with_date(df.drop("commit_no")).withColumn("row_no", F.monotonically_increasing_id())
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(os.path.join(path, f"commit_no={n}"))
+    return n
+
+
 def audit_read(spark: SparkSession, path: str) -> DataFrame:
     """Old (v1) and new (v2) files together, by the log's own schema: columns
     a file lacks read as NULL and no footers are merged."""
@@ -169,8 +204,7 @@ def write_retention(spark: SparkSession, path: str, keep_days: int, now: str, ou
     first = spark.range(1).select(F.to_date(_cutoff(keep_days, now)).alias("d")).first()["d"]
     edge = written_once(kept.where(F.col("date") == F.lit(first)))
     edge.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, fs = _folder(spark, path)
     stale = f"date={first}" if not edge.isEmpty() else f"date={first}~"
     for entry in fs.listStatus(folder):
         name = entry.getPath().getName()

@@ -1,8 +1,8 @@
 """Structured Streaming: continuous inspection, log follow, rolling counts.
 
 * ``stream_inspect``  - frames stream -> ``inspect_frames`` per micro-batch
-  (``foreachBatch``) -> audit rows appended under ``batch_id=<id>``.  A
-  replayed batch overwrites its own folder, so the sink is idempotent and the
+  (``foreachBatch``) -> audit rows appended as the commit of its number.  A
+  replayed batch overwrites its own commit, so the sink is idempotent and the
   checkpoint gives exactly-once output.  A batch frame is one line, so all its
   members are in the same micro-batch and the batch regrouping needs no
   cross-batch state.  Replies, where asked for, are written before the rows;
@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import classify as CL
 from ..operators.inspect import inspect_frames
 from ..operators.stats import Key, from_cursor
-from ..sources.audit import LOG_SCHEMA, audit_read, with_date
+from ..sources.audit import LOG_SCHEMA, audit_commit, audit_read
 
 FRAME_SCHEMA = "frame_id long, session_id long, ts timestamp, direction string, raw string"
 
@@ -53,8 +53,7 @@ def stream_inspect(frames: DataFrame, audit_path: str, checkpoint: str, *, avail
         ins = inspect_frames(batch, **known, **inspect_kwargs)
         if replies_path is not None:
             ins.replies.write.mode("overwrite").parquet(os.path.join(replies_path, folder))
-        out = with_date(ins.events)
-        out.write.mode("overwrite").partitionBy("date").parquet(os.path.join(audit_path, folder))
+        audit_commit(ins.events, audit_path, batch_id)
         if cache_path is not None:
             ins.learnt.write.mode("overwrite").parquet(os.path.join(cache_path, folder))
 
@@ -72,13 +71,14 @@ def read_cache(spark: SparkSession, cache_path: str, before: int | None = None)
 
 def read_stream_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     """All audit rows written by ``stream_inspect`` (every micro-batch)."""
-    return audit_read(spark, audit_path).drop("batch_id", "date")
+    return audit_read(spark, audit_path).drop("commit_no", "row_no", "date")
 
 
 def follow(spark: SparkSession, audit_path: str, verdict: str | None = None, max_files: int | None = None,
            start=None, key: Key = "event_id") -> DataFrame:
     """Streaming view of audit rows (optionally one verdict) from ``start`` on:
-    with ``stats.seed_cursor`` that is the newest rows, then only new ones."""
+    with ``stats.seed_cursor`` that is the newest rows, then only new ones
+    (by ``stats.ARRIVAL_KEY`` all of them, however late their ``ts``)."""
     r = spark.readStream.schema(LOG_SCHEMA).option("basePath", audit_path)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)

@@ -167,3 +167,65 @@ def test_collapsing_leaves_single_spaces(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(collapse_whitespace(df["t"])).collect()]
     assert got == [re.sub(r"\s+", " ", t) for t in texts]
+
+
+# ------------------------------------------------------------------ literals
+def test_required_literals():
+    from framescan.operators.literals import WIDE, required
+
+    assert required("abc") == "abc" and required("(?i)ABC") == "abc"
+    assert required("https?://x") == "http" and required("a+b*c") == ("and", "a", "c")
+    assert required("(?:foo|bar)\\d{2}baz") == ("and", "baz", ("or", "bar", "foo"))
+    assert required("(?:foo|[0-9]+)") is None and required("x?") is None and required("a [\\s]b") == ("and", "a", "b")
+    assert required("[\\x{200B}\\x{E0000}-\\x{E007F}]") == WIDE and required("(?i)\\x{17F}") is None
+    assert required("[a&&[b]]x") is None and required("\\p{L}x") is None and required("a(") is None
+
+
+@pytest.mark.parametrize("rule", R.BUILTIN_RULES, ids=lambda r: r.id)
+def test_matches_hold_what_is_required(rule):
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from framescan.operators import literals as L
+
+    python = re.compile(L._python(rule.pattern), re.M)
+
+    @settings(max_examples=60, deadline=None, database=None)
+    @given(st.from_regex(python))
+    def check(text):
+        odd = str.maketrans({"\u212a": "k", "\u017f": "s", "\u0130": "i", "\u0131": "i"})
+        assert L.holds(rule.condition, text.translate(odd).lower())
+
+    check()
+    assert not rule.probes or L.implies(rule.condition, rule.probes)
+
+
+def test_patterns_are_compiled_when_loaded(spark):
+    with pytest.raises(ValueError, match="not valid"):
+        R.load_rules([{"id": "a", "pattern": "(unclosed"}])
+    with pytest.raises(ValueError, match="not valid"):
+        R.check_patterns([R.Rule("a", "x{2,1}")])
+
+
+def test_probes_that_could_hide_a_match_are_refused(spark):
+    with pytest.raises(ValueError, match="need not hold"):
+        R.load_rules([{"id": "a", "pattern": "foo|bar", "probes": ["foo"]}])
+    assert R.load_rules([{"id": "a", "pattern": "foo|bar", "probes": ["FOO", "ba"]}])[0].probes == ("foo", "ba")
+
+
+def test_user_rules_need_no_probes(scan):
+    rules = R.load_rules([{"id": "n", "pattern": r"(?P<a_1>\d+)[[&]x(?P=a_1)\Z"}, {"id": "m", "pattern": "(?:key|\\u00e9t\\u00e9)s"}], portable=False)
+    got = scan(["12&x12", "12&x13", "12[x12\n", "keys \u00e9t\u00e9s", "7[x7"], rules=rules)
+    assert [h for h, _ in got] == [["n"], [], [], ["m"], ["n"]]
+
+
+def test_packs_are_read_from_files(spark, tmp_path):
+    (tmp_path / "b.yaml").write_text("rules:\n- {id: two, pattern: 'foo\\s+bar', score: 0.7, attack_examples: ['foo bar'], false_positive_examples: [foobar]}\n")
+    (tmp_path / "a.yaml").write_text("rules:\n- {id: one, pattern: 'x', apply_to: client_to_server}\n")
+    rules = R.load_rule_packs(str(tmp_path))
+    assert [r.id for r in rules] == ["one", "two"] and rules[1].attack_examples == ("foo bar",)
+    (tmp_path / "c.yaml").write_text("rules:\n- {id: three, pattern: '[z'}\n")
+    with pytest.raises(ValueError, match="c.yaml.*not valid"):
+        R.load_rule_packs(str(tmp_path))
