@@ -14,7 +14,7 @@ rows it links to and the least vector of its group in the tile, not its links;
 groups are joined across tiles as connected components.  Equal vectors are one
 row with a count, so a vector that fills a third of the table costs no more
 than another.  Blocks hold an eighth of the different vectors, between 2,048
-and 65,536: each vector is sent to as many tiles as there are blocks.
+(``least_block``) and 65,536: each vector is sent to as many tiles as there are blocks.
 
 All pairs are compared, so time grows with the square of the number of
 different vectors; no exact method prunes vectors spread evenly over 64
@@ -96,7 +96,7 @@ def _tile(table: pa.Table, threshold: float) -> pa.Table:
     # lengths are taken of the largest component's multiple, so that squares neither overflow nor vanish
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    same = bool(first.all())
+    same = table["t"][0].as_py() == table["u"][0].as_py()  # not: only rows of the first block are here
     order = np.argsort(~first, kind="stable")
     cut = int(first.sum())
     x, node, rows = x[order], node[order], rows[order]
@@ -111,7 +111,7 @@ def _tile(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": node[some], "links": links[some], "least": node[label[some]]})
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", least_block: int = 2048) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
     session(vectors)
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
@@ -121,7 +121,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "
     different = usable.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     reps = materialise(different.withColumn("node", F.monotonically_increasing_id()))
     count = reps.count()
-    block_rows = min(65536, max(2048, -(-count // 8)))
+    block_rows = min(65536, max(least_block, -(-count // 8)))
     blocks = max(1, -(-count // block_rows))
     own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
     tiled = reps.select("node", "n", "v", F.size("v").alias("dim"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))

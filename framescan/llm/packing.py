@@ -2,11 +2,11 @@
 
 Every document is tokenized whole and followed by an end id.  What is longer
 than a sequence is cut into full sequences; the rest of each document is one
-piece.  The pieces are counted by length (in classes of ``unit`` tokens, each
-piece counted as its class's longest), a linear program over patterns of
+piece.  The pieces are counted by length (exactly up to ``SHORT`` tokens, above
+in classes of ``unit`` tokens, each piece counted as its class's longest), a linear program over patterns of
 classes is solved by column generation, and the rounded patterns are handed to
 the pieces by their rank within their class, so only the histogram of at most
-``length / unit`` classes reaches the driver.
+``SHORT + length / unit`` classes reaches the driver.
 
 Tokens are looked up by word: the tokenizer's normalisation and splitting never
 look across white space, so the ids of a text are those of its words in turn.
@@ -37,6 +37,7 @@ from .cutting import plan_bins
 
 LENGTH = 2048
 END_ID = 1
+SHORT = 64  # tokens up to which every length is a class of its own
 CACHE_WORDS = 400_000
 MARKS = b".,!?;:*$%&#|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -146,21 +147,21 @@ def pieces(docs: DataFrame, definition: str, length: int = LENGTH, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, PIECES)
 
 
-def _slots(histogram: dict[int, int], units: int) -> dict[int, list[tuple[int, int, int]]]:
+def _slots(histogram: dict[int, int], length: int) -> dict[int, list[tuple[int, int, int]]]:
     """For every class: (first rank, items a bin, first bin) of each run of bins that share a pattern."""
     out: dict[int, list[tuple[int, int, int]]] = {k: [] for k in histogram}
     given = dict.fromkeys(histogram, 0)
     first = 0
-    sizes = np.array(sorted(k for k in histogram if k < units), np.int64)
-    plan = plan_bins(sizes, np.array([histogram[int(k)] for k in sizes], np.int64), units)
+    sizes = np.array(sorted(k for k in histogram if k < length), np.int64)
+    plan = plan_bins(sizes, np.array([histogram[int(k)] for k in sizes], np.int64), length)
     for pattern, uses in plan:
         for k, a in zip(sizes.tolist(), pattern.tolist(), strict=True):
             if a:
                 out[k].append((given[k], a, first))
                 given[k] += a * uses
         first += uses
-    if units in histogram:
-        out[units].append((0, 1, first))
+    if length in histogram:
+        out[length].append((0, 1, first))
     return out
 
 
@@ -171,9 +172,9 @@ def pack(docs: DataFrame, definition: str | None = None, length: int = LENGTH, u
     if definition is None:
         with open(tokenizer_path(), encoding="utf-8") as f:
             definition = f.read()
-    cut = materialise(pieces(docs, definition, length, end_id).withColumn("class", F.ceil(F.col("length") / unit).cast("long")))
+    cut = materialise(pieces(docs, definition, length, end_id).withColumn("class", F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) * unit).cast("long")))
     histogram = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = _slots(histogram, length // unit)
+    slots = _slots(histogram, length)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = {k: np.array(v, np.int64).reshape(-1, 3) for k, v in slots.items()}

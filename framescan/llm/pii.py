@@ -81,10 +81,16 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The spans of the fixed patterns, by start and kind."""
     out = [(s, 0, e) for s, e in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_is_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -95,7 +101,8 @@ def base_spans(text: str) -> list[Span]:
 _SPELLED = re.compile(r"(?:\x20at\x20|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20?@\x20?)(?=[A-Za-z0-9])", re.I)
 _SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20dot\x20|\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\.)[A-Za-z0-9-]+)+", re.I)
 _SPELLED_IP = re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:\x20?(?:[(\[{]\x20?(?:dot|\.)\x20?[)\]}]|dot|\.)\x20?[0-9]{1,3}){3})(?![0-9]))", re.I)
-_NUMBER = re.compile(r"[0-9](?:[\x20()./-]{0,3}[0-9])+")
+# groups of digits may be set apart by spaces of any width, dashes of any length, or the end of a line
+_NUMBER = re.compile(r"[0-9](?:[\x20\t\r\n\xA0\u2002-\u200A\u202F\u2010-\u2015\u2212()./-]{0,3}[0-9])+")
 _GROUP = re.compile(r"[0-9]+")
 _NAMED = tuple(re.compile(p, re.I) for p in (r"mail|contact|write|e-?mail", r"\bip\b|host|server|address", r"card|visa|credit|pay|account|iban", r"tel|phone|call|fax|mobile|cell|whatsapp"))
 N_FEATURES = 22
@@ -201,6 +208,9 @@ class SpanModel:
         return base, sorted(base + self.added(text, base))
 
 
+_WIDE = ("\xa0", "\u2013", "\u2011")  # a no-break space, two dashes
+
+
 def _respelled(s: str, kind: int) -> list[tuple[str, int]]:
     """(spelling, label) of one base span: the same data written otherwise is positive, spoilt data negative."""
     d = _digits(s)
@@ -209,15 +219,15 @@ def _respelled(s: str, kind: int) -> list[tuple[str, int]]:
         return [(f"{local} at {domain.replace('.', ' dot ')}", 1), (f"{local} (at) {domain.replace('.', ' (dot) ')}", 1), (f"{local}[at]{domain}", 1), (f"{local} at {domain.partition('.')[0]}", 0)]
     if kind == 1:
         p = s.split(".")
-        p = [str(int(x)) for x in p]
+        p = [x.lstrip("0") or "0" for x in p]
         wrong = [[str(300 + int(p[0])), *p[1:]], [*p[:3], str(260 + int(p[3]))]]
         marks = (" dot ", "[.]", " . ", "(dot)", "[dot]")
         return [(m.join(p), 1) for m in marks] + [(m.join(w), 0) for w in wrong for m in (".", *marks)]
     if kind == 2:
         bad = d[:-1] + str((int(d[-1]) + 1 + int(d[0]) % 8) % 10)
-        return [(" ".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (".".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), ("/".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (bad, 0), ("-".join(bad[i : i + 4] for i in range(0, len(bad), 4)), 0)]
+        return [(" ".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (".".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), *((m.join(d[i : i + 4] for i in range(0, len(d), 4)), 1) for m in _WIDE), ("/".join(d[i : i + 4] for i in range(0, len(d), 4)), 1), (bad, 0), ("-".join(bad[i : i + 4] for i in range(0, len(bad), 4)), 0)]
     local = d[-10:]
-    return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1), (f"{local[:3]} {local[3:6]} {local[6:]}", 1), (d[:8], 0), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", 0), (local, 0)]
+    return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1), (f"{local[:3]} {local[3:6]} {local[6:]}", 1), *((f"{local[:3]}{m}{local[3:6]}{m}{local[6:]}", 1) for m in _WIDE), (d[:8], 0), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", 0), (local, 0)]
 
 
 def examples(text: str) -> tuple[list[list[float]], list[int]]:
@@ -276,8 +286,8 @@ def fit_spans(rows: list[tuple[int, list[float], int]], precision: float = 0.99)
     return SpanModel(trees, tuple(thresholds))
 
 
-def train(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99) -> SpanModel:
-    """Learn from at most ``sample_docs`` documents that have a base span."""
+def train(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99, per_document: int = 64) -> SpanModel:
+    """Learn from at most ``sample_docs`` documents that have a base span, and ``per_document`` examples of each, by hash."""
     session(docs)
     d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of("text").alias("text"))
     like = "@[A-Za-z0-9-]+\\.[A-Za-z0-9]|[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]|\\+[0-9]|([0-9][ -]?){14}"
@@ -292,9 +302,8 @@ def train(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99) ->
 
     few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids.collect()], "doc_id long")
     found = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, x array<double>, y int")
-    # a document with very many spans gives its share: 64 rows by hash
     rows = found.withColumn("h", F.xxhash64("x", "y")).dropDuplicates(["doc_id", "h"])
-    rows = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x", "y"))), 1, 64).alias("rows")).orderBy("doc_id")
+    rows = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x", "y"))), 1, per_document).alias("rows")).orderBy("doc_id")
     return fit_spans([(int(r["doc_id"]) * 2654435761 % 7 % 3, list(e["x"]), e["y"]) for r in rows.collect() for e in r["rows"]], precision)
 
 

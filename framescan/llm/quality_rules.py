@@ -37,7 +37,10 @@ SYMBOLS = "[#*$%&|<>]"
 MARKS = "[#*$%&<>!{}=~^]"
 SEPARATORS = "[|»•›>]"
 CUT_OFF = "(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$"
-MENU = "(?i)^\\W*((home|menu|login|log in|sign in|sign up|register|search|next|previous|back|contact|about|about us|help|faq|share|print|read more|top)\\W*)+$"
+# what a line of menu words is made of; longer words before those they begin with, so that no word is tried twice
+MENU_WORDS = "home|menu|login|log in|sign in|sign up|register|search|next|previous|back|contact|about us|about|help|faq|share|print|read more|top"
+MENU = f"(?i)^\\W*+(?:(?:{MENU_WORDS})\\W*+)++$"
+MENU_SQL = f"(?i)^\\W*(?:(?:{MENU_WORDS})\\W*)+$"
 BOILERPLATE = (
     "(?i)all rights reserved|copyright \\(c\\)|terms of (use|service)|privacy policy|cookie policy|uses cookies"
     "|subscribe to our|sign up for our newsletter|enable javascript|lorem ipsum|powered by"
@@ -60,8 +63,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line that has a word fails one of the rules."""
     marked = line.rlike(MARKS) & (_count(line, MARKS) * 10 > _size(line) * 3)
     separated = line.rlike(SEPARATORS) & (_count(line, SEPARATORS) * 10 > _size(line) * 2)
-    menu = (F.length(line) <= 80) & line.rlike(MENU)
-    return line.rlike(CUT_OFF) | marked | separated | menu | line.rlike(BOILERPLATE)
+    return line.rlike(CUT_OFF) | marked | separated | line.rlike(MENU) | line.rlike(BOILERPLATE)
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, max_lost: int = MAX_LOST) -> DataFrame:
@@ -152,7 +154,7 @@ judged AS (
   SELECT r, l,
     regexp_matches(l, '{CUT_OFF}')
     OR {count(m)} * 10 > {n} * 3 OR {count(sep)} * 10 > {n} * 2
-    OR (length(l) <= 80 AND regexp_matches(l, '{_sql_text(MENU)}')) OR regexp_matches(l, '{_sql_text(BOILERPLATE)}') AS bad
+    OR regexp_matches(l, '{_sql_text(MENU_SQL)}') OR regexp_matches(l, '{_sql_text(BOILERPLATE)}') AS bad
   FROM (SELECT r, unnest(lines) AS l FROM s)),
 lost AS (
   SELECT r, sum(length(regexp_replace(l, '{sp}', '', 'g'))) AS chars, count(*) AS n FROM judged WHERE bad GROUP BY r),

@@ -320,3 +320,43 @@ def test_column_generation_is_near_the_bound():
         assert all(p @ sizes <= 256 for p, _ in plan)
         assert (sum(p * n for p, n in plan) >= demand).all()
         assert sum(n for _, n in plan) <= 1.01 * np.ceil((sizes @ demand) / 256)
+
+
+def test_very_long_digit_runs(spark):
+    from framescan.llm.pii import pii_spans, redact_pii
+
+    texts = ["0" * 5000 + "1.2.3.4", "1" * 5000 + ".2.3.4 and " + "0" * 5000 + "9.8.7.6", "mail ann@example.com ip 10.0.0.1 " * 20 + "0" * 5000 + "7.7.7.7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_spans(docs).collect()}
+    assert (got[0]["n_ip"], got[0]["spans"]) == (1, "ip:0:5007")
+    assert got[1]["n_ip"] == 1 and got[2]["n_ip"] == 21
+    assert [r["text"] for r in redact_pii(docs).where("doc_id = 0").collect()] == ["<IP>"]
+
+
+def test_numbers_set_apart_by_wide_marks_are_proposed():
+    from framescan.llm.pii import proposals
+
+    for mark in ("\xa0", " ", " ", "‑", "–", "—", "\n", "\r\n", "\t"):
+        text = f"call 743{mark}555{mark}3824 now, card 4111{mark}1111{mark}1111{mark}1111."
+        found = {text[s:e] for s, _, e in proposals(text)}
+        assert f"743{mark}555{mark}3824" in found and mark.join(["4111", *["1111"] * 3]) in found
+
+
+def test_long_menu_lines_fail(spark):
+    from framescan.llm.quality_rules import judge
+
+    bar = "Home About Us Contact FAQ Help Login Sign Up Register Search Next Previous Print Share Menu Top"
+    body = " ".join(f"w{i} went to the market." for i in range(30))
+    long = " | ".join(["about us", "about", "read more"] * 20_000)
+    docs = spark.createDataFrame([(1, f"{bar}\n{body}"), (2, f"{long}\n{body}"), (3, f"{bar} of the town was busy.\n{body}")], "doc_id long, text string")
+    removed = {r["row"]["doc_id"]: r["n_removed_lines"] for r in judge(docs).collect()}
+    assert removed == {1: 1, 2: 1, 3: 0}
+
+
+def test_short_texts_fill_sequences(spark):
+    from framescan.llm.packing import pack
+
+    # 20,000 pieces of one token, 1,000 of four or five
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "CASE WHEN id < 20000 THEN '' ELSE 'one two three four' END AS text")
+    rows = pack(docs).selectExpr("sum(length) n", "max(sequence_id) + 1 s", "count(distinct sequence_id) d").first()
+    assert rows["s"] == rows["d"] <= -(-rows["n"] // 2048) + 1

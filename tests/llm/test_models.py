@@ -181,3 +181,22 @@ def test_pipeline_stages(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.where("false"), sf).collect() == []
         stage(spark, odd, sf).collect()
+
+
+def test_links_over_blocks_of_mixed_lengths(spark):
+    import numpy as np
+
+    from framescan.llm.embed_dedup import embedding_groups
+
+    draw = np.random.default_rng(11)
+    rows = [(i, draw.standard_normal(16).tolist()) for i in range(400)]
+    for n in range(3, 9):  # rare lengths: most blocks have none of them
+        v = draw.standard_normal(n)
+        rows += [(1000 + 10 * n + k, (v * (k + 1)).tolist()) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_groups(df, least_block=16).collect()}
+    for i, v in rows:
+        mates = [j for j, w in rows if j != i and len(v) == len(w) and np.dot(v, w) >= 0.9 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i][0] == len(mates), i
+        if i >= 1000:
+            assert got[i] == (2, i // 10 * 10)
