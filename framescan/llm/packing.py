@@ -2,8 +2,10 @@
 
 Every document is tokenized whole and followed by an end id.  What is longer
 than a sequence is cut into full sequences; the rest of each document is one
-piece.  The pieces are counted by length (exactly up to ``SHORT`` tokens, above
-in classes of ``unit`` tokens, each piece counted as its class's longest), a linear program over patterns of
+piece.  The pieces are counted by length in classes of ``unit`` tokens, each
+piece counted as its class's longest; of those of at most ``SHORT`` tokens,
+``unit`` pieces of one length make one item of that many units, so that short
+pieces lose no room.  A linear program over patterns of
 classes is solved by column generation, and the rounded patterns are handed to
 the pieces by their rank within their class, so only the histogram of at most
 ``SHORT + length / unit`` classes reaches the driver.
@@ -37,7 +39,7 @@ from .cutting import plan_bins
 
 LENGTH = 2048
 END_ID = 1
-SHORT = 64  # tokens up to which every length is a class of its own
+SHORT = 32  # tokens of a piece that is put together with others of its length
 CACHE_WORDS = 400_000
 MARKS = b".,!?;:*$%&#|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -147,24 +149,55 @@ def pieces(docs: DataFrame, definition: str, length: int = LENGTH, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, PIECES)
 
 
-def _slots(histogram: dict[int, int], length: int) -> dict[int, list[tuple[int, int, int]]]:
+def _slots(histogram: dict[int, int], units: int) -> dict[int, list[tuple[int, int, int]]]:
     """For every class: (first rank, items a bin, first bin) of each run of bins that share a pattern."""
     out: dict[int, list[tuple[int, int, int]]] = {k: [] for k in histogram}
     given = dict.fromkeys(histogram, 0)
     first = 0
-    sizes = np.array(sorted(k for k in histogram if k < length), np.int64)
-    plan = plan_bins(sizes, np.array([histogram[int(k)] for k in sizes], np.int64), length)
+    sizes = np.array(sorted(k for k in histogram if k < units), np.int64)
+    plan = plan_bins(sizes, np.array([histogram[int(k)] for k in sizes], np.int64), units)
     for pattern, uses in plan:
         for k, a in zip(sizes.tolist(), pattern.tolist(), strict=True):
             if a:
                 out[k].append((given[k], a, first))
                 given[k] += a * uses
         first += uses
-    if length in histogram:
-        out[length].append((0, 1, first))
+    if units in histogram:
+        out[units].append((0, 1, first))
     return out
 
 
+class Items:
+    """How pieces, known by group and rank inside it, make up the items that are packed. A group is a class of
+    ``unit`` tokens, or, negative, the exact length of a short piece."""
+
+    def __init__(self, pieces: dict[int, int], unit: int):
+        self.unit = unit
+        self.count: dict[int, int] = {k: n for k, n in pieces.items() if k > 0}
+        self.bundles: dict[int, tuple[int, int, int]] = {}  # of a length: how many, first item, first item of those left
+        for k, n in sorted(pieces.items()):
+            if k < 0:
+                size, whole = -k, n // unit
+                first = self._add(size, whole)
+                self.bundles[size] = (whole, first, self._add(-(-size // unit), n % unit))
+
+    def _add(self, units: int, n: int) -> int:
+        first = self.count.get(units, 0)
+        if n:
+            self.count[units] = first + n
+        return first
+
+    def of(self, group: int, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(units, rows, items) of a group's pieces."""
+        if group > 0:
+            yield group, np.arange(len(rank)), rank
+            return
+        whole, first, rest = self.bundles[-group]
+        together = rank < whole * self.unit
+        yield -group, np.flatnonzero(together), first + rank[together] // self.unit
+        yield -(group // self.unit), np.flatnonzero(~together), rest + rank[~together] - whole * self.unit
+
+
 def pack(docs: DataFrame, definition: str | None = None, length: int = LENGTH, unit: int = 8, end_id: int = END_ID) -> DataFrame:
     """One row a piece with its sequence_id and its offset there (gapless from 0)."""
     if length % unit:
@@ -172,19 +205,22 @@ def pack(docs: DataFrame, definition: str | None = None, length: int = LENGTH, u
     if definition is None:
         with open(tokenizer_path(), encoding="utf-8") as f:
             definition = f.read()
-    cut = materialise(pieces(docs, definition, length, end_id).withColumn("class", F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) * unit).cast("long")))
-    histogram = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = _slots(histogram, length)
+    short = F.col("length") <= min(SHORT, length // unit)
+    group = F.when(short, -F.col("length")).otherwise(F.ceil(F.col("length") / unit)).cast("long")
+    cut = materialise(pieces(docs, definition, length, end_id).withColumn("class", group))
+    items = Items({r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}, unit)
+    slots = _slots(items.count, length // unit)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = {k: np.array(v, np.int64).reshape(-1, 3) for k, v in slots.items()}
         for pdf in batches:
             sequence = np.zeros(len(pdf), np.int64)
-            for k, rows in pdf.groupby("class").indices.items():
-                r = runs[k]
-                rank = pdf["rank"].to_numpy()[rows]
-                at = np.searchsorted(r[:, 0], rank, side="right") - 1
-                sequence[rows] = r[at, 2] + (rank - r[at, 0]) // r[at, 1]
+            for group, rows in pdf.groupby("class").indices.items():
+                for k, some, item in items.of(group, pdf["rank"].to_numpy()[rows]):
+                    if len(some):
+                        r = runs[k]
+                        at = np.searchsorted(r[:, 0], item, side="right") - 1
+                        sequence[rows[some]] = r[at, 2] + (item - r[at, 0]) // r[at, 1]
             yield pdf.drop(columns=["class", "rank"]).assign(sequence_id=sequence)
 
     key = F.coalesce("doc_id", F.lit(-1))
