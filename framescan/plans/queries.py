@@ -1107,17 +1107,17 @@ def q_page_since_arrival(spark, sf):
     return _audit_cols(ST.page_since(log, cursor, log.count(), key=ST.ARRIVAL_KEY))
 
 
-@register("follow_arrival", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE {_LATE} AND det_verdict = 'BLOCK'")
+@register("follow_arrival", lambda: f"SELECT {_AUD} FROM {AU.sql_audit_like()} WHERE det_verdict = 'BLOCK'")
 def q_follow_arrival(spark, sf):
-    """A follower that has seen the first commit is shown the second, however late its rows' times."""
+    """A follower that has seen the first commit is shown the second too, however late its rows' times."""
     _prep(spark)
     out, ck = AU.scratch_path(spark, "follow-out"), AU.scratch_path(spark, "ckpt-follow")
 
-    def first(path):
-        _run_to_end(SS.copy_stream(SS.follow(spark, path, "BLOCK"), AU.scratch_path(spark, "follow-first"), ck))
+    def follow(path):
+        _run_to_end(SS.copy_stream(SS.follow(spark, path, "BLOCK"), out, ck))
 
-    path, _ = _two_commits(spark, sf, first)
-    _run_to_end(SS.copy_stream(SS.follow(spark, path, "BLOCK"), out, ck))
+    path, _ = _two_commits(spark, sf, follow)
+    follow(path)
     return _audit_cols(spark.read.parquet(out))
 
 
