@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+BLOCK = 1024  # rows of logits that stay in the cache
+
 
 @dataclass
 class Shape:
@@ -28,44 +30,51 @@ def start(shape: Shape, class_counts: np.ndarray, word_counts: np.ndarray, seed:
     h = shape.hidden
     words = np.log(np.maximum(word_counts, 0.5)).reshape(shape.n_head, shape.per_class)
     words[word_counts.reshape(words.shape) <= 0] = -30.0
-    p = {
-        "x": rng.normal(0, 0.3, (shape.n_inputs, 3 * h)),
-        "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
+    p = {  # x, u: update gate, reset gate, candidate
+        "x": rng.normal(0, 0.3, (3, shape.n_inputs, h)),
+        "u": rng.normal(0, 1 / np.sqrt(h), (3, h, h)),
         "c": rng.normal(0, 0.05, (h, shape.n_classes)),
         "cb": np.log(np.maximum(class_counts, 0.5) / max(1.0, class_counts.sum())),
         "w": rng.normal(0, 0.05, (shape.n_head, h, shape.per_class)),
         "wb": words - np.log(np.exp(words).sum(axis=1, keepdims=True)),
     }
-    p["x"][:, :h] -= 1.0  # gates begin rather closed
+    p["x"][0] -= 1.0  # gates begin rather closed
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _step(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray):
-    n = h.shape[1]
-    x, u = p["x"][inp], h @ p["u"]
-    gates = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return h + z * (c - h), z, r, c, u[:, 2 * n :]
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Log-probabilities, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
-
-
-def _log_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of one column a row; ``logits`` is overwritten."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _step(u: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the next state, the candidate's recurrent part); ``x``, the inputs' rows, becomes the gates and the candidate."""
+    from_state = np.matmul(h, u)
+    gates, c = x[:2], x[2]
+    gates += from_state[:2]
+    gates *= 0.5
+    np.tanh(gates, out=gates)  # the logistic function
+    gates *= 0.5
+    gates += 0.5
+    c += gates[1] * from_state[2]
+    np.tanh(c, out=c)
+    new = c - h
+    new *= gates[0]
+    new += h
+    return new, from_state[2]
+
+
+def _exp_sums(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of one column a row, row sums); ``logits`` become their exponentials, up to a factor a row."""
+    if not (np.abs(logits).max(initial=0) < 80):  # else no exponential can overflow
+        logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=1))
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return chosen - np.log(sums), sums
+
+
+def _softmax_gradient(logits: np.ndarray, at: np.ndarray) -> float:
+    """The loss; ``logits`` become its gradient."""
+    log, sums = _exp_sums(logits, at)
+    logits /= sums[:, None]
+    logits[np.arange(len(at)), at] -= 1
+    return -float(log.sum())
 
 
 def _by_class(cls: np.ndarray, n_head: int):
@@ -79,17 +88,18 @@ def _by_class(cls: np.ndarray, n_head: int):
 def log_probs(p: dict[str, np.ndarray], states: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token's class, and word in a head class, given the state before it."""
     out = np.empty(len(cls), np.float64)
-    for i in range(0, len(cls), 2048):  # a block of logits stays in the cache
-        part = slice(i, i + 2048)
-        logits = states[part] @ p["c"]
+    room = np.empty((BLOCK, p["c"].shape[1]), states.dtype)
+    for i in range(0, len(cls), BLOCK):
+        part = slice(i, i + BLOCK)
+        logits = np.matmul(states[part], p["c"], out=room[: len(cls) - i])
         logits += p["cb"]
-        out[part] = _log_at(logits, cls[part])
+        out[part] = _exp_sums(logits, cls[part])[0]
     for k, rows in _by_class(cls, len(p["w"])):
-        out[rows] += _log_at(states[rows] @ p["w"][k] + p["wb"][k], word[rows])
+        out[rows] += _exp_sums(states[rows] @ p["w"][k] + p["wb"][k], word[rows])[0]
     return out
 
 
-def score(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 64, group: int = 512) -> np.ndarray:
+def score(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = 32, group: int = 2048) -> np.ndarray:
     """Natural log-probability of each document (inp, cls, word arrays), the state carried from window to window."""
     total = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
@@ -98,7 +108,7 @@ def score(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
         lengths = np.array([len(docs[i][0]) for i in ids])
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         inp, cls, word = (np.concatenate([docs[i][k] for i in ids]) for k in range(3))
-        h = np.zeros((len(ids), p["u"].shape[0]), np.float32)
+        h = np.zeros((len(ids), p["u"].shape[-1]), p["u"].dtype)
         for t0 in range(0, int(lengths[0]) if len(lengths) else 0, window):
             states, at, owner = [], [], []
             for t in range(t0, min(t0 + window, int(lengths[0]))):
@@ -107,7 +117,7 @@ def score(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
                 states.append(h)
                 at.append(first[:n] + t)
                 owner.append(n)
-                h = _step(p, h, inp[at[-1]])[0]
+                h = _step(p["u"], h, p["x"].take(inp[at[-1]], axis=1))[0]
             where = np.concatenate(at)
             log = log_probs(p, np.concatenate(states), cls[where], word[where])
             who = np.concatenate([np.arange(n) for n in owner])
@@ -116,76 +126,107 @@ def score(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
 
 
 def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.ndarray, word: np.ndarray, fresh: np.ndarray):
-    """Loss (sum), gradients and last state of one window; arrays are steps x streams. ``fresh``: a document begins, the state is cleared."""
+    """Loss (sum), gradients and last state of one window; arrays are steps x streams. ``fresh``: a document begins, the state is cleared.  The gradient of the inputs' rows is given for the rows met only, listed before the state."""
     steps, streams = inp.shape
     n = h.shape[1]
-    before, kept = [], []
+    u = p["u"]
+    gates = p["x"].take(inp.ravel(), axis=1).reshape(3, steps, streams, n)
+    before, recurrent = np.empty((steps, streams, n), u.dtype), np.empty((steps, streams, n), u.dtype)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
-        h, *gates = _step(p, h, inp[t])
-        kept.append(gates)
-    states = np.concatenate(before)
+        before[t] = h
+        before[t, fresh[t]] = 0
+        h, recurrent[t] = _step(u, before[t], gates[:, t])
+    states = before.reshape(-1, n)
     flat_cls, flat_word = cls.ravel(), word.ravel()
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    log = _softmax(states @ p["c"] + p["cb"])
-    rows = np.arange(len(log))
-    loss = -float(log[rows, flat_cls].sum())
-    d = np.exp(log)
-    d[rows, flat_cls] -= 1
-    g["c"], g["cb"] = states.T @ d, d.sum(axis=0)
-    d_states = d @ p["c"].T
+    g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
+    d_states = np.empty_like(states)
+    loss = 0.0
+    room = np.empty((BLOCK, p["c"].shape[1]), u.dtype)
+    for i in range(0, len(states), BLOCK):
+        part = slice(i, i + BLOCK)
+        d = np.matmul(states[part], p["c"], out=room[: len(states) - i])
+        d += p["cb"]
+        loss += _softmax_gradient(d, flat_cls[part])
+        g["c"] += states[part].T @ d
+        g["cb"] += d.sum(axis=0)
+        np.matmul(d, p["c"].T, out=d_states[part])
     for k, own in _by_class(flat_cls, len(p["w"])):
-        log = _softmax(states[own] @ p["w"][k] + p["wb"][k])
-        r = np.arange(len(own))
-        loss -= float(log[r, flat_word[own]].sum())
-        d = np.exp(log)
-        d[r, flat_word[own]] -= 1
-        g["w"][k], g["wb"][k] = states[own].T @ d, d.sum(axis=0)
+        held = states[own]
+        d = held @ p["w"][k]
+        d += p["wb"][k]
+        loss += _softmax_gradient(d, flat_word[own])
+        g["w"][k], g["wb"][k] = held.T @ d, d.sum(axis=0)
         d_states[own] += d @ p["w"][k].T
     d_states = d_states.reshape(steps, streams, n)
-    d_next = np.zeros((streams, n), np.float32)
-    d_inputs = np.empty((steps, streams, 3 * n), np.float32)
+    z, r, c = gates
+    keep = 1 - z
+    by_z = (c - before) * z * keep
+    by_c = z * (1 - c * c)
+    by_r = recurrent * r * (1 - r)
+    d_h = np.zeros((streams, n), u.dtype)
+    d_u = np.empty_like(gates)  # of what the state adds to the gates and the candidate
+    d_c = np.empty_like(before)
+    back = u.transpose(0, 2, 1).reshape(3 * n, n)
     for t in range(steps - 1, -1, -1):
-        z, r, c, uc = kept[t]
-        hb = before[t]
-        d_c = d_next * z * (1 - c * c)
-        d_z = d_next * (c - hb) * z * (1 - z)
-        d_r = d_c * uc * r * (1 - r)
-        d_u = np.concatenate([d_z, d_r, d_c * r], axis=1)
-        d_inputs[t] = np.concatenate([d_z, d_r, d_c], axis=1)
-        g["u"] += hb.T @ d_u
-        d_h = d_next * (1 - z) + d_u @ p["u"].T + d_states[t]
-        d_next = np.where(fresh[t][:, None], np.float32(0), d_h)
-    order = np.argsort(inp, axis=None, kind="stable")
+        np.multiply(d_h, by_c[t], out=d_c[t])
+        np.multiply(d_h, by_z[t], out=d_u[0, t])
+        np.multiply(d_c[t], by_r[t], out=d_u[1, t])
+        np.multiply(d_c[t], r[t], out=d_u[2, t])
+        d_h *= keep[t]
+        d_h += d_states[t]
+        for k in range(3):
+            d_h += d_u[k, t] @ back[k * n : (k + 1) * n]
+        d_h[fresh[t]] = 0
+    d_u = d_u.reshape(3, -1, n)
+    g["u"] = np.matmul(states.T, d_u)
+    order = np.argsort(inp.ravel().astype(np.int32), kind="stable")
     own, first = np.unique(inp.ravel()[order], return_index=True)
-    g["x"][own] = np.add.reduceat(d_inputs.reshape(-1, 3 * n)[order], first)
-    return loss, g, h
+    d_inputs = np.stack([d_u[0], d_u[1], d_c.reshape(-1, n)])
+    g["x"] = np.add.reduceat(d_inputs.take(order, axis=1), first, axis=1)
+    return loss, g, own, h
 
 
-def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], streams: int = 64, window: int = 32, rate: float = 0.1) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation with Adagrad over documents joined to ``streams`` long streams."""
+def _streams(lengths: list[int], streams: int, window: int) -> tuple[np.ndarray, int]:
+    """(first token of each stream and the end, whole steps): streams differ by one token at most, so that none is left over."""
+    total = sum(lengths)
+    streams = max(1, min(streams, total // window))
+    steps, more = divmod(total, streams)
+    return np.arange(streams) * steps + np.minimum(np.arange(streams), more), steps
+
+
+def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], streams: int = 128, window: int = 16, rate: float = 0.2) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation with Adagrad over every token of the documents, joined to ``streams`` long streams."""
     p = {k: v.copy() for k, v in p.items()}
     if not docs:
         return p
+    lengths = [len(d[0]) for d in docs]
     inp, cls, word = (np.concatenate([d[k] for d in docs]) for k in range(3))
+    first, steps = _streams(lengths, streams, window)
     fresh = np.zeros(len(inp), bool)
-    fresh[np.concatenate([[0], np.cumsum([len(d[0]) for d in docs])[:-1]])] = True
-    streams = max(1, min(streams, len(inp) // window))
-    length = len(inp) // streams
-    cut = [a[: length * streams].reshape(streams, length).T for a in (inp, cls, word, fresh)]
-    cut[3] = cut[3].copy()
-    cut[3][0] = True
+    fresh[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
+    fresh[first] = True
     seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
-    h = np.zeros((streams, p["u"].shape[0]), np.float32)
-    for t in range(0, length, window):
-        a = [x[t : t + window] for x in cut]
-        _, g, h = gradients(p, h, *a)
-        scale = np.float32(1 / a[0].size)
-        own = np.unique(a[0])
+    h = np.zeros((len(first), p["u"].shape[-1]), np.float32)
+
+    def learn(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        a = [x[at] for x in (inp, cls, word, fresh)]
+        _, g, own, h = gradients(p, h, *a)
+        scale = np.float32(100 / at.size)
         for k, v in g.items():
-            at = own if k == "x" else slice(None)  # the input rows of other words have no gradient
-            v = np.clip(v[at] * (scale * np.float32(100)), -1, 1)  # sums of a window's tokens, per hundred
-            seen[k][at] += v * v
-            p[k][at] -= np.float32(rate) * v / np.sqrt(seen[k][at])
+            at_rows = (slice(None), own) if k == "x" else slice(None)  # the input rows of other words have no gradient
+            v *= scale  # sums of a window's tokens, per hundred
+            np.clip(v, -1, 1, out=v)
+            root = seen[k][at_rows]
+            root = root + v * v
+            seen[k][at_rows] = root
+            v *= np.float32(rate)
+            v /= np.sqrt(root)
+            p[k][at_rows] -= v
+        return h
+
+    for t in range(0, steps, window):
+        h = learn(h, first + np.arange(t, min(t + window, steps))[:, None])
+    more = len(inp) - steps * len(first)  # the first streams have one token more
+    if more:
+        learn(h[:more], first[None, :more] + steps)
     return p

@@ -13,9 +13,10 @@ window to window.
 
 Counts, classes, shares and weights come from all training documents.  The
 weights are learned by data-parallel truncated backpropagation: every training
-document goes to a replica by hash, each replica passes over its about
-``replica_tokens`` tokens, weights are averaged, ``rounds`` times.  Documents
-are coded once, as one number a token.
+document goes to one replica by hash, which passes once over its about
+``replica_tokens`` tokens.  The replicas run in ``waves``: each wave starts
+from the mean of the weights of the wave before.  Documents are coded once, as
+one number a token.
 
 Bounds: the driver and the workers hold the commonest words of up to
 ``MAX_BYTES`` bytes and their counts, fewer than ``head_words``; the counts of all other words stay
@@ -202,8 +203,8 @@ def _first_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return gru.start(v.shape, classes, own)
 
 
-def _average(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Mean of the replicas' weights; groups of 16 are summed in tasks until 16 rows at most are left for the driver."""
+def _average(rows: DataFrame) -> dict[str, np.ndarray] | None:
+    """Mean of the replicas' weights, none without replicas; groups of 16 are summed in tasks until 16 rows at most are left for the driver."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [pickle.loads(b) for b in pdf.sort_values("replica")["weights"]]
@@ -213,6 +214,8 @@ def _average(rows: DataFrame) -> dict[str, np.ndarray]:
     while rows.count() > 16:
         rows = materialise(rows.groupBy(F.floor(F.col("replica") / 16)).applyInPandas(add, "replica long, n long, weights binary"))
     found = sorted(rows.collect(), key=lambda r: r["replica"])
+    if not found:
+        return None
     n = sum(r["n"] for r in found)
     parts = [pickle.loads(r["weights"]) for r in found]
     return {k: (sum(p[k] for p in parts) / n).astype(np.float32) for k in parts[0]}
@@ -231,9 +234,9 @@ def _learner(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return learn
 
 
-def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int) -> DataFrame:
+def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int, waves: int) -> DataFrame:
     """(replica, h, codes, copies): all of ``docs``, coded, each with the replica that learns from it."""
-    replicas = max(1, round(v.total / replica_tokens))
+    replicas = max(waves, round(v.total / replica_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,17 +257,18 @@ def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int) -> DataFrame:
     return spread.select(replica.alias("replica"), "h", "codes", copies.cast("long").alias("copies"))
 
 
-def fit(docs: DataFrame, v: Vocabulary, replica_tokens: int, rounds: int) -> dict[str, np.ndarray]:
-    """Weights learned from all training documents."""
+def fit(docs: DataFrame, v: Vocabulary, replica_tokens: int, waves: int) -> dict[str, np.ndarray]:
+    """Weights learned from all training documents, each passed over once."""
     weights = _first_weights(v)
     if not v.total:
         return weights
-    rows = materialise(dealt(docs, v, replica_tokens))
+    rows = materialise(dealt(docs, v, replica_tokens, waves))
     places = replace(v, ids={}, counts=v.counts[:0], tails=v.tails[: v.limit()])
     spark = docs.sparkSession
-    for _ in range(rounds):
+    for wave in range(waves):
         learn = _learner(spark.sparkContext.broadcast((places, weights)))
-        weights = _average(rows.groupBy("replica").applyInPandas(learn, "replica long, n long, weights binary"))
+        own = rows.where(F.col("replica") % waves == wave)
+        weights = _average(own.groupBy("replica").applyInPandas(learn, "replica long, n long, weights binary")) or weights
     return weights
 
 
@@ -275,21 +279,17 @@ def lm_scores(
     input_words: int = 4096,
     per_class: int = 32,
     hidden: int = 24,
-    least_tokens: int = 0,
     replica_tokens: int = 1_000_000,
-    rounds: int = 2,
+    waves: int = 2,
 ) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    ``least_tokens`` is without effect: all training documents are learned from.
-    """
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     training = docs.where(~held_out("doc_id"))
     counts = materialise(word_counts(training))
     step = least_step(counts, head_words)
     v = _with_totals(vocabulary(counts, step, softmax_words, input_words, per_class, hidden), counts)
-    weights = fit(training, v, replica_tokens, rounds)
+    weights = fit(training, v, replica_tokens, waves)
     shared = spark.sparkContext.broadcast((v, weights))
     fields = ["doc_id", "h", "n_tokens", "n_known", "base", "model", "far"]
 

@@ -1,6 +1,7 @@
 """Embeddings, chats, the language model and the pipeline."""
 
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -113,7 +114,10 @@ def test_gradients():
     fresh = np.zeros((30, 2), bool)
     fresh[0] = fresh[11, 1] = True
     args = (np.zeros((2, 6)), inp, cls, word, fresh)
-    _, g, _ = gru.gradients(p, *args)
+    _, g, own, _ = gru.gradients(p, *args)
+    met = np.zeros_like(p["x"])
+    met[:, own] = g["x"]
+    g["x"] = met
     rng = np.random.default_rng(0)
     for k, v in p.items():
         for _ in range(4):
@@ -130,7 +134,7 @@ def test_gradients():
 def test_lm_scores(spark, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").withColumn("doc_id", odd["doc_id"] + 10**6))
     # a small head sends most words through the join
-    got = lm.lm_scores(d, head_words=3000, least_tokens=60_000, replica_tokens=30_000, rounds=1).collect()
+    got = lm.lm_scores(d, head_words=3000, replica_tokens=30_000).collect()
     texts = [(r["doc_id"], r["text"]) for r in d.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: [*(t or "").encode().lower().split(), b"\n"]
@@ -149,7 +153,7 @@ def test_every_training_document_is_learned_from(spark):
     training = d.where(~lm.held_out("doc_id"))
     counts = lm.word_counts(training)
     v = lm._with_totals(lm.vocabulary(counts, 0, 64, 64, 32, 8), counts)
-    rows = lm.dealt(training, v, 200).collect()
+    rows = lm.dealt(training, v, 200, 2).collect()
     tokens = Counter()
     for r in rows:
         tokens[r["replica"]] += len(r["codes"]) // 4 * r["copies"]
@@ -162,8 +166,69 @@ def test_every_training_document_is_learned_from(spark):
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             want[tuple(np.stack(v.code([*lm.words(t or ""), lm.END], {})[1:4], 1).ravel().tolist())] += 1
     assert got == want
-    few, many = (lm.lm_scores(d, least_tokens=n, replica_tokens=1000, rounds=1).collect() for n in (100, 10**9))
-    assert sorted(few, key=str) == sorted(many, key=str)
+
+
+def test_training_leaves_no_token_over(monkeypatch):
+    p, _ = _toy()
+    seen, real = [], gru.gradients
+
+    def watched(p, h, inp, cls, word, fresh):
+        assert inp.shape == fresh.shape and len(h) == inp.shape[1]
+        seen.extend(zip(inp.ravel().tolist(), cls.ravel().tolist(), fresh.ravel().tolist(), strict=True))
+        return real(p, h, inp, cls, word, fresh)
+
+    monkeypatch.setattr(gru, "gradients", watched)
+    rng = np.random.default_rng(3)
+    for lengths in ([1], [5, 3], [700, 1, 9], [64] * 50, [3] * 1000 + [2]):
+        docs = [(rng.integers(0, 9, n), c := rng.integers(0, 5, n), np.where(c < 2, 1, -1)) for n in lengths]
+        seen.clear()
+        gru.train(p, docs)
+        assert Counter(s[:2] for s in seen) == Counter((int(i), int(c)) for d in docs for i, c in zip(d[0], d[1], strict=True))
+        assert sum(s[2] for s in seen) >= len(lengths)
+
+
+def _log_softmax(logits, at):
+    top = max(logits)
+    return logits[at] - top - math.log(sum(math.exp(x - top) for x in logits))
+
+
+def plain_score(p, inp, cls, word):
+    """A document's log-probability, a number at a time."""
+    _, n = p["u"].shape[1:]
+    h, total = [0.0] * n, 0.0
+    dot = lambda a, b: sum(x * float(y) for x, y in zip(a, b, strict=True))
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    for i, c, w in zip(inp, cls, word, strict=True):
+        total += _log_softmax([dot(h, p["c"][:, k]) + float(p["cb"][k]) for k in range(p["c"].shape[1])], c)
+        if w >= 0:
+            total += _log_softmax([dot(h, p["w"][c][:, k]) + float(p["wb"][c][k]) for k in range(p["w"].shape[2])], w)
+        x = [[float(y) for y in p["x"][k][i]] for k in range(3)]
+        u = [[dot(h, p["u"][k][:, j]) for j in range(n)] for k in range(3)]
+        z, r = ([logistic(x[k][j] + u[k][j]) for j in range(n)] for k in range(2))
+        h = [h[j] + z[j] * (math.tanh(x[2][j] + r[j] * u[2][j]) - h[j]) for j in range(n)]
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{min(k, 400)}" for k in rng.zipf(1.3, rng.integers(0, 60)))) for i in range(300)] + [(300, None), (None, "w1 w2"), (301, "never-seen w1 Ünseen!")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    args = {"softmax_words": 64, "input_words": 50, "per_class": 16, "hidden": 6}
+    training = d.where(~lm.held_out("doc_id"))
+    counts = lm.word_counts(training)
+    v = lm._with_totals(lm.vocabulary(counts, 0, **args), counts)
+    p = lm.fit(training, v, 2000, 2)
+    assert any(np.abs(p[k] - w).max() > 0.05 for k, w in lm._first_weights(v).items())
+    c = {r["word"].encode(): r["n"] for r in counts.collect()}
+    want = {}
+    for i, t in texts:
+        tokens = [*lm.words(t or ""), lm.END]
+        inp, cls, word = v.code(tokens, {})[1:4]
+        tails = sum(math.log((c.get(w, 0) + 1) / float(v.tail_total[k - v.shape.n_head])) for w, k, own in zip(tokens, cls, word, strict=True) if own < 0)
+        want[i] = (plain_score(p, inp.tolist(), cls.tolist(), word.tolist()) + tails) / math.log(10)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(d, replica_tokens=2000, **args).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-3 * (1 + abs(want[i])) for i in want)
 
 
 # ---------------------------------------------------------------- pipeline
