@@ -69,12 +69,24 @@ def _exp_sums(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chosen - np.log(sums), sums
 
 
-def _softmax_gradient(logits: np.ndarray, at: np.ndarray) -> float:
-    """The loss; ``logits`` become its gradient."""
+def _softmax_gradient(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The loss of each row; ``logits`` become its gradient."""
     log, sums = _exp_sums(logits, at)
     logits /= sums[:, None]
     logits[np.arange(len(at)), at] -= 1
-    return -float(log.sum())
+    return -log
+
+
+def _head_blocks(cls: np.ndarray, n_head: int, size: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, rows, which of them are real) of blocks of ``size`` rows; all rows of head classes are in one block each, by class."""
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    counts = np.bincount(cls, minlength=n_head)[:n_head]
+    blocks = -(-counts // size)
+    kinds = np.repeat(np.arange(n_head), blocks)
+    ends = np.cumsum(counts)
+    within = np.arange(len(kinds)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = ((ends - counts)[kinds] + within * size)[:, None] + np.arange(size)
+    return kinds, order[np.minimum(at, len(cls) - 1)], at < ends[kinds][:, None]
 
 
 def _by_class(cls: np.ndarray, n_head: int):
@@ -146,17 +158,21 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
         part = slice(i, i + BLOCK)
         d = np.matmul(states[part], p["c"], out=room[: len(states) - i])
         d += p["cb"]
-        loss += _softmax_gradient(d, flat_cls[part])
+        loss += float(_softmax_gradient(d, flat_cls[part]).sum())
         g["c"] += states[part].T @ d
         g["cb"] += d.sum(axis=0)
         np.matmul(d, p["c"].T, out=d_states[part])
-    for k, own in _by_class(flat_cls, len(p["w"])):
-        held = states[own]
-        d = held @ p["w"][k]
-        d += p["wb"][k]
-        loss += _softmax_gradient(d, flat_word[own])
-        g["w"][k], g["wb"][k] = held.T @ d, d.sum(axis=0)
-        d_states[own] += d @ p["w"][k].T
+    kinds, rows, real = _head_blocks(flat_cls, len(p["w"]))
+    if len(kinds):  # all head classes at once
+        held, w = states[rows], p["w"][kinds]
+        d = np.matmul(held, w)
+        d += p["wb"][kinds][:, None]
+        loss += float((_softmax_gradient(d.reshape(-1, d.shape[2]), flat_word[rows].ravel()) * real.ravel()).sum())
+        d *= real[:, :, None]
+        starts = np.flatnonzero(np.diff(kinds, prepend=-1))
+        g["w"][kinds[starts]] = np.add.reduceat(np.matmul(held.transpose(0, 2, 1), d), starts, axis=0)
+        g["wb"][kinds[starts]] = np.add.reduceat(d.sum(axis=1), starts, axis=0)
+        d_states[rows[real]] += np.matmul(d, w.transpose(0, 2, 1))[real]
     d_states = d_states.reshape(steps, streams, n)
     z, r, c = gates
     keep = 1 - z
