@@ -9,13 +9,14 @@ join back, so a second run over the same content makes zero model calls.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written_once
+from ..sources.keyed import PARTS, read_keyed, touched, upsert_keyed
 from .frames import strip_ws
 from .rules import S2C
 
@@ -120,12 +121,21 @@ def cache_upsert(cache: DataFrame, new_rows: DataFrame) -> DataFrame:
     return newest(cache.select(*[c.split()[0] for c in CACHE_SCHEMA.split(", ")]).unionByName(new_rows))
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """The newest cache row of each hash."""
-    latest = rows.groupBy("content_hash").agg(
-        F.max_by(F.struct("classifier", "score", "cached_at", "backend"), "cached_at").alias("r")
-    )
-    return latest.select("content_hash", "r.classifier", "r.score", "r.cached_at", "r.backend")
+def newest(rows: DataFrame, by: Sequence[str] = ("content_hash",)) -> DataFrame:
+    """The newest cache row of each hash (``by``: the hash and what it decides)."""
+    latest = rows.groupBy(*by).agg(F.max_by(F.struct("classifier", "score", "cached_at", "backend"), "cached_at").alias("r"))
+    return latest.select(*by, "r.classifier", "r.score", "r.cached_at", "r.backend")
+
+
+def store_labels(new_rows: DataFrame, path: str, *, parts: int = PARTS, version: int | None = None) -> int:
+    """Put cache rows into the cache kept at ``path`` by parts of the hash: only the parts they fall in are read and written."""
+    return upsert_keyed(new_rows, path, ["content_hash"], newest, parts=parts, version=version)
+
+
+def stored_labels(spark: SparkSession, path: str, *, parts: int = PARTS, before: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The cache kept at ``path`` as ``run_classifier`` takes it: given the rows whose ``content_hash`` is looked for, the
+    parts those can be in; other parts are not read."""
+    return lambda wanted: read_keyed(spark, path, CACHE_SCHEMA, parts=parts, before=before, only=touched(wanted, ["content_hash"], parts))
 
 
 def empty_cache(spark: SparkSession) -> DataFrame:
@@ -136,7 +146,7 @@ def run_classifier(
     rows: DataFrame,
     *,
     classifier: Classifier | None,
-    cache: DataFrame | None,
+    cache: DataFrame | Callable[[DataFrame], DataFrame] | None,
     now: Column,
     backend: str = "user",
     ttl_s: int = CACHE_TTL_S,
@@ -146,14 +156,17 @@ def run_classifier(
     ``rows`` needs ``direction, det_score (rule score), shape_note,
     result_text``.  Adds ``classifier_note, det_classifier,
     classifier_score, n_windows, n_unlabelled``; returns ``(rows, cache after
-    this run, the cache rows this run adds)``.
+    this run, the cache rows this run adds)``.  ``cache`` may be a function from
+    the hashes looked for to the rows that may hold them (``stored_labels``);
+    the cache after this run is then that of the parts read.
 
     Rows and answers are written once, so the rules run once and the model sees
     each distinct missed window once.  Only candidates' texts are shuffled, one
     a distinct text.  A text is INSTRUCTION if any window is, DATA if all are;
     else it has no label."""
     spark = rows.sparkSession
-    cache = cache if cache is not None else empty_cache(spark)
+    stored = cache if callable(cache) else None
+    cache = empty_cache(spark) if cache is None or stored else cache
     g = gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"), classifier is not None)
     nothing = {"det_classifier": "string", "classifier_score": "double", "n_windows": "long", "n_unlabelled": "long"}
     nulls = {c: F.lit(None).cast(t) for c, t in nothing.items()}
@@ -166,6 +179,7 @@ def run_classifier(
     texts = rows.where(candidate).select("_fs_text", "result_text").dropDuplicates(["_fs_text"])
     windows = texts.select("_fs_text", F.explode(classifier_input(F.col("result_text"))).alias("sample"))
     windows = written_once(windows.withColumn("content_hash", F.sha2("sample", 256)))
+    cache = stored(windows) if stored else cache
     looked = cache_lookup(windows.select("content_hash", "sample").dropDuplicates(["content_hash"]), cache, now, ttl_s)
     answers = written_once(classify_misses(looked.where(F.col("cached_label").isNull()), classifier))
     labels = looked.drop("sample").join(answers, "content_hash", "left").withColumn("model_label", parse_label(F.col("answer")))

@@ -15,7 +15,7 @@ line's key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +73,7 @@ def inspect_members(
     allowed_tools: Sequence[str] | DataFrame | None = None,
     server_name: str = "",
     classifier: CL.Classifier | None = None,
-    cache: DataFrame | None = None,
+    cache: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     now: Column | None = None,
     line_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import unicode as U
 from ..operators import rules as R
 from ..operators.scan import rule_hits_long, rule_scan, spread
-from ..session import apply_required_conf
+from ..session import apply_required_conf, written_once
 from ..sources import plant as P
+from ..sources.keyed import read_keyed
 from .catalog import register
 from .sqlscan import sql_scan
 
@@ -637,6 +638,19 @@ def q_sessions_table(spark, sf):
     return AU.sessions_table(AU.session_events(spark, sf))
 
 
+@register("sessions_incremental", lambda: f"SELECT * FROM {_SQL_SESSIONS}")
+def q_sessions_incremental(spark, sf):
+    """The sessions table kept up to date by four batches of events, the last
+    days first; the table's parts hold one row a session, no event is read twice."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "sessions")
+    ev = AU.session_events(spark, sf)
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for n in (3, 0, 2, 1):
+        AU.upsert_sessions(ev.where(F.coalesce(week, F.lit(0)) == n), path)
+    return AU.read_sessions(spark, path)
+
+
 @register("recent_sessions", lambda: f"SELECT * FROM {_SQL_SESSIONS} ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 5")
 def q_recent_sessions(spark, sf):
     _prep(spark)
@@ -961,6 +975,19 @@ def q_cache_upsert(spark, sf):
     return cache.select("content_hash", "classifier", "score", "cached_at")
 
 
+@register("cache_by_parts", lambda: f"SELECT content_hash, classifier, score, cached_at FROM {_sql_cache_prev()}")
+def q_cache_by_parts(spark, sf):
+    """The earlier run's cache kept by parts of the hash: first labels a year
+    old for all of it, then the labels themselves in three batches; each batch reads and writes only its parts."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "cache")
+    prev = written_once(_cache_prev(spark, _candidates(spark, sf))).select("content_hash", "classifier", "score", "cached_at", "backend")
+    CL.store_labels(prev.withColumns({"classifier": F.lit("MAYBE"), "cached_at": F.col("cached_at") - F.expr("INTERVAL 365 DAYS")}), path)
+    for n in range(3):
+        CL.store_labels(prev.where(F.pmod(F.xxhash64("content_hash", F.lit(n)), F.lit(3)) == 0) if n < 2 else prev, path)
+    return read_keyed(spark, path, CL.CACHE_SCHEMA).drop("backend")
+
+
 @register(
     "combine_score",
     lambda: f"""SELECT frame_id, rule_score, classifier_score, greatest(rule_score, coalesce(classifier_score, rule_score)) AS det_score

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.rules import BUILTIN_RULES, C2S, S2C
 from ..session import checkpoint_dir, written_once
+from .keyed import PARTS, read_keyed, upsert_keyed
 
 V1_FIELDS = [
     T.StructField("event_id", T.LongType(), False),
@@ -239,3 +240,35 @@ def sessions_table(events: DataFrame) -> DataFrame:
         F.max(F.when(op == "end", F.col("ts"))).alias("ended_at"),
         F.max_by(F.col("exit_code"), F.when(op == "end", F.col("ts"))).alias("exit_code"),
     )
+
+
+SESSION_STATE = (
+    "session_id long, started_at timestamp, attached struct<ts: timestamp, pid: long>, ended_at timestamp, "
+    "closed struct<ts: timestamp, exit_code: int>"
+)
+
+
+def _last_state(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("started_at", "attached", "ended_at", "closed")])
+
+
+def upsert_sessions(events: DataFrame, path: str, *, parts: int = PARTS, version: int | None = None) -> int:
+    """Bring the sessions table at ``path`` up to date with a batch of session
+    events: only the parts that the batch's sessions are in are read and
+    written, never the events before.  The last state wins whatever order the
+    batches come in; of two at one time the larger value.  A batch applied again changes nothing."""
+    op, ts = F.col("op"), F.col("ts")
+    state = events.select(
+        F.col("session_id").cast("long").alias("session_id"),
+        F.when(op == "start", ts).alias("started_at"),
+        F.when(op == "pid", F.struct(ts.alias("ts"), F.col("pid").cast("long").alias("pid"))).alias("attached"),
+        F.when(op == "end", ts).alias("ended_at"),
+        F.when(op == "end", F.struct(ts.alias("ts"), F.col("exit_code").cast("int").alias("exit_code"))).alias("closed"),
+    )
+    return upsert_keyed(state, path, ["session_id"], _last_state, parts=parts, version=version)
+
+
+def read_sessions(spark: SparkSession, path: str, *, parts: int = PARTS) -> DataFrame:
+    """The sessions table at ``path``, with the columns of ``sessions_table``."""
+    state = read_keyed(spark, path, SESSION_STATE, parts=parts)
+    return state.select("session_id", "started_at", F.col("attached.pid").alias("server_pid"), "ended_at", F.col("closed.exit_code").alias("exit_code"))

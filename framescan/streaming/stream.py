@@ -6,12 +6,15 @@
   checkpoint gives exactly-once output.  A batch frame is one line, so all its
   members are in the same micro-batch and the batch regrouping needs no
   cross-batch state.  Replies, where asked for, are written before the rows;
-  the classifier's labels go from one micro-batch to the next by a folder.
+  the classifier's labels go from one micro-batch to the next by a table kept
+  in parts of the hash (``sources.keyed``): a micro-batch reads and writes the
+  parts of its own hashes, and the files do not grow in number with the batches.
 * ``follow``          - stream over the audit table (new files only), optional
   verdict filter and first row; the checkpoint plays the role of the cursor.
 * ``write_counts``    - event-time windowed verdict counts: each micro-batch
-  writes its own counts, and ``total_counts`` adds them up.  No state is held
-  and no row is too late to be counted.
+  adds its own counts to those of its windows, in a table kept in parts of the
+  window.  No row is too late to be counted, no state is held in memory, and
+  ``total_counts`` reads one row a window and verdict.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ..operators import classify as CL
 from ..operators.inspect import inspect_frames
 from ..operators.stats import Key, from_cursor
 from ..sources.audit import LOG_SCHEMA, audit_commit, audit_read
+from ..sources.keyed import read_keyed, upsert_keyed
 
 FRAME_SCHEMA = "frame_id long, session_id long, ts timestamp, direction string, raw string"
 
@@ -43,19 +47,17 @@ def stream_inspect(frames: DataFrame, audit_path: str, checkpoint: str, *, avail
     """Inspect every micro-batch, write the replies of its frames to
     ``replies_path`` and append its audit rows.  With ``cache_path`` the labels
     that the classifier gave in earlier micro-batches are looked up there, and
-    each micro-batch writes the labels it adds under its own ``batch_id``."""
-    if cache_path is not None:
-        CL.empty_cache(frames.sparkSession).write.mode("overwrite").parquet(os.path.join(cache_path, "batch_id=-1"))
+    each micro-batch merges the labels it adds as the version of its number."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch_id={batch_id}"
-        known = {} if cache_path is None else {"cache": read_cache(batch.sparkSession, cache_path, batch_id)}
+        known = {} if cache_path is None else {"cache": CL.stored_labels(batch.sparkSession, cache_path, before=batch_id)}
         ins = inspect_frames(batch, **known, **inspect_kwargs)
         if replies_path is not None:
             ins.replies.write.mode("overwrite").parquet(os.path.join(replies_path, folder))
         audit_commit(ins.events, audit_path, batch_id)
         if cache_path is not None:
-            ins.learnt.write.mode("overwrite").parquet(os.path.join(cache_path, folder))
+            CL.store_labels(ins.learnt, cache_path, version=batch_id)
 
     w = frames.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
@@ -63,10 +65,9 @@ def stream_inspect(frames: DataFrame, audit_path: str, checkpoint: str, *, avail
 
 
 def read_cache(spark: SparkSession, cache_path: str, before: int | None = None) -> DataFrame:
-    """The newest label of each hash among the micro-batches (``before`` one of them, so that a
-    replayed micro-batch finds what it found the first time)."""
-    rows = spark.read.schema(f"{CL.CACHE_SCHEMA}, batch_id long").parquet(cache_path)
-    return CL.newest(rows if before is None else rows.where(F.col("batch_id") < before))
+    """The newest label of each hash (``before`` one of the last two micro-batches, so that a
+    replayed one finds what it found the first time)."""
+    return read_keyed(spark, cache_path, CL.CACHE_SCHEMA, before=before)
 
 
 def read_stream_audit(spark: SparkSession, audit_path: str) -> DataFrame:
@@ -88,13 +89,23 @@ def follow(spark: SparkSession, audit_path: str, verdict: str | None = None, max
     return from_cursor(df, start, key)
 
 
+COUNT_KEY = ["window_start", "window_end", "det_verdict"]
+COUNT_SCHEMA = "window_start timestamp, window_end timestamp, det_verdict string, n long"
+COUNT_PARTS = 16  # a row a window and verdict: a year of hours is some 35,000
+
+
+def _add_up(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def write_counts(audit: DataFrame, out_path: str, checkpoint: str, window: str = "1 hour", available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch's verdict counts per event-time window under ``batch=<id>``; a replayed batch overwrites its own."""
+    """Keep the verdict counts per event-time window at ``out_path``: a
+    micro-batch rewrites the parts that its windows are in, and a replayed one adds to what was there before it."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(F.window("ts", window).alias("w"), "det_verdict").agg(F.count(F.lit(1)).alias("n"))
-        rows = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "det_verdict", "n")
-        rows.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
+        each = batch.select(F.window("ts", window).alias("w"), "det_verdict", F.lit(1).cast("long").alias("n"))
+        rows = each.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "det_verdict", "n")
+        upsert_keyed(rows, out_path, COUNT_KEY, _add_up, parts=COUNT_PARTS, version=batch_id)
 
     w = audit.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -102,8 +113,8 @@ def write_counts(audit: DataFrame, out_path: str, checkpoint: str, window: str =
 
 
 def total_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """Per (window, verdict) the count over all micro-batches so far."""
-    return spark.read.parquet(out_path).groupBy("window_start", "window_end", "det_verdict").agg(F.sum("n").alias("n"))
+    """Per (window, verdict) the count over all micro-batches so far: the table as it is stored, nothing is added up."""
+    return read_keyed(spark, out_path, COUNT_SCHEMA, parts=COUNT_PARTS)
 
 
 def copy_stream(df: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
