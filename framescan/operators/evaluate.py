@@ -66,6 +66,28 @@ def attack_eval_overall(per_class: DataFrame) -> DataFrame:
     )
 
 
+def rule_examples(examples: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Per rule, how its own examples fare against its pattern on the text as
+    it stands, in any direction: ``rule_id, attack_examples, attack_missed,
+    benign_examples, benign_matched, status``.
+
+    ``examples``: ``rule_id, attack, text`` (``rules.examples_df``, or a table
+    of any size); ``patterns``: ``rule_id, java_pattern``.  ``drifted``: some
+    example no longer does what it is there for; ``no_examples``: no attack
+    example at all; else ``ok``.  Examples of unknown rules and NULL texts count for nothing."""
+    hit = F.regexp_like("text", "java_pattern")
+    judged = examples.where(F.col("text").isNotNull() & F.col("attack").isNotNull()).join(patterns, "rule_id").groupBy("rule_id").agg(
+        F.count_if("attack").alias("attack_examples"),
+        F.count_if(F.col("attack") & ~hit).alias("attack_missed"),
+        F.count_if(~F.col("attack")).alias("benign_examples"),
+        F.count_if(~F.col("attack") & hit).alias("benign_matched"),
+    )
+    counts = ("attack_examples", "attack_missed", "benign_examples", "benign_matched")
+    out = patterns.select("rule_id").join(judged, "rule_id", "left").select("rule_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
+    drifted = (F.col("attack_missed") > 0) | (F.col("benign_matched") > 0)
+    return out.withColumn("status", F.when(drifted, "drifted").when(F.col("attack_examples") == 0, "no_examples").otherwise("ok"))
+
+
 def rule_quality(scanned_raw: DataFrame, targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Per rule: attack examples written for it that its pattern misses on the
     raw text, and unplanted (benign) texts its pattern matches.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonrpc import batch_members, odd_line, parse_one, part_text, repeats, vget, vtype
+from ..functions.jsonrpc import batch_members, n_names, odd_line, parse_one, part_text, repeats, vget, vtype
 from ..functions.unicode import NOT_WS, WS_CLASS
 from ..session import check_conf
 from .rules import DIRECTIONS
@@ -86,10 +86,12 @@ def split_batch(frames: DataFrame, raw_col: str = "raw") -> DataFrame:
 def _json_text(line: Column, v: Column, path: str, odd: Column) -> Column:
     """Compact JSON text of a sub-value, key order kept; NULL for absent or
     JSON null.  Strings are quoted (``get_json_object`` would unquote them).
-    ``odd`` lines are read by Python, so that the last of repeated keys counts."""
+    ``odd`` lines, and those whose value names a key twice at any depth, are
+    read by Python, so that the last of repeated keys counts."""
     sub = vget(v, path)
     t = vtype(sub)
     plain = F.get_json_object(line, path)
+    odd = odd | F.coalesce(t.isin("OBJECT", "ARRAY") & (n_names(plain) != n_names(F.to_json(sub))), F.lit(False))
     exact = F.coalesce(part_text(F.when(odd, line), tuple(path.split(".")[1:])), plain)
     return F.when(t == "STRING", F.to_json(sub)).when(t.isNull() | (t == "NULL"), F.lit(None)).when(odd, exact).otherwise(plain)
 

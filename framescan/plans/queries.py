@@ -278,6 +278,30 @@ def q_rule_quality(spark, sf):
     return EV.rule_quality(s, targets, R.rules_df(spark))
 
 
+@register(
+    "rule_examples",
+    lambda: f"""WITH r AS (SELECT * FROM (VALUES {', '.join(f"({P._q(r.id)}, {P._q(r.re2_pattern)}, {i})" for i, r in enumerate(R.BUILTIN_RULES))}) AS t(rule_id, pattern, nth)),
+      e AS (SELECT target_rule AS rule_id, true AS attack, text FROM {P.sql_attacks()} JOIN {P.sql_attack_targets()} USING (attack_id)
+            UNION ALL SELECT r.rule_id, false, d.text FROM documents d JOIN r ON d.doc_id % {len(R.BUILTIN_RULES)} = r.nth),
+      h AS (SELECT rule_id, attack, regexp_matches(text, pattern) AS hit FROM e JOIN r USING (rule_id) WHERE text IS NOT NULL),
+      g AS (SELECT rule_id, count(*) FILTER (WHERE attack) AS attack_examples, count(*) FILTER (WHERE attack AND NOT hit) AS attack_missed,
+              count(*) FILTER (WHERE NOT attack) AS benign_examples, count(*) FILTER (WHERE NOT attack AND hit) AS benign_matched FROM h GROUP BY rule_id)
+      SELECT r.rule_id, coalesce(attack_examples, 0) AS attack_examples, coalesce(attack_missed, 0) AS attack_missed,
+        coalesce(benign_examples, 0) AS benign_examples, coalesce(benign_matched, 0) AS benign_matched,
+        CASE WHEN attack_missed > 0 OR benign_matched > 0 THEN 'drifted' WHEN coalesce(attack_examples, 0) = 0 THEN 'no_examples' ELSE 'ok' END AS status
+      FROM r LEFT JOIN g USING (rule_id)""",
+)
+def q_rule_examples(spark, sf):
+    """Examples of each rule taken from the tables: the attacks written for it, and the documents dealt to it as benign."""
+    _prep(spark)
+    targets = spark.createDataFrame(list(P.ATTACK_TARGETS.items()), "attack_id string, rule_id string")
+    attacks = P.attacks(spark, sf).join(targets, "attack_id").select("rule_id", F.lit(True).alias("attack"), "text")
+    ids = F.array(*[F.lit(r.id) for r in R.BUILTIN_RULES])
+    dealt = F.try_element_at(ids, (F.col("doc_id") % len(R.BUILTIN_RULES) + 1).cast("int"))
+    benign = P.read_table(spark, sf, "documents").select(dealt.alias("rule_id"), F.lit(False).alias("attack"), "text")
+    return EV.rule_examples(attacks.unionByName(benign), R.patterns_df(spark))
+
+
 def _corpus_labelled(spark, sf):
     s2c, c2s = F.lit(R.S2C).alias("direction"), F.lit(R.C2S).alias("direction")
     docs = P.docs_planted(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("item_id"), s2c, "attack_id", "text")
@@ -322,6 +346,24 @@ def q_frames_source(spark, sf):
     return _frames(spark, sf).select("frame_id", "session_id", "ts", "direction", "raw")
 
 
+@register(
+    "frame_lines",
+    lambda: f"""SELECT direction, raw, count(*) AS n_lines, count(*) AS n_ids
+      FROM {SF.sql_frames_source(P.sql_all_frames())} WHERE NOT contains(raw, chr(10)) GROUP BY direction, raw""",
+)
+def q_frame_lines(spark, sf):
+    """The frames written as text files, one folder a direction, and read back
+    by ``read_frame_lines``: every line is there as often as it was written, each with an id of its own."""
+    _prep(spark)
+    path = AU.scratch_path(spark, "lines")
+    whole = P.all_frames(spark, sf).where(~F.col("raw").contains("\n"))
+    whole.select("direction", F.col("raw").alias("value")).repartition(4).write.partitionBy("direction").text(path)
+    read = [FR.frames_source(FR.read_frame_lines(spark, f"{path}/direction={d}", d)) for d in R.DIRECTIONS]
+    lines = read[0].unionByName(read[1])
+    each = lines.groupBy("direction", "raw", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("direction", "raw").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_ids"))
+
+
 @register(
     "oversize_frames",
     lambda: f"""SELECT frame_id, strlen(raw) AS n_bytes, strlen(raw) > {FR.LINE_LIMIT_BYTES} AS oversize,

@@ -13,7 +13,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents pages conversations".split()
 NAMES = ["corpus_scan", "rule_scan", "attack_eval", "event_columns", "inspect_frames", "stats_report", "classify_misses",
-         "follow", "stream_verdict_counts", "audit_read_evolved", "follow_seeded", "rule_quality", "sessions_table", "inspected_log_tail"]
+         "follow", "stream_verdict_counts", "audit_read_evolved", "follow_seeded", "rule_quality", "sessions_table", "inspected_log_tail",
+         "rule_examples", "frame_lines", "sessions_incremental", "cache_by_parts"]
 
 
 def _norm(v):

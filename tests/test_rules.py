@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from framescan.operators import evaluate as EV
 from framescan.operators import rules as R
 
 S2C, C2S = R.S2C, R.C2S
@@ -229,3 +230,22 @@ def test_packs_are_read_from_files(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("rules:\n- {id: three, pattern: '[z'}\n")
     with pytest.raises(ValueError, match="c.yaml.*not valid"):
         R.load_rule_packs(str(tmp_path))
+
+
+def test_a_rule_that_drifted_from_its_examples_is_reported(spark):
+    specs = [
+        {"id": "fine", "pattern": "foo +bar", "attack_examples": ["a FOO bar", "foo  bar"][1:], "false_positive_examples": ["foobar"]},
+        {"id": "missed", "pattern": "foo +bar", "apply_to": [R.C2S], "attack_examples": ["foo bar", "foo-bar"]},
+        {"id": "fires", "pattern": "foo", "attack_examples": ["foo"], "false_positive_examples": ["", "a foo", "bar"]},
+        {"id": "bare", "pattern": "foo", "false_positive_examples": ["bar"]},
+        {"id": "nothing", "pattern": "foo"},
+    ]
+    rules = R.load_rules(specs)
+    examples = R.examples_df(spark, rules)
+    strange = spark.createDataFrame([("fine", True, None), ("fine", None, "foo"), ("unknown", True, "x")], examples.schema)
+    rows = {r[0]: tuple(r)[1:] for r in EV.rule_examples(examples.unionByName(strange), R.patterns_df(spark, rules)).collect()}
+    assert rows == {
+        "fine": (1, 0, 1, 0, "ok"), "missed": (2, 1, 0, 0, "drifted"), "fires": (1, 0, 3, 1, "drifted"),
+        "bare": (0, 0, 1, 0, "no_examples"), "nothing": (0, 0, 0, 0, "no_examples"),
+    }
+    assert EV.rule_examples(R.examples_df(spark, []), R.patterns_df(spark, rules)).where("status = 'no_examples'").count() == 5
