@@ -10,9 +10,9 @@ characters, naming words before it, digits around it); gradient-boosted trees
 score it, and a proposal above its kind's threshold that touches no base span
 of any kind becomes a span (the likeliest first, never two that overlap).
 
-The trees are trained without hand-made labels, on a bounded sample
-(``sample_docs`` documents, the lowest by a hash of doc_id among those that
-have a base span): base spans and re-spellings of them in their own context
+The trees are trained without hand-made labels, on all documents that have a
+base span (``boosting`` passes over their examples in Spark): base spans and
+re-spellings of them in their own context
 (marker spelled out, country code dropped, other separators, another number
 beside it) are positive; spoilt ones (failing checksum, numbers out of range,
 digits dropped or added, the number beside it taken along) and proposals
@@ -37,10 +37,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees, fit_trees
-from .common import session, text_of
+from .boosting import BoostedTrees, bin_edges, binned, bins_of, fit_trees
+from .common import materialise, session, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -265,46 +266,91 @@ def examples(text: str) -> tuple[list[list[float]], list[int]]:
     return x, y
 
 
-def fit_spans(rows: list[tuple[int, list[float], int]], precision: float = 0.99) -> SpanModel:
-    """``rows``: (fold, features, label); fold 0 is held back for the thresholds."""
-    if not rows:
-        return SpanModel()
-    fold, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.float64)
-    x = np.array([r[1] for r in rows], np.float64)
-    trees = fit_trees(x[fold > 0], y[fold > 0])
-    held = fold == 0
-    score, truth, kind = trees.probability(x[held]), y[held], x[held, 0]
-    thresholds = []
-    for k in range(len(KINDS)):
-        s, t = score[kind == k], truth[kind == k]
-        order = np.argsort(-s)
-        passed = np.cumsum(t[order]) / np.arange(1, len(s) + 1)
-        # ties in score stand or fall together
-        last = np.append(s[order][1:] != s[order][:-1], True) if len(s) else np.zeros(0, bool)
-        good = np.flatnonzero((passed >= precision) & last)
-        thresholds.append(float(max(0.5, s[order][good[-1]])) if len(good) and good[-1] >= 9 else 2.0)
-    return SpanModel(trees, tuple(thresholds))
-
-
-def train(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.99, per_document: int = 64) -> SpanModel:
-    """Learn from at most ``sample_docs`` documents that have a base span, and ``per_document`` examples of each, by hash."""
+def training_examples(docs: DataFrame) -> DataFrame:
+    """(doc_id, held, kind, x, y): the examples of every document that has a base span, each once a document; ``held``: for the thresholds."""
     session(docs)
-    d = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_of("text").alias("text"))
+    d = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    # what every base span holds, so that other texts need not go to Python
     like = "@[A-Za-z0-9-]+\\.[A-Za-z0-9]|[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]|\\+[0-9]|([0-9][ -]?){14}"
-    ids = d.where(F.col("text").rlike(like)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x, y = examples(text.as_py())
-                if x:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(y), pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["doc_id", "x", "y"])
-
-    few = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids.collect()], "doc_id long")
-    found = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").mapInArrow(run, "doc_id long, x array<double>, y int")
-    rows = found.withColumn("h", F.xxhash64("x", "y")).dropDuplicates(["doc_id", "h"])
-    rows = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x", "y"))), 1, per_document).alias("rows")).orderBy("doc_id")
-    return fit_spans([(int(r["doc_id"]) * 2654435761 % 7 % 3, list(e["x"]), e["y"]) for r in rows.collect() for e in r["rows"]], precision)
+                held = key * 2654435761 % 7 % 3 == 0
+                for i in range(0, len(y), 4096):
+                    part = x[i : i + 4096]
+                    cols = [[key] * len(part), [held] * len(part), [r[0] for r in part], part, y[i : i + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "held", "kind", "x", "y"])
+
+    found = d.where(F.col("text").rlike(like)).mapInArrow(run, "doc_id long, held boolean, kind int, x array<double>, y int")
+    return found.withColumn("h", F.xxhash64("x", "y")).dropDuplicates(["doc_id", "h"]).drop("h")
+
+
+def _features_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, v, n): how often a feature has a value."""
+    for b in batches:
+        x = _features_of(b.column(0))
+        for j in range(N_FEATURES if len(x) else 0):
+            v, n = np.unique(x[:, j], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([j] * len(v), pa.int32()), pa.array(v), pa.array(n)], ["feature", "v", "n"])
+
+
+def fit_spans(found: DataFrame, precision: float = 0.99, per_task: int = 100_000) -> SpanModel:
+    """Trees of all examples that are not held back, thresholds of all that are; ``found``: as ``training_examples`` gives them.
+
+    ``per_task``: how many examples a task passes over at a time."""
+    found = materialise(found)
+    count = found.count()
+    if not count:
+        return SpanModel()
+    tasks = -(-count // per_task)
+    edges = bin_edges(found.where(~F.col("held")).select("x").mapInArrow(_counted, "feature int, v double, n long"), N_FEATURES)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bins = pa.array([r.tobytes() for r in binned(_features_of(b.column(3)), edges)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], bins], ["held", "kind", "y", "bins"])
+
+    keys = ["held", "kind", "y", "bins"]
+    coded = found.select("held", "kind", "y", "x").mapInArrow(code, "held boolean, kind int, y int, bins binary")
+    coded = materialise(coded.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    trees, over_bins = fit_trees(coded.where(~F.col("held")), edges)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = over_bins.probability(bins_of(b.column(3), N_FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(s)], ["kind", "y", "n", "score"])
+
+    scored = coded.where("held").select("kind", "y", "n", "bins").mapInArrow(score, "kind int, y int, n long, score double")
+    return SpanModel(trees, _thresholds(scored, precision, tasks))
+
+
+def _thresholds(scored: DataFrame, precision: float, tasks: int) -> tuple[float, ...]:
+    """Each kind's lowest score at which, over all rows, what passes reaches ``precision``, ten rows at least; ties stand or fall together.
+
+    Scores are dealt by ranges, and a range begins at the sums of those above it, so no task sees a whole kind."""
+    each = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good"))
+    each = materialise(each.repartitionByRange(tasks, F.col("kind"), F.col("score").desc()).withColumn("_pid", F.spark_partition_id()))
+    above = W.partitionBy("kind").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    parts = each.groupBy("kind", "_pid").agg(F.sum("n").alias("_n"), F.sum("good").alias("_good"))
+    parts = parts.select("kind", "_pid", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_n", "_good")])
+    inside = W.partitionBy("kind", "_pid").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    run = each.join(parts, ["kind", "_pid"]).select("kind", "score", (F.col("_n") + F.sum("n").over(inside)).alias("n"), (F.col("_good") + F.sum("good").over(inside)).alias("good"))
+    lowest = run.where((F.col("n") >= 10) & (F.col("good") / F.col("n") >= precision)).groupBy("kind").agg(F.min("score").alias("score"))
+    chosen = {r["kind"]: max(0.5, r["score"]) for r in lowest.collect()}
+    return tuple(float(chosen.get(k, 2.0)) for k in range(len(KINDS)))
+
+
+def train(docs: DataFrame, precision: float = 0.99) -> SpanModel:
+    """Learn from all documents that have a base span."""
+    return fit_spans(training_examples(docs), precision)
 
 
 def _joined(spans: list[Span]) -> str:

@@ -264,6 +264,63 @@ def test_spans_added_and_decoys_left(spark, odd, none):
     assert pii.redact_pii(odd).columns == odd.columns
 
 
+def plain_spans(rows, precision=0.99, rounds=60, depth=3, rate=0.2, bins=32):
+    """Margins of the held examples and thresholds, by boosting in one piece of numpy; rows: (held, kind, x, y)."""
+    held, kind, y = (np.array([r[i] for r in rows]) for i in (0, 1, 3))
+    x = np.array([r[2] for r in rows], np.float64)
+    edges = [np.unique(np.quantile(x[~held, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    p = y[~held].mean()
+    margin = np.full(len(y), np.log(p / (1 - p)))
+    for _ in range(rounds):
+        prob = 1 / (1 + np.exp(-margin))
+        g, h = prob - y, prob * (1 - prob)
+        node = np.zeros(len(y), np.int64)
+        for _ in range(depth):
+            right = np.zeros(len(y), bool)
+            for k in np.unique(node):
+                best, at = 1e-9, ~held & (node == k)
+                gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+                for j, e in enumerate(edges):
+                    for t in e:
+                        new = gain(at & (x[:, j] <= t)) + gain(at & (x[:, j] > t)) - gain(at)
+                        if new > best + 1e-9:
+                            best, side = new, x[:, j] > t
+                            right[node == k] = side[node == k]
+            node = 2 * node + right
+        for k in np.unique(node):
+            at = ~held & (node == k)
+            margin[node == k] -= rate * g[at].sum() / (h[at].sum() + 1)
+    score, lowest = 1 / (1 + np.exp(-margin)), []
+    for k in range(4):
+        s, t = score[held & (kind == k)], y[held & (kind == k)]
+        good = [v for v in np.unique(s) if (s >= v).sum() >= 10 and t[s >= v].mean() >= precision]
+        lowest.append(max(0.5, min(good)) if good else 2.0)
+    return margin, lowest
+
+
+def test_spans_are_learnt_from_all_documents(spark):
+    texts = [f"n {i} mail a{i}@ex{i % 7}.org, card 4111 1111 1111 1111, host 10.0.{i % 200}.{i % 9}, call +1 (743) 555-{i % 9000 + 1000}, no {i * 7919 % 10**9}" for i in range(2300)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[0]), (9999, "nothing here")], "doc_id long, text string")
+    found = pii.training_examples(d.repartition(5)).collect()
+    assert len({r["doc_id"] for r in found}) == 2300
+    of_five = {(tuple(x), y) for x, y in zip(*pii.examples(texts[5]), strict=True)}
+    assert len(of_five) > 64 and sorted((tuple(r["x"]), r["y"]) for r in found if r["doc_id"] == 5) == sorted(of_five)
+
+
+def test_spread_boosting_equals_boosting_in_one_piece(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 4, (500, 1)), rng.integers(0, 40, (500, pii.N_FEATURES - 1))], axis=1).astype(float)
+    x[:, 3:] = 0
+    y = ((x[:, 1] > 15) ^ (x[:, 2] > 30) | (rng.random(500) < 0.02)).astype(int)
+    rows_ = [(bool(i % 3 == 0), int(r[0]), r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "doc_id long, held boolean, kind int, x array<double>, y int")
+    model = pii.fit_spans(d.repartition(3), 0.9, per_task=100)
+    margin, thresholds = plain_spans(rows_, 0.9)
+    assert np.allclose(model.trees.margin(x), margin, atol=1e-4) and np.allclose(model.thresholds, thresholds, atol=1e-4)
+    assert pii.fit_spans(d.repartition(7), 0.9, per_task=20).thresholds == model.thresholds
+    assert pii.fit_spans(d.where("false")).thresholds == (2.0,) * 4
+
+
 def test_numbers_beside_other_numbers(spark):
     rng = np.random.default_rng(9)
     for _ in range(500):
