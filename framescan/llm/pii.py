@@ -301,7 +301,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([j] * len(v), pa.int32()), pa.array(v), pa.array(n)], ["feature", "v", "n"])
 
 
-def fit_spans(found: DataFrame, precision: float = 0.99, per_task: int = 100_000) -> SpanModel:
+def fit_spans(found: DataFrame, precision: float = 0.99, per_task: int = 100_000, rounds: int = 60) -> SpanModel:
     """Trees of all examples that are not held back, thresholds of all that are; ``found``: as ``training_examples`` gives them.
 
     ``per_task``: how many examples a task passes over at a time."""
@@ -321,7 +321,7 @@ def fit_spans(found: DataFrame, precision: float = 0.99, per_task: int = 100_000
     keys = ["held", "kind", "y", "bins"]
     coded = found.select("held", "kind", "y", "x").mapInArrow(code, "held boolean, kind int, y int, bins binary")
     coded = materialise(coded.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    trees, over_bins = fit_trees(coded.where(~F.col("held")), edges)
+    trees, over_bins = fit_trees(coded.where(~F.col("held")), edges, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
