@@ -357,7 +357,7 @@ def q_frame_lines(spark, sf):
     _prep(spark)
     path = AU.scratch_path(spark, "lines")
     whole = P.all_frames(spark, sf).where(~F.col("raw").contains("\n"))
-    whole.select("direction", F.col("raw").alias("value")).repartition(4).write.partitionBy("direction").text(path)
+    whole.select("direction", F.col("raw").alias("value")).write.partitionBy("direction").text(path)
     read = [FR.frames_source(FR.read_frame_lines(spark, f"{path}/direction={d}", d)) for d in R.DIRECTIONS]
     lines = read[0].unionByName(read[1])
     each = lines.groupBy("direction", "raw", "frame_id").agg(F.count(F.lit(1)).alias("n"))
@@ -1067,13 +1067,21 @@ def _run_to_end(q):
         raise q.exception()
 
 
+def _write_frames(frames, path):
+    """Eight files; their row groups are small, so that a micro-batch of a few files is read by all cores."""
+    frames.repartition(8).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
+ROW_GROUP_BYTES = 4 << 20
+
+
 @register("stream_inspect", lambda: f"{SI.sql_inspect_with()} SELECT {_AUDIT_OUT} FROM a")
 def q_stream_inspect(spark, sf):
     """Frames written as files, inspected as a stream (several micro-batches);
     the result equals the batch ``inspect_frames``."""
     _prep(spark)
     src = AU.scratch_path(spark, "frames-src")
-    P.all_frames(spark, sf).repartition(8).write.parquet(src)
+    _write_frames(P.all_frames(spark, sf), src)
     audit = AU.scratch_path(spark, "stream-audit")
     q = SS.stream_inspect(
         SS.frames_stream(spark, src, max_files=3), audit, AU.scratch_path(spark, "ckpt-inspect"),
@@ -1123,7 +1131,7 @@ def q_stream_replies(spark, sf):
     """The replies a stream of frames writes, in several micro-batches."""
     _prep(spark)
     src, out = AU.scratch_path(spark, "frames-src"), AU.scratch_path(spark, "stream-replies")
-    P.all_frames(spark, sf).repartition(8).write.parquet(src)
+    _write_frames(P.all_frames(spark, sf), src)
     q = SS.stream_inspect(
         SS.frames_stream(spark, src, max_files=3), AU.scratch_path(spark, "stream-audit"), AU.scratch_path(spark, "ckpt-inspect"),
         replies_path=out, allowed_tools=list(SI.ALLOWED_TOOLS), server_name=P.SERVER_NAME,

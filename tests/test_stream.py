@@ -174,3 +174,35 @@ def test_line_ids_do_not_depend_on_the_splits(spark):
     assert seen[0] == seen[1] == seen[2] and len({i for i, _, _ in seen[0]}) == 704
     assert all(raw.split()[1] == str(n) for _, n, raw in seen[0])
     assert [raw.split()[0] for i, n, raw in seen[0] if n == 0] == ["a.txt", "b.txt", "c.txt"]
+
+
+def test_a_micro_batch_of_few_files_is_read_in_many_parts(spark, tmp_path, monkeypatch):
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    from framescan.plans import queries as Q
+
+    monkeypatch.setattr(Q, "ROW_GROUP_BYTES", 64 << 10)
+    rng = random.Random(1)
+    frames = spark.createDataFrame([(i, 1, None, "client_to_server", rng.randbytes(1000).hex()) for i in range(4000)], "frame_id long, session_id long, ts timestamp, direction string, raw string")
+    Q._write_frames(frames, str(tmp_path / "src"))
+    files = glob.glob(str(tmp_path / "src/*.parquet"))
+    assert len(files) == 8 and all(pq.ParquetFile(f).num_row_groups > 3 for f in files)
+
+
+def test_frame_lines_are_written_by_the_tasks_that_read(spark, tmp_path, monkeypatch):
+    import glob
+
+    from framescan.plans import queries as Q
+    from framescan.sources import audit as AU
+
+    sf = str(tmp_path / "sf")
+    docs = spark.createDataFrame([(i, "s", "en", f"text {i % 50}") for i in range(240)], "doc_id long, source string, lang string, text string")
+    docs.repartition(12).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "ls"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    monkeypatch.setattr(AU, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = Q.q_frame_lines(spark, sf).collect()
+    assert sum(r["n_lines"] for r in got if '"text":"text' in r["raw"]) == 240 and all(r["n_lines"] == r["n_ids"] for r in got)
+    assert len(glob.glob(str(tmp_path / "lines/direction=server_to_client/*.txt"))) > 4
