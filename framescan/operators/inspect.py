@@ -5,21 +5,19 @@
       -> block reply / downgrade -> batch abort -> synthetic rows
 
 Per-member work is one narrow stage.  Every line has a key of its own from the
-source on, whatever its ids, and its members stay next to each other in their
-partition, so they are gathered into one row a frame without a shuffle (an
+source on, whatever its ids.  Members are gathered into one row a frame (an
 array of structs), decided there by ``exists`` / ``filter`` / ``transform``, and
-exploded last.  Only a join on the way (a classifier's answers, an allowlist
-given as a DataFrame) moves members; they are then brought together by the
-line's key.
+exploded last.  A single frame is an array of its own; only the members of
+batch frames are shuffled, by the line's key, so it does not matter whether a
+join on the way (a classifier's answers, an allowlist given as a DataFrame)
+has moved them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,40 +149,11 @@ _DET = ["det_verdict", "det_score", "rules_hit", "det_classifier", "det_action",
 def gather_members(members: DataFrame) -> DataFrame:
     """One row a frame: ``m``, its members as an array of structs in order.
 
-    A single frame is an array of its own; members of a batch frame stand next
-    to each other, so each run of rows of one line becomes one array, with no
-    shuffle and no more held than a line."""
+    A single frame is an array of its own; the members of a batch frame come
+    together by their line's key, in the JVM, where a group is a line."""
     struct = F.struct("pos", *[c for c in MEMBER_COLUMNS if c != "pos"])
-    kind = f"{LINE_KEY} long, m array<{members.select(struct.alias('m')).schema['m'].dataType.simpleString()}>"
-
-    def arrays(rows: list[pa.RecordBatch], cuts: list[int]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), t["m"].chunk(0))
-        return pa.RecordBatch.from_arrays([t[LINE_KEY].chunk(0).take(pa.array(cuts[:-1])), lists], [LINE_KEY, "m"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the line that the last batch ended in
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            starts = np.flatnonzero(np.diff(key)) + 1
-            before = sum(r.num_rows for r in held)
-            if held and held[-1].column(0)[-1].as_py() != key[0]:
-                starts = np.concatenate([[0], starts])
-            if not len(starts):
-                held.append(b)
-                continue
-            last = int(starts[-1])
-            whole = [*held, b.slice(0, last)] if last else held
-            cuts = [before + int(i) for i in starts]
-            yield arrays(whole, cuts if cuts[0] == 0 else [0, *cuts])
-            held = [b.slice(last)]
-        if held:
-            yield arrays(held, [0, sum(r.num_rows for r in held)])
-
     single = members.where(F.col("n_members") <= 1).select(LINE_KEY, F.array(struct).alias("m"))
-    batch = members.where(F.col("n_members") > 1).select(LINE_KEY, struct.alias("m")).mapInArrow(run, kind)
+    batch = members.where(F.col("n_members") > 1).groupBy(LINE_KEY).agg(F.sort_array(F.collect_list(struct)).alias("m"))
     return single.unionByName(batch)
 
 
@@ -303,9 +272,6 @@ def inspect_frames(frames: DataFrame, *, once: bool = True, **kwargs) -> Inspect
     rules; without it the events are one narrow pass."""
     members, learnt, cache = inspect_members(frames, **kwargs)
     members = members.select(LINE_KEY, *MEMBER_COLUMNS)
-    if kwargs.get("classifier") is not None or kwargs.get("cache") is not None or isinstance(kwargs.get("allowed_tools"), DataFrame):
-        # a join may have moved them
-        members = members.repartition(LINE_KEY).sortWithinPartitions(LINE_KEY, "pos")
     if once:
         members = written_once(members)
     framed = gather_members(members)
