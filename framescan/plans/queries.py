@@ -414,7 +414,7 @@ def q_event_columns(spark, sf):
 )
 def q_valid_events(spark, sf):
     _prep(spark)
-    ev = FR.valid_events(FR.event_columns(_parsed(spark, sf)))
+    ev = FR.valid_events(FR.settled(FR.event_columns(_parsed(spark, sf)), "kind"))
     return ev.select("frame_id", F.col("pos").cast("long").alias("pos"), "direction", "kind")
 
 
@@ -462,7 +462,7 @@ def q_argv_text(spark, sf):
 )
 def q_tool_name(spark, sf):
     _prep(spark)
-    t = FR.tool_name(_parsed(spark, sf), P.SERVER_NAME)
+    t = FR.settled(FR.tool_name(_parsed(spark, sf), P.SERVER_NAME), "tool")
     return t.where(F.col("tool").isNotNull()).select("frame_id", F.col("pos").cast("long").alias("pos"), "tool")
 
 
@@ -488,7 +488,7 @@ def q_payload_summary(spark, sf):
 )
 def q_parse_errors(spark, sf):
     _prep(spark)
-    p = _parsed(spark, sf)
+    p = FR.settled(_parsed(spark, sf), "kind")
     return p.where(F.col("kind") == "parse_error").select("frame_id", F.col("pos").cast("long").alias("pos"), "direction", F.col("member").alias("raw"))
 
 

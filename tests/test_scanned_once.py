@@ -2,9 +2,33 @@
 
 import json
 
+import pytest
+
+import __spark_entry__ as entry
 from framescan.operators.inspect import inspect_frames
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    docs = [(i, f"s{i % 3}", "en", f"text {i % 20} " + "e" * (i % 7) + "x" * (9000 * (i % 11 == 0))) for i in range(60)]
+    talk = [(c, t, "user" if t % 2 else "assistant", f"turn {t} of {c}") for c in range(4) for t in range(6)]
+    spark.createDataFrame([*docs, (None, None, None, None)], "doc_id long, source string, lang string, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["parse_errors", "valid_events", "tool_name"])
+def test_filters_do_not_repeat_the_parse(spark, tables, name):
+    df = entry.queries()[name](spark, tables)
+    assert not [line for line in _plan(df).splitlines() if "Filter" in line and "parsejson" in line.lower().replace("_", "")]
+    assert df.count()
+
+
 def test_batch_members_are_gathered_without_python(spark):
     calls = [[{"jsonrpc": "2.0", "id": i, "result": {"n": line}} for i in range(n)] for line, n in enumerate([12, 1, 2, 0, 2])]
     rows = [(7, 1, None, "server_to_client", json.dumps(c)) for c in calls]  # one frame_id for all lines
