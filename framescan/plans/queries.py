@@ -896,10 +896,11 @@ def _sql_cache_prev() -> str:
         FROM {_sql_candidates()} WHERE frame_id % 2 = 0) GROUP BY content_hash)"""
 
 
-def _candidates(spark, sf):
-    m = _cls_members(spark, sf)
+def _candidates(m):
+    """The windows of the members that the gate lets through, with their hash."""
     g = CL.gate(F.col("direction"), F.col("det_score"), F.col("shape_note"), F.col("result_text"))
-    c = m.where((g == "candidate") & ~CL.blank(F.col("result_text"))).select(
+    m = FR.settled(m.withColumn("_gate", g), "_gate")
+    c = m.where((F.col("_gate") == "candidate") & ~CL.blank(F.col("result_text"))).select(
         "frame_id", "result_text", "det_score", CL.classifier_input(F.col("result_text")).alias("w")
     )
     c = c.select("frame_id", "result_text", "det_score", F.size("w").cast("long").alias("n_windows"), F.explode("w").alias("sample"))
@@ -912,7 +913,7 @@ def _candidates(spark, sf):
 )
 def q_classifier_input(spark, sf):
     _prep(spark)
-    c = _candidates(spark, sf)
+    c = _candidates(_cls_members(spark, sf))
     return c.select("frame_id", F.length("result_text").cast("long").alias("n_chars"), "n_windows", F.length("sample").cast("long").alias("sample_chars"), "content_hash")
 
 
@@ -953,15 +954,17 @@ _NOW_SQL = f"TIMESTAMP '{CLS_NOW}'"
 )
 def q_cache_lookup(spark, sf):
     _prep(spark)
-    c = _candidates(spark, sf)
+    # scanned once: the candidates are looked up in a cache made of them
+    c = written_once(_candidates(_cls_members(spark, sf)).select("frame_id", "content_hash"))
     looked = CL.cache_lookup(c, _cache_prev(spark, c), F.lit(CLS_NOW).cast("timestamp"))
     return looked.select("frame_id", "content_hash", "cached_label", "cached_score")
 
 
-def _run_cls(spark, sf):
-    m = _cls_members(spark, sf)
-    c = _candidates(spark, sf)
-    return CL.run_classifier(m, classifier=parity_model, cache=_cache_prev(spark, c), now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")[:2]
+def _run_cls(spark, sf, *more):
+    """Scanned once; ``more``: columns of the members that are wanted afterwards."""
+    m = written_once(_cls_members(spark, sf).select("frame_id", "direction", "det_score", "shape_note", "result_text", *more))
+    cache = written_once(_cache_prev(spark, _candidates(m)))
+    return CL.run_classifier(m, classifier=parity_model, cache=cache, now=F.lit(CLS_NOW).cast("timestamp"), backend="parity")[:2]
 
 
 def _sql_windows() -> str:
@@ -1023,7 +1026,7 @@ def q_cache_by_parts(spark, sf):
     old for all of it, then the labels themselves in three batches; each batch reads and writes only its parts."""
     _prep(spark)
     path = AU.scratch_path(spark, "cache")
-    prev = written_once(_cache_prev(spark, _candidates(spark, sf))).select("content_hash", "classifier", "score", "cached_at", "backend")
+    prev = written_once(_cache_prev(spark, _candidates(_cls_members(spark, sf)))).select("content_hash", "classifier", "score", "cached_at", "backend")
     CL.store_labels(prev.withColumns({"classifier": F.lit("MAYBE"), "cached_at": F.col("cached_at") - F.expr("INTERVAL 365 DAYS")}), path)
     for n in range(3):
         CL.store_labels(prev.where(F.pmod(F.xxhash64("content_hash", F.lit(n)), F.lit(3)) == 0) if n < 2 else prev, path)
@@ -1050,7 +1053,7 @@ def q_uninspected_truncated(spark, sf):
     """Allowed frames longer than one classifier window: all their windows are
     classified, ``n_unlabelled`` of them without a usable answer."""
     _prep(spark)
-    out, _ = _run_cls(spark, sf)
+    out, _ = _run_cls(spark, sf, "rules_hit", "member")
     score = CL.combine_score(F.col("det_score"), F.col("classifier_score"))
     d = decide(IN.DEFAULT_POLICY, direction=F.col("direction"), method=F.lit(None).cast("string"), score=score,
                classifier=F.col("det_classifier"), rules_hit=F.col("rules_hit"), raw=F.col("member"))

@@ -29,6 +29,18 @@ def test_filters_do_not_repeat_the_parse(spark, tables, name):
     assert df.count()
 
 
+@pytest.mark.parametrize("name", ["cache_lookup", "cache_upsert", "classify_misses", "combine_score", "uninspected_truncated"])
+def test_members_are_scanned_once(spark, tables, name):
+    df = entry.queries()[name](spark, tables)
+    assert "Relation" not in _plan(df)  # what was scanned is read from what was written
+    assert df.count()
+
+
+def test_gate_is_not_repeated_below_the_scan(spark, tables):
+    plan = _plan(entry.queries()["classifier_input"](spark, tables))
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line and "_fs_" in line]
+
+
 def test_batch_members_are_gathered_without_python(spark):
     calls = [[{"jsonrpc": "2.0", "id": i, "result": {"n": line}} for i in range(n)] for line, n in enumerate([12, 1, 2, 0, 2])]
     rows = [(7, 1, None, "server_to_client", json.dumps(c)) for c in calls]  # one frame_id for all lines
