@@ -320,7 +320,8 @@ def fit_spans(found: DataFrame, precision: float = 0.99, per_task: int = 100_000
 
     keys = ["held", "kind", "y", "bins"]
     coded = found.select("held", "kind", "y", "x").mapInArrow(code, "held boolean, kind int, y int, bins binary")
-    coded = materialise(coded.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    # as many tasks as the examples need, whatever the shuffle had: training passes over them some two hundred times
+    coded = materialise(coded.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).coalesce(tasks))
     trees, over_bins = fit_trees(coded.where(~F.col("held")), edges, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

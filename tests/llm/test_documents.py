@@ -417,3 +417,14 @@ def test_short_texts_fill_sequences(spark):
     docs = spark.range(21_000).selectExpr("id AS doc_id", "CASE WHEN id < 20000 THEN '' ELSE 'one two three four' END AS text")
     rows = pack(docs).selectExpr("sum(length) n", "max(sequence_id) + 1 s", "count(distinct sequence_id) d").first()
     assert rows["s"] == rows["d"] <= -(-rows["n"] // 2048) + 1
+
+
+def test_training_passes_take_as_many_tasks_as_examples_need(spark, monkeypatch):
+    rows_ = [(i, i % 3 == 0, 0, [float(i * j % 50) for j in range(pii.N_FEATURES)], i % 2) for i in range(300)]
+    d = spark.createDataFrame(rows_, "doc_id long, held boolean, kind int, x array<double>, y int")
+    seen, dealt, fit = [], type(d).repartition, pii.fit_trees
+    # a cluster where every keyed shuffle has many parts
+    monkeypatch.setattr(type(d), "repartition", lambda self, n, *keys: dealt(self, max(n, 61) if keys else n, *keys))
+    monkeypatch.setattr(pii, "fit_trees", lambda rows, *a, **k: seen.append(rows.rdd.getNumPartitions()) or fit(rows, *a, **k))
+    pii.fit_spans(d, per_task=100, rounds=2)
+    assert seen == [3]
