@@ -25,6 +25,8 @@ WIDE = ("wide",)
 # how many spellings of one stretch of characters are told apart (``https?`` has two), and characters of one bracket
 SPELLINGS = 12
 SHARED = 4  # characters that alternatives must begin with alike to be looked for as one
+LEAST = 4  # characters that stay of a literal whose beginning is not looked for
+OFTEN = "zqjxkvbywgpfmucdlhrsnioate"  # letters of European prose, the rarest first
 _ESCAPED = re.compile(r"\\x\{([0-9A-Fa-f]+)\}")
 
 
@@ -69,6 +71,13 @@ def _both(kind: str, parts: list[Condition]) -> Condition:
     return None if not kept else kept[0] if len(kept) == 1 else (kind, *kept)
 
 
+def rare_end(literal: str) -> str:
+    """The literal from its rarest character on: it occurs wherever the literal does, and a text holds
+    fewer places where it could begin.  ``LEAST`` characters stay, of a shorter literal all."""
+    starts = range(max(1, len(literal) - LEAST + 1))
+    return literal[min(starts, key=lambda i: (OFTEN.find(literal[i]), i)) :]
+
+
 def looks(condition: Condition) -> int:
     """How often a text without any of the literals is looked through."""
     if not isinstance(condition, tuple) or condition == WIDE:

@@ -18,8 +18,10 @@ Work avoided per row, all exact:
 * a normalised view equal to an earlier view is not scanned again;
 * a rule whose pattern needs literals that the lower-cased view lacks skips its
   regex on that view (``operators.literals`` reads them off the pattern);
+* the literal is looked for from its rarest character on, so that few places of a text are compared;
+* texts of ASCII and Latin-1 letters are their own NFKC and folded form, and hold no white space beyond ASCII;
 * the four Unicode rules only scan the raw view (both normalised views delete
-  the characters they look for).
+  the characters they look for), of texts with other characters.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonrpc import argv_text
-from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, is_ascii, nfkc, probe_text, strip_invisible
+from ..functions.unicode import INVISIBLE_CLASS, collapse_whitespace, fold_homoglyphs, is_plain, nfkc, probe_text, strip_invisible
 from ..functions.memo import column_memo
 from ..session import check_conf
-from .literals import WIDE, Condition
+from .literals import WIDE, Condition, rare_end
 from .rules import BUILTIN_RULES, C2S, Rule, check_patterns
 
 _VIEWS = ("_fs_raw", "_fs_within", "_fs_between")
@@ -54,9 +56,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def _occurs(condition: Condition, text: Column) -> Column:
     """The condition on literals, as one short-circuit expression over a lower-cased text."""
     if condition == WIDE:
-        return ~is_ascii(text)
+        return ~F.col("_fs_plain")  # of the raw text: a plain text has no other view that is not plain
     if isinstance(condition, str):
-        return text.contains(condition)
+        return text.contains(rare_end(condition))
     kind, *parts = condition
     return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), [_occurs(p, text) for p in parts])
 
@@ -132,24 +134,25 @@ def rule_scan(
         rules = [r for r in rules if direction in r.apply_to]
     df = with_scan_text(df, text_col, direction)
     raw = F.col("_fs_raw")
+    df = df.withColumn("_fs_plain", is_plain(raw))
+    plain = F.col("_fs_plain")
     if raw_only:
-        df = df.withColumn("_fs_p0", probe_text(raw))
+        df = df.withColumn("_fs_p0", probe_text(raw, plain))
         df, drop = _with_hits(df, rules, direction, True)
-        return _finish(df, rules, drop[: len(rules)], hits_col, score_col, [*drop, "_fs_raw"])
-    # fold(nfkc(raw)) once; the invisible-character pass only where there are any
-    plain = is_ascii(raw)
+        return _finish(df, rules, drop[: len(rules)], hits_col, score_col, [*drop, "_fs_raw", "_fs_plain"])
+    # fold(nfkc(raw)) once, of texts that it can change; the invisible-character pass only where there are any
     df = df.withColumn("_fs_f", F.when(plain, raw).otherwise(fold_homoglyphs(nfkc(raw))))
     df = df.withColumn("_fs_inv", ~plain & F.col("_fs_f").rlike(INVISIBLE_CLASS))
     f, inv = F.col("_fs_f"), F.col("_fs_inv")
     df = df.select(
         *[c for c in df.columns if c not in ("_fs_f", "_fs_inv")],
         F.when(inv, strip_invisible(f, "")).otherwise(f).alias("_fs_within"),
-        collapse_whitespace(F.when(inv, strip_invisible(f, " ")).otherwise(f)).alias("_fs_between"),
+        collapse_whitespace(F.when(inv, strip_invisible(f, " ")).otherwise(f), plain).alias("_fs_between"),
     )
     df = df.withColumns({
         "_fs_wnew": F.col("_fs_within") != raw,
         "_fs_bnew": (F.col("_fs_between") != raw) & (F.col("_fs_between") != F.col("_fs_within")),
-        "_fs_p0": probe_text(raw),
+        "_fs_p0": probe_text(raw, plain),
     })
     # Every whitespace-free substring of ``between`` is also one of ``within``
     # (between only turns invisibles into spaces and shortens whitespace runs),
@@ -157,7 +160,7 @@ def rule_scan(
     df = df.withColumn("_fs_p1", F.when(F.col("_fs_wnew"), probe_text(F.col("_fs_within"))))
     df, drop = _with_hits(df, rules, direction, False)
     flags = drop[: len(rules)]
-    drop += ["_fs_wnew", "_fs_bnew"]
+    drop += ["_fs_wnew", "_fs_bnew", "_fs_plain"]
     if not keep_views:
         drop += list(_VIEWS)
     return _finish(df, rules, flags, hits_col, score_col, drop)

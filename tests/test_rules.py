@@ -249,3 +249,34 @@ def test_a_rule_that_drifted_from_its_examples_is_reported(spark):
         "bare": (0, 0, 1, 0, "no_examples"), "nothing": (0, 0, 0, 0, "no_examples"),
     }
     assert EV.rule_examples(R.examples_df(spark, []), R.patterns_df(spark, rules)).where("status = 'no_examples'").count() == 5
+
+
+def test_plain_texts_have_one_form_and_literals_are_looked_for_from_their_rarest_character(spark):
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from framescan.functions.unicode import HOMOGLYPH_FROM, HOMOGLYPH_TO, collapse_whitespace, is_plain
+    from framescan.operators.literals import LEAST, rare_end
+
+    assert rare_end("ignore") == "gnore" and rare_end("](http") == "](http" and rare_end("act") == "act"
+    for r in R.BUILTIN_RULES:
+        for p in r.probes:
+            assert p.endswith(rare_end(p)) and len(rare_end(p)) >= min(len(p), LEAST)
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    invisible = r"[\u00AD\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF\U000E0000-\U000E007F]"
+    fold = str.maketrans(HOMOGLYPH_FROM, HOMOGLYPH_TO)
+    texts = ["", "ab  c\t d\n", None, *(f"É{chr(c)} {chr(c)}ÿ" for c in [*range(0, 0x180), 0x391, 0x430, 0x200B, 0x2003, 0x3000, 0xFEFF, 0xFF21, 0xE0041, 0x1F600])]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", is_plain(F.col("t")).alias("p"))
+    got = df.select("t", "p", collapse_whitespace(F.col("t"), F.col("p")).alias("c"), collapse_whitespace(F.col("t")).alias("d")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r["t"] is None:
+            assert r["p"] is None and r["c"] is None and r["d"] is None
+            continue
+        assert r["c"] == r["d"] == re.sub(f"[{spaces}]+", " ", r["t"])
+        odd = [c for c in r["t"] if ord(c) > 127 and not (0xC0 <= ord(c) <= 0xFF and c.isalpha())]
+        assert r["p"] == (not odd), r["t"]
+        if r["p"]:
+            assert unicodedata.normalize("NFKC", r["t"]).translate(fold) == r["t"] and not re.search(invisible, r["t"])
