@@ -59,9 +59,28 @@ def _step(u: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
     return new, from_state[2]
 
 
-def _exp_sums(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounded(states: np.ndarray, *weights: np.ndarray) -> bool:
+    """Whether no logit of the states can be so large that its exponential overflows; the weights' columns with their bias in the last row."""
+    longest = np.sqrt(np.einsum("ij,ij->i", states, states).max(initial=0))
+    return all(longest * np.sqrt(np.einsum("...ij,...ij->...j", w, w).max(initial=0)) < 80 for w in weights)
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """The states with a one each, for the bias."""
+    out = np.empty((len(states), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states
+    out[:, -1] = 1
+    return out
+
+
+def _joined(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the head words, the bias in the last row."""
+    return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+
+
+def _exp_sums(logits: np.ndarray, at: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(log-probability of one column a row, row sums); ``logits`` become their exponentials, up to a factor a row."""
-    if not (np.abs(logits).max(initial=0) < 80):  # else no exponential can overflow
+    if not bounded and not (np.abs(logits).max(initial=0) < 80):  # else no exponential can overflow
         logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
@@ -69,12 +88,11 @@ def _exp_sums(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chosen - np.log(sums), sums
 
 
-def _softmax_gradient(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The loss of each row; ``logits`` become its gradient."""
-    log, sums = _exp_sums(logits, at)
-    logits /= sums[:, None]
-    logits[np.arange(len(at)), at] -= 1
-    return -log
+def _softmax_gradient(logits: np.ndarray, at: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the loss of each row, a factor of each row); ``logits`` times the factors become its gradient."""
+    log, sums = _exp_sums(logits, at, bounded)
+    logits[np.arange(len(at)), at] -= sums
+    return -log, (1 / sums)[:, None]
 
 
 def _head_blocks(cls: np.ndarray, n_head: int, size: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +108,7 @@ def _head_blocks(cls: np.ndarray, n_head: int, size: int = 32) -> tuple[np.ndarr
 
 
 def _by_class(cls: np.ndarray, n_head: int):
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(n_head + 1))
     for k in range(n_head):
         if bounds[k] < bounds[k + 1]:
@@ -100,14 +118,15 @@ def _by_class(cls: np.ndarray, n_head: int):
 def log_probs(p: dict[str, np.ndarray], states: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log-probability of each token's class, and word in a head class, given the state before it."""
     out = np.empty(len(cls), np.float64)
-    room = np.empty((BLOCK, p["c"].shape[1]), states.dtype)
+    states, (c, w) = _with_one(states), _joined(p)
+    bounded = _bounded(states, c, w)
+    room = np.empty((BLOCK, c.shape[1]), states.dtype)
     for i in range(0, len(cls), BLOCK):
         part = slice(i, i + BLOCK)
-        logits = np.matmul(states[part], p["c"], out=room[: len(cls) - i])
-        logits += p["cb"]
-        out[part] = _exp_sums(logits, cls[part])[0]
-    for k, rows in _by_class(cls, len(p["w"])):
-        out[rows] += _exp_sums(states[rows] @ p["w"][k] + p["wb"][k], word[rows])[0]
+        logits = np.matmul(states[part], c, out=room[: len(cls) - i])
+        out[part] = _exp_sums(logits, cls[part], bounded)[0]
+    for k, rows in _by_class(cls, len(w)):
+        out[rows] += _exp_sums(states[rows] @ w[k], word[rows], bounded)[0]
     return out
 
 
@@ -143,36 +162,43 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
     n = h.shape[1]
     u = p["u"]
     gates = p["x"].take(inp.ravel(), axis=1).reshape(3, steps, streams, n)
+    any_fresh = fresh.any(axis=1)
     before, recurrent = np.empty((steps, streams, n), u.dtype), np.empty((steps, streams, n), u.dtype)
     for t in range(steps):
         before[t] = h
-        before[t, fresh[t]] = 0
+        if any_fresh[t]:
+            before[t, fresh[t]] = 0
         h, recurrent[t] = _step(u, before[t], gates[:, t])
     states = before.reshape(-1, n)
     flat_cls, flat_word = cls.ravel(), word.ravel()
-    g = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
+    g = {"u": None}
     d_states = np.empty_like(states)
     loss = 0.0
-    room = np.empty((BLOCK, p["c"].shape[1]), u.dtype)
+    with_one, (c, w) = _with_one(states), _joined(p)
+    bounded = _bounded(with_one, c, w)
+    by_class = np.zeros_like(c)
+    room = np.empty((BLOCK, c.shape[1]), u.dtype)
     for i in range(0, len(states), BLOCK):
         part = slice(i, i + BLOCK)
-        d = np.matmul(states[part], p["c"], out=room[: len(states) - i])
-        d += p["cb"]
-        loss += float(_softmax_gradient(d, flat_cls[part]).sum())
-        g["c"] += states[part].T @ d
-        g["cb"] += d.sum(axis=0)
+        d = np.matmul(with_one[part], c, out=room[: len(states) - i])
+        log, factor = _softmax_gradient(d, flat_cls[part], bounded)
+        loss += float(log.sum())
+        by_class += (with_one[part] * factor).T @ d
         np.matmul(d, p["c"].T, out=d_states[part])
-    kinds, rows, real = _head_blocks(flat_cls, len(p["w"]))
+        d_states[part] *= factor
+    g["c"], g["cb"] = by_class[:-1], by_class[-1]
+    by_word = np.zeros_like(w)
+    kinds, rows, real = _head_blocks(flat_cls, len(w))
     if len(kinds):  # all head classes at once
-        held, w = states[rows], p["w"][kinds]
-        d = np.matmul(held, w)
-        d += p["wb"][kinds][:, None]
-        loss += float((_softmax_gradient(d.reshape(-1, d.shape[2]), flat_word[rows].ravel()) * real.ravel()).sum())
-        d *= real[:, :, None]
+        held, own_w = with_one[rows], w[kinds]
+        d = np.matmul(held, own_w)
+        log, factor = _softmax_gradient(d.reshape(-1, d.shape[2]), flat_word[rows].ravel(), bounded)
+        loss += float((log * real.ravel()).sum())
+        d *= factor.reshape(real.shape)[:, :, None] * real[:, :, None]
         starts = np.flatnonzero(np.diff(kinds, prepend=-1))
-        g["w"][kinds[starts]] = np.add.reduceat(np.matmul(held.transpose(0, 2, 1), d), starts, axis=0)
-        g["wb"][kinds[starts]] = np.add.reduceat(d.sum(axis=1), starts, axis=0)
-        d_states[rows[real]] += np.matmul(d, w.transpose(0, 2, 1))[real]
+        by_word[kinds[starts]] = np.add.reduceat(np.matmul(held.transpose(0, 2, 1), d).reshape(len(kinds), -1), starts, axis=0).reshape(len(starts), *w.shape[1:])
+        d_states[rows[real]] += np.matmul(d, own_w[:, :-1].transpose(0, 2, 1))[real]
+    g["w"], g["wb"] = by_word[:, :-1], by_word[:, -1]
     d_states = d_states.reshape(steps, streams, n)
     z, r, c = gates
     keep = 1 - z
@@ -180,25 +206,25 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
     by_c = z * (1 - c * c)
     by_r = recurrent * r * (1 - r)
     d_h = np.zeros((streams, n), u.dtype)
-    d_u = np.empty_like(gates)  # of what the state adds to the gates and the candidate
-    d_c = np.empty_like(before)
+    d_u = np.empty((steps, streams, 3 * n), u.dtype)  # of what the state adds to the gates and the candidate
+    d_in = np.empty_like(d_u)  # of the inputs' rows
     back = u.transpose(0, 2, 1).reshape(3 * n, n)
     for t in range(steps - 1, -1, -1):
-        np.multiply(d_h, by_c[t], out=d_c[t])
-        np.multiply(d_h, by_z[t], out=d_u[0, t])
-        np.multiply(d_c[t], by_r[t], out=d_u[1, t])
-        np.multiply(d_c[t], r[t], out=d_u[2, t])
+        at_u, d_c = d_u[t], d_in[t, :, 2 * n :]
+        np.multiply(d_h, by_c[t], out=d_c)
+        np.multiply(d_h, by_z[t], out=at_u[:, :n])
+        np.multiply(d_c, by_r[t], out=at_u[:, n : 2 * n])
+        np.multiply(d_c, r[t], out=at_u[:, 2 * n :])
         d_h *= keep[t]
         d_h += d_states[t]
-        for k in range(3):
-            d_h += d_u[k, t] @ back[k * n : (k + 1) * n]
-        d_h[fresh[t]] = 0
-    d_u = d_u.reshape(3, -1, n)
-    g["u"] = np.matmul(states.T, d_u)
-    order = np.argsort(inp.ravel().astype(np.int32), kind="stable")
+        d_h += at_u @ back
+        if any_fresh[t]:
+            d_h[fresh[t]] = 0
+    d_in[:, :, : 2 * n] = d_u[:, :, : 2 * n]
+    g["u"] = (states.T @ d_u.reshape(-1, 3 * n)).reshape(n, 3, n).transpose(1, 0, 2)
+    order = np.argsort(inp.ravel().astype(np.uint16 if len(p["x"][0]) <= 1 << 16 else np.int32), kind="stable")
     own, first = np.unique(inp.ravel()[order], return_index=True)
-    d_inputs = np.stack([d_u[0], d_u[1], d_c.reshape(-1, n)])
-    g["x"] = np.add.reduceat(d_inputs.take(order, axis=1), first, axis=1)
+    g["x"] = np.add.reduceat(d_in.reshape(-1, 3 * n).take(order, axis=0), first, axis=0).reshape(-1, 3, n).transpose(1, 0, 2)
     return loss, g, own, h
 
 

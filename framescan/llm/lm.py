@@ -32,13 +32,13 @@ documents every count is 0; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,7 @@ MAX_BYTES = 64
 END = b"\n"  # no word holds white space
 N_TAIL = 96
 _FLUSH = 200_000
+_SLICE = 1 << 25  # bytes of texts taken to words at once
 
 
 def held_out(col: str) -> Column:
@@ -61,6 +62,26 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of ``_SLICE`` bytes, or one longer text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + _SLICE, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts in order, A-Z lower-cased; how many each text has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, offsets = lists.flatten(), np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy(zero_copy_only=False)]))
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), np.diff(before[offsets])
+
+
 def tail_class(word: bytes) -> int:
     """A class from 0 to 95 by spelling alone."""
     last = word[-1:]
@@ -70,25 +91,69 @@ def tail_class(word: bytes) -> int:
     return 24 * mark + 4 * far + (stem[-1] % 4 if stem else 0)
 
 
+_MARKS = np.array([1 if c in b".!?" else 2 if c in b",;:" else 0 if bytes([c]).isalnum() or c >= 128 else 3 for c in range(256)])
+
+
+def tail_classes(words_: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word, none of them empty."""
+    words_ = pa.concat_arrays([words_.cast(pa.binary())])
+    ends = np.cumsum(pc.binary_length(words_).to_numpy(zero_copy_only=False), dtype=np.int64)
+    if not len(ends):
+        return ends
+    start = np.frombuffer(words_.buffers()[1], np.int32)[words_.offset]
+    data = np.frombuffer(words_.buffers()[2], np.uint8)[start : start + ends[-1]]
+    last = data[ends - 1]
+    mark = _MARKS[last]
+    alone = np.diff(ends, prepend=0) == 1
+    stem = np.where(mark == 0, last, np.where(alone, 0, data[np.maximum(ends - 2, 0)]))
+    leads = np.flatnonzero(data >= 0xC0)
+    owner = np.searchsorted(ends, leads, side="right")
+    inside = leads + 1 < ends[owner]
+    far = np.zeros(len(ends), np.int64)
+    far[owner[inside][::-1]] = 1 + data[leads[inside][::-1] + 1] % 5  # the first of a word is written last
+    return 24 * mark + 4 * far + stem % 4
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over the texts of ``docs``, with one end a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for b in batches:
-            for t in b.column(0):
-                seen.update(words(t.as_py()))
-                seen[END] += 1
-                if len(seen) > _FLUSH:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+            for texts in slices(b.column(0)):
+                found = split_words(texts)[0].value_counts()
+                words_, n = found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([words_, n], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([END.decode()]), pa.array([len(texts)], pa.int64())], ["word", "n"])
 
     return docs.select(text_of("text").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Coded:
+    """Tokens of several texts, one value each; ``far`` holds the words without an id."""
+
+    lengths: np.ndarray
+    ids: np.ndarray
+    inp: np.ndarray
+    cls: np.ndarray
+    word: np.ndarray
+    far: pa.Array
+
+    def by_text(self, values: np.ndarray) -> list[np.ndarray]:
+        """What belongs to each text, of one value a token."""
+        ends = np.cumsum(self.lengths).tolist()
+        return [values[a:b] for a, b in zip([0, *ends], ends)]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum over its tokens."""
+        return np.add.reduceat(values, np.cumsum(self.lengths) - self.lengths)
+
+    def unheld(self) -> pa.Array:
+        """For each text its words without an id, joined by spaces."""
+        ends = np.cumsum(self.sums((self.ids < 0).astype(np.int32)), dtype=np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), self.far), " ")
+
+
 @dataclass
 class Vocabulary:
     """The head words by count; ids below ``shape.n_head * shape.per_class`` are softmax words, all have counts."""
@@ -102,21 +167,23 @@ class Vocabulary:
     distinct: int = 0
     tail_total: np.ndarray | None = None  # N_k + V_k + 1 of each tail class
 
-    def code(self, tokens: list[bytes], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def names(self) -> pa.Array:
+        """The words by id."""
+        return pa.array(list(self.ids), pa.binary()).cast(pa.string())
+
+    def code(self, tokens: list[bytes], names: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """(ids, -1 for words not held; inp, cls, word; the words not held)."""
-        get = self.ids.get
-        ids = np.array([get(w, -1) for w in tokens], np.int64)
+        ids, tail, far = self._look_up(pa.array(tokens, pa.binary()).cast(pa.string()), names or self.names())
+        return ids, *self._places(ids, tail), far.cast(pa.binary()).to_pylist()
+
+    def _look_up(self, tokens: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(ids, tail classes, the words not held)."""
+        found = pc.index_in(tokens, value_set=names)
+        ids = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        far = tokens.filter(found.is_null())
         tail = self.tails[ids]
-        out = np.flatnonzero(ids < 0)
-        far = [tokens[i] for i in out.tolist()]
-        if far:
-            if len(memo) > _FLUSH:
-                memo.clear()
-            for w in far:
-                if w not in memo:
-                    memo[w] = tail_class(w)
-            tail[out] = [memo[w] for w in far]
-        return ids, *self._places(ids, tail), far
+        tail[ids < 0] = tail_classes(far)
+        return ids, tail, far
 
     def _places(self, ids: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inp, cls, word)."""
@@ -130,17 +197,31 @@ class Vocabulary:
         """Ids from here on have no place of their own."""
         return max(self.shape.n_head * self.shape.per_class, self.n_inputs)
 
-    def packed(self, tokens: list[bytes], memo: dict[bytes, int]) -> bytes:
-        """One number a token: the id below the limit, the tail class above."""
-        ids, inp, *_ = self.code(tokens, memo)
-        return np.where((ids >= 0) & (ids < self.limit()), ids, self.limit() + inp - self.n_inputs).astype(np.int32).tobytes()
-
-    def unpacked(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inp, cls, word) of what ``packed`` returned; needs no words, and tails below the limit only."""
-        p = np.frombuffer(data, np.int32).astype(np.int64)
+    def of_texts(self, texts: pa.Array, names: pa.Array) -> Coded:
+        """The texts' tokens; ``names`` are the words by id."""
+        flat, n = split_words(texts)
+        is_word = np.ones(len(flat) + len(n), bool)
+        is_word[np.cumsum(n + 1) - 1] = False
+        ids, tail = np.zeros(len(is_word), np.int64), np.full(len(is_word), self.tails[0])  # the end's id is 0
+        ids[is_word], tail[is_word], far = self._look_up(flat, names)
+        return Coded(n + 1, ids, *self._places(ids, tail), far)
+
+    def packed(self, texts: pa.Array, names: pa.Array) -> list[bytes]:
+        """For each text one number a token: the id below the limit, the tail class above."""
+        c = self.of_texts(texts, names)
+        codes = np.where((c.ids >= 0) & (c.ids < self.limit()), c.ids, self.limit() + c.inp - self.n_inputs).astype(np.int32)
+        return [part.tobytes() for part in c.by_text(codes)]
+
+    def unpacked(self, data: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inp, cls, word) of what ``packed`` returned for a text, or of its numbers; needs no words, and tails below the limit only."""
+        p = (np.frombuffer(data, np.int32) if isinstance(data, bytes) else data).astype(np.int64)
         held = p < self.limit()
         return self._places(np.where(held, p, -1), np.where(held, self.tails[np.minimum(p, len(self.tails) - 1)], p - self.limit()))
 
+    def width(self) -> type:
+        """The numbers' least type."""
+        return np.uint16 if self.limit() + N_TAIL <= 1 << 16 else np.int32
+
 
 def _scale(n: Column) -> Column:
     """Counts on a logarithmic scale of 64 steps a doubling."""
@@ -175,14 +256,13 @@ def _with_totals(v: Vocabulary, counts: DataFrame) -> Vocabulary:
     """Totals over all counts, and by tail class."""
     spark = counts.sparkSession
     softmax = v.shape.n_head * v.shape.per_class
-    shared = spark.sparkContext.broadcast({w for w, i in v.ids.items() if i < softmax})
+    shared = spark.sparkContext.broadcast(v.names().slice(0, softmax))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         n, k = np.zeros(N_TAIL + 1, np.int64), np.zeros(N_TAIL + 1, np.int64)
         for b in batches:
-            names = (w.encode() for w in b.column(0).to_pylist())
-            cls = np.array([N_TAIL if w in own else tail_class(w) for w in names], np.int64)
+            own = pc.is_in(b.column(0), value_set=shared.value).to_numpy(zero_copy_only=False)
+            cls = np.where(own, N_TAIL, tail_classes(b.column(0)))
             np.add.at(n, cls, b.column(1).to_numpy(zero_copy_only=False))
             k += np.bincount(cls, minlength=N_TAIL + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_TAIL + 1)), pa.array(n), pa.array(k)], ["class", "n", "k"])
@@ -227,7 +307,9 @@ def _learner(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         vocab, weights = shared.value
         rows = pdf.sort_values(["h", "codes"])
-        coded = [d for codes, copies in zip(rows["codes"], rows["copies"], strict=True) for d in [vocab.unpacked(codes)] * int(copies)]
+        texts = [np.frombuffer(codes, vocab.width()) for codes in rows["codes"]]
+        places = [x.astype(np.int32) for x in vocab.unpacked(np.arange(vocab.limit() + N_TAIL))]
+        coded = [d for p, copies in zip(texts, rows["copies"], strict=True) for d in [tuple(x[p] for x in places)] * int(copies)]
         new = gru.train(weights, coded)
         return pd.DataFrame({"replica": [int(pdf["replica"].iloc[0])], "n": [1], "weights": [pickle.dumps(new)]})
 
@@ -240,12 +322,14 @@ def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int, waves: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, memo = shared.value, {}
+        vocab = shared.value
+        names = vocab.names()
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                codes = [vocab.packed([*words(t.as_py()), END], memo) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], ["h", "codes"])
+            i = 0
+            for texts in slices(b.column(1)):
+                codes = pa.array(vocab.packed(texts, names), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(texts)), codes], ["h", "codes"])
+                i += len(texts)
 
     text = text_of("text")
     coded = docs.select(F.xxhash64(F.lit(11), F.col("doc_id"), text).alias("h"), text.alias("text")).mapInArrow(run, "h long, codes binary")
@@ -257,12 +341,24 @@ def dealt(docs: DataFrame, v: Vocabulary, replica_tokens: int, waves: int) -> Da
     return spread.select(replica.alias("replica"), "h", "codes", copies.cast("long").alias("copies"))
 
 
+def narrow(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """The same rows, each number of ``codes`` in the vocabulary's least type: half the bytes to keep and to shuffle."""
+    width = v.width()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [np.frombuffer(c, np.int32).astype(width).tobytes() for c in b.column("codes").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("codes"), "codes", pa.array(codes, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def fit(docs: DataFrame, v: Vocabulary, replica_tokens: int, waves: int) -> dict[str, np.ndarray]:
     """Weights learned from all training documents, each passed over once."""
     weights = _first_weights(v)
     if not v.total:
         return weights
-    rows = materialise(dealt(docs, v, replica_tokens, waves))
+    rows = materialise(narrow(dealt(docs, v, replica_tokens, waves), v))
     places = replace(v, ids={}, counts=v.counts[:0], tails=v.tails[: v.limit()])
     spark = docs.sparkSession
     for wave in range(waves):
@@ -298,31 +394,31 @@ def lm_scores(
         log_count = np.log10(vocab.counts + 1.0)
         log_tail = np.log10(vocab.tail_total)
         softmax = vocab.shape.n_head * vocab.shape.per_class
-        memo: dict[bytes, int] = {}
+        names = vocab.names()
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                coded, n, known, base, static, far = [], [], [], [], [], []
-                for t in part.column(2):
-                    ids, inp, cls, word, unheld = vocab.code([*words(t.as_py()), END], memo)
-                    held = ids[ids >= 0]
-                    n.append(len(ids))
-                    known.append(int((vocab.counts[held] > 0).sum()))
-                    base.append(float(log_count[held].sum()))
+                coded, cols = [], []
+                for texts in slices(part.column(2)):
+                    c = vocab.of_texts(texts, names)
+                    log = np.where(c.ids >= 0, log_count[c.ids], 0.0)
                     # within tail classes: counts of held words here, of the others by the join
-                    static.append(float(log_count[held[held >= softmax]].sum() - log_tail[cls[word < 0] - vocab.shape.n_head].sum()))
-                    coded.append((inp.astype(np.int32), cls.astype(np.int32), word.astype(np.int32)))
-                    far.append(unheld)
-                model = gru.score(w, coded) / np.log(10) + np.array(static)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-                cols = [pa.array(c, k) for c, k in zip((n, known, base, model, far), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], fields)
+                    tail = np.where(c.word < 0, log_tail[np.maximum(c.cls - vocab.shape.n_head, 0)], 0.0)
+                    known = (c.ids >= 0) & (vocab.counts[c.ids] > 0)
+                    cols.append((c.lengths, c.sums(known.astype(np.int64)), c.sums(log), c.sums(np.where(c.ids >= softmax, log, 0.0) - tail), c.unheld()))
+                    coded += zip(*(c.by_text(x.astype(np.int32)) for x in (c.inp, c.cls, c.word)), strict=True)
+                n, known, base, static = (np.concatenate(x) for x in list(zip(*cols, strict=True))[:4])
+                model = gru.score(w, coded) / np.log(10) + static
+                far = pa.chunked_array([c[4] for c in cols]).combine_chunks()
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                numbers = [pa.array(c, k) for c, k in zip((n, known, base, model), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, far], fields)
 
     # rows are known by id and text; rows that repeat both are alike and are counted
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    scored = materialise(keyed.mapInArrow(run, "doc_id long, h long, n_tokens long, n_known long, base double, model double, far array<binary>"))
+    scored = materialise(keyed.mapInArrow(run, "doc_id long, h long, n_tokens long, n_known long, base double, model double, far string"))
     rare = counts.where((_scale(F.col("n")) < step) | (F.octet_length("word") > MAX_BYTES))
-    far = scored.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("far").alias("word")).withColumn("word", F.col("word").cast("string"))
+    far = scored.where(F.col("far") != "").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode(F.split("far", " ")).alias("word"))
     sums = far.join(rare, "word").groupBy("doc_id", "h").agg(F.sum(F.log10(F.col("n") + 1)).alias("far_log"), F.count(F.lit(1)).alias("far_known"))
     s = scored.drop("far").alias("s")
     t = sums.alias("t")

@@ -265,3 +265,27 @@ def test_links_over_blocks_of_mixed_lengths(spark):
         assert got[i][0] == len(mates), i
         if i >= 1000:
             assert got[i] == (2, i // 10 * 10)
+
+
+def test_words_are_taken_from_whole_batches_as_from_single_texts(spark):
+    import pyarrow as pa
+
+    texts = ["", "  lead and TRAIL \t", "Éa ÀB, été! x. ? ,a a, ñ ÿ; 日本 日本。 \x0b\x0cz\x1c\x85 \xa0y", "one", "\n", "known KNOWN unknown? \x00 é"] * 3
+    flat, n = lm.split_words(pa.array(texts).slice(1))
+    want = [lm.words(t) for t in texts[1:]]
+    assert n.tolist() == [len(w) for w in want] and flat.cast(pa.binary()).to_pylist() == [x for w in want for x in w]
+    assert lm.tail_classes(flat.slice(2)).tolist() == [lm.tail_class(w) for w in flat.slice(2).cast(pa.binary()).to_pylist()]
+    assert [len(s) for s in lm.slices(pa.array(["x" * lm._SLICE, "a", "b", "x" * lm._SLICE]))] == [1, 2, 1]
+    # the numbers that are kept and shuffled are no wider than the vocabulary needs, and say the same
+    counts = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r["word"]: r["n"] for r in counts.collect()} == {**{w.decode(): n for w, n in Counter(x for t in texts for x in lm.words(t)).items()}, "\n": len(texts)}
+    v = lm._with_totals(lm.vocabulary(counts, 0, 4, 5, 2, 8), counts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wide = {(r["h"], r["replica"]): r["codes"] for r in lm.dealt(d, v, 20, 2).collect()}
+    small = lm.narrow(lm.dealt(d, v, 20, 2), v).collect()
+    assert len(small) == len(wide) > 3
+    for r in small:
+        assert 2 * len(r["codes"]) == len(wide[r["h"], r["replica"]])
+        assert np.frombuffer(r["codes"], np.uint16).tolist() == np.frombuffer(wide[r["h"], r["replica"]], np.int32).tolist()
+    c = v.of_texts(pa.array(texts), v.names())
+    assert c.unheld().to_pylist() == [" ".join(w.decode() for w in lm.words(t) if w not in v.ids) for t in texts]
