@@ -95,7 +95,7 @@ def _softmax_gradient(logits: np.ndarray, at: np.ndarray, bounded: bool) -> tupl
     return -log, (1 / sums)[:, None]
 
 
-def _head_blocks(cls: np.ndarray, n_head: int, size: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _head_blocks(cls: np.ndarray, n_head: int, size: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, rows, which of them are real) of blocks of ``size`` rows; all rows of head classes are in one block each, by class."""
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     counts = np.bincount(cls, minlength=n_head)[:n_head]
@@ -107,6 +107,20 @@ def _head_blocks(cls: np.ndarray, n_head: int, size: int = 32) -> tuple[np.ndarr
     return kinds, order[np.minimum(at, len(cls) - 1)], at < ends[kinds][:, None]
 
 
+def _segment_sums(rows: np.ndarray, first: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of the rows from each of ``first`` to the next; segments of a few rows are added together, longer ones one by one."""
+    n = np.diff(first, append=len(rows))
+    out = rows[first]
+    for j in range(1, few):
+        more = np.flatnonzero(n > j)
+        if not len(more):
+            break
+        out[more] += rows[first[more] + j]
+    for i in np.flatnonzero(n > few).tolist():
+        out[i] = rows[first[i] : first[i] + n[i]].sum(axis=0)
+    return out
+
+
 def _by_class(cls: np.ndarray, n_head: int):
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(n_head + 1))
@@ -161,7 +175,7 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
     steps, streams = inp.shape
     n = h.shape[1]
     u = p["u"]
-    gates = p["x"].take(inp.ravel(), axis=1).reshape(3, steps, streams, n)
+    gates = np.ascontiguousarray(p["x"].transpose(1, 0, 2).take(inp.ravel(), axis=0).transpose(1, 0, 2)).reshape(3, steps, streams, n)
     any_fresh = fresh.any(axis=1)
     before, recurrent = np.empty((steps, streams, n), u.dtype), np.empty((steps, streams, n), u.dtype)
     for t in range(steps):
@@ -196,7 +210,7 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
         loss += float((log * real.ravel()).sum())
         d *= factor.reshape(real.shape)[:, :, None] * real[:, :, None]
         starts = np.flatnonzero(np.diff(kinds, prepend=-1))
-        by_word[kinds[starts]] = np.add.reduceat(np.matmul(held.transpose(0, 2, 1), d).reshape(len(kinds), -1), starts, axis=0).reshape(len(starts), *w.shape[1:])
+        by_word[kinds[starts]] = _segment_sums(np.matmul(held.transpose(0, 2, 1), d), starts)
         d_states[rows[real]] += np.matmul(d, own_w[:, :-1].transpose(0, 2, 1))[real]
     g["w"], g["wb"] = by_word[:, :-1], by_word[:, -1]
     d_states = d_states.reshape(steps, streams, n)
@@ -224,7 +238,7 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, inp: np.ndarray, cls: np.
     g["u"] = (states.T @ d_u.reshape(-1, 3 * n)).reshape(n, 3, n).transpose(1, 0, 2)
     order = np.argsort(inp.ravel().astype(np.uint16 if len(p["x"][0]) <= 1 << 16 else np.int32), kind="stable")
     own, first = np.unique(inp.ravel()[order], return_index=True)
-    g["x"] = np.add.reduceat(d_in.reshape(-1, 3 * n).take(order, axis=0), first, axis=0).reshape(-1, 3, n).transpose(1, 0, 2)
+    g["x"] = _segment_sums(d_in.reshape(-1, 3 * n).take(order, axis=0), first).reshape(-1, 3, n).transpose(1, 0, 2)
     return loss, g, own, h
 
 
@@ -247,7 +261,9 @@ def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
     fresh = np.zeros(len(inp), bool)
     fresh[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
     fresh[first] = True
-    seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+    rows = np.ascontiguousarray(p["x"].transpose(1, 0, 2))  # a word's three rows side by side
+    p["x"] = rows.transpose(1, 0, 2)
+    seen = {k: np.full_like(rows if k == "x" else v, 1e-2) for k, v in p.items()}
     h = np.zeros((len(first), p["u"].shape[-1]), np.float32)
 
     def learn(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -255,7 +271,9 @@ def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
         _, g, own, h = gradients(p, h, *a)
         scale = np.float32(100 / at.size)
         for k, v in g.items():
-            at_rows = (slice(None), own) if k == "x" else slice(None)  # the input rows of other words have no gradient
+            weights, at_rows = p[k], slice(None)
+            if k == "x":  # the input rows of other words have no gradient
+                weights, at_rows, v = rows, own, v.transpose(1, 0, 2)
             v *= scale  # sums of a window's tokens, per hundred
             np.clip(v, -1, 1, out=v)
             root = seen[k][at_rows]
@@ -263,7 +281,7 @@ def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
             seen[k][at_rows] = root
             v *= np.float32(rate)
             v /= np.sqrt(root)
-            p[k][at_rows] -= v
+            weights[at_rows] -= v
         return h
 
     for t in range(0, steps, window):
@@ -271,4 +289,5 @@ def train(p: dict[str, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray, np.
     more = len(inp) - steps * len(first)  # the first streams have one token more
     if more:
         learn(h[:more], first[None, :more] + steps)
+    p["x"] = np.ascontiguousarray(p["x"])
     return p
